@@ -52,9 +52,10 @@ def batches(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, list[
         yield first, rows
 
 
-def words(texts: list[bytes], plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def words(texts: list[bytes], plain: bool = False, stems: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
     """Hashes of all lower-cased (A-Z) words of the texts, and for each text
-    the index of its first word (one more at the end).
+    the index of its first word (one more at the end); then, for each length
+    in ``stems``, hashes of the words' first so many bytes.
 
     Words are runs of ``[^\\x20\\x09-\\x0D]``; ``plain``: of letters, digits and
     non-ASCII bytes.
@@ -68,11 +69,12 @@ def words(texts: list[bytes], plain: bool = False) -> tuple[np.ndarray, np.ndarr
     size = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     bounds = np.searchsorted(starts, np.concatenate(([0], np.cumsum(size))))
     if not len(starts):
-        return np.empty(0, U), bounds
+        return np.empty(0, U), bounds, *[np.empty(0, U)] * len(stems)
     at = np.cumsum(lens) - lens
     pos = np.arange(int(lens.sum())) - np.repeat(at, lens)
     h = (a[inside].astype(U) + U(1)) * _power(int(lens.max()))[pos]
-    return mix(np.add.reduceat(h, at) + lens.astype(U) * U(_ODD[4])), bounds
+    cut = [mix(np.add.reduceat(np.where(pos < k, h, U(0)), at) + U(k)) for k in stems]
+    return mix(np.add.reduceat(h, at) + lens.astype(U) * U(_ODD[4])), bounds, *cut
 
 
 def window_hashes(h: np.ndarray, steps: tuple[int, ...]) -> np.ndarray:

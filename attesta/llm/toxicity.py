@@ -12,21 +12,29 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .hashing import batches, mix, window_hashes, words
 
 #: Feature space, and the bound of the rows of each class that the fit reads.
-BITS, FIT_ROWS = 20, 6000
-#: Words taken together: one, two neighbours, two with one or two between.
-GRAMS = ((), (1,), (2,), (3,))
+BITS, FIT_ROWS = 20, 4000
+#: Words taken together: one, two neighbours, two with one or two between; and
+#: lengths of word beginnings, by which inflected forms of a word meet.
+GRAMS, STEMS = ((), (1,), (2,), (3,)), (4, 5, 6)
 
 
-def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) for all distinct features of each text."""
-    h, bounds = words(texts, plain=True)
+def _hashed(texts: list[bytes]):
+    """(text, feature) arrays, one pair for each kind of feature; features may
+    repeat."""
+    h, bounds, *stems = words(texts, plain=True, stems=STEMS)
     doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    docs, found = [], []
+    cut = np.uint64(64 - BITS)
     for g in GRAMS:
         f = window_hashes(h, g) if g else mix(h)
         near = doc[: len(f)] == doc[len(doc) - len(f) :]
-        docs.append(doc[: len(f)][near])
-        found.append((f[near] >> np.uint64(64 - BITS)).astype(np.int64))
+        yield doc[: len(f)][near], (f[near] >> cut).astype(np.int64)
+    for s in stems:
+        yield doc, (s >> cut).astype(np.int64)
+
+
+def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature) for all distinct features of each text."""
+    docs, found = zip(*_hashed(texts))
     both = np.unique(np.concatenate(docs) << BITS | np.concatenate(found))
     return both >> BITS, both & ((1 << BITS) - 1)
 
@@ -41,16 +49,9 @@ class Model:
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """Probability of the class for each text, each feature once."""
-        h, bounds = words(texts, plain=True)
-        doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
         dense = np.zeros(1 << BITS, bool)
         dense[self.index] = True
-        docs, found = [], []
-        for g in GRAMS:
-            f = ((window_hashes(h, g) if g else mix(h)) >> np.uint64(64 - BITS)).astype(np.int64)
-            hit = np.flatnonzero(dense[f] & (doc[: len(f)] == doc[len(doc) - len(f) :]))
-            docs.append(doc[hit])
-            found.append(f[hit])
+        docs, found = zip(*((d[hit], f[hit]) for d, f in _hashed(texts) for hit in [dense[f]]))
         both = np.unique(np.concatenate(docs) << BITS | np.concatenate(found))
         w = self.weight[np.searchsorted(self.index, both & ((1 << BITS) - 1))] if len(self.index) else np.zeros(0)
         z = self.bias + np.bincount(both >> BITS, w, len(texts))
@@ -82,7 +83,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int, alpha: float,
     return index, w[index], float(w[size])
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS, epochs: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 2.0, l2: float = 0.5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1) -> Model:
     """A model from at most ``fit_rows`` labelled rows of each class for which
     ``usable`` (a condition on the id) holds, picked by hash of the id.
 
