@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import connected_components
 from .hashing import U, batches, mix, shingle_sets
@@ -181,10 +181,14 @@ def shingle_table(docs: DataFrame, id_col: str, text_col: str, n: int, percent:
 def candidate_edges(table: DataFrame) -> DataFrame:
     """(src, dst): sets (by h1) that agree in a range, each with the smallest
     of its range. Ranges are aggregated before the shuffle; the join back may
-    be split where a range is very frequent."""
+    be split where a range is very frequent. A set's smallest ones (no more
+    than its ranges) are joined with the least of them, which leaves the
+    components as they are and most edges equal."""
     sig = table.where("n_shingles > 0").select(F.explode("sigs").alias("sig"), "h1")
     meet = sig.groupBy("sig").agg(F.min("h1").alias("dst"), F.max("h1").alias("most")).where("dst != most").select(F.col("sig"), "dst")
-    return sig.hint("shuffle_merge").join(meet, "sig").where("h1 != dst").select(F.col("h1").alias("src"), "dst").distinct()
+    found = sig.join(meet, "sig").where("h1 != dst").select(F.col("h1").alias("src"), "dst").distinct()
+    least = found.withColumn("least", F.min("dst").over(Window.partitionBy("src")))
+    return least.select("src", F.col("least").alias("dst")).union(least.where("dst != least").select(F.col("dst").alias("src"), F.col("least").alias("dst"))).distinct()
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
