@@ -223,7 +223,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     block = F.when(F.col("parts") > 1, F.col("cluster")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(blocks)))
     m = m.select("rep", "h1", "h2", (F.col("parts") > 1).alias("big"), block.alias("block"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"))
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
-    rows = m.join(texts, "rep")
+    rows = m.hint("merge").join(texts, "rep")  # members grow with the table: never broadcast them
 
     def links(t: pa.Table) -> pa.Table:
         # the text that made the set, where an id has several; each once
