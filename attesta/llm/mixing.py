@@ -43,7 +43,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: floa
     return w.select("source", "source_size", F.when(F.col("cap") == 0, 0.0).otherwise(F.least("cap", share)).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: str = "mix", ranges: int = RANGES) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", ratings: DataFrame | None = None, unrated: float = 1.0, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: str = "mix", ranges: int = RANGES) -> DataFrame:
     """``docs`` with size (words), source_size, target, times (how often the
     mix takes the document) and taken (words).
 
@@ -51,7 +51,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     source, smaller keys come first. A target of e whole epochs and a rest
     takes each document e times, and once more those at the front whose words
     fill the rest; the document at the end of it is taken if more than half of
-    it fits. ``quality``: a positive weight; null or not positive counts as 1.
+    it fits. ``ratings``: (id, quality), the greatest positive quality of an id
+    counts; ids without one weigh ``unrated``.
 
     Null ids share one draw, null texts have size 0, null is a source of its
     own. Rows that repeat an id are documents of their own, of equal key,
@@ -61,10 +62,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     inside each, make the running sum, so no task holds a whole source. The
     texts are not shuffled.
     """
-    q = F.lit(1.0) if quality is None else F.when(quality > 0, quality.cast("double")).otherwise(1.0)
     added = ("size", "source_size", "target", "times", "taken")
     kept = [c for c in docs.columns if c not in added]
-    d = docs.select(*[F.col(f"`{c}`").alias(c) for c in kept], n_words(F.col(text_col)).alias("__size"), (-F.log(uniform(F.col(id_col), seed)) / q).alias("__key"))
+    d = docs.select(*[F.col(f"`{c}`").alias(c) for c in kept], n_words(F.col(text_col)).alias("__size"), uniform(F.col(id_col), seed).alias("__u"))
+    quality = F.lit(float(unrated))
+    if ratings is not None:  # after the count, so that texts nobody asks for don't travel
+        best = ratings.where("id IS NOT NULL AND quality > 0").groupBy(F.col("id").alias("__r_id")).agg(F.max("quality").cast("double").alias("__quality"))
+        d = d.join(best, F.col(id_col) == F.col("__r_id"), "left")
+        quality = F.coalesce(F.col("__quality"), quality)
+    d = d.withColumn("__key", -F.log(F.col("__u")) / quality)
     d = d.withColumn("__range", F.least(F.lit(ranges - 1), F.floor((1 - F.exp(-F.col("__key"))) * ranges)).cast("int"))
     parts = d.groupBy(F.col(source_col).alias("source"), F.col("__range").alias("range")).agg(F.sum("__size").alias("part"))
     sums = parts.groupBy("source").agg(F.sum("part").alias("source_size"))

@@ -40,15 +40,14 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(q_id, quality): 2 for documents labelled good, 1 for bad ones."""
-    return table(spark, sf_dir, "labels").where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("q_id")).agg((1 + F.max("quality")).cast("double").alias("quality"))
+    """(id, quality): 2 for documents labelled good, 1 for bad ones."""
+    return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (1 + F.col("quality")).alias("quality"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the mix takes every document. Unlabelled ones have weight 1.5."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    rated = docs.join(quality_of(spark, sf_dir), F.col("doc_id") == F.col("q_id"), "left")
-    return mixing.mix(rated, quality=F.coalesce("quality", F.lit(1.5))).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(docs, ratings=quality_of(spark, sf_dir), unrated=1.5).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
