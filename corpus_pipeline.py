@@ -39,8 +39,7 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix takes."""
-    rated = docs.join(quality_of(spark, sf_dir), F.col("doc_id") == F.col("q_id"), "left")
-    mixed = mixing.mix(rated, quality=F.coalesce("quality", F.lit(1.5))).where("times > 0")
+    mixed = mixing.mix(docs, ratings=quality_of(spark, sf_dir), unrated=1.5).where("times > 0")
     return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
 
 
