@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .storage import written
 
@@ -24,10 +24,16 @@ def gapless(df: DataFrame, group: str, order: list[str], name: str, parts: int =
     return d.join(F.broadcast(n), (F.col(group) == F.col("__of")) & (F.col("__part") == F.col("__p"))).withColumn(name, (F.col("__first") + F.col("__rank")).cast("long")).drop("__of", "__p", "__part", "__first", "__rank")
 
 
+def _small(spark: SparkSession, names: str, rows: list[tuple]) -> DataFrame:
+    """A table of whole numbers as SQL literals, of one row per node."""
+    values = ", ".join("(" + ", ".join(f"{int(x)}L" for x in r) + ")" for r in rows)
+    return F.broadcast(spark.sql(f"SELECT * FROM VALUES {values} AS t({names})"))
+
+
 def _point(dim: Column) -> list[Column]:
     """The three coordinates by which a node's points are ordered: its
     dimension, then the hash of the group, then their own hash."""
-    return [F.element_at("x", dim + 1), F.col("g"), F.col("own")]
+    return [F.element_at("x", (dim + 1).cast("int")), F.col("g"), F.col("own")]
 
 
 def _cuts(points: DataFrame, nodes: dict[int, dict], target: float) -> dict[int, tuple[int, int, int]]:
@@ -40,11 +46,11 @@ def _cuts(points: DataFrame, nodes: dict[int, dict], target: float) -> dict[int,
     busy = set(state)
     while busy:
         rows = [(k, nodes[k]["dim"], state[k]["stage"], state[k]["shift"], *state[k]["key"]) for k in busy]
-        now = F.broadcast(spark.createDataFrame(rows, "node int, dim int, stage int, shift int, k0 long, k1 long, k2 long"))
+        now = _small(spark, "node, dim, stage, shift, k0, k1, k2", rows)
         c, key, stage = _point(F.col("dim")), [F.col(f"k{i}") for i in range(3)], F.col("stage")
         here = F.when(stage == 0, c[0]).when(stage == 1, c[1]).otherwise(c[2])
         low = F.when(stage == 0, key[0]).when(stage == 1, key[1]).otherwise(key[2])
-        digit = F.expr("shiftright(here - low, shift)")
+        digit = F.expr("shiftright(here - low, int(shift))")
         same = ((stage < 1) | (c[0] == key[0])) & ((stage < 2) | (c[1] == key[1]))
         got = points.join(now, "node").where(same).withColumns({"here": here, "low": low}).withColumn("digit", digit).where((F.col("digit") >= 0) & (F.col("digit") < 1 << DIGIT)).groupBy("node", "digit").agg(F.sum("size").alias("w")).collect()
         sums: dict[int, dict[int, int]] = {k: {} for k in busy}
@@ -100,7 +106,7 @@ def kd_shards(rows: DataFrame, dims: list[Column], size: Column, group: Column,
         scaled.append(F.when(F.col(c) > float("-inf"), F.floor((F.col(c) - lo) / ((hi - lo) or 1.0) * steps)).otherwise(0).cast("long"))
     keep = rows.columns
     slim = written(p.select(*keep, F.array(*scaled).alias("__x"), "__size", "__g", "__own"), "points")
-    view, count = slim.withColumn("__node", F.lit(0)), {0: n}
+    view, count = slim.withColumn("__node", F.lit(0).cast("long")), {0: n}
     while any(v > 1 for v in count.values()):
         pts = view.select(F.col("__node").alias("node"), F.col("__x").alias("x"), F.col("__size").alias("size"), F.col("__g").alias("g"), F.col("__own").alias("own"))
         wide = [F.max(F.col("x")[i]) - F.min(F.col("x")[i]) for i in range(len(dims))]
@@ -113,10 +119,10 @@ def kd_shards(rows: DataFrame, dims: list[Column], size: Column, group: Column,
             if v > 1:
                 after[left + 1] = v - v // 2
             rows_of.append((k, nodes.get(k, {"dim": 0})["dim"], *cuts.get(k, (1 << BITS, 0, 0)), left, left + (v > 1)))
-        table = spark.createDataFrame(rows_of, "__node int, dim int, k0 long, k1 long, k2 long, __l int, __r int")
-        c = [F.element_at("__x", F.col("dim") + 1), F.col("__g"), F.col("__own")]
+        table = _small(spark, "__node, dim, k0, k1, k2, __l, __r", rows_of)
+        c = [F.element_at("__x", (F.col("dim") + 1).cast("int")), F.col("__g"), F.col("__own")]
         beyond = F.struct(*c) >= F.struct("k0", "k1", "k2")
-        view = view.join(F.broadcast(table), "__node").withColumn("__node", F.when(beyond, F.col("__r")).otherwise(F.col("__l"))).select(*slim.columns, "__node")
+        view = view.join(table, "__node").withColumn("__node", F.when(beyond, F.col("__r")).otherwise(F.col("__l"))).select(*slim.columns, "__node")
         count = after
-    out = view.select(*keep, F.col("__node").alias("shard"), "__g", "__own")
+    out = view.select(*keep, F.col("__node").cast("int").alias("shard"), "__g", "__own")
     return gapless(out, "shard", ["__own", "__g", *keep], "slot").drop("__g", "__own")
