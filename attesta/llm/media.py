@@ -63,56 +63,41 @@ def payload_column(text: str = "text"):
     return F.rpad(raw, size, F.lit(b"\0"))
 
 
-def store(payloads: DataFrame, folder: str | None = None, shards: int | None = None) -> DataFrame:
-    """Write distinct payloads (column payload) as images into tar files in
-    ``folder``; return (digest, shard, offset, length, media_sha256), one row per
-    digest, from a table written in the shared folder.
-
-    Each task encodes a payload once and sends it to the shard of its digest,
-    so of a third of all rows that are equal one image per task is sent. A
-    shard is written under a new name and moved when whole; rows name it only
-    then, so a task that is run again leaves at most a file nobody refers to.
+def store(payloads: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write the payloads (column payload) as images into tar files in
+    ``folder``; return (digest, shard, offset, length, media_sha256), one row
+    per digest.
+
+    Each task writes one shard and in it each payload once; the index names
+    one place of each digest, so of a third of all rows that are equal one
+    copy per task is stored and one is ever read. No payload is shuffled. A
+    shard is written under a new name and moved when whole; the index, a table
+    in the shared folder, names it only then, so a task that is run again
+    leaves at most a file nobody refers to.
     """
-    spark = payloads.sparkSession
-    folder = folder or new_path(spark, "media")
+    folder = folder or new_path(payloads.sparkSession, "media")
     fs.FileSystem.from_uri(folder)  # fails early for a store that can't be written by range
-    shards = shards or max(8, payloads.rdd.getNumPartitions())
 
-    def encode(it):
-        seen: set[bytes] = set()
+    def write(it):
+        files, name, seen = None, uuid.uuid4().hex, set()
+        out, at = [[], [], [], []], 0
         for b in it:
-            digests, images, size = [], [], 0
             for payload in b.column(0).to_pylist():
                 digest = hashlib.sha256(payload).digest()
-                if digest not in seen:
-                    if len(seen) < 1 << 20:
-                        seen.add(digest)
-                    digests.append(digest.hex())
-                    images.append(to_image(payload))
-                    size += len(images[-1])
-                if size > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(digests), pa.array(images, pa.binary())], ["digest", "image"])
-                    digests, images, size = [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(images, pa.binary())], ["digest", "image"])
-
-    def write(it):
-        files, name = None, uuid.uuid4().hex
-        out, at, last = [[], [], [], []], 0, None
-        for b in it:
-            for digest, image in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if digest == last:  # rows come sorted
+                if digest in seen:
                     continue
-                last = digest
+                seen.add(digest)
                 if files is None:
                     files, base = fs.FileSystem.from_uri(folder)
                     files.create_dir(base)
                     sink = files.open_output_stream(f"{base}/_{name}")
-                info = tarfile.TarInfo(f"{digest}.png")
+                image = to_image(payload)
+                info = tarfile.TarInfo(f"{digest.hex()}.png")
                 info.size = len(image)
                 head = info.tobuf()
                 body = image + b"\0" * (-len(image) % 512)
                 sink.write(head + body)
-                for to, x in zip(out, (digest, at + len(head), len(image), hashlib.sha256(image).hexdigest())):
+                for to, x in zip(out, (digest.hex(), at + len(head), len(image), hashlib.sha256(image).hexdigest())):
                     to.append(x)
                 at += len(head) + len(body)
         if files is not None:
@@ -121,9 +106,8 @@ def store(payloads: DataFrame, folder: str | None = None, shards: int | None = N
             files.move(f"{base}/_{name}", f"{base}/{name}.tar")
             yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array([f"{folder}/{name}.tar"] * len(out[0])), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3])], ["digest", "shard", "offset", "length", "media_sha256"])
 
-    images = payloads.select("payload").mapInArrow(encode, "digest string, image binary")
-    done = images.repartition(shards, "digest").sortWithinPartitions("digest").mapInArrow(write, "digest string, shard string, offset long, length long, media_sha256 string")
-    return written(done, "media-index")
+    done = written(payloads.select("payload").mapInArrow(write, "digest string, shard string, offset long, length long, media_sha256 string"), "media-index")
+    return done.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length", "media_sha256")).alias("at")).select("digest", "at.*")
 
 
 def ranges(index: DataFrame, read, schema: str) -> DataFrame:
@@ -142,7 +126,7 @@ def ranges(index: DataFrame, read, schema: str) -> DataFrame:
                 for first in range(0, len(own), 256):
                     yield read(lambda at, n: opened[shard].read_at(n, at), own[first : first + 256])
 
-    return index.sortWithinPartitions("shard", "offset").mapInArrow(run, schema)
+    return index.repartition("shard").sortWithinPartitions("shard", "offset").mapInArrow(run, schema)
 
 
 def headers(index: DataFrame) -> DataFrame:
@@ -159,9 +143,10 @@ def contents(index: DataFrame) -> DataFrame:
     """What reading each object back shows: digest, width and height (from the
     header's range alone), payload_bytes, payload_sha256, tail_crc32,
     media_bytes, media_sha256 and feature: size, mean and deviation of the
-    samples and their histogram over eight equal ranges. An object whose bytes
+    samples and their histogram over eight equal ranges; shard, offset and
+    length as in the index. An object whose bytes
     aren't those that were stored raises."""
-    names = ["digest", "width", "height", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = ["digest", "width", "height", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset", "length"]
 
     def read(get, rows):
         out = []
@@ -174,10 +159,10 @@ def contents(index: DataFrame) -> DataFrame:
                 raise ValueError(f"object {r['digest']} in {r['shard']} is damaged")
             x = np.frombuffer(payload, np.uint8)
             hist = np.bincount(x >> 5, minlength=8)
-            out.append((r["digest"], width, height, len(payload), sha, zlib.crc32(payload[-WIDTH:]), len(image), r["media_sha256"], f"{width}x{height} mean={x.mean():.3f} std={x.std():.3f} hist={','.join(map(str, hist))}"))
+            out.append((r["digest"], width, height, len(payload), sha, zlib.crc32(payload[-WIDTH:]), len(image), r["media_sha256"], f"{width}x{height} mean={x.mean():.3f} std={x.std():.3f} hist={','.join(map(str, hist))}", r["shard"], r["offset"], r["length"]))
         return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names)
 
-    return ranges(index, read, "digest string, width long, height long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return ranges(index, read, "digest string, width long, height long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, shard string, offset long, length long")
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
@@ -186,6 +171,5 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     repeated ids are rows like others; equal texts share one object. Empty
     table: no rows."""
     paid = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)).cast("long").alias("n_bytes"), payload_column(text_col).alias("payload"))
-    index = store(paid.select("payload"), folder)
-    stored = index.join(contents(index).drop("media_sha256"), "digest")
+    stored = contents(store(paid.select("payload"), folder))
     return paid.select("doc_id", "n_bytes", F.sha2("payload", 256).alias("digest")).join(stored, "digest")
