@@ -21,7 +21,7 @@ from .hashing import U, batches, mix, shingle_sets
 from .storage import written
 
 #: Documents and shingles that a block aims at.
-BLOCK_DOCS, BLOCK_SHINGLES = 2048, 2 << 20
+BLOCK_DOCS, BLOCK_SHINGLES = 8192, 8 << 20
 FANOUT = 16
 _classes = [1, 2, 3, 5]
 
@@ -203,10 +203,12 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     their component_id is null.
 
     Every link is found (shingles are compared by 64 bits of hash); equal sets
-    are one node. A cluster of candidates beyond a block is cut into parts by
-    hash, and each pair of parts is a block, so no task holds more than two
-    parts. Candidate clusters and components are tables in the shared folder.
+    are one node. A cluster of candidates beyond a block is cut into bands of
+    sizes that may link, and a band beyond a block into parts by hash, each
+    pair of which is a block, so no task holds more than two parts. Candidate clusters and components are tables in the shared folder.
     """
+    if not 70 <= percent <= 100:
+        raise ValueError("similarities of 70 to 100 percent only")
     table = written(shingle_table(docs, id_col, text_col, n, percent), "shingles")
     filled = table.where("n_shingles > 0 AND doc_id IS NOT NULL")
     sets = filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
@@ -215,13 +217,17 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     weight = members.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
     total = weight.agg(F.sum("docs").alias("d"), F.sum("shingles").alias("s")).first()
     blocks = max(1, -(-(total["d"] or 0) // block_docs), -(-(total["s"] or 0) // block_shingles))
-    parts = F.greatest(F.ceil(F.col("docs") / block_docs), F.ceil(F.col("shingles") / block_shingles)).cast("int")
-    weight = weight.select("cluster", parts.alias("parts"))
-    m = members.join(weight, "cluster")
+    big = (F.col("docs") > block_docs) | (F.col("shingles") > block_shingles)
+    m = members.join(weight.select("cluster", big.alias("big")), "cluster")
+    # sets of two sizes can only link within one band of sizes or two neighbours
+    band = F.floor(F.log("n") / (np.log(100 / percent) * 1.001))
+    m = m.withColumn("band", F.explode(F.when(F.col("big"), F.array(band, band + 1)).otherwise(F.array(F.lit(0).cast("long")))))
+    m = m.withColumn("block", F.when(F.col("big"), F.col("cluster")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(blocks))))
+    size = m.where("big").groupBy("block", "band").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("parts"))
+    m = m.join(size.withColumn("big", F.lit(True)), ["big", "block", "band"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     part = F.pmod(F.xxhash64("h2", "rep"), F.col("parts")).cast("int")
     m = m.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    block = F.when(F.col("parts") > 1, F.col("cluster")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(blocks)))
-    m = m.select("rep", "h1", "h2", (F.col("parts") > 1).alias("big"), block.alias("block"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"))
+    m = m.select("rep", "h1", "h2", "big", "block", "band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"))
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
     rows = m.hint("merge").join(texts, "rep")  # members grow with the table: never broadcast them
 
@@ -240,7 +246,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         found = block_links(np.array(ids, np.int64), np.array(sides, np.int64), kept, percent) if ids else []
         return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["src", "dst"])
 
-    linked = rows.groupBy("big", "block", "i", "j").applyInArrow(links, "src long, dst long")
+    linked = rows.groupBy("big", "block", "band", "i", "j").applyInArrow(links, "src long, dst long")
     repeated = filled.join(sets, ["h1", "h2"]).select("doc_id", F.col("rep").alias("src")).where("doc_id != src").select(F.col("doc_id").alias("src"), F.col("src").alias("dst"))
     comp = connected_components(linked.union(repeated))
     return table.select("doc_id", "n_shingles").join(comp, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
