@@ -73,10 +73,9 @@ class Tree:
     node covers documents lo to hi; it holds the OR of their bitmaps, their
     least and greatest size and the most shingles that share bits in one."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], bits: int):
         self.sets = sets
         size = np.array([len(s) for s in sets])
-        bits = int(min(1 << 16, max(256, 1 << int(np.ceil(np.log2(4 * np.median(size)))))))
         maps = np.zeros((len(sets), bits // 64), U)
         for row, s in zip(maps, sets):
             at = (s & U(bits - 1)).astype(np.int64)
@@ -148,14 +147,16 @@ def block_links(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], perce
     ids, side, sets = ids[order], side[order], [sets[r] for r in order]
     n = int((side == 0).sum())
     group = np.arange(len(ids))
+    middle = np.median([len(s) for s in sets])
+    bits = int(min(1 << 16, max(256, 1 << int(np.ceil(np.log2(4 * middle))))))
     if n == len(ids):
-        tree = Tree(sets)
+        tree = Tree(sets, bits)
         found = traverse(tree, tree, group, 0, percent)
         shift = 0
     elif n == 0:
         return out
     else:
-        found, shift = traverse(Tree(sets[:n]), Tree(sets[n:]), group, n, percent), n
+        found, shift = traverse(Tree(sets[:n], bits), Tree(sets[n:], bits), group, n, percent), n
     return [(int(ids[x]), int(ids[shift + y])) for x, y in found]
 
 
