@@ -3,8 +3,11 @@
 The upper levels of the tree are cut by content, so that they can be spread:
 documents of near sizes divide the space of shingle hashes into so many ranges
 that two sets which differ in no more places than the threshold allows must
-agree in one range whole. Node pairs that agree in none can't overlap enough
-and are never met. What meets becomes blocks; over each block stands a tree
+agree in several ranges whole. As they agree in r of them, they also agree in
+one that is not among the r - 1 most frequent ones of either; so passages that
+many documents share bring nothing together unless they fill most of a
+document. Node pairs that agree in no range left can't overlap enough and are
+never met. What meets becomes blocks; over each block stands a tree
 whose nodes hold OR-combined bitmaps of shingles and size ranges, and a dual
 traversal prunes node pairs by their largest possible overlap. The leaves'
 pairs are compared exactly.
@@ -33,24 +36,33 @@ def _class(n: int) -> int:
     return int(np.searchsorted(_classes, n, "right")) - 1
 
 
-def range_signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the parts of a sorted set in each range of the hash space.
+def plan(c: int, percent: int) -> tuple[int, int, int]:
+    """For sets of size class c or the one below: ranges, how many of them may
+    be empty without counting, and in how many that count two linked sets
+    agree at least.
 
     Sets a, b of Jaccard similarity t = percent / 100 or more differ in at
-    most (1 - t) / (1 + t) * (a + b) places. With more ranges than that of the
-    class's largest sizes, one range holds the same in both. Ranges empty in
-    both don't count: some are spare for those, and a set with more empty
-    ranges than spare ones also emits its empty ones, as must its partner. A
-    set near its class's upper end also emits the ranges of the next class,
-    whose members it may match.
+    most (1 - t) / (1 + t) * (a + b) places, each of which spoils one range.
+    """
+    _class(_classes[c] * 2)
+    places = (100 - percent) * 2 * (_classes[c + 1] - 1) // (100 + percent)
+    spare, agree = (places + 1) // 16, 1 + places // 4
+    return places + spare + agree, spare, agree
+
+
+def range_signatures(s: np.ndarray, percent: int) -> np.ndarray:
+    """Hashes of the parts of a sorted set in each range of the hash space;
+    the lowest byte is the size class.
+
+    Ranges empty in both sets don't count: some are spare for those, and a set
+    with more empty ranges than spare ones also emits its empty ones, as must
+    its partner. A set near its class's upper end also emits the ranges of the
+    next class, whose members it may match.
     """
     n, out = len(s), []
     k = _class(n)
-    _class(2 * n + 2)
     for c in (k, k + 1) if 100 * n >= percent * _classes[k + 1] else (k,):
-        need = (100 - percent) * 2 * (_classes[c + 1] - 1) // (100 + percent) + 1
-        spare = need // 16
-        m = need + spare
+        m, spare, _ = plan(c, percent)
         part = ((s >> U(32)) * U(m) >> U(32)).astype(np.int64)
         sums = np.zeros(m, U)
         np.add.at(sums, part, mix(s))
@@ -58,7 +70,8 @@ def range_signatures(s: np.ndarray, percent: int) -> np.ndarray:
         at = np.arange(m)
         if m - filled.sum() <= spare:
             at = at[filled]
-        out.append(mix(sums[at] + at.astype(U) * U(0x9E3779B97F4A7C15) + U((c + 1) * 0xD1B54A32D192ED03 & (2**64 - 1))))
+        sig = mix(sums[at] + at.astype(U) * U(0x9E3779B97F4A7C15) + U((c + 1) * 0xD1B54A32D192ED03 & (2**64 - 1)))
+        out.append(sig & U(2**64 - 256) | U(c))
     return np.concatenate(out)
 
 
@@ -179,15 +192,22 @@ def shingle_table(docs: DataFrame, id_col: str, text_col: str, n: int, percent:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sigs array<long>")
 
 
-def candidate_edges(table: DataFrame) -> DataFrame:
+def candidate_edges(table: DataFrame, percent: int) -> DataFrame:
     """(src, dst): sets (by h1) that agree in a range, each with the smallest
-    of its range. Ranges are aggregated before the shuffle; the join back may
-    be split where a range is very frequent. A set's smallest ones (no more
-    than its ranges) are joined with the least of them, which leaves the
-    components as they are and most edges equal."""
+    of its range. Of the ranges of a set that others share, the most frequent
+    ones are left out, one fewer than linked sets agree in; the order is one
+    for all sets, so linked ones still meet. Ranges are aggregated before the
+    shuffle; the join back may be split where a range is very frequent. A
+    set's smallest ones (no more than its ranges) are joined with the least of
+    them, which leaves the components as they are and most edges equal."""
     sig = table.where("n_shingles > 0").select(F.explode("sigs").alias("sig"), "h1")
-    meet = sig.groupBy("sig").agg(F.min("h1").alias("dst"), F.max("h1").alias("most")).where("dst != most").select(F.col("sig"), "dst")
-    found = sig.join(meet, "sig").where("h1 != dst").select(F.col("h1").alias("src"), "dst").distinct()
+    shared = sig.groupBy("sig").agg(F.count("*").alias("often"), F.min("h1").alias("least"), F.max("h1").alias("most")).where("least != most").select("sig", "often")
+    met = sig.join(shared, "sig").distinct()
+    agree = F.array(*[F.lit(plan(c, percent)[2]) for c in range(64)])
+    place = F.row_number().over(Window.partitionBy("h1", "class").orderBy(F.desc("often"), "sig"))
+    left = met.withColumn("class", F.col("sig").bitwiseAND(255).cast("int")).withColumn("place", place).where(F.col("place") >= agree[F.col("class")]).select("sig", "h1")
+    meet = left.groupBy("sig").agg(F.min("h1").alias("dst"), F.max("h1").alias("most")).where("dst != most").select("sig", "dst")
+    found = left.join(meet, "sig").where("h1 != dst").select(F.col("h1").alias("src"), "dst").distinct()
     least = found.withColumn("least", F.min("dst").over(Window.partitionBy("src")))
     return least.select("src", F.col("least").alias("dst")).union(least.where("dst != least").select(F.col("dst").alias("src"), F.col("least").alias("dst"))).distinct()
 
@@ -213,7 +233,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     table = written(shingle_table(docs, id_col, text_col, n, percent), "shingles")
     filled = table.where("n_shingles > 0 AND doc_id IS NOT NULL")
     sets = filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
-    cluster = connected_components(candidate_edges(table.where("doc_id IS NOT NULL"))).select(F.col("id").alias("h1"), F.col("component").alias("cluster"))
+    cluster = connected_components(candidate_edges(table.where("doc_id IS NOT NULL"), percent)).select(F.col("id").alias("h1"), F.col("component").alias("cluster"))
     members = written(sets.join(cluster, "h1"), "clusters")
     weight = members.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
     total = weight.agg(F.sum("docs").alias("d"), F.sum("shingles").alias("s")).first()
