@@ -30,4 +30,5 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
             break
     else:
         raise RuntimeError("components did not settle")
+    drop(both)
     return labels

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import connected_components
 from .hashing import U, batches, mix, shingle_sets
-from .storage import written
+from .storage import drop, written
 
 #: Documents and shingles that a block aims at.
 BLOCK_DOCS, BLOCK_SHINGLES = 8192, 8 << 20
@@ -173,8 +173,8 @@ def block_links(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], perce
     return [(int(ids[x]), int(ids[shift + y])) for x, y in found]
 
 
-def shingle_table(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, h1, h2 (128 bits of the set), sigs."""
+def shingle_table(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """doc_id, n_shingles, h1, h2 (128 bits of the set)."""
 
     def run(it):
         for b in it:
@@ -182,17 +182,32 @@ def shingle_table(docs: DataFrame, id_col: str, text_col: str, n: int, percent:
             for first, texts in batches(b.column(1)):
                 sets = shingle_sets(texts, n)
                 hashes = [set_hash(s) for s in sets]
-                sigs = [range_signatures(s, percent).view(np.int64) if len(s) else np.empty(0, np.int64) for s in sets]
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in sigs])))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([h[0] for h in hashes], pa.int64()), pa.array([h[1] for h in hashes], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sigs)))],
-                    ["doc_id", "n_shingles", "h1", "h2", "sigs"],
+                    [ids.slice(first, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([h[0] for h in hashes], pa.int64()), pa.array([h[1] for h in hashes], pa.int64())],
+                    ["doc_id", "n_shingles", "h1", "h2"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sigs array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
 
 
-def candidate_edges(table: DataFrame, percent: int) -> DataFrame:
+def range_table(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """sig, h1: the ranges of every set. They are many times what a set's own
+    row holds, so they are hashed anew from the texts rather than stored. Of
+    copies in one run of a batch one is enough."""
+
+    def run(it):
+        for b in it:
+            for _, texts in batches(b.column(0)):
+                found = {set_hash(s)[0]: s for s in shingle_sets(texts, n) if len(s)}
+                if found:
+                    sigs = [range_signatures(s, percent) for s in found.values()]
+                    h1 = np.repeat(np.fromiter(found, np.int64, len(found)), [len(x) for x in sigs])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(h1)], ["sig", "h1"])
+
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "sig long, h1 long")
+
+
+def candidate_edges(ranges: DataFrame, percent: int) -> DataFrame:
     """(src, dst): sets (by h1) that agree in a range, each with the smallest
     of its range. Of the ranges of a set that others share, the most frequent
     ones are left out, one fewer than linked sets agree in; the order is one
@@ -202,7 +217,7 @@ def candidate_edges(table: DataFrame, percent: int) -> DataFrame:
     small share of the rows. A set's smallest ones (no more than its ranges)
     are joined with the least of them, which leaves the components as they are
     and most edges equal."""
-    sig = table.where("n_shingles > 0").select(F.explode("sigs").alias("sig"), "h1").repartition("sig")
+    sig = ranges.repartition("sig")
     shared = sig.groupBy("sig").agg(F.count("*").alias("often"), F.min("h1").alias("least"), F.max("h1").alias("most")).where("least != most").select("sig", "often")
     met = sig.hint("merge").join(shared, "sig").distinct()  # ranges in common grow with the table: never broadcast them
     agree = F.array(*[F.lit(plan(c, percent)[2]) for c in range(64)])
@@ -232,10 +247,12 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     if not 70 <= percent <= 100:
         raise ValueError("similarities of 70 to 100 percent only")
-    table = written(shingle_table(docs, id_col, text_col, n, percent), "shingles")
+    table = written(shingle_table(docs, id_col, text_col, n), "shingles")
     filled = table.where("n_shingles > 0 AND doc_id IS NOT NULL")
     sets = filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
-    cluster = connected_components(candidate_edges(table.where("doc_id IS NOT NULL"), percent)).select(F.col("id").alias("h1"), F.col("component").alias("cluster"))
+    edges = candidate_edges(range_table(docs, id_col, text_col, n, percent), percent)
+    cluster = connected_components(edges).select(F.col("id").alias("h1"), F.col("component").alias("cluster"))
+    drop(edges)
     members = written(sets.join(cluster, "h1"), "clusters")
     weight = members.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
     total = weight.agg(F.sum("docs").alias("d"), F.sum("shingles").alias("s")).first()
