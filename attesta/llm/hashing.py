@@ -39,15 +39,16 @@ def _power(n: int) -> np.ndarray:
     return _powers
 
 
-def batches(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def batches(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, texts as UTF-8) in runs of about ``limit`` bytes; null: empty."""
     rows, first, size = [], 0, 0
-    for i, t in enumerate(column.cast(pa.binary()).to_pylist()):
-        rows.append(t or b"")
-        size += len(rows[-1])
-        if size >= limit:
-            yield first, rows
-            rows, first, size = [], i + 1, 0
+    for at in range(0, len(column), 256):  # never all texts as Python objects at once
+        for i, t in enumerate(column.slice(at, 256).cast(pa.binary()).to_pylist(), at):
+            rows.append(t or b"")
+            size += len(rows[-1])
+            if size >= limit:
+                yield first, rows
+                rows, first, size = [], i + 1, 0
     if rows:
         yield first, rows
 

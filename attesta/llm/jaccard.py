@@ -273,10 +273,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def links(t: pa.Table) -> pa.Table:
         # the text that made the set, where an id has several; each once
-        t = t.combine_chunks()
         ids, sides, kept, seen = [], [], [], set()
         rep, side, h1, h2 = (t.column(c).to_pylist() for c in ("rep", "side", "h1", "h2"))
-        for first, texts_ in batches(t.column("text").combine_chunks() if isinstance(t.column("text"), pa.ChunkedArray) else t.column("text")):
+        for first, texts_ in batches(t.column("text")):
             for r, s in enumerate(shingle_sets(texts_, n), first):
                 if (h1[r], h2[r]) not in seen and set_hash(s) == (h1[r], h2[r]):
                     seen.add((h1[r], h2[r]))
