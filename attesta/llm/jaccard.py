@@ -211,15 +211,15 @@ def candidate_edges(ranges: DataFrame, percent: int) -> DataFrame:
     """(src, dst): sets (by h1) that agree in a range, each with the smallest
     of its range. Of the ranges of a set that others share, the most frequent
     ones are left out, one fewer than linked sets agree in; the order is one
-    for all sets, so linked ones still meet. One shuffle by range serves the
-    counts and the join back: a range holds a set once, and a set has as many
-    ranges as its size asks for, so even one range of a third of all sets is a
-    small share of the rows. A set's smallest ones (no more than its ranges)
+    for all sets, so linked ones still meet. One shuffle by range, over
+    which a window counts: a set has as many ranges as its size asks for, so
+    even one range of a third of all sets is a small share of the rows, and a
+    window spills. A set's smallest ones (no more than its ranges)
     are joined with the least of them, which leaves the components as they are
     and most edges equal."""
-    sig = ranges.repartition("sig")
-    shared = sig.groupBy("sig").agg(F.count("*").alias("often"), F.min("h1").alias("least"), F.max("h1").alias("most")).where("least != most").select("sig", "often")
-    met = sig.hint("merge").join(shared, "sig").distinct()  # ranges in common grow with the table: never broadcast them
+    each = Window.partitionBy("sig")
+    counted = ranges.select("sig", "h1", F.count("*").over(each).alias("often"), F.min("h1").over(each).alias("least"), F.max("h1").over(each).alias("most"))
+    met = counted.where("least != most").select("sig", "h1", "often").distinct()
     agree = F.array(*[F.lit(plan(c, percent)[2]) for c in range(64)])
     place = F.row_number().over(Window.partitionBy("h1", "class").orderBy(F.desc("often"), "sig"))
     left = written(met.withColumn("class", F.col("sig").bitwiseAND(255).cast("int")).withColumn("place", place).where(F.col("place") >= agree[F.col("class")]).select("sig", "h1"), "ranges")
