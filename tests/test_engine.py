@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -29,7 +30,7 @@ def test_query(spark, db, name):
     if name in plans.ORACLES:
         want = db.sql(plans.ORACLES[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
-        rows = lambda d: sorted(str([None if v is None or v != v else float(v) if isinstance(v, (int, float, np.number)) else v for v in r]) for r in d[sorted(d.columns)].astype(object).values.tolist())
+        rows = lambda d: sorted(str([None if v is None or v is pd.NA or v != v else float(v) if isinstance(v, (int, float, np.number)) else v for v in r]) for r in d[sorted(d.columns)].astype(object).values.tolist())
         assert rows(got) == rows(want)
     else:
         assert len(got)
