@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attesta.llm import ann, jaccard, langid, line_dedup, media, mixing, packing, queries, sharding, token_counts, toxicity
+from attesta.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, size int, row string"
@@ -196,6 +197,13 @@ def test_jaccard_is_exact(spark, docs, none, n, percent, block):
         assert jaccard.similar_components(none, n=n, percent=percent).count() == 0
 
 
+@pytest.mark.parametrize("ids", [np.random.default_rng(1).permutation(1000).tolist(), [*range(100, 200), 1]], ids=["shuffled", "far end"])
+def test_components_of_chains(spark, ids):
+    edges = spark.createDataFrame([*zip(ids, ids[1:]), (5000, 5001), (6000, 6000)], "src long, dst long")
+    got = {r.id: r.component for r in connected_components(edges).collect()}
+    assert got == {**dict.fromkeys(ids, min(ids)), 5000: 5000, 5001: 5000, 6000: 6000}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
