@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
 from ..sources.shared import written
@@ -93,8 +93,12 @@ def entropy(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def representative_evidence(occurrences: DataFrame, most: int = 5) -> DataFrame:
     """Per pattern the first sources by id with their distinct evidence, as
-    ``source: e1；e2``. ``occurrences``: (pattern, source_id, seq, evidence)."""
-    per = occurrences.groupBy("pattern", "source_id").agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("seq", "evidence"))), lambda s: s["evidence"])).alias("e"))
+    ``source: e1；e2``. ``occurrences``: (pattern, source_id, seq, evidence).
+
+    Sources are ranked before anything is collected: each task keeps its own
+    first ones, so neither the shuffle nor a row grows with a pattern's sources."""
+    first = occurrences.withColumn("place", F.dense_rank().over(Window.partitionBy("pattern").orderBy("source_id"))).where(F.col("place") <= most)
+    per = first.groupBy("pattern", "source_id").agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("seq", "evidence"))), lambda s: s["evidence"])).alias("e"))
     per = per.select("pattern", F.struct("source_id", F.concat(F.col("source_id").cast("string"), F.lit(": "), F.array_join("e", "；")).alias("text")).alias("s"))
-    ranked = per.groupBy("pattern").agg(F.slice(F.sort_array(F.collect_list("s")), 1, most).alias("s"))
+    ranked = per.groupBy("pattern").agg(F.sort_array(F.collect_list("s")).alias("s"))
     return ranked.select("pattern", F.transform("s", lambda s: s["text"]).alias("evidence"))

@@ -1,6 +1,7 @@
 """Engine operators against golden values and the SQL of each query."""
 
 import os
+import re
 
 import duckdb
 import numpy as np
@@ -61,6 +62,15 @@ def test_itemsets_survive_weak_pairs(spark):
     assert max(len(r["items"]) for r in mining.frequent_itemsets(b, 20, 3).collect()) == 3
 
 
+def test_representative_evidence_ranks_first(spark):
+    rows = [(p, i, k, f"{p}{k % 2}") for p in "ab" for i in range(40, 0 if p == "a" else 37, -1) for k in range(3)] + [("a", 2, 0, "a0")]
+    df = spark.createDataFrame(rows, "pattern string, source_id long, seq int, evidence string").repartition(8)
+    got = mining.representative_evidence(df)
+    assert {r.pattern: r.evidence for r in got.collect()} == {p: [f"{i}: {p}0；{p}1" for i in ids] for p, ids in (("a", range(1, 6)), ("b", range(38, 41)))}
+    limits = re.findall(r"WindowGroupLimit .*?, (dense_rank.*?), (\d+), (Partial|Final)", got._jdf.queryExecution().executedPlan().toString())
+    assert {(n, mode) for _, n, mode in limits} == {("5", "Partial"), ("5", "Final")}  # tasks cut their own rows before the shuffle
+
+
 def test_json_recovery():
     assert S.recover_payload('<think>x</think>```json\n{"items": [{"a": 1},]}\n```') == '[{"a": 1}]'
     assert S.recover_payload('[{"a": 2}]') == '[{"a": 2}]'
