@@ -431,7 +431,16 @@ def uncertain_metadata(spark, d):
 
 @query(f"SELECT 0::BIGINT AS errors, count(*) AS warnings, CASE WHEN count(*) > 0 THEN 'exploratory_ready' ELSE 'formal_ready' END AS overall FROM ({UNC})")
 def overall_readiness(spark, d):
-    return validate.readiness(uncertain(spark, d).withColumn("severity", F.lit("warning")))
+    """All errors, and the warnings that the SQL counts: uncertain metadata, and
+    a small sample, which no table at hand is."""
+    docs = t(spark, d, "documents")
+    found = validate.union(
+        validate.source_findings(docs, "doc_id", ["text"], uncertain(spark, d)),
+        validate.fewer_than(extracted(spark, d), 1, "error", "no_observations"),
+        validate.sample_findings(docs),
+        validate.rule_errors(rules(spark)),
+    )
+    return validate.readiness(found)
 
 
 # --- network ---

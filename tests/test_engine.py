@@ -10,7 +10,7 @@ import pytest
 
 import __spark_entry__
 from attesta.functions import scalars as S
-from attesta.operators import chunks, membership, mining
+from attesta.operators import chunks, membership, mining, validate
 from attesta.plans import queries as plans
 from attesta.sources import tables
 
@@ -71,6 +71,36 @@ def test_representative_evidence_ranks_first(spark):
     assert {(n, mode) for _, n, mode in limits} == {("5", "Partial"), ("5", "Final")}  # tasks cut their own rows before the shuffle
 
 
+def test_readiness_counts_errors(spark, tmp_path):
+    full = [(i, "the text and more", "en", "s1") for i in range(40)]
+    schema = "doc_id long, text string, lang string, source string"
+    cases = {
+        "formal": (full, (0, 0, "formal_ready")),
+        "bad": ([*full, (1, "the text again", "en", "s1"), (50, None, "en", "s1"), (51, "", "de", "s1")], (3, 1, "not_ready")),
+        "small": (full[:29], (0, 1, "exploratory_ready")),
+        "none": ([], (2, 1, "not_ready")),
+    }
+    for name, (rows, want) in cases.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        assert tuple(plans.overall_readiness(spark, f"{tmp_path}/{name}").first()) == want
+
+
+def test_other_findings(spark):
+    codes = lambda df: sorted((r.item, r.severity, r.code) for r in df.collect())
+    obs = "observation_id long, mapping_status string, extraction_confidence double"
+    o = spark.createDataFrame([(i, "mapped" if i < 60 else "unmapped", 0.9 if i < 95 else 0.8) for i in range(100)], obs)
+    got = codes(validate.coverage_findings(o, o.where("observation_id < 69"), ["observation_id"]))
+    assert got == sorted([("membership", "warning", "low_membership_coverage"), *[(str(i), "warning", "high_confidence_unmapped_observation") for i in range(60, 80)]])
+    assert codes(validate.coverage_findings(o.where("observation_id < 10"), o.where("observation_id < 7"), ["observation_id"])) == []
+    assert codes(validate.coverage_findings(o.where("false"), o, ["observation_id"])) == [("all", "error", "no_observations")]
+    rules = spark.createDataFrame([("R1", "c", "active_rule", [1]), ("R2", "c", "draft", []), ("R3", "", None, None)], "rule_id string, consequent_entity string, review_status string, antecedents array<int>")
+    assert codes(validate.rule_errors(rules)) == [("R2", "error", "rule_without_antecedents"), ("R3", "error", "rule_without_antecedents"), ("R3", "error", "rule_without_consequent")]
+    assert codes(validate.rule_errors(rules.where("false"))) == [("all", "error", "no_rules")]
+    assert codes(validate.inactive_rules(rules)) == [("R2", "warning", "inactive_rule_status"), ("R3", "warning", "inactive_rule_status")]
+    gold = spark.createDataFrame([("FCR", "needs_gold_standard"), ("CRP", "ok")], "metric string, status string")
+    assert codes(validate.gold_findings(gold)) == [("FCR", "warning", "missing_gold_standard")]
+
+
 def test_json_recovery():
     assert S.recover_payload('<think>x</think>```json\n{"items": [{"a": 1},]}\n```') == '[{"a": 1}]'
     assert S.recover_payload('[{"a": 2}]') == '[{"a": 2}]'
