@@ -187,7 +187,7 @@ def shingle_table(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFr
                     ["doc_id", "n_shingles", "h1", "h2"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
 
 
 def range_table(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
@@ -238,7 +238,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Two link when 100 * intersection >= percent * union. Null and empty texts
     have no set and link with nothing. Rows that repeat an id are one document
     in the graph that links by any of its texts. Null ids have no place in it:
-    their component_id is null.
+    their component_id is null. Other columns of any name go; an empty table
+    gives no rows. Texts count as a whole, however long: a task holds those of
+    two parts of a block.
 
     Every link is found (shingles are compared by 64 bits of hash); equal sets
     are one node. A cluster of candidates beyond a block is cut into bands of
@@ -288,4 +290,5 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     linked = rows.groupBy("big", "block", "band", "i", "j").applyInArrow(links, "src long, dst long")
     repeated = filled.join(sets, ["h1", "h2"]).select("doc_id", F.col("rep").alias("src")).where("doc_id != src").select(F.col("doc_id").alias("src"), F.col("src").alias("dst"))
     comp = connected_components(linked.union(repeated))
+    drop(members)
     return table.select("doc_id", "n_shingles").join(comp, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -9,16 +9,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .hashing import _LOWER, _PUNCT, batches
+from .storage import free_names
 
-#: Feature space of the byte n-grams; rows of each language that the fit reads.
-BITS, FIT_ROWS = 14, 2000
+#: Feature space of the byte n-grams; rows of each language that the fit reads,
+#: of which one in TRUST measures the bits instead of teaching them.
+BITS, FIT_ROWS, TRUST = 14, 2000, 5
+ADDED = ("lang_pred", "lang_score", "lang_ambiguous")
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed byte 2- and 3-grams of all texts, in order, and where each text's
     start (with the end). ASCII letters are lowered; ASCII digits and marks
     count as one blank; a blank stands before and after each text."""
-    a = _LOWER[np.frombuffer(b"  " + b"   ".join(texts) + b"  ", np.uint8)].astype(np.uint32)
+    a = _LOWER[np.frombuffer(b"  " + b"   ".join(texts) + b"   ", np.uint8)].astype(np.uint32)
     blank = _PUNCT.copy()
     blank[48:58] = True
     a[blank[a]] = 32
@@ -79,7 +82,9 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
 
     Tasks count n-grams per language; the sums make, for every bit of the
     code, a classifier of the log odds of n-grams between the languages on
-    either side, and the rate of sampled texts that it gets right is its trust.
+    either side. One in TRUST of the sampled texts is kept from that: the rate
+    of these that a bit gets right, (right + 1) / (texts + 2), is its trust.
+    Nothing of the kind usable: a model without languages.
     """
     spark = docs.sparkSession
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.coalesce(usable, F.lit(False)))
@@ -89,7 +94,8 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
         return Model([], np.ones((0, 1)), np.zeros((1, 1 << BITS)), np.ones(1))
     share = F.create_map(*[x for k, v in count.items() for x in (F.lit(k), F.lit(min(1.0, fit_rows / v)))])
     draw = F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(1 << 20)) / float(1 << 20)
-    sample = known.where(draw < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text"))
+    kept_back = F.pmod(F.xxhash64(F.lit("trust"), id_col), F.lit(TRUST)) == 0
+    sample = known.where(draw < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text"), F.coalesce(kept_back, F.lit(False)).alias("back"))
 
     def counts(it):
         sums: dict[str, np.ndarray] = {}
@@ -106,18 +112,17 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(c[at])], ["lang", "gram", "n"])
 
     table = np.zeros((len(langs), 1 << BITS))
-    total = sample.mapInArrow(counts, "lang string, gram long, n long").groupBy("lang").agg(F.collect_list(F.struct("gram", "n")).alias("c"))
+    total = sample.where("NOT back").mapInArrow(counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     where = {k: i for i, k in enumerate(langs)}
-    for r in total.toLocalIterator():  # 2**BITS sums a language and task at most
-        at = np.array(r["c"])
-        np.add.at(table[where[r["lang"]]], at[:, 0], at[:, 1])
+    for b in total.toArrow().to_batches():  # 2**BITS sums a language at most
+        table[[where[x] for x in b.column("lang").to_pylist()], b.column("gram").to_numpy()] = b.column("n").to_numpy()
     freq = table / np.maximum(table.sum(1, keepdims=True), 1)
     code = codewords(len(langs))
     floor = 0.5 / max(1.0, table.sum() / len(langs))
     weights = np.stack([np.log((freq[col > 0].mean(0) if (col > 0).any() else 0) + floor) - np.log((freq[col < 0].mean(0) if (col < 0).any() else np.zeros(1 << BITS)) + floor) for col in code.T])
     model = Model(langs, code, weights, np.ones(code.shape[1]))
     if len(langs) > 1:
-        model.trust = _trust(sample, model, spark)
+        model.trust = _trust(sample.where("back"), model, spark)
     else:
         model.weights = np.zeros_like(weights)
     return model
@@ -139,25 +144,28 @@ def _trust(sample: DataFrame, model: Model, spark) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(ok))), pa.array(ok), pa.array([len(texts)] * len(ok))], ["bit", "ok", "n"])
 
     rate = np.full(model.code.shape[1], 0.5)
-    for r in sample.mapInArrow(right, "bit long, ok long, n long").groupBy("bit").agg((F.sum("ok") / F.sum("n")).alias("rate")).collect():
+    for r in sample.mapInArrow(right, "bit long, ok long, n long").groupBy("bit").agg(((F.sum("ok") + 1) / (F.sum("n") + 2)).alias("rate")).collect():
         rate[r["bit"]] = r["rate"]
-    return np.maximum(rate, 1e-3)
+    return rate
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, sure: float = 0.6) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with lang_pred, lang_score (0 to 1) and lang_ambiguous.
+    """``docs`` (or its columns ``keep``) with lang_pred, lang_score (0 to 1)
+    and lang_ambiguous, or, where these names are taken, with what
+    ``free_names`` makes of them; the columns kept stay as they are.
 
     Null texts and those without a letter are ``und`` with score 0, and so is
     everything without learned languages. A prediction is ambiguous if its
-    share among all languages is below ``sure``. Columns of these names give
-    way. Each text counts as a whole. No shuffle.
+    share among all languages is below ``sure``. Rows that repeat an id are
+    rows like others; an empty table gives an empty one. Each text counts as a
+    whole, however long. No shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    added = {"lang_pred": pa.string(), "lang_score": pa.float64(), "lang_ambiguous": pa.bool_()}
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in added]
+    kept = docs.columns if keep is None else keep
+    added = list(free_names(kept, ADDED).values())
     schema = docs.select(*[f"`{c}`" for c in kept]).schema
     at, text_at = len(kept), kept.index(text_col) if text_col in kept else len(kept) + 1
-    for n, t in (("lang_pred", "string"), ("lang_score", "double"), ("lang_ambiguous", "boolean")):
+    for n, t in zip(added, ("string", "double", "boolean")):
         schema = schema.add(n, t)
 
     def run(it):

@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .storage import new_path, written
 
-#: Samples to a row of the image; what payloads are padded to.
-WIDTH = 64
+#: Samples to a row of the image; what payloads are padded to. Bytes after which
+#: a task starts another shard.
+WIDTH, SHARD_BYTES = 64, 256 << 20
 #: Signature of the format and length of signature, first chunk and its checksum (fixed values).
 SIGNATURE, HEADER = b"\x89PNG\r\n\x1a\n", 33
 
@@ -63,12 +64,18 @@ def payload_column(text: str = "text"):
     return F.rpad(raw, size, F.lit(b"\0"))
 
 
-def store(payloads: DataFrame, folder: str | None = None) -> DataFrame:
+def _open(uri: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system and path for a URI as Spark writes it."""
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1).replace("s3n://", "s3://", 1))
+
+
+def store(payloads: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write the payloads (column payload) as images into tar files in
     ``folder``; return (digest, shard, offset, length, media_sha256), one row
     per digest.
 
-    Each task writes one shard and in it each payload once; the index names
+    Each task writes shards of about ``shard_bytes`` (a payload is never
+    divided) and in them each payload once; the index names
     one place of each digest, so of a third of all rows that are equal one
     copy per task is stored and one is ever read. No payload is shuffled. A
     shard is written under a new name and moved when whole; the index, a table
@@ -76,20 +83,29 @@ def store(payloads: DataFrame, folder: str | None = None) -> DataFrame:
     leaves at most a file nobody refers to.
     """
     folder = folder or new_path(payloads.sparkSession, "media")
-    fs.FileSystem.from_uri(folder)  # fails early for a store that can't be written by range
+    _open(folder)  # fails early for a store that can't be written by range
 
     def write(it):
-        files, name, seen = None, uuid.uuid4().hex, set()
-        out, at = [[], [], [], []], 0
+        seen, name, out = set(), None, []
+
+        def close():
+            sink.write(b"\0" * 1024)
+            sink.close()
+            files.move(f"{base}/_{name}", f"{base}/{name}.tar")
+            digest, at, length, sha = zip(*out)
+            return pa.RecordBatch.from_arrays([pa.array(digest), pa.array([f"{folder}/{name}.tar"] * len(out)), pa.array(at, pa.int64()), pa.array(length, pa.int64()), pa.array(sha)], ["digest", "shard", "offset", "length", "media_sha256"])
+
         for b in it:
-            for payload in b.column(0).to_pylist():
+            for payload in b.column(0):
+                payload = payload.as_py()
                 digest = hashlib.sha256(payload).digest()
                 if digest in seen:
                     continue
                 seen.add(digest)
-                if files is None:
-                    files, base = fs.FileSystem.from_uri(folder)
+                if name is None:
+                    files, base = _open(folder)
                     files.create_dir(base)
+                    name, at, out = uuid.uuid4().hex, 0, []
                     sink = files.open_output_stream(f"{base}/_{name}")
                 image = to_image(payload)
                 info = tarfile.TarInfo(f"{digest.hex()}.png")
@@ -97,14 +113,13 @@ def store(payloads: DataFrame, folder: str | None = None) -> DataFrame:
                 head = info.tobuf()
                 body = image + b"\0" * (-len(image) % 512)
                 sink.write(head + body)
-                for to, x in zip(out, (digest.hex(), at + len(head), len(image), hashlib.sha256(image).hexdigest())):
-                    to.append(x)
+                out.append((digest.hex(), at + len(head), len(image), hashlib.sha256(image).hexdigest()))
                 at += len(head) + len(body)
-        if files is not None:
-            sink.write(b"\0" * 1024)
-            sink.close()
-            files.move(f"{base}/_{name}", f"{base}/{name}.tar")
-            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array([f"{folder}/{name}.tar"] * len(out[0])), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3])], ["digest", "shard", "offset", "length", "media_sha256"])
+                if at >= shard_bytes:
+                    yield close()
+                    name = None
+        if name is not None:
+            yield close()
 
     done = written(payloads.select("payload").mapInArrow(write, "digest string, shard string, offset long, length long, media_sha256 string"), "media-index")
     return done.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length", "media_sha256")).alias("at")).select("digest", "at.*")
@@ -120,7 +135,7 @@ def ranges(index: DataFrame, read, schema: str) -> DataFrame:
             rows = b.to_pylist()
             for shard in dict.fromkeys(r["shard"] for r in rows):
                 if shard not in opened:
-                    files, path = fs.FileSystem.from_uri(shard)
+                    files, path = _open(shard)
                     opened = {shard: files.open_input_file(path)}
                 own = [r for r in rows if r["shard"] == shard]
                 for first in range(0, len(own), 256):
@@ -168,8 +183,9 @@ def contents(index: DataFrame) -> DataFrame:
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
     """doc_id, n_bytes, digest, shard, offset, length and what ``contents``
     finds, one row per row of ``docs``. Null texts are empty ones; null and
-    repeated ids are rows like others; equal texts share one object. Empty
-    table: no rows."""
+    repeated ids are rows like others; equal texts share one object; other
+    columns of any name go. A payload of any length is one object, held as a
+    whole by one task. Empty table: no rows."""
     paid = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)).cast("long").alias("n_bytes"), payload_column(text_col).alias("payload"))
     stored = contents(store(paid.select("payload"), folder))
     return paid.select("doc_id", "n_bytes", F.sha2("payload", 256).alias("digest")).join(stored, "digest")

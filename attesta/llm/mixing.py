@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Key ranges into which each source is cut, so that no task sorts a whole one.
+from .storage import free_names
+
+#: Key ranges into which each source is cut at least, so that no task sorts a whole one.
 RANGES = 1024
 
 
@@ -43,9 +45,10 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: floa
     return w.select("source", "source_size", F.when(F.col("cap") == 0, 0.0).otherwise(F.least("cap", share)).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", ratings: DataFrame | None = None, unrated: float = 1.0, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: str = "mix", ranges: int = RANGES) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", ratings: DataFrame | None = None, unrated: float = 1.0, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: str = "mix", ranges: int | None = None) -> DataFrame:
     """``docs`` with size (words), source_size, target, times (how often the
-    mix takes the document) and taken (words).
+    mix takes the document) and taken (words), or, where ``docs`` has such
+    names, with what ``free_names`` makes of them; its own columns stay.
 
     Each document draws the exponential key ``-ln(u) / quality``; within its
     source, smaller keys come first. A target of e whole epochs and a rest
@@ -56,33 +59,37 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Null ids share one draw, null texts have size 0, null is a source of its
     own. Rows that repeat an id are documents of their own, of equal key,
-    ordered by size. An empty table gives an empty one.
+    ordered by size. An empty table gives an empty one. Words of a text of any
+    length are counted as a whole.
 
-    A source is cut into ``ranges`` key ranges; sums of ranges, then sums
-    inside each, make the running sum, so no task holds a whole source. The
-    texts are not shuffled.
+    A source is cut into ``ranges`` key ranges (by default RANGES, or one for
+    every 100,000 rows of the table if those are more); sums of ranges, then
+    sums inside each, make the running sum, so no task holds a whole source.
+    The texts are not shuffled unless the result is asked for them.
     """
-    added = ("size", "source_size", "target", "times", "taken")
-    kept = [c for c in docs.columns if c not in added]
-    d = docs.select(*[F.col(f"`{c}`").alias(c) for c in kept], n_words(F.col(text_col)).alias("__size"), uniform(F.col(id_col), seed).alias("__u"))
+    ranges = ranges or max(RANGES, docs.count() // 100_000)
+    name = free_names(docs.columns, ("size", "source_size", "target", "times", "taken"))
+    kept = {f"__c{i}": c for i, c in enumerate(docs.columns)}  # flat, so that columns nobody asks for don't travel
+    d = docs.select(*[F.col(f"`{c}`").alias(k) for k, c in kept.items()], F.col(f"`{id_col}`").alias("__id"), F.col(f"`{source_col}`").alias("__source"), n_words(F.col(f"`{text_col}`")).alias("__size"), uniform(F.col(f"`{id_col}`"), seed).alias("__u"))
     quality = F.lit(float(unrated))
     if ratings is not None:  # after the count, so that texts nobody asks for don't travel
         best = ratings.where("id IS NOT NULL AND quality > 0").groupBy(F.col("id").alias("__r_id")).agg(F.max("quality").cast("double").alias("__quality"))
-        d = d.join(best, F.col(id_col) == F.col("__r_id"), "left")
+        d = d.join(best, F.col("__id") == F.col("__r_id"), "left")
         quality = F.coalesce(F.col("__quality"), quality)
     d = d.withColumn("__key", -F.log(F.col("__u")) / quality)
     d = d.withColumn("__range", F.least(F.lit(ranges - 1), F.floor((1 - F.exp(-F.col("__key"))) * ranges)).cast("int"))
-    parts = d.groupBy(F.col(source_col).alias("source"), F.col("__range").alias("range")).agg(F.sum("__size").alias("part"))
+    parts = d.groupBy(F.col("__source").alias("source"), F.col("__range").alias("range")).agg(F.sum("__size").alias("part"))
     sums = parts.groupBy("source").agg(F.sum("part").alias("source_size"))
     goal = targets(sums, weights, most)
     ahead = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     plan = parts.withColumn("ahead", F.coalesce(F.sum("part").over(ahead), F.lit(0)))
     plan = plan.join(goal, plan["source"].eqNullSafe(goal["source"])).select(plan["source"].alias("__p_source"), F.col("range").alias("__p_range"), F.col("ahead").alias("__ahead"), F.col("source_size").alias("__total"), F.col("target").alias("__target"))
-    inside = Window.partitionBy(source_col, "__range").orderBy("__key", id_col, "__size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("__source", "__range").orderBy("__key", "__id", "__size").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("__within", F.coalesce(F.sum("__size").over(inside), F.lit(0)))
-    d = d.join(plan, F.col(source_col).eqNullSafe(F.col("__p_source")) & (F.col("__range") == F.col("__p_range")))
+    d = d.join(plan, F.col("__source").eqNullSafe(F.col("__p_source")) & (F.col("__range") == F.col("__p_range")))
     size, total, target = F.col("__size"), F.col("__total"), F.col("__target")
     epochs = F.floor(target / total)
     once = F.col("__ahead") + F.col("__within") + size / 2.0 <= target - epochs * total
     times = F.when(size > 0, epochs + F.when(once, 1).otherwise(0)).otherwise(0)
-    return d.select(*kept, size.alias("size"), total.alias("source_size"), target.alias("target"), times.cast("int").alias("times"), (size * times).cast("long").alias("taken"))
+    out = {"size": size, "source_size": total, "target": target, "times": times.cast("int"), "taken": (size * times).cast("long")}
+    return d.select(*[F.col(k).alias(c) for k, c in kept.items()], *[x.alias(name[k]) for k, x in out.items()])

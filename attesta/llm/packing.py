@@ -25,7 +25,9 @@ def decompose(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
 
     A document is its token ids and then ``end_id``; a null text is empty, so
     it is that id alone. Null ids and rows that repeat an id are documents of
-    their own. No shuffle.
+    their own; other columns of any name go. Empty table: no rows. Ids come
+    from the tokenizer; long texts are encoded in runs and their pieces go out
+    in batches. No shuffle.
     """
     if most < 1 or most & (most - 1):
         raise ValueError("the longest piece must be a power of two")
@@ -36,7 +38,8 @@ def decompose(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
         for b in it:
             rows: list[tuple] = []
             size = 0
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for i, text in zip(b.column(0).to_pylist(), b.column(1)):
+                text = text.as_py()
                 raw = (enc.ids(text).tobytes() if text else b"") + end
                 n, at = len(raw) // 4, 0
                 for k in binary_pieces(n, most):

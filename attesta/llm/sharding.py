@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .storage import written
+from .storage import drop, free_names, written
 
-#: Coordinates are whole numbers of so many bits; a histogram resolves DIGIT of
-#: them; a cut may miss by this share of a shard.
-BITS, DIGIT, MISS = 30, 10, 0.0005
+#: A point's key in a dimension: COORD bits of its coordinate, GROUP bits of its
+#: group's hash. A histogram resolves DIGIT bits of the rest; a cut may miss by
+#: this share of a shard.
+COORD, GROUP, DIGIT, MISS = 22, 40, 16, 0.0005
+BITS = COORD + GROUP
+
+
+def text_number(text: Column) -> Column:
+    """Short texts as numbers in the order of their first six bytes."""
+    return F.conv(F.rpad(F.hex(F.substring(text.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
 
 
 def gapless(df: DataFrame, group: str, order: list[str], name: str, parts: int = 256) -> DataFrame:
@@ -21,62 +28,60 @@ def gapless(df: DataFrame, group: str, order: list[str], name: str, parts: int =
     n = n.withColumn("__first", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     rank = F.row_number().over(Window.partitionBy(group, "__part").orderBy(*order)) - 1
     d = d.withColumn("__rank", rank)
-    return d.join(F.broadcast(n), (F.col(group) == F.col("__of")) & (F.col("__part") == F.col("__p"))).withColumn(name, (F.col("__first") + F.col("__rank")).cast("long")).drop("__of", "__p", "__part", "__first", "__rank")
-
-
-def _small(spark: SparkSession, names: str, rows: list[tuple]) -> DataFrame:
-    """A table of whole numbers as SQL literals, of one row per node."""
-    values = ", ".join("(" + ", ".join(f"{int(x)}L" for x in r) + ")" for r in rows)
-    return F.broadcast(spark.sql(f"SELECT * FROM VALUES {values} AS t({names})"))
-
-
-def _point(dim: Column) -> list[Column]:
-    """The three coordinates by which a node's points are ordered: its
-    dimension, then the hash of the group, then their own hash."""
-    return [F.element_at("x", (dim + 1).cast("int")), F.col("g"), F.col("own")]
-
-
-def _cuts(points: DataFrame, nodes: dict[int, dict], target: float) -> dict[int, tuple[int, int, int]]:
-    """For each node the point (in the order of ``_point``) with ``need`` of
-    its weight before it, by histograms of weight, each finer around the cut,
-    for all nodes at once. The hashes only matter among points equal in what
-    comes before. 2**DIGIT sums per node reach the driver."""
-    spark = points.sparkSession
-    state = {k: {"key": [0, 0, 0], "stage": 0, "shift": BITS - DIGIT, "need": v["need"]} for k, v in nodes.items()}
+    return d.join(n, (F.col(group) == F.col("__of")) & (F.col("__part") == F.col("__p"))).withColumn(name, (F.col("__first") + F.col("__rank")).cast("long")).drop("__of", "__p", "__part", "__first", "__rank")
+
+
+def _with_nodes(points: DataFrame, names: list[str], nodes: dict[int, tuple]) -> DataFrame:
+    """``points`` of these nodes with the nodes' numbers as columns: SQL
+    literals, one row a node."""
+    literal = lambda x: F.lit(float(x) if isinstance(x, float) else int(x)).cast("double" if isinstance(x, float) else "long")
+    if len(nodes) == 1:
+        ((node, row),) = nodes.items()
+        return points.where(F.col("__node") == node).withColumns({n: literal(x) for n, x in zip(names, row)})
+    text = lambda x: f"{x!r}D" if isinstance(x, float) else f"{int(x)}L"
+    values = ", ".join("(" + ", ".join(map(text, (k, *row))) + ")" for k, row in nodes.items())
+    return points.join(F.broadcast(points.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(__node, {', '.join(names)})")), "__node")
+
+
+def _cuts(points: DataFrame, nodes: dict[int, dict], target: float) -> dict[int, tuple[int, int]]:
+    """For each node the (key, own hash) with ``need`` of its bytes before it:
+    its distributed weighted median, if it stands for an even number of shards.
+    A pass sums bytes by the next digit of all nodes' points at once and finds
+    the digit where a node's running sum meets its need; only that comes to the
+    driver, one row a node. Passes end for a node when the digit is light; the
+    own hash only matters where one group's bytes ask for a cut."""
+    state = {k: {"key": [0, 0], "stage": 0, "shift": BITS - DIGIT, "need": float(v["need"])} for k, v in nodes.items()}
     busy = set(state)
     while busy:
-        rows = [(k, nodes[k]["dim"], state[k]["stage"], state[k]["shift"], *state[k]["key"]) for k in busy]
-        now = _small(spark, "node, dim, stage, shift, k0, k1, k2", rows)
-        c, key, stage = _point(F.col("dim")), [F.col(f"k{i}") for i in range(3)], F.col("stage")
-        here = F.when(stage == 0, c[0]).when(stage == 1, c[1]).otherwise(c[2])
-        low = F.when(stage == 0, key[0]).when(stage == 1, key[1]).otherwise(key[2])
-        digit = F.expr("shiftright(here - low, int(shift))")
-        same = ((stage < 1) | (c[0] == key[0])) & ((stage < 2) | (c[1] == key[1]))
-        got = points.join(now, "node").where(same).withColumns({"here": here, "low": low}).withColumn("digit", digit).where((F.col("digit") >= 0) & (F.col("digit") < 1 << DIGIT)).groupBy("node", "digit").agg(F.sum("size").alias("w")).collect()
-        sums: dict[int, dict[int, int]] = {k: {} for k in busy}
-        for r in got:
-            sums[r["node"]][r["digit"]] = r["w"]
-        for k, w in sums.items():
-            s, before, at = state[k], 0, 0
-            for at in sorted(w):
-                if before + w[at] >= s["need"]:
-                    break
-                before += w[at]
-            s["need"] -= before
-            width, i = 1 << s["shift"], s["stage"]
-            s["key"][i] += at * width
-            if w.get(at, 0) <= MISS * target or (i == 2 and width == 1):
-                s["key"][i] += width * (s["need"] > w.get(at, 0) / 2)
+        now = {k: (nodes[k]["dim"], state[k]["stage"], state[k]["shift"], *state[k]["key"], state[k]["need"]) for k in busy}
+        d = _with_nodes(points, ["dim", "stage", "shift", "k0", "k1", "need"], now)
+        key, late = F.element_at("__x", (F.col("dim") + 1).cast("int")), F.col("stage") == 1
+        d = d.where(~late | (key == F.col("k0"))).withColumn("rest", F.when(late, F.col("__own") - F.col("k1")).otherwise(key - F.col("k0")))
+        d = d.withColumn("digit", F.expr("shiftright(rest, int(shift))")).where((F.col("digit") >= 0) & (F.col("digit") < 1 << DIGIT))
+        sums = d.groupBy("__node", "need", "digit").agg(F.sum("__size").alias("w"))
+        sums = sums.withColumn("upto", F.sum("w").over(Window.partitionBy("__node").orderBy("digit")))
+        met = {r["__node"]: r["m"] for r in sums.where("upto >= need").groupBy("__node").agg(F.min(F.struct("digit", "w", "upto")).alias("m")).collect()}
+        for k in list(busy):
+            s, m = state[k], met.get(k)
+            if m is None:  # no bytes left to cut
                 busy.discard(k)
-            elif width > 1:
-                s["shift"] -= DIGIT
+                continue
+            s["need"] -= m["upto"] - m["w"]
+            s["key"][s["stage"]] += m["digit"] << s["shift"]
+            if m["w"] <= MISS * target or (s["stage"] == 1 and s["shift"] == 0):
+                s["key"][s["stage"]] += (1 << s["shift"]) * (s["need"] > m["w"] / 2)
+                busy.discard(k)
+            elif s["shift"]:
+                s["shift"] = max(0, s["shift"] - DIGIT)
             else:
-                s["stage"], s["shift"] = i + 1, BITS - DIGIT
+                s["stage"], s["shift"] = 1, BITS - DIGIT
     return {k: tuple(s["key"]) for k, s in state.items()}
 
 
 def kd_shards(rows: DataFrame, dims: list[Column], size: Column, group: Column, own: Column, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
-    """``rows`` with ``shard`` (from 0) and ``slot`` (gapless from 0 in it).
+    """``rows`` with ``shard`` (from 0) and ``slot`` (gapless from 0 in it), or,
+    where ``rows`` has such names, with what ``free_names`` makes of them; its
+    own columns stay.
 
     A node that stands for n shards is cut so that n // 2 of n parts of its
     bytes lie left of the cut, along the dimension in which its points are
@@ -85,44 +90,48 @@ def kd_shards(rows: DataFrame, dims: list[Column], size: Column, group: Column,
     they are as many as bring them to ``target_bytes``. ``dims``: numbers (null
     counts as the least). ``group`` and ``own``: 64-bit hashes; points equal in
     the dimension stay together by group, and a group is only cut where the
-    bytes ask for it.
+    bytes ask for it. Rows equal in all of these are told apart by nothing and
+    stay together. Null sizes count as 0. Empty table: no rows.
+
+    A cut misses by MISS of a shard or half a row's bytes, whichever is more
+    (rows aren't divided), and its children halve that; so a shard is at most
+    the largest row plus twice that share away from the mean.
 
-    Each level is a few aggregations of the slim table (no texts) to BINS sums
-    a node; what is broadcast is one row per node. Empty table: no rows. Null
-    sizes count as 0.
+    Each level is a few aggregations over a slim table (no texts) in the
+    shared folder, which holds the points' nodes and is replaced by the next
+    level's; what is broadcast is one row per node.
     """
-    spark = rows.sparkSession
-    raw = [f"__d{i}" for i in range(len(dims))]
-    p = rows.withColumns({n: F.coalesce(d.cast("double"), F.lit(float("-inf"))) for n, d in zip(raw, dims)})
-    p = p.withColumns({"__size": F.coalesce(size, F.lit(0)).cast("long"), "__g": F.shiftrightunsigned(group, 64 - BITS), "__own": F.shiftrightunsigned(own, 64 - BITS)})
-    finite = [F.when(F.col(n) > float("-inf"), F.col(n)) for n in raw]
+    name = free_names(rows.columns, ("shard", "slot"))
+    kept = {f"__c{i}": c for i, c in enumerate(rows.columns)}
+    raw = {f"__d{i}": F.coalesce(d.cast("double"), F.lit(float("-inf"))) for i, d in enumerate(dims)}
+    p = rows.select(*[F.col(f"`{c}`").alias(k) for k, c in kept.items()], *[d.alias(k) for k, d in raw.items()], F.coalesce(size, F.lit(0)).cast("long").alias("__size"), F.shiftrightunsigned(group, 64 - GROUP).alias("__g"), F.shiftrightunsigned(own, 64 - BITS).alias("__own"))
+    finite = [F.when(F.abs(F.col(k)) < float("inf"), F.col(k)) for k in raw]
     facts = p.agg(F.sum("__size").alias("all"), *[F.min(x).alias(f"l{i}") for i, x in enumerate(finite)], *[F.max(x).alias(f"h{i}") for i, x in enumerate(finite)]).first()
-    total = facts["all"] or 0
-    n = shards or max(1, -(-total // (target_bytes or 1 << 30)))
-    steps = (1 << BITS) - 1
-    scaled = []
-    for i, c in enumerate(raw):
+    n = shards or max(1, -(-(facts["all"] or 0) // (target_bytes or 1 << 30)))
+    target = (facts["all"] or 0) / n
+    keys = []
+    for i, x in enumerate(finite):
         lo, hi = facts[f"l{i}"] or 0.0, facts[f"h{i}"] or 0.0
-        scaled.append(F.when(F.col(c) > float("-inf"), F.floor((F.col(c) - lo) / ((hi - lo) or 1.0) * steps)).otherwise(0).cast("long"))
-    keep = rows.columns
-    slim = written(p.select(*keep, F.array(*scaled).alias("__x"), "__size", "__g", "__own"), "points")
-    view, count = slim.withColumn("__node", F.lit(0).cast("long")), {0: n}
+        at = F.coalesce(F.floor((x - lo) / ((hi - lo) or 1.0) * ((1 << COORD) - 1)).cast("long"), F.lit(0).cast("long"))
+        keys.append(F.shiftleft(at, GROUP).bitwiseOR(F.col("__g")))
+    points = written(p.select(F.lit(0).cast("long").alias("__node"), *kept, F.array(*keys).alias("__x"), "__size", "__own"), "points")
+    count = {0: n}
     while any(v > 1 for v in count.values()):
-        pts = view.select(F.col("__node").alias("node"), F.col("__x").alias("x"), F.col("__size").alias("size"), F.col("__g").alias("g"), F.col("__own").alias("own"))
-        wide = [F.max(F.col("x")[i]) - F.min(F.col("x")[i]) for i in range(len(dims))]
-        got = pts.where(F.col("node").isin([k for k, v in count.items() if v > 1])).groupBy("node").agg(F.sum("size").alias("w"), F.array(*wide).alias("wide")).collect()
-        nodes = {r["node"]: {"dim": r["wide"].index(max(r["wide"])), "need": r["w"] * (count[r["node"]] // 2) / count[r["node"]]} for r in got}
-        cuts, rows_of, after = _cuts(pts, nodes, total / n), [], {}
+        coordinate = [F.shiftright(F.col("__x")[i], GROUP) for i in range(len(dims))]
+        open_nodes = F.col("__node").isin([k for k, v in count.items() if v > 1])
+        got = points.where(open_nodes).groupBy("__node").agg(F.sum("__size").alias("w"), F.array(*[F.max(x) - F.min(x) for x in coordinate]).alias("wide")).collect()
+        nodes = {r["__node"]: {"dim": r["wide"].index(max(r["wide"])), "need": r["w"] * (count[r["__node"]] // 2) / count[r["__node"]]} for r in got}
+        cuts, after, table = _cuts(points, nodes, target), {}, {}
         for k, v in count.items():
             left = len(after)
             after[left] = v // 2 if v > 1 else v
             if v > 1:
                 after[left + 1] = v - v // 2
-            rows_of.append((k, nodes.get(k, {"dim": 0})["dim"], *cuts.get(k, (1 << BITS, 0, 0)), left, left + (v > 1)))
-        table = _small(spark, "__node, dim, k0, k1, k2, __l, __r", rows_of)
-        c = [F.element_at("__x", (F.col("dim") + 1).cast("int")), F.col("__g"), F.col("__own")]
-        beyond = F.struct(*c) >= F.struct("k0", "k1", "k2")
-        view = view.join(table, "__node").withColumn("__node", F.when(beyond, F.col("__r")).otherwise(F.col("__l"))).select(*slim.columns, "__node")
-        count = after
-    out = view.select(*keep, F.col("__node").cast("int").alias("shard"), "__g", "__own")
-    return gapless(out, "shard", ["__own", "__g", *keep], "slot").drop("__g", "__own")
+            table[k] = (nodes.get(k, {"dim": 0})["dim"], *cuts.get(k, (1 << BITS, 0)), left, left + (v > 1))
+        d = _with_nodes(points, ["dim", "k0", "k1", "__l", "__r"], table)
+        beyond = F.struct(F.element_at("__x", (F.col("dim") + 1).cast("int")), F.col("__own")) >= F.struct("k0", "k1")
+        new = written(d.withColumn("__node", F.when(beyond, F.col("__r")).otherwise(F.col("__l"))).select(*points.columns), "points")
+        drop(points)
+        points, count = new, after
+    out = gapless(points.select(*kept, F.col("__node").cast("int").alias("__shard"), "__own", "__x"), "__shard", ["__own", "__x", *kept], "__slot")
+    return out.select(*[F.col(k).alias(c) for k, c in kept.items()], F.col("__shard").alias(name["shard"]), F.col("__slot").alias(name["slot"]))

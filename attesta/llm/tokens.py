@@ -1,57 +1,58 @@
-"""Token ids of public tokenizers inside tasks."""
+"""Token ids and character spans of public tokenizers inside tasks."""
 
 from __future__ import annotations
 
 import functools
 import json
+import re
+from collections.abc import Iterator
 
 import numpy as np
-import tiktoken
 from tokenizers import Tokenizer
 
-#: The usual splitting pattern of byte-level BPE (a fixed value of the format).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Up to here all versions of Unicode agree on letters and numbers.
-SETTLED = "ԯ"
-
-
-def _byte_letters() -> dict[str, int]:
-    """The printable letter that byte-level vocabularies write for each byte."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+#: Texts beyond so many characters are encoded in runs of about that many.
+RUN = 1 << 18
+#: A place where byte-level tokenizers always end a token: a line ends between letters.
+_CUT = re.compile(r"(?<=[A-Za-z]\n)(?=[A-Za-z])")
 
 
 class Encoder:
-    """Ids as ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``
-    gives them, and each id's length in bytes.
+    """Ids and spans as ``Tokenizer.from_file(path).encode(text,
+    add_special_tokens=False)`` gives them.
 
-    Texts of settled characters without special tokens go through a faster
-    engine with the same vocabulary; all others through the tokenizer itself.
-    The file must be a byte-level BPE.
+    With a byte-level tokenizer long texts are cut where a line ends between
+    two letters; no token of it crosses that, so ids and spans are the same
+    and less memory is held. Other tokenizers take every text as one.
     """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec["pre_tokenizer"] or {}
-        if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec["normalizer"]:
-            raise ValueError(f"not a plain byte-level tokenizer: {path}")
+        self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec["normalizer"]
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t["content"] for t in spec["added_tokens"]]
-        letters = _byte_letters()
-        ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
-        self.fast = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.lengths = np.zeros(1 + max([*ranks.values(), *(t["id"] for t in spec["added_tokens"])]), np.int64)
-        for t, i in ranks.items():
-            self.lengths[i] = len(t)
-        for t in spec["added_tokens"]:
-            self.lengths[t["id"]] = len(t["content"].encode())
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+
+    def runs(self, text: str) -> Iterator[tuple[int, str]]:
+        """(start, run) of a text."""
+        first = 0
+        while self.cuts and len(text) - first > RUN:
+            cut = _CUT.search(text, first + RUN)
+            if not cut:
+                break
+            yield first, text[first : cut.start()]
+            first = cut.start()
+        yield first, text[first:] if first else text
 
     def ids(self, text: str) -> np.ndarray:
-        if (text.isascii() or max(text) <= SETTLED) and not any(s in text for s in self.special):
-            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        found = [np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4") for _, run in self.runs(text)]
+        return found[0] if len(found) == 1 else np.concatenate(found)
+
+    def spans(self, text: str) -> np.ndarray:
+        """(token, 2): first character of each token and the one after its last."""
+        found = [np.array(self.tokenizer.encode(run, add_special_tokens=False).offsets, np.int64).reshape(-1, 2) + first for first, run in self.runs(text)]
+        return found[0] if len(found) == 1 else np.concatenate(found)
 
 
 @functools.lru_cache(maxsize=4)

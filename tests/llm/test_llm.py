@@ -35,7 +35,7 @@ def test_ann_recall_and_odd_vectors(spark):
     vectors = ann.valid_vectors(spark.read.parquet(f"{SF}/embeddings.parquet"))
     rows = vectors.orderBy("vec_id").collect()
     x, ids = np.array([r["vec"] for r in rows]), np.array([r["vec_id"] for r in rows])
-    got = ann.search(vectors, vectors.where("vec_id % 20 = 0"), ann.fit(vectors), 20).toPandas()
+    got = ann.search(vectors, vectors.where("vec_id % 20 = 0"), 20).toPandas()
     found = 0
     for q in ids[ids % 20 == 0]:
         s = x @ x[ids == q][0]
@@ -48,9 +48,9 @@ def test_ann_recall_and_odd_vectors(spark):
     assert found >= 0.9 * 20 * len(got.query_id.unique())
     odd = spark.createDataFrame([(0, [1.0, 0.0], 1), (1, None, 1), (2, [0.0, 0.0], 1), (3, [1.0, None], 1), (4, [float("nan"), 1.0], 1), (5, [1.0, 0.0], 1), (6, [1.0, 0.0], 1), (7, [1.0], 1), (None, [1.0, 1.0], 1)], "vec_id long, embedding array<double>, rank int")
     v = ann.valid_vectors(odd)
-    r = ann.search(v, v.where("vec_id % 20 = 0"), ann.fit(v), 20).orderBy("rank").collect()
+    r = ann.search(v, v.where("vec_id % 20 = 0"), 20).orderBy("rank").collect()
     assert [(x.vec_id, x.score) for x in r] == [(5, 1.0), (6, 1.0)]
-    assert ann.search(v.where("false"), v.where("false"), ann.fit(v.where("false"))).count() == 0
+    assert ann.search(v.where("false"), v.where("false")).count() == 0
 
 
 def test_line_dedup(docs, none):
@@ -69,7 +69,7 @@ def test_mixing_meets_targets(spark, docs, none):
         assert abs(g.taken.sum() - g.target.iloc[0]) <= g["size"].max() and (g.taken <= 3 * g["size"]).all()
     assert abs(r.groupby("source").target.first().sum() - r["size"].sum()) < 1e-3
     m = mixing.mix(docs).collect()
-    assert len(m) == len(ROWS) and {x.doc_id: x["size"] for x in m}[3] == 0
+    assert len(m) == len(ROWS) and {x.doc_id: x["size_"] for x in m}[3] == 0
     assert mixing.mix(none).count() == 0
 
 
@@ -91,10 +91,10 @@ def test_tokens_and_pieces(spark, docs, none):
 
 
 def test_boundary_rules():
-    lengths, bounds = np.array([2, 4, 3, 1]), np.array([0, 3, 10])
-    assert token_counts.attribute(lengths, bounds, "first").tolist() == [2, 2]
-    assert token_counts.attribute(lengths, bounds, "last").tolist() == [1, 3]
-    assert token_counts.attribute(lengths, bounds, "most").tolist() == [1, 3]
+    spans, bounds = np.array([[0, 2], [2, 6], [6, 9], [9, 10]]), np.array([0, 3, 10])
+    assert token_counts.attribute(spans, bounds, "first").tolist() == [2, 2]
+    assert token_counts.attribute(spans, bounds, "last").tolist() == [1, 3]
+    assert token_counts.attribute(spans, bounds, "most").tolist() == [1, 3]
 
 
 def test_shards_are_even(spark, none):
