@@ -2,30 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 #: Marks after which a chunk may end (fixed values).
-STOPS = ("。", "；", ";", ".")
+STOPS = "。；;."
+#: What a log depends on (fixed names of its manifest).
+MANIFEST = ("input_sha256", "chunk_chars", "chunk_overlap", "max_observations_per_chunk", "model_label")
 
 
-def cut_points(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+def cut_points(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
     """Spans of at most ``size`` characters, each ending at the last newline,
     else after the last stop, of its back part; the next starts ``overlap``
-    before that and always further on."""
-    at = 0
-    while True:
-        end = full = min(at + size, len(text))
-        if full < len(text):
-            back = at + min(max(200, size // 3), max(1, full - at - 1))
-            line, stop = text.rfind("\n", back, full), max(text.rfind(s, back, full) for s in STOPS)
-            end = line if line > at else stop + 1 if stop > at else full
-        yield at, end
-        if end >= len(text):
-            return
-        at = max(end - max(0, overlap), at + 1)
+    before that and always further on.
+
+    All places where a chunk may end are listed once, in order; each chunk
+    looks up the last one inside its window."""
+    lines = [m.start() for m in re.finditer("\n", text)]
+    stops = [m.end() for m in re.finditer(f"[{re.escape(STOPS)}]", text)]
+
+    def last(places: list[int], low: int, high: int) -> int | None:
+        i = bisect_right(places, high)
+        return places[i - 1] if i and places[i - 1] >= low else None
+
+    front, spans, start = max(200, size // 3), [], 0
+    while len(text) - start > size:
+        low, high = start + min(front, size - 1), start + size
+        end = last(lines, low, high - 1) or last(stops, low + 1, high) or high
+        spans.append((start, end))
+        start = max(start + 1, end - max(0, overlap))
+    return [*spans, (start, len(text))]
 
 
 def plan_chunks(sources: DataFrame, key: str = "source_id", text: str = "text", size: int = 1800, overlap: int = 80) -> DataFrame:
@@ -50,8 +59,8 @@ def plan_chunks(sources: DataFrame, key: str = "source_id", text: str = "text",
 def latest_records(log: DataFrame, key: str = "source_id") -> DataFrame:
     """The record that counts of each chunk: the latest, but no error
     supersedes a success. Aggregated before the shuffle."""
-    order = F.struct((F.col("status") == "success").alias("ok"), "seq", F.struct(*log.columns).alias("r"))
-    return log.groupBy(F.col(key).alias("__k"), F.col("chunk_index").alias("__c")).agg(F.max(order).alias("m")).select("m.r.*")
+    order = F.struct((F.col("status") == "success").alias("ok"), "seq", "chunk_sha256")
+    return log.groupBy(F.col(key).alias("__k"), F.col("chunk_index").alias("__c")).agg(F.max_by(F.struct(*log.columns), order).alias("r")).select("r.*")
 
 
 def pending_chunks(planned: DataFrame, records: DataFrame, key: str = "source_id") -> DataFrame:
@@ -70,6 +79,33 @@ def source_progress(planned: DataFrame, records: DataFrame, key: str = "source_i
     return j.select(key, "chunks", F.coalesce("ok", F.lit(0)).alias("ok"), F.coalesce("failed", F.lit(0)).alias("failed"), status.alias("status"), F.substring(F.array_join(F.transform("errs", lambda s: s["e"]), " | "), 1, 1000).alias("errors"))
 
 
+def usage(records: DataFrame, key: str = "source_id") -> DataFrame:
+    """One row per record with usage: its counts as columns."""
+    names = ("prompt_tokens", "completion_tokens", "total_tokens")
+    return records.where("size(usage) > 0").select(key, "chunk_index", "status", "attempt", "elapsed_sec", "finish_reason", *[F.coalesce(F.col("usage")[n], F.lit(0).cast("long")).alias(n) for n in names])
+
+
+def errors(records: DataFrame, key: str = "source_id") -> DataFrame:
+    """The failed records."""
+    return records.where("status <> 'success'").select(key, "chunk_index", "attempt", "error")
+
+
+def extraction_report(planned: DataFrame, records: DataFrame, key: str = "source_id") -> DataFrame:
+    """One row: sources, chunks planned, done, failed and pending, and the
+    observations of the chunks done."""
+    latest = latest_records(records, key)
+    state = planned.select(key, "chunk_index").join(latest.select(key, "chunk_index", "status", F.size("observations").alias("found")), [key, "chunk_index"], "left")
+    n = lambda c: F.count(F.when(c, 1))
+    return state.agg(F.countDistinct(key).alias("sources"), F.count("*").alias("chunks"), n(F.col("status") == "success").alias("done"), n(F.col("status") != "success").alias("failed"), n(F.col("status").isNull()).alias("pending"), F.coalesce(F.sum(F.when(F.col("status") == "success", F.greatest("found", F.lit(0)))), F.lit(0)).alias("observations"))
+
+
+def check_manifest(old: dict | None, new: dict) -> None:
+    """A log may only be resumed with the input and parameters it was begun with."""
+    changed = sorted(k for k in MANIFEST if old is not None and old.get(k) != new.get(k))
+    if changed:
+        raise ValueError(f"the log was begun with other values of: {', '.join(changed)}")
+
+
 def assemble(records: DataFrame, key: str = "source_id") -> DataFrame:
     """Observations of the successful chunks in order of chunk and row; of
     equal ones in a source the first stays."""

@@ -5,25 +5,60 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import clamp01, recover_payload_udf
+from ..sources.shared import written
 
-#: Features an extracted row may name; all others become ``other``.
+#: Features that model answers may name; all others become ``other`` (fixed values).
+FEATURES = ["symptom", "sign", "tongue", "pulse", "body_part", "pathogen", "trigger", "relieving_factor", "aggravating_factor", "duration", "severity", "pain_location", "pain_quality", "disease_course", "formula", "herb", "acupoint", "method", "mechanism", "other"]
+#: Needle, feature, value, evidence and confidence of the built-in extraction (fixed values).
+PATTERNS = [
+    ("腰", "pain_location", "腰部", "腰", 0.94),
+    ("腰痛", "pain_location", "腰部", "腰痛", 0.94),
+    ("冷痛", "pain_quality", "冷痛", "冷痛", 0.93),
+    ("痛而冷", "pain_quality", "冷痛", "痛而冷", 0.93),
+    ("腰痛而冷", "pain_quality", "冷痛", "腰痛而冷", 0.93),
+    ("得温则缓", "relieving_factor", "得温则缓", "得温则缓", 0.91),
+    ("温之稍安", "relieving_factor", "得温则缓", "温之稍安", 0.90),
+    ("遇寒", "aggravating_factor", "遇寒加重", "遇寒", 0.89),
+    ("久病", "disease_course", "久病", "久病", 0.88),
+    ("不愈", "disease_course", "久病", "不愈", 0.82),
+    ("刺痛", "pain_quality", "刺痛不移", "刺痛", 0.90),
+    ("不移", "pain_quality", "刺痛不移", "不移", 0.86),
+    ("夜间加重", "aggravating_factor", "夜间加重", "夜间加重", 0.88),
+    ("苔黄腻", "tongue", "苔黄腻", "苔黄腻", 0.92),
+    ("脉弦", "pulse", "脉弦", "脉弦", 0.90),
+    ("腰膝酸软", "symptom", "腰膝酸软", "腰膝酸软", 0.93),
+]
 Patterns = list[tuple[str, str, str, str, float]]
 
 
-def number(df: DataFrame, order: list[str], name: str, prefix: str | None = None, parts: int = 512) -> DataFrame:
-    """``df`` with a number from 1 in the given order, without one task that
-    sees all rows: rows are dealt by ranges of the first column of ``order``
-    (its sizes are summed before), then ranked inside their range."""
-    first = order[0]
-    bounds = df.agg(F.min(first).alias("lo"), F.max(first).alias("hi"))
-    ranged = df.crossJoin(F.broadcast(bounds)).withColumn("__part", F.when(F.col("hi") > F.col("lo"), F.least(F.lit(parts - 1), F.floor((F.col(first) - F.col("lo")) / (F.col("hi") - F.col("lo")) * parts))).otherwise(0)).drop("lo", "hi")
-    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    rank = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    out = ranged.withColumn("__rank", rank).join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + F.col("__rank")).cast("long")).drop("__part", "__rank", "__before")
+def number(df: DataFrame, order: list, name: str, prefix: str | None = None) -> DataFrame:
+    """``df`` with a number from 1 in the given order, of any types, without
+    one task that sees all rows: rows are dealt into ranges by sampled
+    quantiles, sorted there and written; then each range's number of rows
+    gives the next its first number."""
+    out = _numbered(df.repartitionByRange(*order).sortWithinPartitions(*order), name)
     return out.withColumn(name, F.format_string(prefix + "_%06d", name)) if prefix else out
 
 
+def number_as_read(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number from 1 in the order in which it comes: of a file,
+    its lines; files and their splits in the order in which Spark reads them."""
+    return _numbered(df, name)
+
+
+def _numbered(df: DataFrame, name: str) -> DataFrame:
+    at = written(df.withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = at.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))  # one row a partition
+    first = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__first"))
+    return at.join(F.broadcast(first), part == F.col("__part")).withColumn(name, (F.col("__first") + place + 1).cast("long")).drop("__at", "__part", "__first")
+
+
+def chosen_text(*names: str) -> Column:
+    """The first of the texts that isn't empty: original, punctuated, modern."""
+    return F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in names or ("text_original", "text_punctuated", "text_modern")], F.lit(""))
+
+
 def extract_by_patterns(sources: DataFrame, patterns: Patterns, text: str = "text", keep: tuple[str, ...] = ("source_id",)) -> DataFrame:
     """One row per pattern found in a text: ``keep``, pattern_idx, feature,
     feature_value, evidence_text, extraction_confidence. Of patterns with one

@@ -1,10 +1,13 @@
-"""Larsen inference over broadcast rules and the Mamdani centroid."""
+"""Larsen inference by compiled rules and the Mamdani centroid."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import trapezoid
+from ..sources.shared import small
 
 ACTIVE = ["active_rule", "expert_verified", "expert_verified_rule"]
 #: Statuses and decisions are fixed values of the rule format.
@@ -35,48 +38,69 @@ def larsen(best: DataFrame, rules: DataFrame) -> DataFrame:
     one counts as 0. The interval is that of the winning memberships and null
     where none has one.
 
-    A source's best memberships become one map, so the rules (as many as the
-    configuration has) are a broadcast side and nothing else is joined.
+    Rules are configuration, so each becomes expressions over one row per
+    source that holds the memberships its antecedents name: one aggregation,
+    and no join at all.
     """
-    by = best.groupBy("source_id").agg(F.map_from_entries(F.collect_list(F.struct("variable_key", F.struct("membership", "p5", "p95")))).alias("values"))
-    r = F.broadcast(active_rules(rules).select("rule_id", "consequent_entity", "consequent_type", "rule_weight", "antecedents"))
-    pairs = by.crossJoin(r)
-    key = lambda a: F.concat_ws(".", a["variable"], a["fuzzy_set"])
-    seen = F.transform("antecedents", lambda a: F.struct(key(a).alias("key"), a["threshold"].alias("threshold"), a["weight"].alias("weight"), F.coalesce(F.col("values")[key(a)]["membership"], F.lit(0.0)).alias("mu"), F.col("values")[key(a)]["p5"].alias("p5"), F.col("values")[key(a)]["p95"].alias("p95")))
-    p = pairs.withColumn("seen", seen)
-
-    def fold(value):
-        total = F.aggregate("seen", F.col("rule_weight"), lambda acc, s: acc * F.pow(F.greatest(value(s), F.lit(1e-12)), s["weight"]))
+    known = active_rules(rules).select("rule_id", "consequent_entity", "consequent_type", "rule_weight", "antecedents").collect()
+    key = lambda a: f"{a['variable']}.{a['fuzzy_set']}"
+    at = {k: i for i, k in enumerate(dict.fromkeys(key(a) for r in known for a in r["antecedents"]))}
+    cells = [F.max(F.when(F.col("variable_key") == k, F.col(c))).alias(f"{c}_{i}") for k, i in at.items() for c in ("membership", "p5", "p95")]
+    wide = best.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), *cells)
+
+    def fold(rule, value):
+        total = F.lit(float(rule["rule_weight"]))
+        for a in rule["antecedents"]:
+            total = total * F.pow(F.greatest(value(at[key(a)]), F.lit(1e-12)), F.lit(float(a["weight"])))
         return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 6)
 
-    ranged = F.exists("seen", lambda s: s["p5"].isNotNull() | s["p95"].isNotNull())
-    missing = F.transform(F.filter("seen", lambda s: s["mu"] < s["threshold"]), lambda s: s["key"])
-    return p.select(
-        "source_id", "rule_id", "consequent_entity", "consequent_type", fold(lambda s: s["mu"]).alias("activation"),
-        F.transform(F.filter("seen", lambda s: s["mu"] >= s["threshold"]), lambda s: s["key"]).alias("supporting_variables"), missing.alias("missing_variables"),
-        F.when(F.size(missing) == 0, "fired").otherwise("below_threshold").alias("status"),
-        F.when(ranged, fold(lambda s: F.coalesce(s["p5"], s["mu"]))).alias("p5"), F.when(ranged, fold(lambda s: F.coalesce(s["p95"], s["mu"]))).alias("p95"),
-    )
+    def row(rule):
+        mu = lambda i: F.coalesce(F.col(f"membership_{i}"), F.lit(0.0))
+        low, high = (lambda i, c=c: F.coalesce(F.col(f"{c}_{i}"), F.col(f"membership_{i}"), F.lit(0.0)) for c in ("p5", "p95"))
+        ants = [(key(a), at[key(a)], float(a["threshold"])) for a in rule["antecedents"]]
+        supports = F.array_compact(F.array(*[F.when(mu(i) >= t, F.lit(k)) for k, i, t in ants])) if ants else F.array().cast("array<string>")
+        missing = F.array_compact(F.array(*[F.when(mu(i) < t, F.lit(k)) for k, i, t in ants])) if ants else F.array().cast("array<string>")
+        ranged = reduce(Column.__or__, [F.col(f"{c}_{i}").isNotNull() for _, i, _ in ants for c in ("p5", "p95")], F.lit(False))
+        return F.struct(
+            *[F.lit(rule[c]).cast("string").alias(c) for c in ("rule_id", "consequent_entity", "consequent_type")], fold(rule, mu).alias("activation"), supports.alias("supporting_variables"), missing.alias("missing_variables"),
+            F.when(F.size(missing) == 0, "fired").otherwise("below_threshold").alias("status"), F.when(ranged, fold(rule, low)).alias("p5"), F.when(ranged, fold(rule, high)).alias("p95"),
+        )
+
+    rows = F.array(*[row(r) for r in known]) if known else F.lit(None).cast("array<struct<rule_id:string,consequent_entity:string,consequent_type:string,activation:double,supporting_variables:array<string>,missing_variables:array<string>,status:string,p5:double,p95:double>>")
+    return wide.select("source_id", F.explode(rows).alias("r")).select("source_id", "r.*")
+
+
+def shapes_of(rules: DataFrame, shapes: dict[str, list[float]], default: tuple[float, ...] = (0.45, 0.70, 1.0, 1.0)) -> DataFrame:
+    """(rule_id, a, b, c, d): each rule's shape by its consequent, else by the
+    consequent's type, else that named default, else ``default``."""
+    named = [(k, *map(float, v)) for k, v in shapes.items()]
+    table = rules.sparkSession.createDataFrame(named, "name string, a double, b double, c double, d double")
+    out = rules.select("rule_id", "consequent_entity", "consequent_type")
+    for i, name in enumerate((F.col("consequent_entity"), F.col("consequent_type"), F.lit("default"))):
+        own = table.select(F.col("name").alias(f"n{i}"), F.struct("a", "b", "c", "d").alias(f"s{i}"))
+        out = out.join(small(own), name == F.col(f"n{i}"), "left")
+    found = F.coalesce("s0", "s1", "s2", F.struct(*[F.lit(float(x)).alias(n) for n, x in zip("abcd", default)]))
+    return out.select("rule_id", found.alias("s")).select("rule_id", "s.*")
 
 
 def mamdani(fired: DataFrame, shapes: DataFrame, points: int = 200) -> DataFrame:
     """Centroid, area and greatest height of the union of the rules' shapes,
     each cut at its activation, for every source and consequent. ``shapes``:
-    (rule_id, a, b, c, d), as small as the rules. The grid is folded inside
-    the row; rows of one source and consequent are all that meets."""
-    cuts = fired.join(F.broadcast(shapes), "rule_id").groupBy("source_id", "consequent_entity").agg(F.sort_array(F.collect_list(F.struct("rule_id", "activation", "a", "b", "c", "d"))).alias("cuts"))
-    xs = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: i / F.lit(float(points - 1)))
-
-    def height(x):
+    (rule_id, a, b, c, d), as small as the rules; rules without one are left
+    out. The heights at even steps are one array of the row; rows of one
+    source and consequent are all that meets."""
+    cuts = fired.join(small(shapes), "rule_id").groupBy("source_id", "consequent_entity").agg(F.sort_array(F.collect_list(F.struct("rule_id", "activation", "a", "b", "c", "d"))).alias("cuts"))
+    step, last = 1.0 / (points - 1), points - 1
+
+    def height(i):
+        x = i / F.lit(float(last))
         return F.array_max(F.transform("cuts", lambda s: F.least(s["activation"], trapezoid(x, s["a"], s["b"], s["c"], s["d"]))))
 
-    g = cuts.withColumn("grid", F.transform(xs, lambda x: F.struct(x.alias("x"), height(x).alias("y"))))
-    pair = F.arrays_zip(F.slice("grid", 1, points - 1).alias("l"), F.slice("grid", 2, points - 1).alias("r"))
-    g = g.withColumn("pair", pair)
-    area = F.aggregate("pair", F.lit(0.0), lambda acc, s: acc + (s["l"]["y"] + s["r"]["y"]) / 2 * (s["r"]["x"] - s["l"]["x"]))
-    moment = F.aggregate("pair", F.lit(0.0), lambda acc, s: acc + (s["l"]["x"] * s["l"]["y"] + s["r"]["x"] * s["r"]["y"]) / 2 * (s["r"]["x"] - s["l"]["x"]))
-    g = g.withColumns({"area": area, "moment": moment})
-    return g.select("source_id", "consequent_entity", F.round(F.when(F.col("area") > 0, F.col("moment") / F.col("area")).otherwise(0.0), 6).alias("centroid"), F.round("area", 6).alias("area"), F.round(F.array_max(F.transform("grid", lambda s: s["y"])), 6).alias("max_membership"), F.transform("cuts", lambda s: s["rule_id"]).alias("rules"))
+    g = cuts.withColumn("y", F.transform(F.sequence(F.lit(0), F.lit(last)), height))
+    sums = F.aggregate(F.transform("y", lambda y, i: F.struct(y.alias("y"), i.alias("i"))), F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("m")), lambda t, s: F.struct((t["a"] + s["y"]).alias("a"), (t["m"] + s["y"] * s["i"] / F.lit(float(last))).alias("m")))
+    first, end = F.element_at("y", 1), F.element_at("y", -1)
+    g = g.withColumn("sums", sums).withColumns({"area": (F.col("sums.a") - (first + end) / 2) * step, "moment": (F.col("sums.m") - end / 2) * step})
+    return g.select("source_id", "consequent_entity", F.round(F.when(F.col("area") > 0, F.col("moment") / F.col("area")).otherwise(0.0), 6).alias("centroid"), F.round("area", 6).alias("area"), F.round(F.array_max("y"), 6).alias("max_membership"), F.transform("cuts", lambda s: s["rule_id"]).alias("rules"), F.lit("mamdani_centroid_sensitivity").alias("mode"))
 
 
 def last_of(df: DataFrame, keys: list[str], seq: str) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.scalars import trapezoid
+from ..sources.shared import small
 
 LEXICON = "term string, variable string, fuzzy_set string, membership double, calculation_mode string, status string, icc double, p5 double, p95 double, uncertainty_width double, maps_idx int"
 
@@ -28,6 +29,12 @@ def overlap(left: list[float], right: list[float], points: int = 200) -> float:
     return float(np.trapezoid(y * shape(right, x), x) / area) if area > 0 else 0.0
 
 
+def fuzzy_sets(config: dict[str, Any]) -> list[tuple[str, str, list[float]]]:
+    """(variable, fuzzy_set, points) of a configuration."""
+    points = lambda spec: [float(p) for p in (spec["points"] if isinstance(spec, dict) else spec)]
+    return [(v, name, points(spec)) for v, sets in config.get("fuzzy_sets", {}).items() for name, spec in sets.items()]
+
+
 def lexicon(spark: SparkSession, config: dict[str, Any]) -> DataFrame:
     """One row per term and variable with its membership and, where experts
     agreed little, its 5th to 95th percentile. Memberships depend on the
@@ -54,11 +61,13 @@ def lexicon(spark: SparkSession, config: dict[str, Any]) -> DataFrame:
 def memberships(observations: DataFrame, lex: DataFrame) -> DataFrame:
     """Observations joined with the lexicon by feature value; only where that
     has no entry, by standard observation. One row per variable of the entry.
-    The lexicon is as large as the configuration, so it is broadcast."""
-    terms = F.broadcast(lex.select(F.col("term").alias("__term")).distinct())
+    The lexicon is as large as the configuration; it is broadcast if it is
+    small indeed."""
+    lex = small(lex)
+    terms = small(lex.select(F.col("term").alias("__term")).distinct())
     keyed = observations.join(terms, F.col("feature_value") == F.col("__term"), "left")
     keyed = keyed.withColumn("__key", F.coalesce("__term", "standard_observation")).drop("__term")
-    return keyed.join(F.broadcast(lex), F.col("__key") == F.col("term")).drop("__key", "term")
+    return keyed.join(lex, F.col("__key") == F.col("term")).drop("__key", "term")
 
 
 def coverage(observations: DataFrame, with_membership: DataFrame, key: str = "observation_id") -> DataFrame:

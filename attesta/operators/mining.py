@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
-from ..sources.shared import written
+from ..sources.shared import drop, written
 
 
 def min_counts(n: int, min_support: float, configured: int) -> tuple[int, bool]:
@@ -22,36 +23,54 @@ def item_counts(baskets: DataFrame) -> DataFrame:
     return baskets.groupBy("item").agg(F.count("*").alias("n"))
 
 
-def frequent_itemsets(baskets: DataFrame, min_count: int, max_size: int = 12, cap: int = 0) -> DataFrame:
+def itemset_levels(baskets: DataFrame, min_count: int, max_size: int = 12, pair_cap: int = 0, join_cap: int = 0) -> tuple[DataFrame, DataFrame]:
     """(items, size, source_count) of all itemsets of 2 to ``max_size`` items
-    in at least ``min_count`` sources; support alone prunes.
+    (12 at most; 0: 12) in at least ``min_count`` sources, and their
+    occurrences (source_id, items); support alone prunes.
 
     Infrequent items leave the baskets first. A level joins the occurrences
     of two frequent sets of one source that share all but their last item, so
-    candidates never cross sources; a level is a table in the shared folder, so
-    plans don't grow. ``cap`` (0: none) keeps so many sets of a
-    level, the most frequent, ties by items, as the configuration may ask.
+    candidates never cross sources; its occurrences are written once to the
+    shared folder and counted there, so plans don't grow. ``pair_cap`` (0:
+    none) keeps so many pairs, those whose rarer item is most frequent, ties
+    by items; ``join_cap`` so many candidates of each later level, the first
+    by items, before their support is known, as the configuration may ask.
     """
-    frequent = item_counts(baskets).where(F.col("n") >= min_count).select("item")
-    own = written(baskets.join(frequent, "item").select("source_id", F.array("item").alias("items")), "baskets")
-    levels, size = [], 1
-    while size < min(max_size, 12):
+    size, most = 1, 12 if max_size <= 0 else min(max(2, max_size), 12)
+    singles = item_counts(baskets).where(F.col("n") >= min_count)
+    own = written(baskets.join(singles.select("item"), "item").select("source_id", F.array("item").alias("items")), "baskets")
+    empty = own.limit(0)
+    levels, found = [empty.select("items", F.lit(2).alias("size"), F.lit(0).cast("long").alias("source_count"))], [empty]
+    head, last = lambda n: F.slice("items", 1, n), F.element_at("items", -1)
+    counts = None
+    while size < most:
         size += 1
-        last = F.element_at("items", -1)
-        left = own.select("source_id", F.slice("items", 1, size - 2).alias("head"), last.alias("a"))
-        right = own.select("source_id", F.slice("items", 1, size - 2).alias("head"), last.alias("b"))
+        left, right = own.select("source_id", head(size - 2).alias("head"), last.alias("a")), own.select("source_id", head(size - 2).alias("head"), last.alias("b"))
         occ = left.join(right, ["source_id", "head"]).where("a < b").select("source_id", F.concat("head", F.array("a", "b")).alias("items"))
+        if join_cap and counts is not None:
+            sets = counts.select("items")
+            pairs = sets.select(head(size - 2).alias("head"), last.alias("a")).join(sets.select(head(size - 2).alias("head"), last.alias("b")), "head").where("a < b").select(F.concat("head", F.array("a", "b")).alias("items"))
+            parts = pairs.select("items", F.explode(F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.concat(F.slice("items", F.lit(1), i - 1), F.slice("items", i + 1, F.lit(size))))).alias("part"))
+            whole = parts.join(sets.toDF("part"), "part").groupBy("items").agg(F.count("*").alias("k")).where(F.col("k") == size)
+            occ = occ.join(whole.select("items").orderBy("items").limit(join_cap), "items", "left_semi")
+        occ = written(occ, "occurrences")
         counts = occ.groupBy("items").agg(F.count("*").alias("source_count")).where(F.col("source_count") >= min_count)
-        counts = counts.orderBy(F.desc("source_count"), "items").limit(cap) if cap else counts
+        if pair_cap and size == 2:
+            rarer = counts.select("*", F.col("items")[0].alias("x"), F.col("items")[1].alias("y")).join(singles.toDF("x", "nx"), "x").join(singles.toDF("y", "ny"), "y")
+            counts = rarer.orderBy(F.desc(F.least("nx", "ny")), "items").limit(pair_cap).select("items", "source_count")
         counts = written(counts, "level")
         if not counts.limit(1).count():
             break
-        levels.append(counts.select("items", F.lit(size).alias("size"), "source_count"))
         own = written(occ.join(counts.select("items"), "items").select("source_id", "items"), "occurrences")
-    out = levels[0] if levels else counts.select("items", F.lit(2).alias("size"), "source_count")
-    for level in levels[1:]:
-        out = out.union(level)
-    return out
+        drop(occ)
+        levels.append(counts.select("items", F.lit(size).alias("size"), "source_count"))
+        found.append(own)
+    return reduce(DataFrame.union, levels), reduce(DataFrame.union, found)
+
+
+def frequent_itemsets(baskets: DataFrame, min_count: int, max_size: int = 12, pair_cap: int = 0, join_cap: int = 0) -> DataFrame:
+    """The itemsets of ``itemset_levels`` alone."""
+    return itemset_levels(baskets, min_count, max_size, pair_cap, join_cap)[0]
 
 
 def pattern_metrics(patterns: DataFrame, singles: DataFrame, n: int) -> DataFrame:
@@ -72,15 +91,27 @@ def passes(min_lift: float, min_pmi: float, p_max: float | None = None, p: Colum
     return ok if p is None or p_max is None else ok & (p.isNull() | (p <= p_max))
 
 
-@F.pandas_udf(DoubleType())
-def fisher_greater(both: pd.Series, a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
-    """One-sided exact p of a pair: the upper tail of the hypergeometric."""
+def upper_tail(both: float, a: float, b: float, n: float) -> float:
+    """Chance of ``both`` or more in common between ``a`` and ``b`` of ``n``.
+    Terms follow from one another and end where they no longer add."""
+    log = lambda x, y: math.lgamma(x + 1) - math.lgamma(y + 1) - math.lgamma(x - y + 1)
+    i, last = max(both, a + b - n), min(a, b)
+    term = math.exp(log(a, i) + log(n - a, b - i) - log(n, b)) if i <= last else 0.0
+    total = 0.0
+    while i <= last:
+        total += term
+        ratio = (a - i) * (b - i) / ((i + 1) * (n - a - b + i + 1))
+        if ratio < 1 and term * ratio <= total * 1e-17 * (1 - ratio):
+            break
+        term, i = term * ratio, i + 1
+    return min(1.0, total)
 
-    def tail(k, a, b, n):
-        choose = lambda x, y: math.lgamma(x + 1) - math.lgamma(y + 1) - math.lgamma(x - y + 1)
-        return min(1.0, math.fsum(math.exp(choose(a, i) + choose(n - a, b - i) - choose(n, b)) for i in range(int(k), int(min(a, b)) + 1) if b - i <= n - a))
 
-    return pd.Series([tail(*x) for x in zip(both, a, b, n)])
+@F.pandas_udf(DoubleType())
+def fisher_greater(both: pd.Series, a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
+    """One-sided exact p of a pair: the upper tail of the hypergeometric; null
+    where a count is."""
+    return pd.Series([None if any(v != v for v in x) else upper_tail(*x) for x in zip(both, a, b, n)], dtype="float64")
 
 
 def entropy(df: DataFrame, keys: list[str], value: str) -> DataFrame:

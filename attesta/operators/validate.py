@@ -5,12 +5,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .infer import ACTIVE
 from .membership import coverage
 
 
+#: Sections that a configuration must have, and metadata that sources should (fixed names).
+SECTIONS = ("membership_calculation", "mapping_policy", "uncertainty_propagation", "candidate_pattern_filter", "fuzzy_sets", "observation_mapping", "linguistic_values", "seed_rules", "entities")
+METADATA = ["book_name", "chapter_title", "dynasty", "author", "text_type", "topic_hint", "tradition_id", "text_family", "citation_family"]
+
+
 def duplicates(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(F.col(key).alias("id")).agg(F.count("*").alias("n")).where("n > 1")
 
@@ -74,6 +79,28 @@ def inactive_rules(rules: DataFrame) -> DataFrame:
     return finding(rules.where(~F.coalesce("review_status", F.lit("")).isin(ACTIVE)), F.col("rule_id"), "warning", "inactive_rule_status")
 
 
+def config_findings(spark: SparkSession, config: dict) -> DataFrame:
+    """Sections that a configuration lacks, and rules whose antecedents name a
+    fuzzy set it doesn't have: errors."""
+    sets = config.get("fuzzy_sets", {})
+    rows = [(s, "error", "missing_config_section") for s in SECTIONS if s not in config]
+    rows += [(str(r.get("rule_id", "unknown_rule")), "error", "rule_references_missing_fuzzy_set") for r in config.get("seed_rules", []) for a in r.get("antecedents", []) if a.get("fuzzy_set") not in sets.get(a.get("variable"), {})]
+    return spark.createDataFrame(rows, "item string, severity string, code string")
+
+
+def ignored_priors(spark: SparkSession, config: dict) -> DataFrame:
+    """Calibrated mappings whose shape keeps the prior from being read."""
+    rows = [(f"{t}.{v}", "info", "calibrated_prior_ignored") for t, e in config.get("linguistic_values", {}).items() for v, m in (e or {}).get("maps_to", {}).items() if m.get("linguistic_set") and m.get("calibrated_membership") is not None]
+    return spark.createDataFrame(rows, "item string, severity string, code string")
+
+
+def overall(findings: DataFrame) -> DataFrame:
+    """``findings`` and, as one more, what they allow."""
+    r = readiness(findings)
+    level = F.when(F.col("errors") > 0, "error").when(F.col("warnings") > 0, "warning").otherwise("info")
+    return findings.union(r.select(F.lit("overall"), level, F.col("overall")))
+
+
 def gold_findings(evaluation: DataFrame) -> DataFrame:
     return finding(evaluation.where("status = 'needs_gold_standard'"), F.coalesce("metric", F.lit("unknown_metric")), "warning", "missing_gold_standard")
 

@@ -9,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scalars as S
-from ..operators import aggregate, calibrate, chunks, evaluate, extract, infer, membership, mining, network, validate
+from ..operators import aggregate, assess, calibrate, chunks, evaluate, extract, infer, membership, mining, network, patterns, report, rules as rule_rows, validate
+from ..sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -145,12 +146,17 @@ def trapezoid_membership(spark, d):
     return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(S.trapezoid(F.col("l_discount") * 10, *[F.lit(p) for p in (0.1, 0.3, 0.5, 0.9)]), 6).alias("membership"))
 
 
-@query(f"""WITH grid AS (SELECT *, least(l0, r0) + (greatest(l3, r3) - least(l0, r0)) * i / 199 AS x FROM {values(PAIRS, "key, l0, l1, l2, l3, r0, r1, r2, r3")}, range(200) AS g(i)),
+SHAPED = "SELECT p_partkey AS key, p_size / 100.0::DOUBLE AS l0, p_size / 100.0::DOUBLE + 0.1::DOUBLE AS l1, p_size / 100.0::DOUBLE + 0.2::DOUBLE AS l2, p_size / 100.0::DOUBLE + 0.3::DOUBLE AS l3, 0.2::DOUBLE AS r0, 0.4::DOUBLE AS r1, 0.5::DOUBLE AS r2, 0.9::DOUBLE AS r3 FROM part"
+
+
+@query(f"""WITH grid AS (SELECT *, least(l0, r0) + (greatest(l3, r3) - least(l0, r0)) * i / 199 AS x FROM ({SHAPED}), range(200) AS g(i)),
 y AS (SELECT *, CASE WHEN x < l0 OR x > l3 THEN 0 WHEN x >= l1 AND x <= l2 THEN 1 WHEN x < l1 THEN (x - l0) / (l1 - l0) ELSE (l3 - x) / (l3 - l2) END AS y, CASE WHEN x < r0 OR x > r3 THEN 0 WHEN x >= r1 AND x <= r2 THEN 1 WHEN x < r1 THEN (x - r0) / (r1 - r0) ELSE (r3 - x) / (r3 - r2) END AS r FROM grid),
 a AS (SELECT key, (y + lead(y) OVER w) * (lead(x) OVER w - x) / 2 AS ay, (y * r + lead(y * r) OVER w) * (lead(x) OVER w - x) / 2 AS az FROM y WINDOW w AS (PARTITION BY key ORDER BY i))
 SELECT key, round(coalesce(sum(az) / nullif(sum(ay), 0), 0), 6) AS overlap FROM a GROUP BY key""")
 def overlap_lexicon(spark, d):
-    return membership.overlap_table(spark.createDataFrame(PAIRS, "key string, " + ", ".join(f"{s}{i} double" for s in "lr" for i in range(4))))
+    low = F.col("p_size") / F.lit(100.0)
+    shape = {"l0": low, "l1": low + 0.1, "l2": low + 0.2, "l3": low + 0.3, "r0": F.lit(0.2), "r1": F.lit(0.4), "r2": F.lit(0.5), "r3": F.lit(0.9)}
+    return membership.overlap_table(t(spark, d, "part").select(F.col("p_partkey").alias("key"), *[c.alias(n) for n, c in shape.items()]))
 
 
 LEX = values([(*r, i) for i, r in enumerate(TERMS)], "term, variable, fuzzy_set, membership, p5, p95, i")
@@ -221,14 +227,35 @@ def fired_filter(spark, d):
     return fired_rows(spark, d).select("source_id", "rule_id", "activation")
 
 
-@query(f"SELECT rule_id, review_status FROM {RULE_ROWS} WHERE review_status IN ('active_rule', 'expert_verified', 'expert_verified_rule')")
+def reviewed_rows(spark, d):
+    """Suppliers as rows of an expert's rule review."""
+    pick = lambda n, *words: F.element_at(F.array(*[F.lit(w) for w in words]), (F.col("s_suppkey") % n + 1).cast("int"))
+    ant = F.format_string("{'variable': 'v%d', 'fuzzy_set': 'high', 'threshold': 0.5}, {'variable': ' '}, {variable: 'w', weight: '2'}", "s_nationkey")
+    return t(spark, d, "supplier").select(
+        F.when(F.col("s_suppkey") % 3 == 0, F.col("s_name")).alias("rule_id"), F.format_string("P%d", "s_suppkey").alias("pattern_id"), pick(6, " Pending", "yes", None, "REJECT", "否", "accepted").alias("expert_decision"), pick(4, "active_rule", "draft", " ", "expert_verified").alias("review_status"),
+        F.when(F.col("s_suppkey") % 7 > 0, F.concat(F.lit("["), ant, F.lit("]"))).alias("antecedents_json"), F.when(F.col("s_suppkey") % 11 > 0, F.format_string("c%d", "s_nationkey")).alias("suggested_consequent"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_acctbal").cast("string")).alias("suggested_rule_weight"), pick(2, "a; b；", '["c"]').alias("source_ids"),
+    )
+
+
+REVIEWED = """reviewed AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_name ELSE 'RULE_FROM_P' || s_suppkey END AS rule_id, [' Pending', 'yes', NULL, 'REJECT', '否', 'accepted'][s_suppkey % 6 + 1] AS expert_decision, ['active_rule', 'draft', 'active_rule', 'expert_verified'][s_suppkey % 4 + 1] AS review_status, s_suppkey % 7 > 0 AS has_antecedents,
+  CASE WHEN s_suppkey % 11 > 0 THEN 'c' || s_nationkey END AS consequent_entity, CASE WHEN s_suppkey % 2 = 0 THEN greatest(0, least(1, s_acctbal)) ELSE 1.0 END::DOUBLE AS rule_weight, ['a,b', 'c'][s_suppkey % 2 + 1] AS sources, 'v' || s_nationkey || '.high>=0.5^1.0,w.high>=0.0^2.0' AS antecedents FROM supplier)"""
+
+
+@query(f"WITH {REVIEWED} SELECT rule_id, consequent_entity, round(rule_weight, 6) AS rule_weight, review_status, sources, antecedents FROM reviewed WHERE has_antecedents AND consequent_entity IS NOT NULL AND lower(trim(coalesce(expert_decision, 'accepted'))) NOT IN ('pending', 'reject', 'rejected', '否', '不通过')")
+def reviewed_rules(spark, d):
+    r = rule_rows.build_rules(reviewed_rows(spark, d))
+    ants = F.array_join(F.transform("antecedents", lambda a: F.concat(a["variable"], F.lit("."), a["fuzzy_set"], F.lit(">="), a["threshold"].cast("string"), F.lit("^"), a["weight"].cast("string"))), ",")
+    return r.select("rule_id", "consequent_entity", F.round("rule_weight", 6).alias("rule_weight"), "review_status", F.array_join("source_ids", ",").alias("sources"), ants.alias("antecedents"))
+
+
+@query(f"WITH {REVIEWED} SELECT rule_id, review_status FROM reviewed WHERE has_antecedents AND consequent_entity IS NOT NULL AND lower(trim(coalesce(expert_decision, 'accepted'))) NOT IN ('pending', 'reject', 'rejected', '否', '不通过') AND review_status IN ('active_rule', 'expert_verified', 'expert_verified_rule')")
 def active_rules(spark, d):
-    return infer.active_rules(rules(spark)).select("rule_id", "review_status")
+    return infer.active_rules(rule_rows.build_rules(reviewed_rows(spark, d))).select("rule_id", "review_status")
 
 
-@query(f"SELECT rule_id, expert_decision FROM {RULE_ROWS} WHERE lower(trim(coalesce(expert_decision, 'accepted'))) NOT IN ('pending', 'reject', 'rejected', '否', '不通过')")
+@query(f"WITH {REVIEWED} SELECT 'P' || s_suppkey AS pattern_id, expert_decision FROM reviewed WHERE lower(trim(coalesce(expert_decision, 'accepted'))) NOT IN ('pending', 'reject', 'rejected', '否', '不通过')")
 def accepted_rules(spark, d):
-    return infer.accepted_rules(rules(spark)).select("rule_id", "expert_decision")
+    return infer.accepted_rules(reviewed_rows(spark, d)).select("pattern_id", "expert_decision")
 
 
 @query(f"""WITH {LARSEN}, f AS (SELECT source_id, consequent_entity, activation, a, b, c, d FROM larsen JOIN {values(SHAPES, "rule_id, a, b, c, d")} USING (rule_id) WHERE status = 'fired'),
@@ -324,13 +351,14 @@ def topk_patterns(spark, d):
     return measured(spark, d, 3).select("items", "size", "source_count", "lift").orderBy(F.desc("source_count"), F.desc("lift"), "items").limit(10)
 
 
-@query()
+@query(f"""WITH {BASKETS}, p AS (SELECT x.item AS a, y.item AS b, count(*)::DOUBLE AS k, any_value(s.n)::DOUBLE AS na, any_value(u.n)::DOUBLE AS nb, any_value(total) AS n FROM baskets x JOIN baskets y ON x.source_id = y.source_id AND x.item < y.item JOIN singles s ON s.item = x.item JOIN singles u ON u.item = y.item, total GROUP BY ALL HAVING count(*) >= 5)
+SELECT a, b, k::BIGINT AS source_count, round(least(1, (SELECT sum(exp(lgamma(na + 1) - lgamma(i + 1) - lgamma(na - i + 1) + lgamma(n - na + 1) - lgamma(nb - i + 1) - lgamma(n - na - nb + i + 1) - lgamma(n + 1) + lgamma(nb + 1) + lgamma(n - nb + 1))) FROM unnest(range(k::BIGINT, least(na, nb)::BIGINT + 1)) AS g(i))), 6) AS fisher_p FROM p""")
 def fisher_pairs(spark, d):
     b, n = baskets(spark, d), t(spark, d, "orders").count()
     s = mining.item_counts(b)
     p = mining.frequent_itemsets(b, 5, 2).select(F.col("items")[0].alias("a"), F.col("items")[1].alias("b"), "source_count")
     p = p.join(s.toDF("a", "na"), "a").join(s.toDF("b", "nb"), "b")
-    return p.select("a", "b", "source_count", F.round(mining.fisher_greater(*[F.col(c).cast("double") for c in ("source_count", "na", "nb")], F.lit(float(n))), 12).alias("fisher_p"))
+    return p.select("a", "b", "source_count", F.round(mining.fisher_greater(*[F.col(c).cast("double") for c in ("source_count", "na", "nb")], F.lit(float(n))), 6).alias("fisher_p"))
 
 
 ITEM_META = f"{BASKETS}, {META}, im AS (SELECT item, tradition_id, book_name FROM baskets JOIN meta USING (source_id))"
@@ -363,17 +391,52 @@ def representative_evidence(spark, d):
 # --- calibration, evaluation, validation ---
 
 
-@query("""SELECT event_type, round(median(value), 6) AS median, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.05), 6) AS p5, round(quantile_cont(value, 0.95), 6) AS p95,
-round(CASE WHEN count(DISTINCT user_id) >= 2 THEN greatest(0, least(1, 1 - stddev_samp(value) / 0.5)) END, 6) AS icc, count(DISTINCT user_id) AS experts, count(*) AS n,
-CASE WHEN greatest(0, least(1, 1 - stddev_samp(value) / 0.5)) < 0.75 AND count(DISTINCT user_id) >= 2 THEN 'low_agreement' ELSE 'calibrated' END AS review_status
-FROM (SELECT *, value / 100 AS value FROM (SELECT event_type, user_id, value AS v FROM events) x(event_type, user_id, value)) GROUP BY 1""".replace("(SELECT *, value / 100 AS value FROM (SELECT event_type, user_id, value AS v FROM events) x(event_type, user_id, value))", "(SELECT event_type, user_id, value / 100 AS value FROM events)"))
+@query("""SELECT event_type, round(median(v), 6) AS median, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.05), 6) AS p5, round(quantile_cont(v, 0.95), 6) AS p95,
+round(CASE WHEN count(DISTINCT user_id) >= 2 THEN greatest(0, least(1, 1 - coalesce(stddev_samp(v), 0) / 0.5)) END, 6) AS icc, count(DISTINCT user_id) AS experts, count(*) AS n,
+CASE WHEN count(DISTINCT user_id) >= 2 AND greatest(0, least(1, 1 - coalesce(stddev_samp(v), 0) / 0.5)) < 0.75 THEN 'low_agreement' ELSE 'calibrated' END AS review_status
+FROM (SELECT event_type, user_id, greatest(0, least(1, value / 100)) AS v FROM events) GROUP BY 1""")
 def calibration_stats(spark, d):
     return calibrate.calibration(t(spark, d, "events").select("event_type", "user_id", (F.col("value") / 100).alias("score")), ["event_type"], expert="user_id")
 
 
-@query(f"SELECT term, variable, expert_id, round(greatest(0, least(1, membership + s)), 6) AS score FROM {LEX}, {values([(k, v) for k, v in calibrate.ROLE_SHIFTS.items()], 'expert_id, s').replace('AS v', 'AS w')}")
+TASKS = "tasks AS (SELECT p_name AS term, p_type AS variable, 'high' AS fuzzy_set, avg(least(1, p_retailprice / 2000)) AS prior FROM part GROUP BY ALL)"
+ROLES = values([(k, v) for k, v in calibrate.ROLE_SHIFTS.items()], "expert_id, s")
+
+
+def scoring_tasks(spark, d):
+    """Names and kinds of parts as the lexicon's terms and variables."""
+    p = t(spark, d, "part").groupBy(F.col("p_name").alias("term"), F.col("p_type").alias("variable")).agg(F.avg(F.least(F.lit(1.0), F.col("p_retailprice") / 2000)).alias("prior_membership"))
+    return p.select("term", F.lit("part").alias("feature"), "variable", F.lit("high").alias("fuzzy_set"), "prior_membership", F.lit("bootstrap_prior").alias("current_status"), F.lit("pending").alias("review_status"))
+
+
+@query(f"WITH {TASKS} SELECT term, variable, expert_id, round(greatest(0, least(1, prior + s)), 6) AS score FROM tasks, {ROLES}")
 def panel_scores(spark, d):
-    return calibrate.panel(lexicon(spark)).select("term", "variable", "expert_id", "score")
+    return calibrate.panel(scoring_tasks(spark, d), "prior_membership").select("term", "variable", "expert_id", "score")
+
+
+PANEL = f"{TASKS}, scores AS (SELECT term, variable, round(greatest(0, least(1, prior + s)), 6) AS score FROM tasks, {ROLES}), done AS (SELECT term, variable, round(median(score), 6) AS prior_membership, round(greatest(0, least(1, 1 - stddev_samp(score) / 0.5)), 6) AS icc, count(*) AS score_count FROM scores GROUP BY ALL)"
+
+
+@query(f"WITH {PANEL} SELECT term, variable, prior_membership, icc, CASE WHEN icc >= 0.75 THEN 'expert_calibrated' ELSE 'expert_calibrated_low_icc' END AS status, 'llm_roleplay_reviewed' AS review_status, 'llm_roleplay_panel' AS calibration_source, score_count FROM done")
+def panel_calibration(spark, d):
+    return calibrate.panel_calibration(scoring_tasks(spark, d)).select("term", "variable", "prior_membership", "icc", "status", "review_status", "calibration_source", "score_count")
+
+
+@query(f"""WITH {TASKS}, e AS (SELECT p_name AS term, p_type AS variable, greatest(0, least(1, l_tax * 20)) AS score, l_suppkey AS expert FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1), r AS (SELECT term, variable, round(median(score), 6) AS m, round(avg(score), 6) AS mean, count(*) AS n, round(CASE WHEN count(DISTINCT expert) >= 2 THEN greatest(0, least(1, 1 - coalesce(stddev_samp(score), 0) / 0.5)) END, 6) AS icc FROM e GROUP BY ALL)
+SELECT term, variable, round(coalesce(m, prior), 6) AS prior_membership, mean AS expert_mean, CASE WHEN m IS NULL THEN 'bootstrap_prior' WHEN coalesce(icc, 1) >= 0.75 THEN 'expert_calibrated' ELSE 'expert_calibrated_low_icc' END AS status, CASE WHEN m IS NULL THEN 'pending' ELSE 'expert_reviewed' END AS review_status, n AS score_count FROM tasks LEFT JOIN r USING (term, variable)""")
+def calibrated_lexicon(spark, d):
+    p = t(spark, d, "part").select("p_partkey", F.col("p_name").alias("term"), F.col("p_type").alias("variable"))
+    scores = t(spark, d, "lineitem").where("l_linenumber = 1").join(p, F.col("l_partkey") == F.col("p_partkey")).select("term", "variable", F.lit("high").alias("fuzzy_set"), F.col("l_suppkey").alias("expert_id"), (F.col("l_tax") * 20).alias("score"))
+    r = calibrate.merge_calibration(scoring_tasks(spark, d), calibrate.calibration(calibrate.checked_scores(scores), ["term", "variable", "fuzzy_set"]))
+    return r.select("term", "variable", F.round("prior_membership", 6).alias("prior_membership"), "expert_mean", "status", "review_status", "score_count")
+
+
+@query(f"WITH o AS ({OBS}), lex AS (SELECT * FROM {LEX}), m AS (SELECT observation_id, feature_value, variable, fuzzy_set, membership, i FROM o JOIN lex ON term = CASE WHEN feature_value IN (SELECT term FROM lex) THEN feature_value ELSE standard_observation END) SELECT 'CAL_' || lpad(row_number() OVER (ORDER BY observation_id, variable)::VARCHAR, 6, '0') AS calibration_id, observation_id, feature_value, variable, membership AS model_membership FROM m")
+def calibration_template(spark, d):
+    o = observations(spark, d)
+    m = membership.memberships(o, lexicon(spark)).withColumns({c: F.lit(None).cast(k) for c, k in (("uncertainty_width", "double"), ("calculation_mode", "string"), ("status", "string"), ("icc", "double"))})
+    r = calibrate.calibration_template(m, o.withColumn("evidence_text", F.col("feature_value")), ["observation_id", "variable"])
+    return r.select("calibration_id", "observation_id", "feature_value", "variable", "model_membership")
 
 
 GOLD = f"gold AS (SELECT source_id, consequent_entity, expert FROM (SELECT l_orderkey AS source_id, 'bulk' AS consequent_entity, avg(l_tax) * 10 AS expert FROM lineitem GROUP BY 1))"
@@ -445,31 +508,31 @@ def overall_readiness(spark, d):
 
 # --- network ---
 
-NET = f"{SOURCE_LEVEL}"
+MEMBERS_OF = f"o AS ({OBS}), lex AS (SELECT * FROM {LEX}), m AS (SELECT observation_id, standard_observation, variable || '.' || fuzzy_set AS key, membership FROM o JOIN lex ON term = CASE WHEN feature_value IN (SELECT term FROM lex) THEN feature_value ELSE standard_observation END)"
+
 
+def relations(spark, d):
+    o = observations(spark, d).withColumns({"extraction_confidence": F.lit(1.0), "evidence_text": F.col("feature_value")})
+    m = membership.memberships(o, lexicon(spark)).withColumns({"variable_key": S.variable_key(F.col("variable"), F.col("fuzzy_set")), "membership_id": F.col("observation_id").cast("string")})
+    return network.relation_network(o, m, rules(spark).withColumn("rule_name", F.concat(F.lit("rule "), "rule_id")), fired_rows(spark, d), global_level(spark, d))
 
-@query(f"""WITH {SOURCE_LEVEL}, n AS (SELECT DISTINCT 0 AS prio, 'S' || source_id AS node_id, 'source' AS node_type, 'S' || source_id AS label FROM larsen WHERE status = 'fired' UNION ALL SELECT DISTINCT 1, rule_id, 'rule', rule_id FROM rules UNION ALL SELECT DISTINCT 2, consequent_entity, consequent_type, consequent_entity FROM rules UNION ALL SELECT 3, consequent_entity, 'global_conclusion', consequent_entity FROM global_level)
-SELECT node_id, node_type, label FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY prio, node_type) AS k FROM n) WHERE k = 1""")
+
+@query(f"""WITH {SOURCE_LEVEL}, {MEMBERS_OF}
+SELECT DISTINCT 'source:' || source_id AS node_id, 'source' AS node_type, source_id::VARCHAR AS label, NULL::VARCHAR AS rule_name FROM o UNION ALL SELECT DISTINCT 'observation:' || standard_observation, 'observation', standard_observation, NULL FROM o
+UNION ALL SELECT 'fuzzy_variable:' || key, 'fuzzy_variable', key, NULL FROM (SELECT key FROM m UNION SELECT key FROM ants) UNION ALL SELECT 'rule:' || rule_id, 'rule', rule_id, 'rule ' || rule_id FROM rules
+UNION ALL SELECT DISTINCT 'conclusion:' || consequent_entity, consequent_type, consequent_entity, NULL FROM rules UNION ALL SELECT 'global:' || consequent_entity, 'global_conclusion', consequent_entity, NULL FROM global_level""")
 def network_nodes(spark, d):
-    r, f = rules(spark), fired_rows(spark, d)
-    src = f.select(F.concat(F.lit("S"), F.col("source_id").cast("string")).alias("node_id")).distinct().select("node_id", F.lit("source").alias("node_type"), F.col("node_id").alias("label"))
-    rule = r.select(F.col("rule_id").alias("node_id"), F.lit("rule").alias("node_type"), F.col("rule_id").alias("label"))
-    cons = r.select(F.col("consequent_entity").alias("node_id"), F.col("consequent_type").alias("node_type"), F.col("consequent_entity").alias("label"))
-    whole = global_level(spark, d).select(F.col("consequent_entity").alias("node_id"), F.lit("global_conclusion").alias("node_type"), F.col("consequent_entity").alias("label"))
-    return network.nodes([src, rule, cons, whole])
-
-
-@query(f"""WITH {SOURCE_LEVEL}, o AS ({OBS}), lex AS (SELECT * FROM {LEX})
-SELECT source_id::VARCHAR AS source, standard_observation AS target, 'contains_observation' AS edge_type, 1.0::DOUBLE AS weight FROM o
-UNION ALL SELECT standard_observation, variable || '.' || fuzzy_set, 'maps_to_membership', membership FROM o JOIN lex ON term = CASE WHEN feature_value IN (SELECT term FROM lex) THEN feature_value ELSE standard_observation END
-UNION ALL SELECT key, rule_id, 'antecedent_of', weight FROM ants UNION ALL SELECT rule_id, consequent_entity, 'infers', rule_weight FROM rules
-UNION ALL SELECT source_id::VARCHAR, rule_id, 'activates_rule', activation FROM larsen WHERE status = 'fired'
-UNION ALL SELECT consequent_entity, 'GLOBAL:' || consequent_entity, 'aggregates_to_global', membership FROM global_level""")
+    return relations(spark, d)[0]
+
+
+@query(f"""WITH {SOURCE_LEVEL}, {MEMBERS_OF}
+SELECT 'source:' || source_id AS source, 'observation:' || standard_observation AS target, 'contains_observation' AS edge_type, 1.0::DOUBLE AS weight, feature_value AS evidence, NULL::DOUBLE AS threshold, NULL::VARCHAR AS review_status FROM o
+UNION ALL SELECT 'observation:' || standard_observation, 'fuzzy_variable:' || key, 'maps_to_membership', membership, observation_id::VARCHAR, NULL, NULL FROM m
+UNION ALL SELECT 'fuzzy_variable:' || key, 'rule:' || rule_id, 'antecedent_of', weight, NULL, threshold, NULL FROM ants UNION ALL SELECT 'rule:' || rule_id, 'conclusion:' || consequent_entity, 'infers', rule_weight, NULL, NULL, review_status FROM rules
+UNION ALL SELECT 'source:' || l.source_id, 'rule:' || rule_id, 'activates_rule', activation, coalesce((SELECT string_agg(key, ';' ORDER BY i) FROM ants a WHERE a.rule_id = l.rule_id), ''), NULL, NULL FROM larsen l WHERE status = 'fired'
+UNION ALL SELECT 'conclusion:' || consequent_entity, 'global:' || consequent_entity, 'aggregates_to_global', membership, evidence_count::VARCHAR, NULL, NULL FROM global_level""")
 def network_edges(spark, d):
-    o = observations(spark, d)
-    m = membership.memberships(o, lexicon(spark)).withColumns({"observation_key": F.col("standard_observation"), "variable_key": S.variable_key(F.col("variable"), F.col("fuzzy_set"))})
-    o = o.withColumns({"observation_key": S.observation_key(F.col("standard_observation"), F.col("feature"), F.col("feature_value")), "extraction_confidence": F.lit(1.0)})
-    return network.edges(o, m, rules(spark), fired_rows(spark, d), global_level(spark, d))
+    return relations(spark, d)[1]
 
 
 # --- resumable extraction ---
@@ -478,10 +541,10 @@ def network_edges(spark, d):
 def chunk_log(spark, d):
     """Turns of conversations as log records of three chunks a conversation."""
     c = t(spark, d, "conversations")
-    return c.select(F.col("conv_id").alias("source_id"), (F.col("turn") % 3).cast("int").alias("chunk_index"), F.col("turn").alias("seq"), F.md5(F.col("text").cast("binary")).alias("chunk_sha256"), F.when(F.col("role") == "user", "success").otherwise("error").alias("status"), F.substring("text", 1, 20).alias("error"))
+    return c.select(F.col("conv_id").alias("source_id"), (F.col("turn") % 3).cast("int").alias("chunk_index"), F.col("turn").alias("seq"), F.md5(F.col("text").cast("binary")).alias("chunk_sha256"), F.when(F.col("role") == "user", "success").otherwise("error").alias("status"), F.col("text").alias("error"))
 
 
-LOG = "log AS (SELECT conv_id AS source_id, (turn % 3)::INT AS chunk_index, turn AS seq, md5(text) AS chunk_sha256, CASE WHEN role = 'user' THEN 'success' ELSE 'error' END AS status, substring(text, 1, 20) AS error FROM conversations), latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, chunk_index ORDER BY (status = 'success') DESC, seq DESC, chunk_sha256 DESC) AS n FROM log) WHERE n = 1)"
+LOG = "log AS (SELECT conv_id AS source_id, (turn % 3)::INT AS chunk_index, turn AS seq, md5(text) AS chunk_sha256, CASE WHEN role = 'user' THEN 'success' ELSE 'error' END AS status, text AS error FROM conversations), latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, chunk_index ORDER BY (status = 'success') DESC, seq DESC, chunk_sha256 DESC) AS n FROM log) WHERE n = 1)"
 
 
 @query(f"WITH {LOG} SELECT source_id, chunk_index, seq, status, chunk_sha256 FROM latest")
@@ -501,17 +564,23 @@ def chunk_pending(spark, d):
 @query(f"""WITH {LOG}, p AS (SELECT source_id, count(*) AS chunks FROM (SELECT DISTINCT source_id, chunk_index, chunk_sha256 FROM log) GROUP BY 1)
 SELECT source_id, any_value(chunks) AS chunks, count(*) FILTER (WHERE status = 'success') AS ok, count(*) FILTER (WHERE status <> 'success') AS failed,
 CASE WHEN count(*) FILTER (WHERE status = 'success') > 0 AND count(*) FILTER (WHERE status <> 'success') > 0 THEN 'partial_success' WHEN count(*) FILTER (WHERE status <> 'success') > 0 THEN 'error' ELSE 'success' END AS status,
-coalesce(string_agg(error, ' | ' ORDER BY chunk_index) FILTER (WHERE status <> 'success'), '') AS errors FROM latest JOIN p USING (source_id) GROUP BY 1""")
+substring(coalesce(string_agg(substring(error, 1, 300), ' | ' ORDER BY chunk_index) FILTER (WHERE status <> 'success'), ''), 1, 1000) AS errors FROM latest JOIN p USING (source_id) GROUP BY 1""")
 def source_progress(spark, d):
     return chunks.source_progress(planned(spark, d), chunk_log(spark, d))
 
 
-@query()
+@query(r"""WITH RECURSIVE docs AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM documents WHERE text IS NOT NULL), cut AS (
+  SELECT doc_id, 0 AS a, CASE WHEN length(text) <= 1800 THEN length(text) END AS b, length(text) AS n, 0 AS k FROM docs WHERE text <> ''
+  UNION ALL SELECT doc_id, CASE WHEN b IS NULL THEN a ELSE greatest(a + 1, b - 80) END, CASE WHEN b IS NULL THEN e WHEN n - greatest(a + 1, b - 80) <= 1800 THEN n END, n, k + 1
+  FROM (SELECT c.*, CASE WHEN b IS NULL THEN a + 600 + CASE WHEN contains(seg, chr(10)) THEN length(regexp_extract(seg, '(?s)^(.*)\n', 1)) WHEN regexp_matches(seg, '[。；;.]') THEN length(regexp_extract(seg, '(?s)^.*[。；;.]')) ELSE 1200 END END AS e
+    FROM (SELECT cut.*, CASE WHEN b IS NULL THEN substring(text, a + 601, 1200) END AS seg FROM cut JOIN docs USING (doc_id) WHERE b IS NULL OR b < n) c)
+), spans AS (SELECT doc_id, a, regexp_replace(substring(text, a + 1, b - a), '^\s+|\s+$', '', 'g') AS chunk FROM cut JOIN docs USING (doc_id) WHERE b IS NOT NULL)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY a))::INT AS chunk_index, (count(*) OVER (PARTITION BY doc_id))::INT AS chunk_total, chunk, sha256(chunk) AS chunk_sha256 FROM spans WHERE chunk <> ''""")
 def split_text_chunks(spark, d):
     return chunks.plan_chunks(t(spark, d, "documents"), "doc_id", size=1800, overlap=80)
 
 
-@query()
+@query("SELECT event_id, 0 AS row, 'kind' AS feature, event_type AS feature_value, '' AS evidence_text, 1.0::DOUBLE AS extraction_confidence FROM events")
 def json_recovery(spark, d):
     e = t(spark, d, "events").select("event_id", F.concat(F.lit("<think>no</think>```json\n{\"items\": [{\"feature\": \"kind\", \"feature_value\": \""), F.col("event_type"), F.lit("\", \"extraction_confidence\": 2},]}\n```")).alias("answer"))
     return extract.answers_to_rows(e, ["kind"])
@@ -561,6 +630,146 @@ def entry(spark: SparkSession, d: str) -> DataFrame:
     return aggregate.noisy_or(traditions, spark.createDataFrame([("en", 0.5)], "tradition_id string, delta double"))
 
 
-@query()
+@query(f"""WITH {EXTRACT}, has AS (SELECT doc_id, max(0.9) FILTER (WHERE feature_value = 'english') AS e, max(0.7) FILTER (WHERE feature_value = 'que') AS q, max(0.8) FILTER (WHERE feature_value = 'tion') AS l FROM found GROUP BY 1), fired AS (
+  SELECT doc_id, 'prose' AS consequent_entity, round(0.9 * pow(e, 0.6) * pow(l, 0.4), 6) AS mu FROM has WHERE e >= 0.5 AND l >= 0.5 UNION ALL SELECT doc_id, 'romance', round(0.8 * q, 6) FROM has WHERE q >= 0.5
+), tr AS (SELECT lang, consequent_entity, round(avg(mu), 6) AS mu, count(*) AS n, CASE WHEN lang = 'en' THEN 0.5 ELSE 1.0 END AS delta FROM fired JOIN documents USING (doc_id) GROUP BY ALL)
+SELECT consequent_entity, round(greatest(0, least(1, 1 - product(1 - delta * mu))), 6) AS membership, sum(n)::BIGINT AS evidence_count, count(*) AS tradition_count, string_agg(delta::DOUBLE::VARCHAR, ',' ORDER BY lang) AS delta_values FROM tr GROUP BY 1""")
 def documents_to_conclusions(spark, d):
-    return entry(spark, d)
+    return entry(spark, d).withColumn("delta_values", F.array_join(F.transform("delta_values", lambda x: x.cast("string")), ","))
+
+
+# --- rules, patterns and reports of a build ---
+
+
+PATTERN_CONFIG = {"max_size": 3, "min_support": 0.005, "min_lift": 0.9, "min_pmi": -1.0, "min_source_count": 5, "min_tradition_count": 2, "max_source_ids_per_pattern": 7}
+
+
+def part_observations(spark, d):
+    """Kinds of parts as observations of their orders."""
+    p = t(spark, d, "part").select("p_partkey", "p_type", "p_brand")
+    status = F.when(F.col("l_linenumber") % 2 == 1, "mapped").otherwise("")
+    return t(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("source_id"), F.concat(F.lit(" "), F.upper("p_type")).alias("observation_key"), status.alias("mapping_status"), F.col("p_brand").alias("evidence_text"), F.col("l_linenumber").alias("seq"))
+
+
+def mined(spark, d):
+    return patterns.mine_patterns(part_observations(spark, d), sources_meta(spark, d), PATTERN_CONFIG)
+
+
+MINED = f"""{META}, total AS (SELECT count(*)::DOUBLE AS total FROM orders), baskets AS (SELECT DISTINCT l_orderkey AS source_id, lower(p_type) AS item FROM lineitem JOIN part ON l_partkey = p_partkey), singles AS (SELECT item, count(*) AS n FROM baskets GROUP BY 1), occ AS (
+  SELECT a.source_id, [a.item, b.item] AS items FROM baskets a JOIN baskets b ON a.source_id = b.source_id AND a.item < b.item UNION ALL SELECT a.source_id, [a.item, b.item, c.item] FROM baskets a JOIN baskets b ON a.source_id = b.source_id AND a.item < b.item JOIN baskets c ON a.source_id = c.source_id AND b.item < c.item
+), counted AS (SELECT items, len(items) AS size, count(*) AS c, count(DISTINCT book_name) AS book_count, count(DISTINCT tradition_id) AS tradition_count FROM occ JOIN meta USING (source_id) GROUP BY items), chances AS (
+  SELECT items, product(n / total) AS chance, min(n) AS least, sum(n) AS s FROM (SELECT DISTINCT items, unnest(items) AS item FROM counted) JOIN singles USING (item), total GROUP BY items
+), kept AS (SELECT counted.*, c / total AS support, c / total / chance AS lift, c / least AS confidence, c / greatest(1, s - c) AS jaccard FROM counted JOIN chances USING (items), total WHERE c >= greatest(5, ceil(total * 0.005)) AND c / total / chance >= 0.9 AND log2(c / total / chance) >= -1 AND tradition_count >= 2
+), mined AS (SELECT *, 'PATTERN_' || lpad(row_number() OVER (ORDER BY c DESC, lift DESC, size, items)::VARCHAR, 6, '0') AS pattern_id FROM kept)"""
+
+
+@query(f"""WITH {MINED}, tn AS (SELECT items, tradition_id, count(*)::DOUBLE AS n FROM occ JOIN meta USING (source_id) GROUP BY ALL), te AS (SELECT items, CASE WHEN count(*) <= 1 THEN 0 ELSE (ln(sum(n)) - sum(n * ln(n)) / sum(n)) / ln(count(*)) END AS entropy FROM tn GROUP BY 1), ids AS (SELECT items, string_agg(source_id::VARCHAR, ',' ORDER BY source_id) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY items ORDER BY source_id) AS k FROM occ) WHERE k <= 7 GROUP BY 1)
+SELECT pattern_id, array_to_string(items, '|') AS items, size::INT AS size, c AS source_count, round(support, 6) AS support, round(lift, 6) AS lift, round(log2(lift), 6) AS pmi, round(confidence, 6) AS confidence, round(jaccard, 6) AS jaccard, book_count, tradition_count, round(book_count / c, 6) AS source_diversity, round(entropy, 6) AS tradition_entropy, ids AS source_ids, 'pending' AS review_status FROM mined JOIN te USING (items) JOIN ids USING (items)""")
+def mined_patterns(spark, d):
+    m = mined(spark, d)
+    return m.select("pattern_id", F.array_join("items", "|").alias("items"), "size", "source_count", "support", "lift", "pmi", "confidence", "jaccard", "book_count", "tradition_count", "source_diversity", "tradition_entropy", F.array_join(F.transform("source_ids", lambda x: x.cast("string")), ",").alias("source_ids"), "review_status")
+
+
+@query(f"""WITH {MINED}, ev AS (SELECT pattern_id, source_id, list_position(items, lower(p_type)) AS pos, l_linenumber AS seq, p_brand FROM mined JOIN occ USING (items) JOIN lineitem ON l_orderkey = source_id JOIN part ON l_partkey = p_partkey WHERE list_contains(items, lower(p_type))), firsts AS (SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY pattern_id ORDER BY source_id) AS k FROM ev) WHERE k <= 5), uniq AS (SELECT pattern_id, source_id, p_brand, min(pos * 1000 + seq) AS o FROM firsts GROUP BY ALL), txt AS (SELECT pattern_id, source_id, source_id || ': ' || string_agg(p_brand, '；' ORDER BY o, p_brand) AS txt FROM uniq GROUP BY pattern_id, source_id)
+SELECT pattern_id, string_agg(txt, ' / ' ORDER BY source_id) AS evidence FROM txt GROUP BY 1""")
+def pattern_evidence(spark, d):
+    return mined(spark, d).select("pattern_id", F.array_join("representative_evidence", " / ").alias("evidence"))
+
+
+@query(f"WITH {MINED}, s AS (SELECT lower(p_type) AS item, CASE WHEN l_linenumber % 2 = 1 THEN 'mapped' ELSE 'unknown' END AS status, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey JOIN meta ON source_id = l_orderkey GROUP BY ALL) SELECT pattern_id, item, status, n FROM (SELECT pattern_id, unnest(items) AS item FROM mined) JOIN s USING (item)")
+def pattern_mapping_status(spark, d):
+    m = mined(spark, d).select("pattern_id", F.explode("mapping_status_summary").alias("item", "counts"))
+    return m.select("pattern_id", "item", F.explode("counts").alias("status", "n"))
+
+
+@query(f"WITH {MINED}, e AS (SELECT unnest(items) AS item, pattern_id, round(lift, 6) AS lift, c FROM mined) SELECT item, pattern_id, place FROM (SELECT *, (row_number() OVER (PARTITION BY item ORDER BY lift DESC, c DESC, pattern_id))::INT AS place FROM e) WHERE place <= 10")
+def patterns_of_items(spark, d):
+    return report.patterns_of_items(mined(spark, d)).select("item", "pattern_id", "place")
+
+
+@query(f"WITH {MINED}, {REVIEWED} SELECT pattern_id AS artifact_id, 'candidate_pattern' AS artifact_type, 'pending' AS lifecycle_state, 'observation_itemset' AS created_from, 'expert_reviewed_pattern' AS next_expected_state FROM mined UNION ALL SELECT rule_id, 'rule', review_status, 'P' || s_suppkey, CASE WHEN review_status = 'expert_verified' THEN 'active_rule' ELSE 'expert_review_or_monitoring' END FROM reviewed WHERE has_antecedents AND consequent_entity IS NOT NULL AND lower(trim(coalesce(expert_decision, 'accepted'))) NOT IN ('pending', 'reject', 'rejected', '否', '不通过')")
+def rule_lifecycle(spark, d):
+    return rule_rows.lifecycle(mined(spark, d), rule_rows.build_rules(reviewed_rows(spark, d))).select("artifact_id", "artifact_type", "lifecycle_state", "created_from", "next_expected_state")
+
+
+@query(f"WITH {MINED} SELECT pattern_id, size::INT AS size, 'pending' AS expert_decision, '[]' AS antecedents_json, '' AS suggested_consequent, 'pending' AS review_status FROM mined")
+def review_template(spark, d):
+    return rule_rows.review_template(mined(spark, d)).select("pattern_id", "size", "expert_decision", "antecedents_json", "suggested_consequent", "review_status")
+
+
+def chapter_rows(spark, d):
+    """Documents under other names, as a table to be normalized."""
+    return t(spark, d, "documents").select(F.concat(F.lit("D"), "doc_id").alias("编号"), F.when(F.col("doc_id") % 3 > 0, F.col("source")).alias("Book"), (F.col("n_chars") + 0.5).cast("string").alias("序号"), F.when(F.col("doc_id") % 10 > 0, F.col("text")).otherwise(" ").alias("正文"), F.col("lang").alias("学术传统"), F.lit("x").alias("other"))
+
+
+@query("SELECT 'D' || doc_id AS source_id, CASE WHEN doc_id % 3 > 0 THEN source ELSE 'corpus' END AS book_name, n_chars::INT AS chapter_order, '古籍章节' AS text_type, lang AS tradition_id, 0.8::DOUBLE AS source_authority, md5(trim(text)) AS text FROM documents WHERE doc_id % 10 > 0 AND trim(text) <> ''")
+def normalized_chapters(spark, d):
+    kept, _ = tables.normalize(chapter_rows(spark, d), "corpus")
+    return kept.select("source_id", "book_name", "chapter_order", "text_type", "tradition_id", "source_authority", F.md5(F.col("text_original").cast("binary")).alias("text"))
+
+
+@query("SELECT 'D' || doc_id AS source_id, coalesce(CASE WHEN doc_id % 3 > 0 THEN source END, 'uncertain') AS book_name, n_chars::INT AS chapter_order, lang AS tradition_id, round(0.5, 6) AS quality, length(CASE WHEN doc_id % 10 > 0 THEN trim(text) ELSE '' END) AS chars FROM documents")
+def source_metadata(spark, d):
+    c = tables.chapters(chapter_rows(spark, d).withColumnRenamed("Book", "book").withColumnRenamed("学术传统", "传统"))
+    return c.select("source_id", "book_name", "chapter_order", "tradition_id", F.round("quality", 6).alias("quality"), F.length(extract.chosen_text()).cast("long").alias("chars"))
+
+
+@query("SELECT tradition, line, count(*) AS n FROM (SELECT coalesce(lang, 'uncertain') AS tradition, '- ' || source || ' ' || n_chars AS line FROM documents) GROUP BY ALL")
+def tradition_pages(spark, d):
+    """Lines of the traditions' pages; long lists take several pages."""
+    src = t(spark, d, "documents").select(F.coalesce("lang", F.lit("uncertain")).alias("tradition_id"), F.col("source").alias("book_name"), F.col("n_chars").cast("string").alias("chapter_title"), F.col("doc_id").alias("source_id"))
+    levels = spark.createDataFrame([], "level string, tradition_id string, consequent_entity string, membership double, evidence_count long")
+    lines = report.tradition_pages(src, levels).select(F.regexp_extract("path", "traditions/([a-z]+)", 1).alias("tradition"), F.explode(F.split("body", "\n")).alias("line"))
+    return lines.where("line LIKE '- %'").groupBy("tradition", "line").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'SMB' AS metric, round(avg(CASE WHEN known THEN 0.5 ELSE 0 END), 6) AS value, count(*) AS n FROM (SELECT p_partkey % 4 > 0 AS known FROM part)")
+def smb(spark, d):
+    p = t(spark, d, "part")
+    entities = p.where("p_partkey % 4 > 0").select(F.col("p_partkey").cast("string").alias("entity_name"), F.concat("p_type", F.lit("；"), "p_brand").alias("modern_mapping"))
+    return evaluate.mapping_overlap(entities, p.select(F.col("p_partkey").cast("string").alias("entity_name"), F.concat("p_type", F.lit(" | none")).alias("expected_modern_mapping"))).select("metric", "value", "n")
+
+
+@query("SELECT 'SMB-coverage-proxy' AS metric, round(count(*) FILTER (WHERE p_partkey % 4 > 0) / count(*), 6) AS value, count(*) AS n, 'proxy' AS status FROM part")
+def smb_coverage(spark, d):
+    return evaluate.mapping_coverage(t(spark, d, "part").select(F.when(F.col("p_partkey") % 4 > 0, F.col("p_type")).otherwise(" ").alias("modern_mapping"))).select("metric", "value", "n", "status")
+
+
+@query("SELECT 'FIA-chain' AS metric, round(avg(l_discount * 5), 6) AS value, count(*) AS n FROM lineitem WHERE l_linenumber < 7")
+def fia_chain(spark, d):
+    return evaluate.chain_overlap(t(spark, d, "lineitem").select(F.when(F.col("l_linenumber") < 7, F.col("l_discount") * 5).alias("path_overlap"))).select("metric", "value", "n")
+
+
+def logged(spark, d):
+    return chunk_log(spark, d).withColumns({"attempt": F.lit(1), "observations": F.array_repeat(F.struct(F.lit("f").alias("feature")), (F.col("seq") % 4).cast("int"))})
+
+
+@query(f"WITH {LOG} SELECT source_id, chunk_index, error FROM latest WHERE status <> 'success'")
+def chunk_errors(spark, d):
+    return chunks.errors(chunks.latest_records(logged(spark, d))).select("source_id", "chunk_index", "error")
+
+
+@query(f"WITH {LOG}, p AS (SELECT DISTINCT source_id, chunk_index, chunk_sha256 FROM log) SELECT count(DISTINCT p.source_id) AS sources, count(*) AS chunks, count(*) FILTER (WHERE status = 'success') AS done, count(*) FILTER (WHERE status <> 'success') AS failed, 0::BIGINT AS pending, coalesce(sum(seq % 4) FILTER (WHERE status = 'success'), 0)::BIGINT AS observations FROM p JOIN latest USING (source_id, chunk_index)")
+def extraction_report(spark, d):
+    return chunks.extraction_report(planned(spark, d), logged(spark, d))
+
+
+@query(f"WITH {STANDARD}, o AS (SELECT *, row_number() OVER (ORDER BY doc_id, pattern_idx) AS k FROM std WHERE mapping_status <> 'mapped' AND extraction_confidence >= 0.85), c AS (SELECT count(*) FILTER (WHERE mapping_status = 'mapped') / count(*) AS share FROM std) SELECT doc_id || '/' || pattern_idx AS item, 'warning' AS severity, 'high_confidence_unmapped_observation' AS code FROM o WHERE k <= 20 UNION ALL SELECT 'membership', 'warning', 'low_membership_coverage' FROM c WHERE share < 0.70")
+def coverage_findings(spark, d):
+    o = extract.standardize(extracted(spark, d), MAPPING).withColumn("observation_id", F.concat_ws("/", "doc_id", "pattern_idx"))
+    return validate.coverage_findings(o, o.where("mapping_status = 'mapped'"), ["doc_id", "pattern_idx"])
+
+
+@query(f"SELECT o_custkey::VARCHAR AS item, 'error' AS severity, 'duplicate_source_id' AS code FROM orders GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT o_custkey::VARCHAR, 'error', 'missing_text' FROM orders WHERE o_orderkey % 50 = 0 UNION ALL SELECT o_custkey::VARCHAR, 'warning', 'uncertain_metadata' FROM orders WHERE o_orderstatus = 'P'".replace("GROUP BY 1", "GROUP BY o_custkey"))
+def source_findings(spark, d):
+    src = t(spark, d, "orders").select("o_custkey", F.when(F.col("o_orderkey") % 50 > 0, F.col("o_orderpriority")).alias("text"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("status"))
+    return validate.source_findings(src, "o_custkey", ["text"], validate.uncertain_metadata(src, "o_custkey", ["status"]))
+
+
+@query(f"WITH n AS (SELECT count(*) AS w FROM ({UNC})) SELECT CASE WHEN w > 0 THEN 'research_ready_with_caveats' ELSE 'research_ready_with_caveats' END AS verdict, 0::BIGINT AS validation_errors, w + CASE WHEN w > 0 THEN 1 ELSE 0 END AS validation_warnings, 1::BIGINT AS implemented_mvp_capabilities, 1::BIGINT AS metrics_needing_gold_standard FROM n")
+def completion_assessment(spark, d):
+    docs = t(spark, d, "documents")
+    found = validate.overall(validate.union(validate.source_findings(docs, "doc_id", ["text"], uncertain(spark, d)), validate.sample_findings(docs)))
+    one = docs.agg(F.count("*").alias("source_count")).withColumns({"observation_count": F.lit(0), "coverage": F.lit(1.0)})
+    metrics = evaluate.needs_gold(spark, "FCR", "expert_memberships.csv", "")
+    return assess.assessment(found, assess.capabilities(spark, one), metrics).select("verdict", "validation_errors", "validation_warnings", "implemented_mvp_capabilities", "metrics_needing_gold_standard")

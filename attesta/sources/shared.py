@@ -6,7 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -48,3 +48,13 @@ def drop(df: DataFrame) -> None:
             raise ValueError(f"not a table of this library: {folder}")
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows up to which a table counts as small.
+SMALL_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df`` to be broadcast, if a look at no more than ``rows`` of its rows
+    shows that it has no more; else as it is, and the engine picks the join."""
+    return F.broadcast(df) if df.select(F.lit(1)).limit(rows + 1).count() <= rows else df

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import filled, first_filled, split_tags
+from ..operators.extract import number, number_as_read
 
 #: Names under which each column may come (fixed values of the input format).
 ALIASES = {
@@ -30,6 +31,10 @@ ALIASES = {
 }
 EMPTY_BY_DEFAULT = ("text_punctuated", "text_modern", "chapter_summary", "notes")
 QUALITY = ("source_authority", "text_integrity", "semantic_clarity")
+#: What the normalizer puts where a text is missing (fixed values); elsewhere ``uncertain``.
+DEFAULTS = {"text_type": "古籍章节", "topic_hint": "中医古籍", "notes": "", "text_family": "古籍章节", "text_punctuated": "", "text_modern": "", "chapter_summary": ""}
+#: Columns of a normalized table, in order (fixed values).
+COLUMNS = ["source_id", "book_name", "volume_name", "chapter_title", "chapter_order", "dynasty", "author", "text_original", "text_punctuated", "text_modern", "chapter_summary", "text_type", "topic_hint", "notes", "school_tag", "region_tag", "tradition_id", "text_family", "citation_family", *QUALITY]
 
 
 def read_chapters(spark: SparkSession, path: str) -> DataFrame:
@@ -40,18 +45,19 @@ def read_chapters(spark: SparkSession, path: str) -> DataFrame:
         raw = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
     else:
         raise ValueError(f"neither .csv nor .parquet: {path}")
-    return chapters(raw)
+    mark = [c for c in raw.columns if c.startswith("﻿")]
+    return chapters(raw.withColumnRenamed(mark[0], mark[0][1:]) if mark else raw)
 
 
 def chapters(raw: DataFrame) -> DataFrame:
     """One row per source with all columns, whatever names they came under.
     Without any column for the text, the longest cell of those not recognised
-    counts. Blank ids become SRC_ and the row's number."""
+    counts. Blank ids become SRC_ and the row's number; ``source_seq`` is that
+    number less one."""
     have = {t: [F.col(f"`{n}`") for n in names if n in raw.columns] for t, names in ALIASES.items()}
     used = {n for names in ALIASES.values() for n in names}
     rest = [c for c in raw.columns if c not in used and c not in QUALITY]
-    seq = F.monotonically_increasing_id()  # order of one file, read as one split
-    d = raw.withColumn("source_seq", seq)
+    d = number_as_read(raw, "__row").withColumn("source_seq", F.col("__row") - 1)
     cols = {}
     for t, c in have.items():
         cols[t] = first_filled(c, "" if t in EMPTY_BY_DEFAULT or t.startswith("text_o") else "uncertain")
@@ -76,28 +82,30 @@ def pick_column(columns: list[str], names: list[str]) -> str | None:
     return next((c for n in names for c in columns if n.lower() in c.lower()), None)
 
 
-def normalize(raw: DataFrame, book: str, preserve_quality: bool = False) -> tuple[DataFrame, dict]:
-    """A table of recognised columns in fixed order, and a report. Blank ids,
-    titles and orders are filled from the position, rows without text go,
-    repeated ids are reported, quality is 0.8 unless preserved."""
+def normalize(raw: DataFrame, book: str, preserve_quality: bool = False, defaults: dict[str, str] = DEFAULTS) -> tuple[DataFrame, dict]:
+    """A table of recognised columns in fixed order, and a report. Without a
+    column for the text the one of longest texts counts. Blank ids and titles
+    are filled from the position, blank orders are numbered among themselves,
+    other blanks get their default, rows without text go, repeated ids are
+    counted, quality is 0.8 unless preserved."""
     picked = {t: pick_column(raw.columns, names) for t, names in ALIASES.items()}
-    d = raw.withColumn("__seq", F.monotonically_increasing_id())
+    d = number_as_read(raw, "__seq")
     if picked["text_original"] is None:
         free = [c for c in raw.columns if c not in picked.values()]
-        if free:
-            size = d.agg(*[F.struct(F.coalesce(F.avg(F.length(F.col(f"`{c}`").cast("string"))), F.lit(0.0)).alias("m"), F.coalesce(F.max(F.length(F.col(f"`{c}`").cast("string"))), F.lit(0)).alias("x"), F.lit(c).alias("c")).alias(f"s{i}") for i, c in enumerate(free)]).first()
-            picked["text_original"] = max(size)["c"]
+        if not free:
+            raise ValueError("no column holds the text")
+        size = d.agg(*[F.struct(F.coalesce(F.avg(F.length(F.col(f"`{c}`").cast("string"))), F.lit(0.0)).alias("m"), F.coalesce(F.max(F.length(F.col(f"`{c}`").cast("string"))), F.lit(0)).alias("x"), F.lit(c).alias("c")).alias(f"s{i}") for i, c in enumerate(free)]).first()
+        picked["text_original"] = max(size)["c"]
     col = lambda t: filled(F.col(f"`{picked[t]}`")) if picked[t] else F.lit(None).cast("string")
-    out = {t: F.coalesce(col(t), F.lit("" if t in EMPTY_BY_DEFAULT else "uncertain")) for t in ALIASES}
-    out["source_id"] = F.coalesce(col("source_id"), F.format_string("SRC_%06d", F.col("__seq") + 1))
+    out = {t: F.coalesce(col(t), F.lit(defaults.get(t, "uncertain"))) for t in ALIASES}
+    out["source_id"] = F.coalesce(col("source_id"), F.format_string("SRC_%06d", F.col("__seq")))
     out["book_name"] = F.coalesce(col("book_name"), F.lit(book))
-    out["chapter_title"] = F.coalesce(col("chapter_title"), F.format_string("chapter_%06d", F.col("__seq") + 1))
+    out["chapter_title"] = F.coalesce(col("chapter_title"), F.format_string("chapter_%06d", F.col("__seq")))
     out["text_original"] = F.coalesce(col("text_original"), F.lit(""))
     order = col("chapter_order").try_cast("double").try_cast("int")
     d = d.select("__seq", order.alias("__order"), *[c.alias(t) for t, c in out.items() if t != "chapter_order"], *[(F.col(q) if preserve_quality and q in raw.columns else F.lit(0.8)).alias(q) for q in QUALITY])
-    fill = F.sum(F.col("__order").isNull().cast("int")).over(Window.orderBy("__seq"))  # one file, in its order
-    d = d.withColumn("chapter_order", F.coalesce("__order", fill).cast("int")).drop("__order")
-    kept = d.where("text_original <> ''")
-    report = {"rows_in": d.count(), "rows_out": kept.count(), "duplicate_ids": kept.groupBy("source_id").count().where("count > 1").count(), "columns": picked}
-    names = ["source_id", "book_name", "volume_name", "chapter_title", "chapter_order", "dynasty", "author", "text_original", "text_punctuated", "text_modern", "chapter_summary", "text_type", "topic_hint", "notes", "school_tag", "region_tag", "tradition_id", "text_family", "citation_family", *QUALITY]
-    return kept.select(*names), report
+    fill = number(d.where("__order IS NULL").select("__seq"), ["__seq"], "__fill")
+    d = d.join(fill, "__seq", "left").withColumn("chapter_order", F.coalesce("__order", F.col("__fill").cast("int")))
+    by_id = d.groupBy("source_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("text_original") != "", 1)).alias("kept"))
+    n = by_id.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows_in"), F.coalesce(F.sum("kept"), F.lit(0)).alias("rows_out"), F.count(F.when(F.col("kept") > 1, 1)).alias("duplicate_ids")).first()
+    return d.where("text_original <> ''").select(*COLUMNS), {**n.asDict(), "columns": picked}

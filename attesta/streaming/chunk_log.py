@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,14 +18,23 @@ def read_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def keep_latest(log: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
-    """Merge each batch into the state: a table per batch number, named by it,
-    so a batch that runs again writes the same table."""
+    """Add the latest records of each batch to the state. A batch's part is
+    named by checkpoint and number, so a batch that runs again writes the same
+    part, and a new checkpoint over an old state only adds to it; records
+    that come twice don't change what ``current`` reads."""
+    name = hashlib.md5(checkpoint.encode()).hexdigest()[:8]
+
+    def add(batch: DataFrame, number: int) -> None:
+        latest_records(batch).write.mode("overwrite").parquet(f"{state}/part={name}-{number}")
+
+    return log.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, state: str) -> DataFrame:
+    """The record that counts of each chunk, over all parts of the state."""
+    return latest_records(spark.read.schema(LOG).parquet(state))
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = latest_records(batch)
-        if number:
-            new = latest_records(spark.read.schema(batch.schema).parquet(f"{state}/{number - 1}").unionByName(new))
-        new.write.mode("overwrite").parquet(f"{state}/{number}")
 
-    return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def compact(spark: SparkSession, state: str, to: str) -> None:
+    """What counts of a state as one part of a new one."""
+    current(spark, state).write.mode("overwrite").parquet(f"{to}/part=whole")

@@ -25,16 +25,13 @@ def db():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - {"apriori_levels"}))
+@pytest.mark.parametrize("name", sorted(plans.QUERIES))
 def test_query(spark, db, name):
     got = plans.QUERIES[name](spark, SF).toPandas()
-    if name in plans.ORACLES:
-        want = db.sql(plans.ORACLES[name]).df()
-        assert sorted(got.columns) == sorted(want.columns)
-        rows = lambda d: sorted(str([None if v is None or v is pd.NA or v != v else float(v) if isinstance(v, (int, float, np.number)) else v for v in r]) for r in d[sorted(d.columns)].astype(object).values.tolist())
-        assert rows(got) == rows(want)
-    else:
-        assert len(got)
+    want = db.sql(plans.ORACLES[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = lambda d: sorted(str([None if v is None or v is pd.NA or v != v else float(v) if isinstance(v, (int, float, np.number)) else v for v in r]) for r in d[sorted(d.columns)].astype(object).values.tolist())
+    assert rows(got) == rows(want)
 
 
 def test_entry(spark):
