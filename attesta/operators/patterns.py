@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalars import normal_item
-from ..sources.shared import small, written
+from ..sources.shared import written
 from . import mining
 from .extract import number
 
@@ -27,9 +27,10 @@ TOP_SMALL = 1000
 
 def items_of(observations: DataFrame) -> DataFrame:
     """``observations`` with the normal form of their key as ``item``. Only
-    different keys pass through Python."""
-    keys = observations.select("observation_key").distinct().select("observation_key", normal_item(F.col("observation_key")).alias("item"))
-    return observations.join(small(keys), "observation_key").where("item <> ''")
+    different keys pass through Python; they are written, so that the engine
+    knows how many there are."""
+    keys = written(observations.select("observation_key").distinct().select("observation_key", normal_item(F.col("observation_key")).alias("item")), "keys")
+    return observations.join(keys, "observation_key").where("item <> ''")
 
 
 def hints(items, rules=HINTS):
@@ -60,14 +61,14 @@ def mine_patterns(observations: DataFrame, sources: DataFrame, config: dict[str,
     top, cap = int(c.get("top_k_patterns", TOP_SMALL if exploratory else 0)), max(0, int(c["max_source_ids_per_pattern"]))
     known = written(items_of(observations).join(meta.select("source_id"), "source_id", "left_semi").select("source_id", "item", F.coalesce(F.nullif("mapping_status", F.lit("")), F.lit("unknown")).alias("mapping_status"), "evidence_text", "seq"), "items")
     baskets = known.select("source_id", "item").distinct()
-    singles = mining.item_counts(baskets)
+    singles = written(mining.item_counts(baskets), "singles")
     levels, occurrences = mining.itemset_levels(baskets, least, int(c["max_size"]), int(c["max_pair_candidates"]), int(c["max_join_candidates"]))
     m = mining.pattern_metrics(levels, singles, n)
     two = F.col("size") == 2
     pair = [F.when(two, F.element_at("items", k)).alias(f"i{k}") for k in (1, 2)]
     m = m.select("*", *pair)
     for k in (1, 2):
-        m = m.join(small(singles.select(F.col("item").alias(f"i{k}"), F.col("n").alias(f"n{k}"))), f"i{k}", "left")
+        m = m.join(singles.select(F.col("item").alias(f"i{k}"), F.col("n").alias(f"n{k}")), f"i{k}", "left")
     p = mining.fisher_greater(*[F.col(x).cast("double") for x in ("source_count", "n1", "n2")], F.lit(float(n)))
     m = m.withColumn("fisher_p", F.when(two, p) if c["fisher_test"] else F.lit(None).cast("double"))
     m = m.where(mining.passes(float(c["min_lift"]), float(c["min_pmi"]), c["fisher_p_max"], F.col("fisher_p"))).drop("i1", "i2", "n1", "n2")

@@ -399,13 +399,13 @@ def calibration_stats(spark, d):
     return calibrate.calibration(t(spark, d, "events").select("event_type", "user_id", (F.col("value") / 100).alias("score")), ["event_type"], expert="user_id")
 
 
-TASKS = "tasks AS (SELECT p_name AS term, p_type AS variable, 'high' AS fuzzy_set, avg(least(1, p_retailprice / 2000)) AS prior FROM part GROUP BY ALL)"
+TASKS = "tasks AS (SELECT p_name AS term, p_type AS variable, 'high' AS fuzzy_set, min(least(1, p_retailprice / 2000)) AS prior FROM part GROUP BY ALL)"
 ROLES = values([(k, v) for k, v in calibrate.ROLE_SHIFTS.items()], "expert_id, s")
 
 
 def scoring_tasks(spark, d):
     """Names and kinds of parts as the lexicon's terms and variables."""
-    p = t(spark, d, "part").groupBy(F.col("p_name").alias("term"), F.col("p_type").alias("variable")).agg(F.avg(F.least(F.lit(1.0), F.col("p_retailprice") / 2000)).alias("prior_membership"))
+    p = t(spark, d, "part").groupBy(F.col("p_name").alias("term"), F.col("p_type").alias("variable")).agg(F.min(F.least(F.lit(1.0), F.col("p_retailprice") / 2000)).alias("prior_membership"))
     return p.select("term", F.lit("part").alias("feature"), "variable", F.lit("high").alias("fuzzy_set"), "prior_membership", F.lit("bootstrap_prior").alias("current_status"), F.lit("pending").alias("review_status"))
 
 
@@ -708,7 +708,7 @@ def normalized_chapters(spark, d):
     return kept.select("source_id", "book_name", "chapter_order", "text_type", "tradition_id", "source_authority", F.md5(F.col("text_original").cast("binary")).alias("text"))
 
 
-@query("SELECT 'D' || doc_id AS source_id, coalesce(CASE WHEN doc_id % 3 > 0 THEN source END, 'uncertain') AS book_name, n_chars::INT AS chapter_order, lang AS tradition_id, round(0.5, 6) AS quality, length(CASE WHEN doc_id % 10 > 0 THEN trim(text) ELSE '' END) AS chars FROM documents")
+@query("SELECT 'D' || doc_id AS source_id, coalesce(CASE WHEN doc_id % 3 > 0 THEN source END, 'uncertain') AS book_name, n_chars::INT AS chapter_order, lang AS tradition_id, 0.5::DOUBLE AS quality, length(CASE WHEN doc_id % 10 > 0 THEN trim(text) ELSE '' END) AS chars FROM documents")
 def source_metadata(spark, d):
     c = tables.chapters(chapter_rows(spark, d).withColumnRenamed("Book", "book").withColumnRenamed("学术传统", "传统"))
     return c.select("source_id", "book_name", "chapter_order", "tradition_id", F.round("quality", 6).alias("quality"), F.length(extract.chosen_text()).cast("long").alias("chars"))

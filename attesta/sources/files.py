@@ -18,7 +18,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
         if e.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    mark = [c for c in d.columns if c.startswith("﻿")]
+    mark = [c for c in d.columns if c.startswith("\ufeff")]
     return d.withColumnRenamed(mark[0], mark[0][1:]) if mark else d
 
 
@@ -45,6 +45,6 @@ def write_tables(tables: dict[str, DataFrame], folder: str, form: str = "parquet
     for name, d in tables.items():
         if form == "csv":
             d = flat(d)
-            d.withColumnRenamed(d.columns[0], "﻿" + d.columns[0]).write.mode("overwrite").csv(f"{folder}/{name}", header=True, escape='"', emptyValue="")
+            d.withColumnRenamed(d.columns[0], "\ufeff" + d.columns[0]).write.mode("overwrite").csv(f"{folder}/{name}", header=True, escape='"', emptyValue="")
         else:
             d.write.mode("overwrite").parquet(f"{folder}/{name}")

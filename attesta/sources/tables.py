@@ -45,7 +45,7 @@ def read_chapters(spark: SparkSession, path: str) -> DataFrame:
         raw = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
     else:
         raise ValueError(f"neither .csv nor .parquet: {path}")
-    mark = [c for c in raw.columns if c.startswith("﻿")]
+    mark = [c for c in raw.columns if c.startswith("\ufeff")]
     return chapters(raw.withColumnRenamed(mark[0], mark[0][1:]) if mark else raw)
 
 
