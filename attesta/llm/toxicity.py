@@ -14,7 +14,7 @@ from .storage import drop, written
 
 #: Feature space, and the bounds of what the fit reads: rows of each class, and
 #: features (4 bytes each) of all of them.
-BITS, FIT_ROWS, FIT_FEATURES = 20, 8000, 24 << 20
+BITS, FIT_ROWS, FIT_FEATURES = 20, 4000, 16 << 20
 #: Words taken together: one, two neighbours, two with one or two between.
 GRAMS = ((), (1,), (2,), (3,))
 
