@@ -65,15 +65,15 @@ def brute(x, ids, k):
 @pytest.mark.parametrize("kind", ["random", "uneven", "clustered"])
 def test_ann_recall_beyond_the_sample(spark, kind):
     rng = np.random.default_rng(4)
-    n = 9000
-    x = rng.standard_normal((n, 96))
+    n = 5000
+    x = rng.standard_normal((n, 48))
     if kind == "uneven":
         x *= np.exp(rng.standard_normal((n, 1)))
         x[5] *= 20
     if kind == "clustered":
-        x = x / 2 + rng.standard_normal((100, 96))[rng.integers(0, 100, n)]
+        x = x / 2 + rng.standard_normal((100, 48))[rng.integers(0, 100, n)]
     v = ann.valid_vectors(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>"))
-    got = ann.search(v, v.where("vec_id % 20 = 0"), 20, fit_rows=2000).toPandas()
+    got = ann.search(v, v.where("vec_id % 20 = 0"), 20, fit_rows=1500).toPandas()
     assert (got.groupby("query_id").size() == 20).all() and got.query_id.nunique() == n // 20
     found = got.groupby("query_id").vec_id.apply(set)
     assert np.mean([len(found[q] & set(w)) / 20 for (q, _), w in brute(x, np.arange(n), 20).items()]) >= 0.9
