@@ -24,7 +24,7 @@ from .hashing import U, batches, mix, shingle_sets
 from .storage import drop, written
 
 #: Documents and shingles that a block aims at.
-BLOCK_DOCS, BLOCK_SHINGLES = 8192, 8 << 20
+BLOCK_DOCS, BLOCK_SHINGLES = 4096, 4 << 20
 FANOUT = 16
 _classes = [1, 2, 3, 5]
 
@@ -207,9 +207,9 @@ def range_table(docs: DataFrame, id_col: str, text_col: str, n: int, percent: in
     return docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "sig long, h1 long")
 
 
-def candidate_edges(ranges: DataFrame, percent: int) -> DataFrame:
+def candidate_edges(ranges: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(src, dst): sets (by h1) that agree in a range, each with the smallest
-    of its range. Of the ranges of a set that others share, the most frequent
+    of its range; and the ranges (sig, h1) by which they do. Of the ranges of a set that others share, the most frequent
     ones are left out, one fewer than linked sets agree in; the order is one
     for all sets, so linked ones still meet. One shuffle by range, over
     which a window counts: a set has as many ranges as its size asks for, so
@@ -226,7 +226,17 @@ def candidate_edges(ranges: DataFrame, percent: int) -> DataFrame:
     meet = left.groupBy("sig").agg(F.min("h1").alias("dst"), F.max("h1").alias("most")).where("dst != most").select("sig", "dst")
     found = left.join(meet, "sig").where("h1 != dst").select(F.col("h1").alias("src"), "dst").distinct()
     least = found.withColumn("least", F.min("dst").over(Window.partitionBy("src")))
-    return least.select("src", F.col("least").alias("dst")).union(least.where("dst != least").select(F.col("dst").alias("src"), F.col("least").alias("dst"))).distinct()
+    return least.select("src", F.col("least").alias("dst")).union(least.where("dst != least").select(F.col("dst").alias("src"), F.col("least").alias("dst"))).distinct(), left
+
+
+def within_ranges(members: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``members`` (of clusters beyond a block) by the ranges that they share
+    instead of by cluster: ``unit`` is a range. Linked sets share one, so none
+    else has to meet. Of ranges that hold the same sets one is enough."""
+    shared = ranges.join(members.select("h1"), "h1", "left_semi")
+    same = shared.groupBy("sig").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("h1")).alias("x"), F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("k > 1").groupBy("k", "x", "lo", "hi").agg(F.min("sig").alias("unit"))
+    each = shared.join(same.select("unit"), F.col("sig") == F.col("unit")).select("h1", "unit")
+    return members.drop("unit").join(each, "h1")
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -243,28 +253,44 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     two parts of a block.
 
     Every link is found (shingles are compared by 64 bits of hash); equal sets
-    are one node. A cluster of candidates beyond a block is cut into bands of
-    sizes that may link, and a band beyond a block into parts by hash, each
-    pair of which is a block, so no task holds more than two parts. Candidate clusters and components are tables in the shared folder.
+    are one node. Candidates are verified cluster by cluster; a cluster beyond
+    a block, as shared passages chain them, by the ranges that its sets share,
+    so what is only chained never meets. A range whose sets are beyond a block
+    is cut into bands of sizes that may link, and a band beyond a block into
+    parts by hash, each pair of which is a block, so no task holds more than
+    two parts. Candidate clusters and components are tables in the shared
+    folder.
     """
     if not 70 <= percent <= 100:
         raise ValueError("similarities of 70 to 100 percent only")
     table = written(shingle_table(docs, id_col, text_col, n), "shingles")
     filled = table.where("n_shingles > 0 AND doc_id IS NOT NULL")
     sets = filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
-    edges = candidate_edges(range_table(docs, id_col, text_col, n, percent), percent)
-    cluster = connected_components(edges).select(F.col("id").alias("h1"), F.col("component").alias("cluster"))
-    drop(edges)
+    edges, ranges = candidate_edges(range_table(docs, id_col, text_col, n, percent), percent)
+    cluster = connected_components(edges).select(F.col("id").alias("h1"), F.col("component").alias("unit"))
     members = written(sets.join(cluster, "h1"), "clusters")
-    weight = members.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
+
+    def weigh(d: DataFrame) -> DataFrame:
+        w = d.groupBy("unit").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
+        return w.withColumn("big", (F.col("docs") > block_docs) | (F.col("shingles") > block_shingles))
+
+    grown = weigh(members).where("big").select("unit")
+    chained = grown.limit(1).count() > 0
+    if chained:
+        within = within_ranges(members.join(grown, "unit", "left_semi"), ranges)
+        units = written(members.join(grown, "unit", "left_anti").unionByName(within), "units")
+        drop(members)
+        members = units
+    weight = weigh(members)
     total = weight.agg(F.sum("docs").alias("d"), F.sum("shingles").alias("s")).first()
     blocks = max(1, -(-(total["d"] or 0) // block_docs), -(-(total["s"] or 0) // block_shingles))
-    big = (F.col("docs") > block_docs) | (F.col("shingles") > block_shingles)
-    m = members.join(weight.select("cluster", big.alias("big")), "cluster")
+    m = members.join(weight.select("unit", "big"), "unit")
     # sets of two sizes can only link within one band of sizes or two neighbours
     band = F.floor(F.log("n") / (np.log(100 / percent) * 1.001))
     m = m.withColumn("band", F.explode(F.when(F.col("big"), F.array(band, band + 1)).otherwise(F.array(F.lit(0).cast("long")))))
-    m = m.withColumn("block", F.when(F.col("big"), F.col("cluster")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(blocks))))
+    m = m.withColumn("block", F.when(F.col("big"), F.col("unit")).otherwise(F.pmod(F.xxhash64("unit"), F.lit(blocks))))
+    m = m.select("rep", "h1", "h2", "n", "big", "block", "band")
+    m = m.distinct() if chained else m  # a set may come by several ranges
     size = m.where("big").groupBy("block", "band").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("parts"))
     m = m.join(size.withColumn("big", F.lit(True)), ["big", "block", "band"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     part = F.pmod(F.xxhash64("h2", "rep"), F.col("parts")).cast("int")
@@ -287,8 +313,11 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         found = block_links(np.array(ids, np.int64), np.array(sides, np.int64), kept, percent) if ids else []
         return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["src", "dst"])
 
+    # as many tasks as the session asks for: the work is in the sets, not in the bytes by which tasks are merged
+    rows = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "big", "block", "band", "i", "j")
     linked = rows.groupBy("big", "block", "band", "i", "j").applyInArrow(links, "src long, dst long")
     repeated = filled.join(sets, ["h1", "h2"]).select("doc_id", F.col("rep").alias("src")).where("doc_id != src").select(F.col("doc_id").alias("src"), F.col("src").alias("dst"))
     comp = connected_components(linked.union(repeated))
     drop(members)
+    drop(ranges)
     return table.select("doc_id", "n_shingles").join(comp, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
