@@ -47,11 +47,13 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     name = free_names(docs.columns, ("key", "hash"))
     keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], key.alias(name["key"]), hash_.alias(name["hash"]))
     groups = jaccard.similar_components(docs.select(key, "text"), id_col="key", n=5, percent=80)
-    others = groups.where("component_id <> doc_id").select(F.col("doc_id").alias(name["key"])).distinct()
-    kept = keyed.join(others, name["key"], "left_anti")
+    # written first, so that the engine knows how few they are and need not shuffle the texts
+    others = written(groups.where("component_id <> doc_id").select(F.col("doc_id").alias(name["key"])).distinct(), "others")
     both = list(name.values())
-    repeated = keyed.groupBy(*both).count().where("count > 1").select(*both)
-    once = kept.join(repeated, both, "left_anti").unionByName(kept.join(repeated, both, "left_semi").dropDuplicates(both))
+    repeated = written(keyed.groupBy(*both).count().where("count > 1").select(*both), "repeated")
+    once = keyed.join(others, name["key"], "left_anti")
+    if repeated.limit(1).count():
+        once = once.join(repeated, both, "left_anti").unionByName(once.join(repeated, both, "left_semi").dropDuplicates(both))
     return once.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
