@@ -199,7 +199,8 @@ def proof_digest(proof: Column) -> Column:
 
 
 def manifest(docs: DataFrame, leaf: Column, group: Column, order: Column, keep: dict[str, Column] | None = None, fanout: int = 2, block: int = BLOCK) -> DataFrame:
-    """leaf, subroot, root, proof and ``keep`` of every row of ``docs``.
+    """``keep``, leaf, subroot, root and proof of every row of ``docs``; names
+    that are taken get underscores.
 
     Rows of one ``group`` (null is one) are the leaves of its tree, in
     ``order`` (nulls first; ties by leaf, so rows alike may change places).
@@ -220,4 +221,6 @@ def manifest(docs: DataFrame, leaf: Column, group: Column, order: Column, keep:
     root = groups.tops().select("grp", F.col("top").alias("root"), "top", F.array().cast(PROOF).alias("proof"))
     above = proofs(groups, root, ("name",)).select(F.col("name").alias("grp"), "root", F.col("hash").alias("top"), "proof")
     found = proofs(tree, above, tuple(names[k] for k in kept))
-    return found.select(*[F.col(names[k]).alias(k) for k in kept], F.col("hash").alias("leaf"), F.col("top").alias("subroot"), "root", "proof")
+    added = free_names(kept, ["leaf", "subroot", "root", "proof"])
+    out = {"leaf": "hash", "subroot": "top", "root": "root", "proof": "proof"}
+    return found.select(*[F.col(names[k]).alias(k) for k in kept], *[F.col(c).alias(added[k]) for k, c in out.items()])
