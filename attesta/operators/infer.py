@@ -1,4 +1,4 @@
-"""Larsen inference by compiled rules and the Mamdani centroid."""
+"""Larsen inference, its index of rules, and the Mamdani centroid."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import trapezoid
-from ..sources.shared import small
+from ..sources.shared import small, written
 
 ACTIVE = ["active_rule", "expert_verified", "expert_verified_rule"]
 #: Statuses and decisions are fixed values of the rule format.
@@ -31,6 +31,69 @@ def best_memberships(m: DataFrame, seq: str = "seq") -> DataFrame:
     return m.groupBy("source_id", "variable_key").agg(best.alias("b")).select("source_id", "variable_key", (-F.col("b.neg")).alias("membership"), "b.p5", "b.p95")
 
 
+#: Bytes (as JSON) of rules that are broadcast at once; more go in several parts.
+RULE_BYTES = 32 << 20
+
+
+def by_source(best: DataFrame) -> DataFrame:
+    """(source_id, m): the memberships of each source as a map by variable, of
+    which there are no more than the lexicon has."""
+    cell = F.struct("variable_key", F.struct("membership", "p5", "p95"))
+    return best.groupBy("source_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("variable_key").isNotNull(), cell))).alias("m"))
+
+
+def slim_rules(rules: DataFrame) -> tuple[DataFrame, int]:
+    """The active rules as a table (uid, rule_id, consequent, weight, ants) and
+    the number of parts in which they are broadcast, all that the driver sees."""
+    ants = F.transform("antecedents", lambda a: F.struct(
+        F.concat_ws(".", a["variable"].cast("string"), a["fuzzy_set"].cast("string")).alias("key"),
+        F.coalesce(a["threshold"].cast("double"), F.lit(0.0)).alias("threshold"), F.coalesce(a["weight"].cast("double"), F.lit(1.0)).alias("weight")))
+    text = [F.col(c).cast("string").alias(c) for c in ("rule_id", "consequent_entity", "consequent_type")]
+    active = active_rules(rules).select(F.monotonically_increasing_id().alias("uid"), *text, F.col("rule_weight").cast("double").alias("rule_weight"), ants.alias("ants"))
+    table = written(active, "active-rules")
+    size = table.agg(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()["bytes"]
+    return table, max(1, -(-(size or 0) // RULE_BYTES))
+
+
+def met(sources: DataFrame, rules: DataFrame, parts: int, on: list[str]) -> DataFrame:
+    """``sources`` joined with rules on ``on``, the rules broadcast part by
+    part; so sources stay where they are and each broadcast has a bound."""
+    part = F.pmod(F.xxhash64("uid"), F.lit(parts))
+    return reduce(DataFrame.union, [sources.join(F.broadcast(rules.where(part == i)), on) for i in range(parts)])
+
+
+def activated(rows: DataFrame) -> DataFrame:
+    """What the rule of each row (rule_weight, ants, ...) gives with the
+    memberships ``m``."""
+    value = lambda a, c: F.col("m")[a["key"]][c]
+    zero, one = F.lit(0.0), F.lit(1.0)
+    seen = F.transform("ants", lambda a: F.struct(
+        a["key"].alias("key"), a["threshold"].alias("threshold"), a["weight"].alias("weight"),
+        F.coalesce(value(a, "membership"), zero).alias("mu"), value(a, "p5").alias("p5"), value(a, "p95").alias("p95")))
+    rows = rows.withColumn("seen", seen)
+
+    def fold(of) -> Column:
+        total = F.aggregate("seen", F.col("rule_weight"), lambda x, s: x * F.pow(F.greatest(of(s), F.lit(1e-12)), s["weight"]))
+        return F.round(F.greatest(zero, F.least(one, total)), 6)
+
+    def keys(test) -> Column:
+        return F.transform(F.filter("seen", test), lambda s: s["key"])
+
+    ranged = F.exists("seen", lambda s: s["p5"].isNotNull() | s["p95"].isNotNull())
+    missing = keys(lambda s: s["mu"] < s["threshold"])
+    return rows.select(
+        "source_id", "rule_id", "consequent_entity", "consequent_type", fold(lambda s: s["mu"]).alias("activation"),
+        keys(lambda s: s["mu"] >= s["threshold"]).alias("supporting_variables"), missing.alias("missing_variables"),
+        F.when(F.size(missing) == 0, "fired").otherwise("below_threshold").alias("status"),
+        *[F.when(ranged, fold(lambda s, c=c: F.coalesce(s[c], s["mu"]))).alias(c) for c in ("p5", "p95")],
+    )
+
+
+def _all_with(sources: DataFrame, rules: DataFrame, parts: int) -> DataFrame:
+    """Every source with every rule, as each such pair is a row of the result."""
+    return met(sources.withColumn("one", F.explode(F.array(F.lit(1)))), rules.withColumn("one", F.lit(1)), parts, ["one"])
+
+
 def larsen(best: DataFrame, rules: DataFrame) -> DataFrame:
     """Activation of every active rule for every source with memberships: the
     rule's weight times the antecedents' memberships, each to the power of its
@@ -38,36 +101,38 @@ def larsen(best: DataFrame, rules: DataFrame) -> DataFrame:
     one counts as 0. The interval is that of the winning memberships and null
     where none has one.
 
-    Rules are configuration, so each becomes expressions over one row per
-    source that holds the memberships its antecedents name: one aggregation,
-    and no join at all.
+    Rules are rows, any number of them: the plan is the same for one as for a
+    million, and none passes through the driver.
+    """
+    table, parts = slim_rules(rules)
+    tasks = int(best.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes of sources make many rows
+    return activated(_all_with(by_source(best.repartition(tasks, "source_id")), table, parts))
+
+
+def fired(best: DataFrame, rules: DataFrame) -> DataFrame:
+    """The fired rows of ``larsen`` by an index from variables to rules.
+
+    Each rule that needs a membership (a threshold above 0) is filed under the
+    needed variable that the fewest sources have, so a variable of a third of
+    the sources brings up no rule that also needs a rarer one. A source meets
+    the rules filed under its variables, if it reaches the threshold there, and
+    those that need none; only then are all antecedents looked at. Rules that
+    need a variable no source has can't fire and go first.
     """
-    known = active_rules(rules).select("rule_id", "consequent_entity", "consequent_type", "rule_weight", "antecedents").collect()
-    key = lambda a: f"{a['variable']}.{a['fuzzy_set']}"
-    at = {k: i for i, k in enumerate(dict.fromkeys(key(a) for r in known for a in r["antecedents"]))}
-    cells = [F.max(F.when(F.col("variable_key") == k, F.col(c))).alias(f"{c}_{i}") for k, i in at.items() for c in ("membership", "p5", "p95")]
-    wide = best.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), *cells)
-
-    def fold(rule, value):
-        total = F.lit(float(rule["rule_weight"]))
-        for a in rule["antecedents"]:
-            total = total * F.pow(F.greatest(value(at[key(a)]), F.lit(1e-12)), F.lit(float(a["weight"])))
-        return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 6)
-
-    def row(rule):
-        mu = lambda i: F.coalesce(F.col(f"membership_{i}"), F.lit(0.0))
-        low, high = (lambda i, c=c: F.coalesce(F.col(f"{c}_{i}"), F.col(f"membership_{i}"), F.lit(0.0)) for c in ("p5", "p95"))
-        ants = [(key(a), at[key(a)], float(a["threshold"])) for a in rule["antecedents"]]
-        supports = F.array_compact(F.array(*[F.when(mu(i) >= t, F.lit(k)) for k, i, t in ants])) if ants else F.array().cast("array<string>")
-        missing = F.array_compact(F.array(*[F.when(mu(i) < t, F.lit(k)) for k, i, t in ants])) if ants else F.array().cast("array<string>")
-        ranged = reduce(Column.__or__, [F.col(f"{c}_{i}").isNotNull() for _, i, _ in ants for c in ("p5", "p95")], F.lit(False))
-        return F.struct(
-            *[F.lit(rule[c]).cast("string").alias(c) for c in ("rule_id", "consequent_entity", "consequent_type")], fold(rule, mu).alias("activation"), supports.alias("supporting_variables"), missing.alias("missing_variables"),
-            F.when(F.size(missing) == 0, "fired").otherwise("below_threshold").alias("status"), F.when(ranged, fold(rule, low)).alias("p5"), F.when(ranged, fold(rule, high)).alias("p95"),
-        )
-
-    rows = F.array(*[row(r) for r in known]) if known else F.lit(None).cast("array<struct<rule_id:string,consequent_entity:string,consequent_type:string,activation:double,supporting_variables:array<string>,missing_variables:array<string>,status:string,p5:double,p95:double>>")
-    return wide.select("source_id", F.explode(rows).alias("r")).select("source_id", "r.*")
+    table, parts = slim_rules(rules)
+    sources = written(by_source(best), "by-source")
+    often = sources.select(F.explode(F.map_keys("m")).alias("key")).groupBy("key").agg(F.count("*").alias("often"))
+    needs = table.select("uid", F.explode("ants").alias("a")).select("uid", "a.key", "a.threshold").where("threshold > 0")
+    least = F.min_by(F.struct("key", "threshold"), F.struct("often", "key"))
+    filed = needs.join(often, "key", "left").groupBy("uid").agg(least.alias("at"), F.count(F.when(F.col("often").isNull(), 1)).alias("never"))
+    index = written(table.join(filed.where("never = 0"), "uid").select(table["*"], F.col("at.key").alias("key"), F.col("at.threshold").alias("least")), "rule-index")
+    own = sources.select("source_id", "m", F.explode(F.map_entries("m")).alias("e")).select("source_id", "m", F.col("e.key").alias("key"), F.col("e.value.membership").alias("mu"))
+    enough = F.forall("ants", lambda a: F.coalesce(F.col("m")[a["key"]]["membership"], F.lit(0.0)) >= a["threshold"])
+    found = met(own, index, parts, ["key"]).where((F.col("mu") >= F.col("least")) & enough)
+    free = table.join(needs.select("uid"), "uid", "left_anti")
+    columns = ["source_id", "m", "rule_id", "consequent_entity", "consequent_type", "rule_weight", "ants"]
+    rest = _all_with(sources, free, parts).where(enough)
+    return activated(found.select(*columns).unionByName(rest.select(*columns)))
 
 
 def shapes_of(rules: DataFrame, shapes: dict[str, list[float]], default: tuple[float, ...] = (0.45, 0.70, 1.0, 1.0)) -> DataFrame:

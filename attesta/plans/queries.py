@@ -100,7 +100,7 @@ def inferred(spark, d):
 
 
 def fired_rows(spark, d):
-    return inferred(spark, d).where("status = 'fired'")
+    return infer.fired(infer.best_memberships(members(spark, d)), rules(spark))
 
 
 def sources_meta(spark, d):
@@ -227,6 +227,60 @@ def fired_filter(spark, d):
     return fired_rows(spark, d).select("source_id", "rule_id", "activation")
 
 
+def kind_members(spark, d):
+    """Line items as memberships of their part's type and brand: many variables,
+    few of them in one order."""
+    part = t(spark, d, "part").select("p_partkey", F.explode(F.array("p_type", "p_brand")).alias("variable"))
+    mu = F.round(F.least(F.lit(1.0), F.col("l_quantity") / 50), 6)
+    line = t(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    line = line.select("l_orderkey", "l_linenumber", "variable", mu.alias("mu"), (F.col("l_linenumber") == 1).alias("ranged"))
+    cells = [F.when(F.col("ranged"), F.round(F.col("mu") * x, 6)).alias(c) for x, c in ((0.5, "p5"), (0.75, "p95"))]
+    return line.select(F.col("l_orderkey").alias("source_id"), S.variable_key(F.col("variable"), F.lit("high")).alias("variable_key"), F.col("l_linenumber").alias("seq"), F.col("mu").alias("membership"), *cells)
+
+
+def kind_rules(spark, d):
+    """A rule for each pair of type and brand that parts have, up to some
+    thousands; some need only one of the two, one in fifty neither."""
+    kinds = t(spark, d, "part").groupBy("p_type", "p_brand").agg(F.min("p_size").alias("size"))
+    size = F.col("size")
+    ant = lambda c, threshold, weight: F.struct(F.col(c).alias("variable"), F.lit("high").alias("fuzzy_set"), threshold.alias("threshold"), F.lit(weight).alias("weight"))
+    a = ant("p_type", F.when(size == 50, 0.0).otherwise((size % 5) / 5.0), 1.0)
+    b = ant("p_brand", F.when(size == 50, 0.0).otherwise((size % 3) / 4.0), 0.5)
+    return kinds.select(
+        F.concat_ws("/", "p_type", "p_brand").alias("rule_id"), F.col("p_brand").alias("consequent_entity"), F.lit("kind").alias("consequent_type"), (0.5 + size / 200).alias("rule_weight"),
+        F.when(size % 11 == 0, "draft").otherwise("active_rule").alias("review_status"), F.array(a, b).alias("antecedents"),
+    )
+
+
+KIND_RULES = """mem AS (
+  SELECT source_id, key, membership, p5, p95 FROM (
+    SELECT *, row_number() OVER (PARTITION BY source_id, key ORDER BY membership DESC, seq) AS n FROM (
+      SELECT l_orderkey AS source_id, unnest([p_type || '.high', p_brand || '.high']) AS key, l_linenumber AS seq, round(least(1.0, l_quantity / 50), 6) AS membership,
+        CASE WHEN l_linenumber = 1 THEN round(round(least(1.0, l_quantity / 50), 6) * 0.5, 6) END AS p5, CASE WHEN l_linenumber = 1 THEN round(round(least(1.0, l_quantity / 50), 6) * 0.75, 6) END AS p95
+      FROM lineitem JOIN part ON l_partkey = p_partkey)) WHERE n = 1
+), kinds AS (
+  SELECT p_type || '/' || p_brand AS rule_id, p_brand AS consequent_entity, p_type || '.high' AS k1, p_brand || '.high' AS k2, 0.5::DOUBLE + min(p_size) / 200::DOUBLE AS w,
+    CASE WHEN min(p_size) = 50 THEN 0 ELSE min(p_size) % 5 / 5.0::DOUBLE END AS t1, CASE WHEN min(p_size) = 50 THEN 0 ELSE min(p_size) % 3 / 4.0::DOUBLE END AS t2
+  FROM part GROUP BY p_type, p_brand HAVING min(p_size) % 11 <> 0
+)"""
+
+
+@query(f"""WITH {KIND_RULES}, hit AS (
+  SELECT source_id, rule_id, w, any_value(membership) FILTER (WHERE key = k1) AS m1, any_value(membership) FILTER (WHERE key = k2) AS m2, any_value(p5) FILTER (WHERE key = k1) AS l1, any_value(p5) FILTER (WHERE key = k2) AS l2, any_value(p95) FILTER (WHERE key = k1) AS h1, any_value(p95) FILTER (WHERE key = k2) AS h2, t1, t2
+  FROM mem JOIN (SELECT *, k1 AS k FROM kinds UNION ALL SELECT *, k2 FROM kinds) ON key = k GROUP BY source_id, rule_id, w, t1, t2
+), free AS (
+  SELECT s.source_id, r.rule_id, r.w, h.m1, h.m2, h.l1, h.l2, h.h1, h.h2, r.t1, r.t2 FROM (SELECT DISTINCT source_id FROM mem) s JOIN kinds r ON r.t1 <= 0 AND r.t2 <= 0 LEFT JOIN hit h ON h.source_id = s.source_id AND h.rule_id = r.rule_id
+), joined AS (SELECT * FROM free UNION ALL SELECT * FROM hit WHERE t1 > 0 OR t2 > 0)
+SELECT source_id, rule_id, round(least(1, w * greatest(coalesce(m1, 0), 1e-12) * pow(greatest(coalesce(m2, 0), 1e-12), 0.5)), 6) AS activation,
+  CASE WHEN coalesce(l1, l2) IS NOT NULL THEN round(least(1, w * greatest(coalesce(l1, m1, 0), 1e-12) * pow(greatest(coalesce(l2, m2, 0), 1e-12), 0.5)), 6) END AS p5,
+  CASE WHEN coalesce(h1, h2) IS NOT NULL THEN round(least(1, w * greatest(coalesce(h1, m1, 0), 1e-12) * pow(greatest(coalesce(h2, m2, 0), 1e-12), 0.5)), 6) END AS p95
+FROM joined WHERE coalesce(m1, 0) >= t1 AND coalesce(m2, 0) >= t2""")
+def rule_table_fired(spark, d):
+    """Thousands of rules, looked up by the variables they need."""
+    best = infer.best_memberships(kind_members(spark, d))
+    return infer.fired(best, kind_rules(spark, d)).select("source_id", "rule_id", "activation", "p5", "p95")
+
+
 def reviewed_rows(spark, d):
     """Suppliers as rows of an expert's rule review."""
     pick = lambda n, *words: F.element_at(F.array(*[F.lit(w) for w in words]), (F.col("s_suppkey") % n + 1).cast("int"))
