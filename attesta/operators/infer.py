@@ -33,6 +33,8 @@ def best_memberships(m: DataFrame, seq: str = "seq") -> DataFrame:
 
 #: Bytes (as JSON) of rules that are broadcast at once; more go in several parts.
 RULE_BYTES = 32 << 20
+#: Blocks that a source meets one by one where it meets every rule.
+BLOCKS = 8
 
 
 def by_source(best: DataFrame) -> DataFrame:
@@ -90,8 +92,11 @@ def activated(rows: DataFrame) -> DataFrame:
 
 
 def _all_with(sources: DataFrame, rules: DataFrame, parts: int) -> DataFrame:
-    """Every source with every rule, as each such pair is a row of the result."""
-    return met(sources.withColumn("one", F.explode(F.array(F.lit(1)))), rules.withColumn("one", F.lit(1)), parts, ["one"])
+    """Every source with every rule, as each such pair is a row of the result:
+    rules stand in blocks, and a source meets block after block."""
+    block = F.pmod(F.xxhash64("uid"), F.lit(BLOCKS)).cast("int")
+    each = sources.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    return met(each, rules.withColumn("block", block), parts, ["block"])
 
 
 def larsen(best: DataFrame, rules: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import scalars as S
 from ..operators import aggregate, assess, calibrate, chunks, evaluate, extract, infer, membership, mining, network, patterns, report, rules as rule_rows, validate
 from ..sources import tables
+from ..sources.shared import new_path
+from ..streaming import chunk_log as logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -606,6 +608,45 @@ def chunk_latest(spark, d):
     return chunks.latest_records(chunk_log(spark, d)).select("source_id", "chunk_index", "seq", "status", "chunk_sha256")
 
 
+def log_files(spark, d) -> str:
+    """Turns of conversations as files of JSON lines, in order of turn and
+    without a number; of each fifth conversation's lines there is also a torn one."""
+    c = t(spark, d, "conversations").orderBy("turn", "conv_id")
+    ok = F.col("role") == "user"
+    one = F.struct(F.lit("f").alias("feature"), F.col("role").alias("feature_value"), F.lit("e").alias("evidence_text"), F.lit(0.5).alias("extraction_confidence"))
+    record = F.to_json(F.struct(
+        F.col("conv_id").alias("source_id"), (F.col("turn") % 3 + 1).alias("chunk_index"), F.md5(F.col("text").cast("binary")).alias("chunk_sha256"),
+        F.when(ok, "success").otherwise("error").alias("status"), F.when(ok, F.array(one)).otherwise(F.array()).alias("observations"),
+        F.when(ok, F.lit("")).alias("attempt"), F.when(~ok, F.col("text")).alias("error")))
+    torn = F.substring(record, F.lit(1), F.length(record) - 7)
+    lines = F.when(F.col("conv_id") % 5 == 0, F.array(record, torn)).otherwise(F.array(record))
+    path = new_path(spark, "log")
+    c.select(F.explode(lines).alias("value")).write.text(path)
+    return path
+
+
+LOGGED = "SELECT conv_id::VARCHAR AS source_id, (turn % 3 + 1)::INT AS chunk_index, role, md5(text) AS chunk_sha256, CASE WHEN role = 'user' THEN 'success' ELSE 'error' END AS status, turn, CASE WHEN role <> 'user' THEN text END AS error FROM conversations"
+LAST_LOGGED = f"SELECT source_id, chunk_index, chunk_sha256, status, CASE WHEN role = 'user' THEN 1 ELSE 0 END AS found, md5(error) AS error FROM (SELECT *, row_number() OVER (PARTITION BY source_id, chunk_index ORDER BY (status = 'success') DESC, turn DESC) AS n FROM ({LOGGED})) WHERE n = 1"
+
+
+def last_logged(r: DataFrame) -> DataFrame:
+    return r.select("source_id", "chunk_index", "chunk_sha256", "status", F.size("observations").alias("found"), F.md5("error").alias("error"))
+
+
+@query(LAST_LOGGED)
+def log_latest(spark, d):
+    """A log read from files that tell no order but their own."""
+    return last_logged(chunks.latest_records(logs.read_log(spark, log_files(spark, d))))
+
+
+@query(LAST_LOGGED)
+def log_state(spark, d):
+    """The same log as a stream, from the state that it leaves."""
+    checkpoint = new_path(spark, "log-state")
+    logs.keep_latest(logs.stream_log(spark, log_files(spark, d)), checkpoint).awaitTermination()
+    return last_logged(logs.current(spark, checkpoint))
+
+
 def planned(spark, d):
     return chunk_log(spark, d).select("source_id", "chunk_index", "chunk_sha256").distinct()
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from attesta.operators import aggregate, assess, calibrate, chunks, evaluate, extract, infer, mining, patterns, report, rules, validate
 from attesta.plans.build import build
 from attesta.sources import files, tables
-from attesta.streaming import chunk_log
 
 from . import demo
 
@@ -257,23 +256,6 @@ def test_chunk_log(spark):
         chunks.check_manifest(manifest, {**manifest, "chunk_chars": "y"})
 
 
-def test_chunk_stream(spark, tmp_path):
-    def add(name, rows):
-        (tmp_path / "log").mkdir(exist_ok=True)
-        (tmp_path / "log" / name).write_text("\n".join(json.dumps(r) for r in rows) + '\n{"torn": ')
-
-    def state(checkpoint):
-        chunk_log.keep_latest(chunk_log.read_log(spark, f"{tmp_path}/log"), f"{tmp_path}/state", f"{tmp_path}/{checkpoint}").awaitTermination()
-        return sorted((r.source_id, r.chunk_index, r.status, r.seq) for r in chunk_log.current(spark, f"{tmp_path}/state").collect())
-
-    add("1.json", LOG[:2])
-    assert state("c") == [("a", 1, "success", 2)]
-    add("2.json", LOG[2:])
-    want = [("a", 1, "success", 2), ("a", 2, "success", 4), ("b", 1, "error", 5)]
-    assert state("c") == want and state("c") == want
-    assert state("fresh") == want  # a new checkpoint reads all files again over the state it finds
-
-
 def test_cut_points_by_brute_force():
     def plain(text, size, overlap):
         out, at = [], 0
