@@ -15,6 +15,9 @@ pairs are compared exactly.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -26,6 +29,8 @@ from .storage import drop, written
 #: Documents and shingles that a block aims at.
 BLOCK_DOCS, BLOCK_SHINGLES = 4096, 4 << 20
 FANOUT = 16
+#: Rounds in which the sets of a cluster beyond a block each meet one other.
+ROUNDS = 2
 _classes = [1, 2, 3, 5]
 
 
@@ -229,14 +234,55 @@ def candidate_edges(ranges: DataFrame, percent: int) -> tuple[DataFrame, DataFra
     return least.select("src", F.col("least").alias("dst")).union(least.where("dst != least").select(F.col("dst").alias("src"), F.col("least").alias("dst"))).distinct(), left
 
 
-def within_ranges(members: DataFrame, ranges: DataFrame) -> DataFrame:
-    """``members`` (of clusters beyond a block) by the ranges that they share
-    instead of by cluster: ``unit`` is a range. Linked sets share one, so none
-    else has to meet. Of ranges that hold the same sets one is enough."""
-    shared = ranges.join(members.select("h1"), "h1", "left_semi")
-    same = shared.groupBy("sig").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("h1")).alias("x"), F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("k > 1").groupBy("k", "x", "lo", "hi").agg(F.min("sig").alias("unit"))
-    each = shared.join(same.select("unit"), F.col("sig") == F.col("unit")).select("h1", "unit")
-    return members.drop("unit").join(each, "h1")
+def star_links(members: DataFrame, shared: DataFrame, verify: Callable[[DataFrame, list[str]], DataFrame], block_docs: int, block_shingles: int) -> tuple[DataFrame | None, DataFrame]:
+    """Links of clusters beyond a block that are found by comparing each set
+    with one other: of the ranges it is in (``shared``: sig, h1), each names a
+    centre, and the set meets one that isn't linked with it yet. So a round
+    sends each text once, and a centre's once for each block of its star; near
+    copies mostly fall together in the first. Returns the links, if any, and
+    (h1, label): the component that each set is in by them."""
+    labels, links = members.select("h1", F.col("rep").alias("label")), None
+    for turn in range(ROUNDS):
+        own = shared.join(labels, "h1")
+        centre = F.min_by(F.struct("h1", "label"), F.xxhash64("h1", F.lit(turn))).alias("centre")
+        named = own.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), centre).where("lo <> hi").select("sig", "centre")
+        pairs = own.join(named, "sig").where(F.col("label") != F.col("centre.label")).groupBy("h1").agg(F.min("centre.h1").alias("block"))
+        leaves = members.drop("unit").join(pairs, "h1")
+        parts = F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("parts")
+        stars = written(leaves.groupBy("block").agg(parts), "stars")
+        leaves = leaves.join(stars, "block").withColumn("part", F.pmod(F.xxhash64("h2", "rep"), F.col("parts")).cast("int"))
+        centres = members.drop("unit").join(stars, F.col("h1") == F.col("block")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        columns = ["rep", "h1", "h2", "block", "part"]
+        rows = leaves.select(*columns, F.lit(1).alias("side")).unionByName(centres.select(*columns, F.lit(0).alias("side")))
+        found = written(verify(rows, ["block", "part"]), "links")
+        drop(stars)
+        if not found.limit(1).count():
+            break
+        links = found if links is None else links.union(found)
+        comp = connected_components(links)
+        labels = members.select("h1", "rep").join(comp, F.col("rep") == F.col("id"), "left").select("h1", F.coalesce("component", "rep").alias("label"))
+    return links, labels
+
+
+def unlinked_units(members: DataFrame, shared: DataFrame, labels: DataFrame, block_docs: int, block_shingles: int) -> DataFrame:
+    """``members`` (of clusters beyond a block) that may still link with a set
+    of another label, by ``unit``. Linked sets share a range, so those of a
+    range that holds several labels must meet: range by range (of ranges that
+    hold the same sets one is enough), or, where that would take more rows,
+    all of the cluster part by part."""
+    own = shared.join(labels, "h1")
+    same = own.groupBy("sig").agg(
+        F.count("*").alias("k"), F.bit_xor(F.xxhash64("h1")).alias("x"), F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.min("label").alias("first"), F.max("label").alias("last"),
+    ).where("first <> last")
+    units = same.groupBy("k", "x", "lo", "hi").agg(F.min("sig").alias("sig")).select("sig")
+    each = written(own.join(units, "sig").select("h1", F.col("sig").alias("range")), "open")
+    weight = members.groupBy("unit").agg((2 * F.count("*") * F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles))).alias("whole"))
+    rows = members.join(each.groupBy("h1").agg(F.count("*").alias("k")), "h1").groupBy("unit").agg(F.sum("k").alias("rows"))
+    chosen = written(weight.join(rows, "unit").select("unit", (F.col("rows") > F.col("whole")).alias("by_parts")), "chosen")
+    m = members.join(chosen, "unit")
+    ranged = m.where("NOT by_parts").drop("unit", "by_parts").join(each, "h1").withColumnRenamed("range", "unit")
+    whole = m.where("by_parts").drop("by_parts").join(each.select("h1"), "h1", "left_semi")
+    return whole.unionByName(ranged)
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -253,12 +299,12 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     two parts of a block.
 
     Every link is found (shingles are compared by 64 bits of hash); equal sets
-    are one node. Candidates are verified cluster by cluster; a cluster beyond
-    a block, as shared passages chain them, by the ranges that its sets share,
-    so what is only chained never meets. A range whose sets are beyond a block
-    is cut into bands of sizes that may link, and a band beyond a block into
-    parts by hash, each pair of which is a block, so no task holds more than
-    two parts. Candidate clusters and components are tables in the shared
+    are one node. Candidates are verified cluster by cluster; in a cluster
+    beyond a block each set first meets one other (``star_links``), and then
+    only sets that are still apart meet (``unlinked_units``). A unit beyond a
+    block is cut into bands of sizes that may link, and a band beyond a block
+    into parts by hash, each pair of which is a block, so no task holds more
+    than two parts. Candidate clusters and components are tables in the shared
     folder.
     """
     if not 70 <= percent <= 100:
@@ -274,12 +320,39 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         w = d.groupBy("unit").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
         return w.withColumn("big", (F.col("docs") > block_docs) | (F.col("shingles") > block_shingles))
 
-    grown = weigh(members).where("big").select("unit")
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
+
+    def links(t: pa.Table) -> pa.Table:
+        # the text that made the set, where an id has several; each once
+        ids, sides, kept, seen = [], [], [], set()
+        rep, side, h1, h2 = (t.column(c).to_pylist() for c in ("rep", "side", "h1", "h2"))
+        for first, texts_ in batches(t.column("text")):
+            for r, s in enumerate(shingle_sets(texts_, n), first):
+                if (h1[r], h2[r]) not in seen and set_hash(s) == (h1[r], h2[r]):
+                    seen.add((h1[r], h2[r]))
+                    ids.append(rep[r])
+                    sides.append(side[r])
+                    kept.append(s)
+        found = block_links(np.array(ids, np.int64), np.array(sides, np.int64), kept, percent) if ids else []
+        return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["src", "dst"])
+
+    def verify(rows: DataFrame, keys: list[str]) -> DataFrame:
+        # members grow with the table: never broadcast them; and as many tasks as the session
+        # asks for: the work is in the sets, not in the bytes by which tasks are merged
+        tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return rows.hint("merge").join(texts, "rep").repartition(tasks, *keys).groupBy(*keys).applyInArrow(links, "src long, dst long")
+
+    grown = written(weigh(members).where("big").select("unit"), "grown")
     chained = grown.limit(1).count() > 0
+    early = None
     if chained:
-        within = within_ranges(members.join(grown, "unit", "left_semi"), ranges)
-        units = written(members.join(grown, "unit", "left_anti").unionByName(within), "units")
-        drop(members)
+        big = written(members.join(grown, "unit", "left_semi"), "big")
+        shared = written(ranges.join(big.select("h1"), "h1", "left_semi"), "shared")
+        early, labels = star_links(big, shared, verify, block_docs, block_shingles)
+        apart = unlinked_units(big, shared, labels, block_docs, block_shingles)
+        units = written(members.join(grown, "unit", "left_anti").unionByName(apart), "units")
+        for done in (members, big, shared):
+            drop(done)
         members = units
     weight = weigh(members)
     total = weight.agg(F.sum("docs").alias("d"), F.sum("shingles").alias("s")).first()
@@ -296,28 +369,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     part = F.pmod(F.xxhash64("h2", "rep"), F.col("parts")).cast("int")
     m = m.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     m = m.select("rep", "h1", "h2", "big", "block", "band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"))
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
-    rows = m.hint("merge").join(texts, "rep")  # members grow with the table: never broadcast them
-
-    def links(t: pa.Table) -> pa.Table:
-        # the text that made the set, where an id has several; each once
-        ids, sides, kept, seen = [], [], [], set()
-        rep, side, h1, h2 = (t.column(c).to_pylist() for c in ("rep", "side", "h1", "h2"))
-        for first, texts_ in batches(t.column("text")):
-            for r, s in enumerate(shingle_sets(texts_, n), first):
-                if (h1[r], h2[r]) not in seen and set_hash(s) == (h1[r], h2[r]):
-                    seen.add((h1[r], h2[r]))
-                    ids.append(rep[r])
-                    sides.append(side[r])
-                    kept.append(s)
-        found = block_links(np.array(ids, np.int64), np.array(sides, np.int64), kept, percent) if ids else []
-        return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["src", "dst"])
-
-    # as many tasks as the session asks for: the work is in the sets, not in the bytes by which tasks are merged
-    rows = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "big", "block", "band", "i", "j")
-    linked = rows.groupBy("big", "block", "band", "i", "j").applyInArrow(links, "src long, dst long")
+    linked = verify(m, ["big", "block", "band", "i", "j"])
     repeated = filled.join(sets, ["h1", "h2"]).select("doc_id", F.col("rep").alias("src")).where("doc_id != src").select(F.col("doc_id").alias("src"), F.col("src").alias("dst"))
-    comp = connected_components(linked.union(repeated))
+    comp = connected_components(reduce(DataFrame.union, [linked, repeated, *([early] if early is not None else [])]))
     drop(members)
     drop(ranges)
     return table.select("doc_id", "n_shingles").join(comp, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

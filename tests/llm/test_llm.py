@@ -209,3 +209,50 @@ def test_pipeline(spark):
 
     r = corpus_pipeline.run(spark, SF).toPandas()
     assert len(r) and r.sequence_id.is_unique and (r.ids.str.len() == 4 * r.length).all()
+
+
+def near_copies(sets, words, seed):
+    """Copies of one text, each with one word of a hundred changed."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 40, words)
+    rows = []
+    for i in range(sets):
+        text = base.copy()
+        text[rng.choice(words, max(1, words // 100), replace=False)] = rng.integers(0, 1 << 40, max(1, words // 100))
+        rows.append((i, " ".join(map(str, text.tolist()))))
+    return rows
+
+
+@pytest.mark.parametrize(("sets", "words", "block"), [(100, 300, 10), (100, 3000, 20), (60, 10_000, 8)])
+def test_clusters_beyond_a_block_send_texts_a_few_times(spark, monkeypatch, sets, words, block):
+    sent = []
+    star, rest = jaccard.star_links, jaccard.unlinked_units
+
+    def counted(members, shared, verify, *more):
+        return star(members, shared, lambda rows, keys: sent.append(rows.count()) or verify(rows, keys), *more)
+
+    monkeypatch.setattr(jaccard, "star_links", counted)
+    monkeypatch.setattr(jaccard, "unlinked_units", lambda *a: sent.append((u := rest(*a)).count()) or u)
+    rows = near_copies(sets, words, sets + words)
+    got = jaccard.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), block_docs=block).collect()
+    assert {r.doc_id: r.component_id for r in got} == components(rows, 5, 80)[0]
+    print(sent)
+    assert len(sent) > 1 and max(sent) <= 2 * sets + 2 * sets / block
+
+
+def test_chained_clusters_are_exact(spark):
+    """Long texts that share passages: a cluster, but not a component."""
+    rng = np.random.default_rng(8)
+    word = lambda n: rng.integers(0, 1 << 40, n).tolist()
+    passage, rows = [word(600) for _ in range(3)], []
+    for g in range(12):
+        own = word(400 + 50 * g)
+        for k in range(int(rng.integers(1, 6))):
+            text = passage[g % 3] + own
+            for at in rng.integers(0, len(text), 4 * k):
+                text[at] = word(1)[0]
+            rows.append((len(rows), " ".join(map(str, text))))
+    want = components(rows, 5, 80)[0]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (2, 7):
+        assert {r.doc_id: r.component_id for r in jaccard.similar_components(df, block_docs=block).collect()} == want
