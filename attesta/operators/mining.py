@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
 from ..sources.shared import drop, written
+from . import bitsets
 
 
 def min_counts(n: int, min_support: float, configured: int) -> tuple[int, bool]:
@@ -23,49 +24,56 @@ def item_counts(baskets: DataFrame) -> DataFrame:
     return baskets.groupBy("item").agg(F.count("*").alias("n"))
 
 
-def itemset_levels(baskets: DataFrame, min_count: int, max_size: int = 12, pair_cap: int = 0, join_cap: int = 0) -> tuple[DataFrame, DataFrame]:
+def itemset_levels(baskets: DataFrame, min_count: int, max_size: int = 12, pair_cap: int = 0, join_cap: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(items, size, source_count) of all itemsets of 2 to ``max_size`` items
-    (12 at most; 0: 12) in at least ``min_count`` sources, and their
-    occurrences (source_id, items); support alone prunes.
-
-    Infrequent items leave the baskets first. A level joins the occurrences
-    of two frequent sets of one source that share all but their last item, so
-    candidates never cross sources; its occurrences are written once to the
-    shared folder and counted there, so plans don't grow. ``pair_cap`` (0:
-    none) keeps so many pairs, those whose rarer item is most frequent, ties
-    by items; ``join_cap`` so many candidates of each later level, the first
-    by items, before their support is known, as the configuration may ask.
+    (12 at most; 0: 12) in at least ``min_count`` sources; the bitmaps of their
+    sources, and the places that ``bitsets.occurrences`` needs to name these.
+    Support alone prunes.
+
+    Infrequent items leave the baskets first. A level meets the bitmaps of
+    frequent sets that share all but their last item, bucket by bucket; counts
+    are sums over the buckets. Its bitmaps are written once to the shared
+    folder, so plans don't grow. ``pair_cap`` (0: none) keeps so many pairs,
+    those whose rarer item is most frequent, ties by items; ``join_cap`` so
+    many candidates of each later level, the first by items, before their
+    support is known, as the configuration may ask.
     """
     size, most = 1, 12 if max_size <= 0 else min(max(2, max_size), 12)
-    singles = item_counts(baskets).where(F.col("n") >= min_count)
-    own = written(baskets.join(singles.select("item"), "item").select("source_id", F.array("item").alias("items")), "baskets")
-    empty = own.limit(0)
-    levels, found = [empty.select("items", F.lit(2).alias("size"), F.lit(0).cast("long").alias("source_count"))], [empty]
-    head, last = lambda n: F.slice("items", 1, n), F.element_at("items", -1)
+    singles = item_counts(baskets).where((F.col("n") >= min_count) & F.col("item").isNotNull())
+    singles = written(singles, "frequent-items")
+    different = singles.count()
+    places = written(bitsets.place(baskets.join(singles.select("item"), "item").select("source_id", "item"), different), "places")
+    own = places.where("bits IS NOT NULL").select("bucket", "width", "items", "bits")
+    levels, found = [own.limit(0).select("items", F.lit(2).alias("size"), F.lit(0).cast("long").alias("source_count"))], [own.limit(0)]
     counts = None
     while size < most:
         size += 1
-        left, right = own.select("source_id", head(size - 2).alias("head"), last.alias("a")), own.select("source_id", head(size - 2).alias("head"), last.alias("b"))
-        occ = left.join(right, ["source_id", "head"]).where("a < b").select("source_id", F.concat("head", F.array("a", "b")).alias("items"))
+        met = bitsets.meet(own, size, different)
         if join_cap and counts is not None:
-            sets = counts.select("items")
-            pairs = sets.select(head(size - 2).alias("head"), last.alias("a")).join(sets.select(head(size - 2).alias("head"), last.alias("b")), "head").where("a < b").select(F.concat("head", F.array("a", "b")).alias("items"))
-            parts = pairs.select("items", F.explode(F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.concat(F.slice("items", F.lit(1), i - 1), F.slice("items", i + 1, F.lit(size))))).alias("part"))
-            whole = parts.join(sets.toDF("part"), "part").groupBy("items").agg(F.count("*").alias("k")).where(F.col("k") == size)
-            occ = occ.join(whole.select("items").orderBy("items").limit(join_cap), "items", "left_semi")
-        occ = written(occ, "occurrences")
-        counts = occ.groupBy("items").agg(F.count("*").alias("source_count")).where(F.col("source_count") >= min_count)
+            met = met.join(_candidates(counts, size).orderBy("items").limit(join_cap), "items", "left_semi")
+        met = written(met, "bitmaps")
+        counts = met.groupBy("items").agg(F.sum("n").alias("source_count")).where(F.col("source_count") >= min_count)
         if pair_cap and size == 2:
             rarer = counts.select("*", F.col("items")[0].alias("x"), F.col("items")[1].alias("y")).join(singles.toDF("x", "nx"), "x").join(singles.toDF("y", "ny"), "y")
             counts = rarer.orderBy(F.desc(F.least("nx", "ny")), "items").limit(pair_cap).select("items", "source_count")
         counts = written(counts, "level")
         if not counts.limit(1).count():
             break
-        own = written(occ.join(counts.select("items"), "items").select("source_id", "items"), "occurrences")
-        drop(occ)
+        own = written(met.drop("n").join(counts.select("items"), "items", "left_semi").select(*own.columns), "bitmaps")
+        drop(met)
         levels.append(counts.select("items", F.lit(size).alias("size"), "source_count"))
         found.append(own)
-    return reduce(DataFrame.union, levels), reduce(DataFrame.union, found)
+    return reduce(DataFrame.union, levels), reduce(DataFrame.union, found), places
+
+
+def _candidates(counts: DataFrame, size: int) -> DataFrame:
+    """The sets of ``size`` items all of whose parts one item shorter are in ``counts``."""
+    sets, head, last = counts.select("items"), F.slice("items", 1, size - 2), F.element_at("items", -1)
+    pairs = sets.select(head.alias("head"), last.alias("a")).join(sets.select(head.alias("head"), last.alias("b")), "head").where("a < b")
+    pairs = pairs.select(F.concat("head", F.array("a", "b")).alias("items"))
+    without = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.concat(F.slice("items", F.lit(1), i - 1), F.slice("items", i + 1, F.lit(size))))
+    parts = pairs.select("items", F.explode(without).alias("part"))
+    return parts.join(sets.toDF("part"), "part").groupBy("items").agg(F.count("*").alias("k")).where(F.col("k") == size).select("items")
 
 
 def frequent_itemsets(baskets: DataFrame, min_count: int, max_size: int = 12, pair_cap: int = 0, join_cap: int = 0) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalars import normal_item
 from ..sources.shared import written
-from . import mining
+from . import bitsets, mining
 from .extract import number
 
 #: What certain observations suggest (fixed values).
@@ -62,7 +62,7 @@ def mine_patterns(observations: DataFrame, sources: DataFrame, config: dict[str,
     known = written(items_of(observations).join(meta.select("source_id"), "source_id", "left_semi").select("source_id", "item", F.coalesce(F.nullif("mapping_status", F.lit("")), F.lit("unknown")).alias("mapping_status"), "evidence_text", "seq"), "items")
     baskets = known.select("source_id", "item").distinct()
     singles = written(mining.item_counts(baskets), "singles")
-    levels, occurrences = mining.itemset_levels(baskets, least, int(c["max_size"]), int(c["max_pair_candidates"]), int(c["max_join_candidates"]))
+    levels, tids, places = mining.itemset_levels(baskets, least, int(c["max_size"]), int(c["max_pair_candidates"]), int(c["max_join_candidates"]))
     m = mining.pattern_metrics(levels, singles, n)
     two = F.col("size") == 2
     pair = [F.when(two, F.element_at("items", k)).alias(f"i{k}") for k in (1, 2)]
@@ -72,7 +72,8 @@ def mine_patterns(observations: DataFrame, sources: DataFrame, config: dict[str,
     p = mining.fisher_greater(*[F.col(x).cast("double") for x in ("source_count", "n1", "n2")], F.lit(float(n)))
     m = m.withColumn("fisher_p", F.when(two, p) if c["fisher_test"] else F.lit(None).cast("double"))
     m = m.where(mining.passes(float(c["min_lift"]), float(c["min_pmi"]), c["fisher_p_max"], F.col("fisher_p"))).drop("i1", "i2", "n1", "n2")
-    of = occurrences.join(m.select("items"), "items").join(meta, "source_id")
+    m = written(m, "measured")
+    of = bitsets.occurrences(tids.join(m.select("items"), "items", "left_semi"), places).join(meta, "source_id")
     traditions = of.groupBy("items", "tradition_id").agg(F.count("*").alias("n"))
     spread = traditions.groupBy("items").agg(F.count("*").alias("tradition_count"), F.sort_array(F.collect_list("tradition_id")).alias("tradition_ids"), F.sum("n").alias("t"), F.sum(F.col("n") * F.log("n")).alias("nl"))
     entropy = F.round(F.when(F.col("tradition_count") <= 1, 0.0).otherwise((F.log("t") - F.col("nl") / F.col("t")) / F.log("tradition_count")), 6)
