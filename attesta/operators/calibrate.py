@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import copy
+from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import clamp01
 from .extract import number
 
+#: What makes a task of a panel.
+TASK = ["term", "variable", "fuzzy_set"]
+ANSWER = "term string, variable string, fuzzy_set string, score string, confidence string, rationale string"
+UNANSWERED = "no answer; counted as a score without confidence"
 #: Shift of each role's score from the prior (fixed values of the panel).
 ROLE_SHIFTS = {"conservative": -0.03, "liberal": 0.03, "neutral": 0.0}
 
@@ -79,6 +85,49 @@ def scoring_tasks(spark: SparkSession, config: dict[str, Any]) -> DataFrame:
     return spark.createDataFrame(rows, "term string, feature string, variable string, fuzzy_set string, prior_membership double, current_status string, review_status string")
 
 
+def panel_tasks(tasks: DataFrame, roles: list[tuple[str, str]], batch: int = 20) -> DataFrame:
+    """(expert_id, expert_role, batch, ``TASK``): each different task for each
+    role (few: configuration), in batches of ``batch`` by the order of tasks.
+    Tasks are numbered range by range, so no task of Spark's sees them all."""
+    numbered = number(tasks.select(*TASK).distinct(), TASK, "no")
+    role = F.explode(F.array(*[F.struct(F.lit(e).alias("expert_id"), F.lit(r).alias("expert_role")) for e, r in roles]))
+    d = numbered.select(*TASK, F.floor((F.col("no") - 1) / batch).alias("batch"), role.alias("r"))
+    return d.select("r.expert_id", "r.expert_role", "batch", *TASK)
+
+
+def ask(panel: DataFrame, scorer: Callable[[str, list[dict]], list[dict]]) -> DataFrame:
+    """Raw answers (expert_id, batch, ``ANSWER``) of ``scorer(role, tasks)``,
+    called once a batch in the executors; what isn't a row of names goes."""
+    names = [c.split(" ")[0] for c in ANSWER.split(", ")]
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = t.select(TASK).to_pylist()
+        found = [a for a in scorer(t.column("expert_role")[0].as_py(), rows) or [] if isinstance(a, dict)]
+        text = lambda v: None if v is None else str(v)
+        cells = {n: pa.array([text(a.get(n)) for a in found], pa.string()) for n in names}
+        same = {c: pa.array([t.column(c)[0].as_py()] * len(found), kind) for c, kind in (("expert_id", pa.string()), ("batch", pa.int64()))}
+        return pa.table({**same, **cells})
+
+    return panel.groupBy("expert_id", "batch").applyInArrow(run, f"expert_id string, batch long, {ANSWER}")
+
+
+def panel_answers(panel: DataFrame, answers: DataFrame) -> DataFrame:
+    """Scores of a panel: answers to tasks of their own batch, clamped (not a
+    number: score 0, confidence 0.5), with 500 characters of reason; answers to
+    anything else go; tasks without any get score 0 and confidence 0.
+    ``answers``: as ``ask`` gives them, or a table of them."""
+    key = ["expert_id", "batch", *TASK]
+    kept = panel.join(answers.select(*key, "score", "confidence", "rationale"), key)
+    confidence = F.when(F.col("confidence").isNull(), 0.5).otherwise(clamp01(F.col("confidence"), 0.5))
+    given = kept.select(
+        *TASK, "expert_id", "expert_role", F.round(clamp01(F.col("score")), 6).alias("score"), F.round(confidence, 6).alias("confidence"),
+        F.substring(F.coalesce("rationale", F.lit("")), 1, 500).alias("rationale"), F.lit("panel").alias("score_source"),
+    )
+    open_ = panel.join(answers.select(*key), key, "left_anti")
+    filled = open_.select(*TASK, "expert_id", "expert_role", F.lit(0.0).alias("score"), F.lit(0.0).alias("confidence"), F.lit(UNANSWERED).alias("rationale"), F.lit("panel_without_answer").alias("score_source"))
+    return given.unionByName(filled)
+
+
 def panel_calibration(tasks: DataFrame) -> DataFrame:
     """The lexicon calibrated by the deterministic panel's scores."""
     scores = panel(tasks.select("term", "variable", "fuzzy_set", "prior_membership"), "prior_membership")

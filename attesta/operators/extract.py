@@ -88,16 +88,22 @@ def unmapped_log(observations: DataFrame, review_from: float = 0.85) -> DataFram
 
 
 def answers_to_rows(answers: DataFrame, features: list[str], text: str = "answer", most: int = 0) -> DataFrame:
-    """Observation rows of model answers; JSON is recovered where it must be.
-    Unknown features become ``other``, blank values go, ``most`` rows per
-    answer stay (0: all)."""
-    schema = "array<struct<feature:string,feature_value:string,evidence_text:string,extraction_confidence:string>>"
-    rows = F.from_json(recover_payload_udf(text), schema)
-    good = F.filter(rows, lambda r: F.coalesce(F.trim(r["feature_value"]), F.lit("")) != "")
+    """Observation rows of model answers. An answer that is one JSON object
+    with a list of observations is read by the engine; only the others, with
+    fences, thoughts, other names or broken JSON, go through Python to be
+    recovered. Unknown features become ``other``, blank values go, ``most``
+    rows per answer stay (0: all)."""
+    row = "struct<feature:string,feature_value:string,evidence_text:string,extraction_confidence:string>"
+    body, own = F.trim(F.col(f"`{text}`")), [F.col(f"`{c}`") for c in answers.columns if c != text]
+    found = F.from_json(body, f"observations array<{row}>")["observations"]
+    plain = body.startswith("{") & body.endswith("}") & ~F.contains(F.lower(body), F.lit("<think")) & ~F.contains(body, F.lit("```")) & found.isNotNull()
+    first = answers.where(plain).select(*own, found.alias("__rows"))
+    rest = answers.where(~F.coalesce(plain, F.lit(False))).select(*own, F.from_json(recover_payload_udf(F.col(f"`{text}`")), f"array<{row}>").alias("__rows"))
+    good = F.filter("__rows", lambda r: F.coalesce(F.trim(r["feature_value"]), F.lit("")) != "")
     good = F.slice(good, 1, most) if most else good
-    r = F.col("r")
+    r = F.col("__r")
     feature: Column = F.coalesce(F.nullif(F.trim(r["feature"]), F.lit("")), F.lit("symptom"))
-    return answers.select(*[c for c in answers.columns if c != text], F.posexplode(good).alias("row", "r")).select(
-        *[c for c in answers.columns if c != text], "row", F.when(feature.isin(features), feature).otherwise("other").alias("feature"), F.trim(r["feature_value"]).alias("feature_value"),
+    return first.unionByName(rest).select(*own, F.posexplode(good).alias("row", "__r")).select(
+        *own, "row", F.when(feature.isin(features), feature).otherwise("other").alias("feature"), F.trim(r["feature_value"]).alias("feature_value"),
         F.trim(F.coalesce(r["evidence_text"], F.lit(""))).alias("evidence_text"), clamp01(r["extraction_confidence"], 0.5).alias("extraction_confidence"),
     )

@@ -19,14 +19,60 @@ def _filled(c: Column) -> Column:
     return F.when((F.trim(t) != "") & (F.lower(F.trim(t)) != "nan"), t)
 
 
-def parse_antecedents(cell: Column) -> Column:
-    """Antecedents of a JSON list (single quotes and bare names allowed): rows
-    without a variable go; fuzzy_set is ``high``, threshold 0 and weight 1 by
-    default. Anything else is an empty list."""
+def _json_antecedents(cell: Column) -> Column:
     options = {"allowSingleQuotes": "true", "allowUnquotedFieldNames": "true"}
-    raw = F.from_json(cell, "array<struct<variable:string,fuzzy_set:string,threshold:string,weight:string>>", options)
-    good = F.filter(F.coalesce(raw, F.array().cast("array<struct<variable:string,fuzzy_set:string,threshold:string,weight:string>>")), lambda a: F.coalesce(F.trim(a["variable"]), F.lit("")) != "")
-    return F.transform(good, lambda a: F.struct(a["variable"].alias("variable"), F.coalesce(a["fuzzy_set"], F.lit("high")).alias("fuzzy_set"), safe_float(a["threshold"], 0.0).alias("threshold"), safe_float(a["weight"], 1.0).alias("weight")))
+    return F.from_json(cell, "array<struct<variable:string,fuzzy_set:string,threshold:string,weight:string>>", options)
+
+
+def _loose_antecedents(cell: Column) -> Column:
+    """Antecedents of lists that aren't JSON but whose items are clear: in
+    braces, with plain words as values, or a dash and a line for each name."""
+
+    def item(text: Column, stop: str) -> Column:
+        def value(name: str) -> Column:
+            found = F.regexp_extract(text, f"""(?:^|[{stop}])\\s*["']?{name}["']?\\s*:\\s*("[^"]*"|'[^']*'|[^{stop}]*)""", 1)
+            return F.nullif(F.trim(F.regexp_replace(F.trim(found), """^["']|["']$""", "")), F.lit("")).alias(name)
+
+        return F.struct(*[value(n) for n in ("variable", "fuzzy_set", "threshold", "weight")])
+
+    t = F.trim(cell)
+    braces = F.transform(F.regexp_extract_all(t, F.lit(r"\{([^{}]*)\}"), 1), lambda x: item(x, ",\n"))
+    dashes = F.transform(F.filter(F.split(t, r"(?:^|\n)\s*-\s+"), lambda x: F.trim(x) != ""), lambda x: item(x, "\n"))
+    return F.when(t.rlike(r"^[\[{]"), braces).when(t.rlike(r"^-\s"), dashes)
+
+
+def parse_antecedents(cell: Column) -> Column:
+    """Antecedents of a JSON list (single quotes and bare names allowed), else
+    of a list written loosely, in braces or with dashes: rows without a
+    variable go; fuzzy_set is ``high``, threshold 0 and weight 1 by default.
+    Anything else is an empty list (``unread_antecedents`` reports it)."""
+    none = F.array().cast("array<struct<variable:string,fuzzy_set:string,threshold:string,weight:string>>")
+    named = lambda rows: F.filter(F.coalesce(rows, none), lambda a: F.coalesce(F.trim(a["variable"]), F.lit("")) != "")
+    exact, loose = named(_json_antecedents(cell)), named(_loose_antecedents(cell))
+    good = F.when(F.size(exact) > 0, exact).otherwise(loose)
+    return F.transform(good, lambda a: F.struct(
+        a["variable"].alias("variable"), F.coalesce(a["fuzzy_set"], F.lit("high")).alias("fuzzy_set"),
+        safe_float(a["threshold"], 0.0).alias("threshold"), safe_float(a["weight"], 1.0).alias("weight")))
+
+
+def antecedent_cell(rows: DataFrame) -> Column:
+    """The cell of antecedents as text: ``antecedents``, even a blank one,
+    hides ``antecedents_json``."""
+    names = [c for c in ("antecedents", "antecedents_json") if c in rows.columns]
+    if not names:
+        return F.lit("[]")
+    c = F.col(names[0])
+    return c.cast("string") if rows.schema[names[0]].dataType.typeName() != "array" else F.to_json(c)
+
+
+def unread_antecedents(rows: DataFrame, key: str = "rule_id") -> DataFrame:
+    """Findings (item, severity, code) for rows whose cell of antecedents holds
+    something of which no antecedent could be read, so no rule goes silently."""
+    cell = F.trim(F.coalesce(antecedent_cell(rows), F.lit("")))
+    held = (cell != "") & ~F.lower(cell).isin("nan", "[]", "null", "none")
+    item = F.coalesce(F.col(key).cast("string"), F.lit("")) if key in rows.columns else F.substring(cell, 1, 80)
+    found = rows.where(held & (F.size(parse_antecedents(cell)) == 0))
+    return found.select(item.alias("item"), F.lit("error").alias("severity"), F.lit("unreadable_antecedents").alias("code"))
 
 
 def _listed(c: Column) -> Column:
@@ -48,11 +94,7 @@ def build_rules(rows: DataFrame) -> DataFrame:
     has = set(rows.columns)
     d = rows.select(*rows.columns, *[F.lit(None).cast("string").alias(c) for c in TEXTS if c not in has])
     t = {c: _filled(F.col(c)) for c in TEXTS}
-    if "antecedents" in has and rows.schema["antecedents"].dataType.typeName() == "array":
-        antecedents = parse_antecedents(F.to_json("antecedents"))
-    else:
-        cell = F.col("antecedents") if "antecedents" in has else F.col("antecedents_json") if "antecedents_json" in has else F.lit("[]")
-        antecedents = parse_antecedents(cell.cast("string"))
+    antecedents = parse_antecedents(antecedent_cell(rows))
     entity, kind = F.lit(None).cast("string"), F.lit(None).cast("string")
     if "consequent" in has:
         struct = rows.schema["consequent"].dataType.typeName() == "struct"

@@ -94,8 +94,11 @@ def build(sources: DataFrame, config: dict[str, Any], observations: DataFrame |
         validate.config_findings(spark, config), validate.ignored_priors(spark, config), validate.source_findings(sources, "source_id", ["text_original", "text_punctuated", "text_modern"], uncertain), validate.coverage_findings(o, m, ["observation_seq"]),
         validate.sample_findings(sources), validate.rule_errors(r), validate.inactive_rules(r), validate.gold_findings(metrics),
     )
+    if reviewed is not None:
+        findings = validate.union(findings, rules.unread_antecedents(reviewed))
     t["validation_report"] = written(validate.overall(findings), "findings")
-    t["implementation_audit"], t["methodology_compliance"] = assess.capabilities(spark, t["summary"]), assess.methods(spark, t["summary"])
+    t["implementation_audit"] = written(assess.capabilities(t), "audit")
+    t["methodology_compliance"] = assess.methods(t["implementation_audit"])
     t["completion_assessment"] = assess.assessment(t["validation_report"], t["implementation_audit"], metrics)
     t["wiki_pages"] = report.all_pages(t, int(config.get("wiki_output", {}).get("max_candidate_pattern_pages", 1000)))
     return t

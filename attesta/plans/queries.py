@@ -478,11 +478,11 @@ def panel_calibration(spark, d):
     return calibrate.panel_calibration(scoring_tasks(spark, d)).select("term", "variable", "prior_membership", "icc", "status", "review_status", "calibration_source", "score_count")
 
 
-@query(f"""WITH {TASKS}, e AS (SELECT p_name AS term, p_type AS variable, greatest(0, least(1, l_tax * 20)) AS score, l_suppkey AS expert FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1), r AS (SELECT term, variable, round(median(score), 6) AS m, round(avg(score), 6) AS mean, count(*) AS n, round(CASE WHEN count(DISTINCT expert) >= 2 THEN greatest(0, least(1, 1 - coalesce(stddev_samp(score), 0) / 0.5)) END, 6) AS icc FROM e GROUP BY ALL)
+@query(f"""WITH {TASKS}, e AS (SELECT p_name AS term, p_type AS variable, greatest(0, least(1, l_tax * 20)) AS score, l_suppkey AS expert FROM lineitem JOIN part ON l_partkey = p_partkey), r AS (SELECT term, variable, round(median(score), 6) AS m, round(avg(score), 6) AS mean, count(*) AS n, round(CASE WHEN count(DISTINCT expert) >= 2 THEN greatest(0, least(1, 1 - coalesce(stddev_samp(score), 0) / 0.5)) END, 6) AS icc FROM e GROUP BY ALL)
 SELECT term, variable, round(coalesce(m, prior), 6) AS prior_membership, mean AS expert_mean, CASE WHEN m IS NULL THEN 'bootstrap_prior' WHEN coalesce(icc, 1) >= 0.75 THEN 'expert_calibrated' ELSE 'expert_calibrated_low_icc' END AS status, CASE WHEN m IS NULL THEN 'pending' ELSE 'expert_reviewed' END AS review_status, n AS score_count FROM tasks LEFT JOIN r USING (term, variable)""")
 def calibrated_lexicon(spark, d):
     p = t(spark, d, "part").select("p_partkey", F.col("p_name").alias("term"), F.col("p_type").alias("variable"))
-    scores = t(spark, d, "lineitem").where("l_linenumber = 1").join(p, F.col("l_partkey") == F.col("p_partkey")).select("term", "variable", F.lit("high").alias("fuzzy_set"), F.col("l_suppkey").alias("expert_id"), (F.col("l_tax") * 20).alias("score"))
+    scores = t(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).select("term", "variable", F.lit("high").alias("fuzzy_set"), F.col("l_suppkey").alias("expert_id"), (F.col("l_tax") * 20).alias("score"))
     r = calibrate.merge_calibration(scoring_tasks(spark, d), calibrate.calibration(calibrate.checked_scores(scores), ["term", "variable", "fuzzy_set"]))
     return r.select("term", "variable", F.round("prior_membership", 6).alias("prior_membership"), "expert_mean", "status", "review_status", "score_count")
 
@@ -861,10 +861,91 @@ def source_findings(spark, d):
     return validate.source_findings(src, "o_custkey", ["text"], validate.uncertain_metadata(src, "o_custkey", ["status"]))
 
 
-@query(f"WITH n AS (SELECT count(*) AS w FROM ({UNC})) SELECT CASE WHEN w > 0 THEN 'research_ready_with_caveats' ELSE 'research_ready_with_caveats' END AS verdict, 0::BIGINT AS validation_errors, w + CASE WHEN w > 0 THEN 1 ELSE 0 END AS validation_warnings, 1::BIGINT AS implemented_mvp_capabilities, 1::BIGINT AS metrics_needing_gold_standard FROM n")
+ROLES = [("E1", "careful"), ("E2", "bold"), ("E3", "even")]
+PANEL = f"""panel AS (SELECT expert_id, expert_role, no // 20 AS batch, term, variable FROM (SELECT 'P' || p_partkey AS term, 'v' || p_partkey % 7 AS variable, row_number() OVER (ORDER BY 'P' || p_partkey, 'v' || p_partkey % 7) - 1 AS no FROM part) x, {values(ROLES, "expert_id, expert_role")}),
+said AS (SELECT 'E' || (o_orderkey % 4 + 1) AS expert_id, 'P' || o_custkey AS term, 'v' || o_custkey % 8 AS variable, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_totalprice / 200000 END AS score, CASE WHEN o_orderkey % 5 = 0 THEN 0.5 ELSE (o_orderkey % 10) / 8.0 END AS confidence, o_orderkey % 11 = 0 AS astray, o_comment_ AS rationale FROM (SELECT *, 'because ' || o_orderkey AS o_comment_ FROM orders))"""
+
+
+@query(f"""WITH {PANEL}, met AS (SELECT term, variable, expert_id, expert_role, round(greatest(0, least(1, coalesce(score, 0))), 6) AS score, round(greatest(0, least(1, confidence)), 6) AS confidence, rationale, 'panel' AS score_source FROM panel JOIN said USING (expert_id, term, variable) WHERE NOT astray)
+SELECT * FROM met UNION ALL SELECT term, variable, expert_id, expert_role, 0, 0, '{calibrate.UNANSWERED}', 'panel_without_answer' FROM panel p WHERE NOT EXISTS (SELECT 1 FROM said s WHERE s.expert_id = p.expert_id AND s.term = p.term AND s.variable = p.variable AND NOT astray)""")
+def panel_answers(spark, d):
+    """Orders as a panel's answers to tasks about parts: some to tasks of other
+    batches, some to none, many tasks without one."""
+    high = F.lit("high").alias("fuzzy_set")
+    tasks = t(spark, d, "part").select(F.concat(F.lit("P"), "p_partkey").alias("term"), F.concat(F.lit("v"), F.col("p_partkey") % 7).alias("variable"), high)
+    panel = calibrate.panel_tasks(tasks, ROLES)
+    key = F.col("o_orderkey")
+    said = t(spark, d, "orders").select(
+        F.concat(F.lit("E"), key % 4 + 1).alias("expert_id"), F.concat(F.lit("P"), "o_custkey").alias("term"), F.concat(F.lit("v"), F.col("o_custkey") % 8).alias("variable"), high,
+        F.when(key % 13 == 0, "high").otherwise((F.col("o_totalprice") / 200000).cast("string")).alias("score"), F.when(key % 5 > 0, ((key % 10) / 8.0).cast("string")).alias("confidence"),
+        F.concat(F.lit("because "), key).alias("rationale"), (key % 11 == 0).alias("astray"),
+    )
+    batches = panel.select("term", "batch").distinct()
+    said = said.join(batches, "term", "left").withColumn("batch", F.when(F.col("astray"), F.col("batch") + 1).otherwise(F.col("batch")))
+    return calibrate.panel_answers(panel, said).drop("fuzzy_set")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 4 THEN '' WHEN 5 THEN '' ELSE p_brand || '.' || CASE p_partkey % 6 WHEN 2 THEN 'high' ELSE p_type END || '>=' || (p_size / 64.0::DOUBLE)::VARCHAR || '^1.0' END AS antecedents, p_partkey % 6 = 5 AS unread FROM part""")
+def antecedent_cells(spark, d):
+    """Cells of antecedents as JSON, in loose braces, as dashes, blank and
+    unreadable; the unreadable ones are findings."""
+    p, size = t(spark, d, "part"), (F.col("p_size") / 64.0).cast("string")
+    kind = F.col("p_partkey") % 6
+    text = lambda pattern, *c: F.format_string(pattern, *c)
+    cell = (
+        F.when(kind == 0, text('[{"variable": "%s", "fuzzy_set": "%s", "threshold": %s}]', "p_brand", "p_type", size))
+        .when(kind == 1, text("[{variable: %s, fuzzy_set: '%s', threshold: %s, weight: 1}, {variable: }]", "p_brand", "p_type", size))
+        .when(kind == 2, text("- variable: %s\n  threshold: %s\n", "p_brand", size))
+        .when(kind == 3, text("- fuzzy_set: \"%s\"\n  variable: '%s'\n  threshold: %s\n- weight: 3", "p_type", "p_brand", size))
+        .when(kind == 4, F.lit(" "))
+        .otherwise(F.lit("see the other table"))
+    )
+    rows = p.select(F.col("p_partkey").cast("string").alias("rule_id"), "p_partkey", cell.alias("antecedents"))
+    unread = rule_rows.unread_antecedents(rows).select(F.col("item").alias("rule_id"), F.lit(True).alias("unread"))
+    shown = F.array_join(F.transform(rule_rows.parse_antecedents(F.col("antecedents")), lambda a: F.concat(a["variable"], F.lit("."), a["fuzzy_set"], F.lit(">="), a["threshold"].cast("string"), F.lit("^"), a["weight"].cast("string"))), ",")
+    return rows.join(unread, "rule_id", "left").select("p_partkey", shown.alias("antecedents"), F.coalesce("unread", F.lit(False)).alias("unread"))
+
+
+@query("""SELECT event_id, event_type AS value, CASE event_id % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 WHEN 2 THEN 0.25 ELSE 0.5 END AS confidence FROM events WHERE event_id % 4 <> 3""")
+def answers_two_ways(spark, d):
+    """Answers of which the engine reads what is plain JSON, and Python recovers
+    the rest; some hold nothing."""
+    kind = F.col("event_id") % 4
+    row = lambda confidence: F.concat(F.lit('{"feature": "kind", "feature_value": "'), "event_type", F.lit(f'"{confidence}}}'))
+    answer = (
+        F.when(kind == 0, F.concat(F.lit(' {"observations": ['), row(""), F.lit(', {"feature_value": " "}]}\n')))
+        .when(kind == 1, F.concat(F.lit("<THINK>{}</think>```json\n{\"items\": ["), row(', "extraction_confidence": 2'), F.lit(",]}\n```")))
+        .when(kind == 2, F.concat(F.lit("["), row(', "extraction_confidence": "0.25"'), F.lit("]")))
+        .otherwise(F.lit("nothing found"))
+    )
+    found = extract.answers_to_rows(t(spark, d, "events").select("event_id", answer.alias("answer")), ["kind"])
+    return found.select("event_id", F.col("feature_value").alias("value"), F.col("extraction_confidence").alias("confidence"))
+
+
+ASSESSED = """parts AS (SELECT 'documents' AS name, count(*) AS rows FROM documents UNION ALL SELECT 'labels', count(*) FROM labels UNION ALL SELECT 'undated', count(*) FROM documents WHERE lang = 'none'), audit AS (SELECT *, CASE WHEN rows > 0 THEN 'filled' ELSE 'empty' END AS status FROM parts)"""
+
+
+def assessed(spark, d):
+    docs = t(spark, d, "documents")
+    return assess.capabilities({"documents": docs, "labels": t(spark, d, "labels"), "undated": docs.where("lang = 'none'")})
+
+
+@query(f"""WITH n AS (SELECT count(*) AS w FROM ({UNC})), {ASSESSED}, e AS (SELECT count(*) AS k FROM audit WHERE status = 'empty'), bad AS (
+  SELECT (SELECT count(*) FROM documents WHERE trim(coalesce(text, '')) = '') + (SELECT count(*) FROM (SELECT doc_id FROM documents GROUP BY 1 HAVING count(*) > 1)) AS b)
+SELECT CASE WHEN b > 0 THEN 'not_ready' WHEN w > 0 OR k > 0 OR g > 0 THEN 'research_ready_with_caveats' ELSE 'formal_ready' END AS verdict, b AS validation_errors, w + CASE WHEN w > 0 THEN 1 ELSE 0 END AS validation_warnings, k AS empty_tables, g AS metrics_needing_gold_standard FROM n, e, bad, (SELECT 1::BIGINT AS g)""")
 def completion_assessment(spark, d):
     docs = t(spark, d, "documents")
     found = validate.overall(validate.union(validate.source_findings(docs, "doc_id", ["text"], uncertain(spark, d)), validate.sample_findings(docs)))
-    one = docs.agg(F.count("*").alias("source_count")).withColumns({"observation_count": F.lit(0), "coverage": F.lit(1.0)})
     metrics = evaluate.needs_gold(spark, "FCR", "expert_memberships.csv", "")
-    return assess.assessment(found, assess.capabilities(spark, one), metrics).select("verdict", "validation_errors", "validation_warnings", "implemented_mvp_capabilities", "metrics_needing_gold_standard")
+    columns = ["verdict", "validation_errors", "validation_warnings", "empty_tables", "metrics_needing_gold_standard"]
+    return assess.assessment(found, assessed(spark, d), metrics).select(*columns)
+
+
+@query(f"""WITH {ASSESSED}, needs AS (SELECT * FROM {values([("labels", "documents"), ("undated", "documents"), ("undated", "scores")], "name, input")})
+SELECT name, any_value(a.rows) AS rows, string_agg(input, ',' ORDER BY input) AS inputs, coalesce(string_agg(input, ',' ORDER BY input) FILTER (WHERE f.name IS NULL), '') AS lacking,
+  CASE WHEN count(*) FILTER (WHERE f.name IS NULL) > 0 THEN 'lacks_input' WHEN any_value(a.rows) > 0 THEN 'met' ELSE 'unfilled' END AS status
+FROM needs JOIN audit a USING (name) LEFT JOIN (SELECT name FROM audit WHERE status = 'filled') f ON f.name = input GROUP BY needs.name""".replace("SELECT name, any_value", "SELECT needs.name AS name, any_value"))
+def made_from(spark, d):
+    """Which inputs each table of a build lacks."""
+    found = assess.methods(assessed(spark, d), {"labels": ["documents"], "undated": ["documents", "scores"]})
+    return found.withColumns({c: F.array_join(c, ",") for c in ("inputs", "lacking")})
