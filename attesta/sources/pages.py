@@ -81,8 +81,8 @@ def bad_paths(pages: DataFrame) -> DataFrame:
     parts = F.split("path", "/")
     odd = F.exists(parts, lambda x: (F.trim(x) == "") | x.startswith(".")) | F.col("path").contains("\\") | (F.col("path") == DONE)
     same = p.groupBy(F.lower("path").alias("key")).agg(F.min("path").alias("path"), F.count("*").alias("n"))
-    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    folders = p.where(F.size(parts) > 1).select(F.lower(F.explode(above)).alias("key")).distinct()
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.lower(F.array_join(F.slice(parts, F.lit(1), i), "/")))
+    folders = p.where(F.size(parts) > 1).select(F.explode(above).alias("key")).distinct()
     codes = [(p.where(odd).select("path").distinct(), "unfit_path"), (same.where("n > 1").select("path"), "clashing_path"), (same.join(folders, "key", "left_semi").select("path"), "path_is_a_folder")]
     out = [d.withColumn("code", F.lit(c)) for d, c in codes]
     return out[0].unionByName(out[1]).unionByName(out[2])
@@ -102,7 +102,7 @@ def write_pages(pages: DataFrame, folder: str) -> None:
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
     """(path, body) of a folder of pages."""
     root = folder if "://" in folder else "file://" + posixpath.abspath(folder)
-    files = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(root)
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
     path = F.col("_metadata.file_path")
     tail = F.substring_index(F.url_decode(F.regexp_replace(path, r"\+", "%2B")), root.split("://", 1)[1].rstrip("/") + "/", -1)
     return files.select(tail.alias("path"), F.col("value").alias("body"))
