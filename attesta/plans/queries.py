@@ -4,11 +4,12 @@ conversations are the chunk log."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import scalars as S
+from ..functions import scalars as S, table_functions
 from ..operators import aggregate, assess, calibrate, chunks, evaluate, extract, infer, membership, mining, network, patterns, report, rules as rule_rows, validate
 from ..sources import tables
 from ..sources.shared import new_path
@@ -675,6 +676,21 @@ def split_text_chunks(spark, d):
     return chunks.plan_chunks(t(spark, d, "documents"), "doc_id", size=1800, overlap=80)
 
 
+@query(ORACLES["split_text_chunks"])
+def split_text_sql(spark, d):
+    """The same by a function that SQL calls for each text."""
+    table_functions.register(spark)
+    return spark.sql("SELECT d.doc_id, c.* FROM {docs} d, LATERAL split_chunks(d.text, 1800, 80) c", docs=t(spark, d, "documents"))
+
+
+@query(f"WITH {EXTRACT} SELECT * FROM found")
+def find_patterns_sql(spark, d):
+    """The extraction by a function that SQL calls for each text."""
+    table_functions.register(spark)
+    patterns = json.dumps(PATTERNS)
+    return spark.sql(f"SELECT d.doc_id, f.* FROM {{docs}} d, LATERAL find_patterns(d.text, '{patterns}') f", docs=t(spark, d, "documents"))
+
+
 @query("SELECT event_id, 0 AS row, 'kind' AS feature, event_type AS feature_value, '' AS evidence_text, 1.0::DOUBLE AS extraction_confidence FROM events")
 def json_recovery(spark, d):
     e = t(spark, d, "events").select("event_id", F.concat(F.lit("<think>no</think>```json\n{\"items\": [{\"feature\": \"kind\", \"feature_value\": \""), F.col("event_type"), F.lit("\", \"extraction_confidence\": 2},]}\n```")).alias("answer"))
