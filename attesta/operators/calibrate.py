@@ -85,6 +85,36 @@ def scoring_tasks(spark: SparkSession, config: dict[str, Any]) -> DataFrame:
     return spark.createDataFrame(rows, "term string, feature string, variable string, fuzzy_set string, prior_membership double, current_status string, review_status string")
 
 
+def agreement(scores: DataFrame, keys: list[str], item: str, score: str = "score", expert: str = "expert_id") -> DataFrame:
+    """(keys, icc, items, n): the one-way coefficient of agreement of each key,
+    whose ``item`` says what was scored: the share of variance that lies
+    between items rather than within them, for any number of scores an item.
+
+    Two aggregates: sums and squares of an item, then of a key, so neither a
+    key's nor an item's rows ever meet. Scores are clamped to [0, 1] (not a
+    number: 0). Below two experts the coefficient is null; with fewer than two
+    items or no item scored twice it is the proxy of ``calibration``; without
+    any variance 1; negative ones are 0."""
+    s = scores.select(*keys, F.col(item).alias("__item"), F.col(expert).alias("__e"), clamp01(F.col(score)).alias("__s"))
+    sums = [F.count("*").alias("n"), F.sum("__s").alias("t"), F.sum(F.col("__s") * F.col("__s")).alias("q")]
+    each = s.groupBy(*keys, "__item").agg(*sums)
+    of = F.sum(F.col("t") * F.col("t") / F.col("n"))
+    g = each.groupBy(*keys).agg(F.count("*").alias("items"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum("t").alias("t"), F.sum("q").alias("q"), of.alias("of"))
+    experts = s.groupBy(*keys).agg(F.countDistinct("__e").alias("experts"), F.coalesce(F.stddev_samp("__s"), F.lit(0.0)).alias("sd"))
+    same = [g[k].eqNullSafe(experts[k]) for k in keys]
+    d = g.join(experts, same).select(*[g[k] for k in keys], "items", "n", "nn", "t", "q", "of", "experts", "sd")
+    n, items = F.col("n"), F.col("items")
+    between = (F.col("of") - F.col("t") * F.col("t") / n) / (items - 1)
+    within = F.greatest(F.lit(0.0), F.col("q") - F.col("of")) / (n - items)
+    d = d.withColumns({"between": between, "within": within, "usual": (n - F.col("nn") / n) / (items - 1)})
+    total = F.col("between") + (F.col("usual") - 1) * F.col("within")
+    cut = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    true = F.when(total <= 1e-15, F.lit(1.0)).otherwise(cut((F.col("between") - F.col("within")) / total))
+    proxy = cut(1 - F.col("sd") / 0.5)
+    icc = F.when(F.col("experts") >= 2, F.when((items >= 2) & (n > items), true).otherwise(proxy))
+    return d.select(*keys, F.round(icc, 6).alias("icc"), "items", "n")
+
+
 def panel_tasks(tasks: DataFrame, roles: list[tuple[str, str]], batch: int = 20) -> DataFrame:
     """(expert_id, expert_role, batch, ``TASK``): each different task for each
     role (few: configuration), in batches of ``batch`` by the order of tasks.

@@ -35,6 +35,12 @@ def listed(rows: DataFrame, key: str, order: Column, line: Column, name: str, mo
     return d.groupBy(key, "part").agg(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["l"]), "\n").alias(name))
 
 
+def together(key: str, *lists: DataFrame) -> DataFrame:
+    """(key, part, the lists' names): part by part, so the first page of a key
+    has the first part of each list, and further ones what is left."""
+    return reduce(lambda a, b: a.join(b, [key, "part"], "full"), lists)
+
+
 def pages(kind: str | Column, folder: str | Column, base: Column, body: Column, part: Column | None = None) -> list[Column]:
     as_column = lambda x: F.lit(x) if isinstance(x, str) else x
     end = F.lit("") if part is None else F.when(part > 0, F.concat(F.lit("_"), part.cast("string"))).otherwise("")
@@ -58,16 +64,17 @@ def one_page(rows: DataFrame, kind: str, path: str, title: str, header: str, ord
 def source_pages(sources: DataFrame, observations: DataFrame, memberships: DataFrame, results: DataFrame) -> DataFrame:
     """A page per source with its text, observations, memberships and conclusions."""
     two = lambda c: F.format_string("%.2f", F.col(c))
-    o = listed(observations, "source_id", F.col("observation_id"), cells(F.col("observation_id"), F.col("feature"), F.col("standard_observation"), two("extraction_confidence"), F.col("evidence_text")), "o", 1 << 30).drop("part")
-    m = listed(memberships, "source_id", F.col("membership_id"), cells(F.col("standard_observation"), F.col("variable_key"), two("membership"), F.col("calculation_mode")), "m", 1 << 30).drop("part")
-    r = listed(results.where("status = 'fired'"), "source_id", F.col("rule_id"), cells(F.col("consequent_entity"), two("activation"), F.col("p5"), F.col("p95"), F.col("rule_id")), "r", 1 << 30).drop("part")
-    d = sources.join(o, "source_id", "left").join(m, "source_id", "left").join(r, "source_id", "left")
+    o = listed(observations, "source_id", F.col("observation_id"), cells(F.col("observation_id"), F.col("feature"), F.col("standard_observation"), two("extraction_confidence"), F.col("evidence_text")), "o")
+    m = listed(memberships, "source_id", F.col("membership_id"), cells(F.col("standard_observation"), F.col("variable_key"), two("membership"), F.col("calculation_mode")), "m")
+    r = listed(results.where("status = 'fired'"), "source_id", F.col("rule_id"), cells(F.col("consequent_entity"), two("activation"), F.col("p5"), F.col("p95"), F.col("rule_id")), "r")
+    d = sources.join(together("source_id", o, m, r), "source_id", "left")
+    part = F.coalesce("part", F.lit(0))
     field = lambda n, c: F.concat(F.lit(f"- {n}: "), F.coalesce(c.cast("string"), F.lit("")))
     body = text(
         F.concat_ws(" ", F.lit("#"), "book_name", "volume_name", "chapter_title"), field("source", F.col("source_id")), field("type", F.col("text_type")), field("tradition", F.col("tradition_id")), field("schools", F.array_join("school_tag", ", ")), field("regions", F.array_join("region_tag", ", ")), field("topic", F.col("topic_hint")),
-        "\n## Text", F.col("text_original"), "\n## Observations", head("id", "feature", "standard", "confidence", "evidence"), F.col("o"), "\n## Memberships", head("observation", "variable", "membership", "mode"), F.col("m"), "\n## Conclusions", head("conclusion", "activation", "p5", "p95", "rule"), F.col("r"), "", BOUNDARY,
+        "\n## Text", F.when(part == 0, F.col("text_original")), "\n## Observations", head("id", "feature", "standard", "confidence", "evidence"), F.col("o"), "\n## Memberships", head("observation", "variable", "membership", "mode"), F.col("m"), "\n## Conclusions", head("conclusion", "activation", "p5", "p95", "rule"), F.col("r"), "", BOUNDARY,
     )
-    return d.select(*pages("source", "sources", F.col("source_id"), body))
+    return d.select(*pages("source", "sources", F.col("source_id"), body, part))
 
 
 def rule_pages(rules: DataFrame) -> DataFrame:
@@ -90,11 +97,11 @@ def pattern_pages(patterns: DataFrame, most: int = 1000) -> DataFrame:
 
 
 def conclusion_lists(levels: DataFrame, rules: DataFrame) -> DataFrame:
-    """(consequent_entity, a, u): a conclusion's levels and its rules. Sources
-    have pages of their own, so only traditions and the corpus are listed."""
-    a = listed(levels.where("level <> 'source'"), "consequent_entity", F.struct("level", "tradition_id"), cells(F.col("level"), F.col("tradition_id"), F.col("membership"), F.col("evidence_count")), "a", 1 << 30).drop("part")
-    u = listed(rules, "consequent_entity", F.col("rule_id"), cells(F.col("rule_id"), F.col("rule_name"), F.col("rule_weight"), F.col("review_status")), "u", 1 << 30).drop("part")
-    return a.join(u, "consequent_entity", "full")
+    """(consequent_entity, part, a, u): a conclusion's levels and its rules.
+    Sources have pages of their own, so only traditions and the corpus are listed."""
+    a = listed(levels.where("level <> 'source'"), "consequent_entity", F.struct("level", "tradition_id"), cells(F.col("level"), F.col("tradition_id"), F.col("membership"), F.col("evidence_count")), "a")
+    u = listed(rules, "consequent_entity", F.col("rule_id"), cells(F.col("rule_id"), F.col("rule_name"), F.col("rule_weight"), F.col("review_status")), "u")
+    return together("consequent_entity", a, u)
 
 
 def entity_pages(entities: DataFrame, levels: DataFrame, rules: DataFrame) -> DataFrame:
@@ -103,7 +110,7 @@ def entity_pages(entities: DataFrame, levels: DataFrame, rules: DataFrame) -> Da
     d = entities.join(conclusion_lists(levels, rules), F.col("entity_name") == F.col("consequent_entity"), "left")
     fields = [F.concat(F.lit(f"- {c}: "), F.coalesce(c, F.lit(""))) for c in ("entity_id", "entity_type", "normalized_name", "synonyms", "ancient_terms", "modern_mapping", "parent_category", "review_status")]
     body = text(F.concat_ws(" ", F.lit("#"), "entity_name"), *fields, "\n## Definition", F.col("definition"), "\n## Aggregates", head("level", "tradition", "membership", "evidence"), F.col("a"), "\n## Rules", head("rule", "name", "weight", "status"), F.col("u"), "", BOUNDARY)
-    return d.select(*pages(F.regexp_replace(folder, "s$", ""), folder, F.coalesce(F.nullif("entity_id", F.lit("")), "entity_name", F.lit("entity")), body))
+    return d.select(*pages(F.regexp_replace(folder, "s$", ""), folder, F.coalesce(F.nullif("entity_id", F.lit("")), "entity_name", F.lit("entity")), body, F.coalesce("part", F.lit(0))))
 
 
 def conclusion_pages(results: DataFrame, levels: DataFrame, rules: DataFrame, entities: DataFrame) -> DataFrame:
@@ -111,7 +118,7 @@ def conclusion_pages(results: DataFrame, levels: DataFrame, rules: DataFrame, en
     names = results.select("consequent_entity").union(levels.select("consequent_entity")).where("consequent_entity <> ''").distinct()
     s = listed(results.where("status = 'fired'"), "consequent_entity", F.struct("source_id", "rule_id"), cells(F.col("source_id"), F.col("activation"), F.col("rule_id"), F.array_join("supporting_variables", ", ")), "s")
     named = entities.select(F.explode(F.array_distinct(F.array("entity_name", "normalized_name"))).alias("name"), "definition", "modern_mapping").groupBy("name").agg(F.max(F.struct("definition", "modern_mapping")).alias("e"))
-    d = names.join(s, "consequent_entity", "left").join(conclusion_lists(levels, rules), "consequent_entity", "left").join(named, F.col("consequent_entity") == F.col("name"), "left")
+    d = names.join(together("consequent_entity", s, conclusion_lists(levels, rules)), "consequent_entity", "left").join(named, F.col("consequent_entity") == F.col("name"), "left")
     body = text(F.concat_ws(" ", F.lit("#"), "consequent_entity"), F.col("e.definition"), F.col("e.modern_mapping"), "\n## Sources", head("source", "activation", "rule", "supported by"), F.col("s"), "\n## Aggregates", head("level", "tradition", "membership", "evidence"), F.col("a"), "\n## Rules", head("rule", "name", "weight", "status"), F.col("u"), "", BOUNDARY)
     return d.select(*pages("syndrome", "syndromes", F.col("consequent_entity"), body, F.coalesce("part", F.lit(0))))
 
@@ -130,20 +137,21 @@ def observation_pages(observations: DataFrame, memberships: DataFrame, patterns:
     keys = observations.groupBy("observation_key").agg(F.count("*").alias("n"), F.countDistinct("source_id").alias("sources"))
     keys = keys.withColumn("item", normal_item(F.col("observation_key")))
     m = memberships.select(F.col("standard_observation").alias("observation_key"), "variable_key", "membership", "status").distinct()
-    m = listed(m, "observation_key", F.struct("variable_key", "membership"), cells(F.col("variable_key"), F.col("membership"), F.col("status")), "m", 1 << 30).drop("part")
+    m = listed(m, "observation_key", F.struct("variable_key", "membership"), cells(F.col("variable_key"), F.col("membership"), F.col("status")), "m")
     top = patterns_of_items(patterns)
-    p = listed(top, "item", F.col("place"), cells(F.col("pattern_id"), F.array_join(F.array_except("items", F.array("item")), ", "), F.col("lift"), F.col("pmi"), F.col("source_count")), "p", 1 << 30).drop("part")
+    p = listed(top, "item", F.col("place"), cells(F.col("pattern_id"), F.array_join(F.array_except("items", F.array("item")), ", "), F.col("lift"), F.col("pmi"), F.col("source_count")), "p")
     made = patterns.select(F.explode("items").alias("item"), "pattern_id").join(rules.select("pattern_id", "rule_id", "rule_name", "review_status"), "pattern_id")
-    u = listed(made, "item", F.col("rule_id"), cells(F.col("rule_id"), F.col("rule_name"), F.col("review_status")), "u", 1 << 30).drop("part")
-    d = keys.join(m, "observation_key", "left").join(p, "item", "left").join(u, "item", "left")
+    u = listed(made, "item", F.col("rule_id"), cells(F.col("rule_id"), F.col("rule_name"), F.col("review_status")), "u")
+    of_items = keys.select("observation_key", "item").join(together("item", p, u), "item").drop("item")
+    d = keys.join(together("observation_key", m, of_items), "observation_key", "left")
     body = text(F.concat_ws(" ", F.lit("#"), "observation_key"), "\n## Variables", head("variable", "membership", "status"), F.col("m"), "\n## Patterns", head("pattern", "with", "lift", "pmi", "sources"), F.col("p"), "\n## Rules", head("rule", "name", "status"), F.col("u"), "\n## Evidence", F.concat(F.col("n").cast("string"), F.lit(" times in "), F.col("sources").cast("string"), F.lit(" sources")))
-    return d.select(*pages("observation", "observations", F.col("observation_key"), body))
+    return d.select(*pages("observation", "observations", F.col("observation_key"), body, F.coalesce("part", F.lit(0))))
 
 
 def tradition_pages(sources: DataFrame, levels: DataFrame) -> DataFrame:
     books = listed(sources, "tradition_id", F.struct("book_name", "chapter_title", "source_id"), F.concat_ws(" ", F.lit("-"), "book_name", "chapter_title"), "b")
-    a = listed(levels.where("level = 'tradition'"), "tradition_id", F.col("consequent_entity"), cells(F.col("consequent_entity"), F.col("membership"), F.col("evidence_count")), "a", 1 << 30).drop("part")
-    d = books.join(a, "tradition_id", "left")
+    a = listed(levels.where("level = 'tradition'"), "tradition_id", F.col("consequent_entity"), cells(F.col("consequent_entity"), F.col("membership"), F.col("evidence_count")), "a")
+    d = together("tradition_id", books, a).join(sources.select("tradition_id").distinct(), "tradition_id", "left_semi")
     return d.select(*pages("tradition", "traditions", F.col("tradition_id"), text(F.concat_ws(" ", F.lit("#"), "tradition_id"), F.col("b"), "\n## Conclusions", head("conclusion", "membership", "evidence"), F.col("a"), "", BOUNDARY), F.col("part")))
 
 

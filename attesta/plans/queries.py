@@ -877,6 +877,19 @@ def source_findings(spark, d):
     return validate.source_findings(src, "o_custkey", ["text"], validate.uncertain_metadata(src, "o_custkey", ["status"]))
 
 
+@query("""WITH s AS (SELECT l_returnflag AS flag, p_brand AS brand, l_partkey AS item, l_suppkey AS expert, greatest(0, least(1, l_tax * 14 - 0.1)) AS x FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size < 40),
+i AS (SELECT flag, brand, item, count(*) AS n, avg(x) AS m FROM s GROUP BY ALL), g AS (SELECT flag, brand, avg(x) AS grand, count(*) AS n, count(DISTINCT expert) AS experts, coalesce(stddev_samp(x), 0) AS sd FROM s GROUP BY ALL),
+b AS (SELECT flag, brand, count(*) AS items, sum(i.n * (m - grand) ** 2) AS ssb, sum(i.n * i.n) AS nn FROM i JOIN g USING (flag, brand) GROUP BY ALL), w AS (SELECT flag, brand, sum((x - m) ** 2) AS ssw FROM s JOIN i USING (flag, brand, item) GROUP BY ALL),
+v AS (SELECT *, ssb / nullif(items - 1, 0) AS msb, ssw / nullif(g.n - items, 0) AS msw, (g.n - nn / g.n) / nullif(items - 1, 0) AS usual FROM g JOIN b USING (flag, brand) JOIN w USING (flag, brand))
+SELECT flag, brand, round(CASE WHEN experts < 2 THEN NULL WHEN items < 2 OR n = items THEN greatest(0, least(1, 1 - sd / 0.5)) WHEN msb + (usual - 1) * msw <= 1e-15 THEN 1 ELSE greatest(0, least(1, (msb - msw) / (msb + (usual - 1) * msw))) END, 6) AS icc, items, n::BIGINT AS n FROM v""")
+def agreement(spark, d):
+    """Agreement of suppliers' scores of parts, for each brand and flag."""
+    p = t(spark, d, "part").where("p_size < 40").select("p_partkey", F.col("p_brand").alias("brand"))
+    s = t(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey"))
+    s = s.select(F.col("l_returnflag").alias("flag"), "brand", F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("expert_id"), (F.col("l_tax") * 14 - 0.1).alias("score"))
+    return calibrate.agreement(s, ["flag", "brand"], "item")
+
+
 ROLES = [("E1", "careful"), ("E2", "bold"), ("E3", "even")]
 PANEL = f"""panel AS (SELECT expert_id, expert_role, no // 20 AS batch, term, variable FROM (SELECT 'P' || p_partkey AS term, 'v' || p_partkey % 7 AS variable, row_number() OVER (ORDER BY 'P' || p_partkey, 'v' || p_partkey % 7) - 1 AS no FROM part) x, {values(ROLES, "expert_id, expert_role")}),
 said AS (SELECT 'E' || (o_orderkey % 4 + 1) AS expert_id, 'P' || o_custkey AS term, 'v' || o_custkey % 8 AS variable, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_totalprice / 200000 END AS score, CASE WHEN o_orderkey % 5 = 0 THEN 0.5 ELSE (o_orderkey % 10) / 8.0 END AS confidence, o_orderkey % 11 = 0 AS astray, o_comment_ AS rationale FROM (SELECT *, 'because ' || o_orderkey AS o_comment_ FROM orders))"""

@@ -20,7 +20,8 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
@@ -50,11 +51,13 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Rows up to which a table counts as small.
-SMALL_ROWS = 100_000
+#: Rows and bytes (as JSON) up to which a table counts as small.
+SMALL_ROWS, SMALL_BYTES = 100_000, 32 << 20
 
 
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """``df`` to be broadcast, if a look at no more than ``rows`` of its rows
-    shows that it has no more; else as it is, and the engine picks the join."""
-    return F.broadcast(df) if df.select(F.lit(1)).limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> DataFrame:
+    """``df`` as a written table, to be broadcast if it has no more rows and
+    bytes than these; else the engine picks the join."""
+    t = written(df, "small")
+    seen = t.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()
+    return F.broadcast(t) if seen["n"] <= rows and (seen["bytes"] or 0) <= size else t

@@ -77,7 +77,11 @@ def test_evaluation_validation_and_verdict(built):
     v = built["validation_report"]
     assert v.where("severity = 'warning'").count() == 7 and v.where("severity = 'error'").count() == 0
     assert built["completion_assessment"].first().verdict == "research_ready_with_caveats"
-    assert assess.status_counts(built["methodology_compliance"]).count() == 2
+    assert [tuple(r) for r in assess.status_counts(built["methodology_compliance"]).collect()] == [("met", len(assess.MADE_FROM))]
+    audit = {r.name: (r.rows, r.status) for r in built["implementation_audit"].collect()}
+    assert audit["source_units"] == (5, "filled") and audit["summary"] == (1, "filled") and set(assess.MADE_FROM) < set(audit)
+    lacking = assess.methods(built["implementation_audit"].where("name <> 'rules'")).where("status = 'lacks_input'").collect()
+    assert {r.name: r.lacking for r in lacking} == {"inference_results": ["rules"], "relation_edges": ["rules"]}
 
 
 def test_pages(built):
