@@ -37,14 +37,29 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def merges_by_id(model: dict, special: list[str]) -> bool:
+    """Whether a vocabulary is byte-level BPE whose pairs merge in the order of
+    their tokens' ids, as the faster engine takes for granted: one merge makes
+    each token, a later one a greater id, and what no merge makes is a byte."""
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    if model.get("type") != "BPE" or any(model.get(k) for k in odd):
+        return False
+    vocab = model["vocab"]
+    made = ["".join(m) if isinstance(m, list) else m.replace(" ", "", 1) for m in model["merges"]]
+    ids = [vocab.get(t, -1) for t in made]
+    rest = set(vocab) - set(made) - set(special)
+    return ids[:1] != [-1] and all(a < b for a, b in zip(ids, ids[1:])) and rest == set(_byte_letters())
+
+
 class Encoder:
     """Ids and spans as ``Tokenizer.from_file(path).encode(text,
     add_special_tokens=False)`` gives them.
 
-    With a plain byte-level tokenizer the ids of a run come from a faster
-    engine with the same vocabulary, if the run has settled characters, no
-    special token and no word or blank of LONG characters; all other runs, and
-    any at which that engine fails, go through the tokenizer itself. Spans are
+    With a plain byte-level tokenizer whose pairs merge in the order of ids
+    (``merges_by_id``) the ids of a run come from a faster engine with the same
+    vocabulary, if the run has settled characters, no special token and no word
+    or blank of LONG characters; all other runs, and any at which that engine
+    fails, go through the tokenizer itself. Spans are
     the tokenizer's own: of the pieces between single blanks, which no token
     crosses; those met before are remembered. Other tokenizers take every text
     as one.
@@ -53,13 +68,14 @@ class Encoder:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        pre, added = spec["pre_tokenizer"] or {}, spec["added_tokens"]
-        self.plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec["normalizer"] and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
+        pre, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
+        self.plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t["content"] for t in added]
-        if self.plain:
+        self.fast = None
+        if self.plain and merges_by_id(spec["model"], self.special):
             letters = _byte_letters()
             ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
             self.fast = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -81,7 +97,7 @@ class Encoder:
         return found[0] if len(found) == 1 else np.concatenate(found)
 
     def _ids(self, run: str) -> np.ndarray:
-        settled = self.plain and (run.isascii() or max(run, default="") <= SETTLED)
+        settled = self.fast is not None and (run.isascii() or max(run, default="") <= SETTLED)
         if settled and max(map(len, run.split()), default=0) < LONG and not _BLANKS.search(run) and not any(s in run for s in self.special):
             try:
                 return self.fast.encode_to_numpy(run, disallowed_special=()).astype("<u4", copy=False)

@@ -223,7 +223,7 @@ def near_copies(sets, words, seed):
     return rows
 
 
-@pytest.mark.parametrize(("sets", "words", "block"), [(100, 300, 10), (100, 3000, 20), (60, 10_000, 8)])
+@pytest.mark.parametrize(("sets", "words", "block"), [(100, 300, 10), (60, 10_000, 8)])
 def test_clusters_beyond_a_block_send_texts_a_few_times(spark, monkeypatch, sets, words, block):
     sent = []
     star, rest = jaccard.star_links, jaccard.unlinked_units
@@ -236,7 +236,6 @@ def test_clusters_beyond_a_block_send_texts_a_few_times(spark, monkeypatch, sets
     rows = near_copies(sets, words, sets + words)
     got = jaccard.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), block_docs=block).collect()
     assert {r.doc_id: r.component_id for r in got} == components(rows, 5, 80)[0]
-    print(sent)
     assert len(sent) > 1 and max(sent) <= 2 * sets + 2 * sets / block
 
 
@@ -256,3 +255,58 @@ def test_chained_clusters_are_exact(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for block in (2, 7):
         assert {r.doc_id: r.component_id for r in jaccard.similar_components(df, block_docs=block).collect()} == want
+
+
+def test_other_vocabularies_go_through_the_tokenizer(tmp_path):
+    """A byte-level vocabulary whose ids aren't in merge order, and one that is
+    no BPE at all; the usual one takes the faster engine."""
+    import json
+
+    from attesta.llm import tokens
+
+    assert tokens.Encoder(queries.tokenizer_path()).fast is not None
+    letters = sorted(tokens._byte_letters())
+    merges, base = [("a", "b"), ("b", "c"), ("ab", "c")], {c: i for i, c in enumerate(letters)}
+    level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    spec = {"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": level, "post_processor": None, "decoder": level}
+    bpe = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "merges": [list(m) for m in merges]}
+    for name, order, fast in (("ordered", (256, 257, 258), True), ("shuffled", (258, 256, 257), False)):
+        vocab = base | {"".join(m): i for m, i in zip(merges, order)}
+        path = tmp_path / f"{name}.json"
+        path.write_text(json.dumps(spec | {"model": bpe | {"vocab": vocab}}))
+        e = tokens.Encoder(str(path))
+        assert (e.fast is not None) == fast
+        for text in ("abc bc abcbc", "aabbcc", "é abc\n\n  abc"):
+            assert e.ids(text).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+    path = tmp_path / "unigram.json"
+    path.write_text(json.dumps(spec | {"pre_tokenizer": None, "decoder": None, "model": {"type": "Unigram", "unk_id": 0, "vocab": [["?", -9.0], ["a", -1.0], ["ab", -1.5], [" ", -2.0]], "byte_fallback": False}}))
+    e = tokens.Encoder(str(path))
+    assert e.ids("ab a").tolist() == e.tokenizer.encode("ab a", add_special_tokens=False).ids and len(e.spans("ab a")) == 3
+
+
+def test_toxicity_features_are_all_ngrams_and_skipgrams():
+    """The features of texts against plain loops over their words; what one
+    n-gram is called follows from the shortest text that has it."""
+    ids = lambda text: set(toxicity.features([text.encode()])[1].tolist())
+    one = {w: ids(w) for w in "abcdefgh"}
+    name = {}
+    for x in "abcdefgh":
+        for y in "abcdefgh":
+            name[x, y, 1] = ids(f"{x} {y}") - one[x] - one[y]
+    for gap in (2, 3):
+        for x in "abcdefgh":
+            for y in "abcdefgh":
+                between = ["zz", "yy"][: gap - 1]
+                text = [x, *between, y]
+                known = set().union(*(ids(w) for w in text), *(ids(" ".join(text[i : i + 2])) for i in range(len(text) - 1)))
+                if gap == 3:
+                    known |= ids(" ".join(text[:3])) | ids(" ".join(text[1:]))
+                name[x, y, gap] = ids(" ".join(text)) - known
+    rng = np.random.default_rng(4)
+    texts = ["".join(w + rng.choice([" ", ", ", "\n", " -- "]) for w in rng.choice(list("abcdefgh"), int(rng.integers(0, 12)))) for _ in range(60)] + ["", "A b", "a"]
+    docs, found = toxicity.features([t.encode() for t in texts])
+    for i, text in enumerate(texts):
+        w = re.findall("[a-z]", text.lower())
+        want = set().union(*(one[x] for x in w), *(name[w[k], w[k + gap], gap] for gap in (1, 2, 3) for k in range(len(w) - gap)))
+        assert set(found[docs == i].tolist()) == want
+        assert len(want) == len(set(w) | {(w[k], w[k + g], g) for g in (1, 2, 3) for k in range(len(w) - g)})
