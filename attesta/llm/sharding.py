@@ -31,51 +31,46 @@ def gapless(df: DataFrame, group: str, order: list[str], name: str, parts: int =
     return d.join(n, (F.col(group) == F.col("__of")) & (F.col("__part") == F.col("__p"))).withColumn(name, (F.col("__first") + F.col("__rank")).cast("long")).drop("__of", "__p", "__part", "__first", "__rank")
 
 
-def _with_nodes(points: DataFrame, names: list[str], nodes: dict[int, tuple]) -> DataFrame:
-    """``points`` of these nodes with the nodes' numbers as columns: SQL
-    literals, one row a node."""
-    literal = lambda x: F.lit(float(x) if isinstance(x, float) else int(x)).cast("double" if isinstance(x, float) else "long")
-    if len(nodes) == 1:
-        ((node, row),) = nodes.items()
-        return points.where(F.col("__node") == node).withColumns({n: literal(x) for n, x in zip(names, row)})
-    text = lambda x: f"{x!r}D" if isinstance(x, float) else f"{int(x)}L"
-    values = ", ".join("(" + ", ".join(map(text, (k, *row))) + ")" for k, row in nodes.items())
-    return points.join(F.broadcast(points.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(__node, {', '.join(names)})")), "__node")
-
-
-def _cuts(points: DataFrame, nodes: dict[int, dict], target: float) -> dict[int, tuple[int, int]]:
-    """For each node the (key, own hash) with ``need`` of its bytes before it:
-    its distributed weighted median, if it stands for an even number of shards.
-    A pass sums bytes by the next digit of all nodes' points at once and finds
-    the digit where a node's running sum meets its need; only that comes to the
-    driver, one row a node. Passes end for a node when the digit is light; the
-    own hash only matters where one group's bytes ask for a cut."""
-    state = {k: {"key": [0, 0], "stage": 0, "shift": BITS - DIGIT, "need": float(v["need"])} for k, v in nodes.items()}
-    busy = set(state)
-    while busy:
-        now = {k: (nodes[k]["dim"], state[k]["stage"], state[k]["shift"], *state[k]["key"], state[k]["need"]) for k in busy}
-        d = _with_nodes(points, ["dim", "stage", "shift", "k0", "k1", "need"], now)
-        key, late = F.element_at("__x", (F.col("dim") + 1).cast("int")), F.col("stage") == 1
-        d = d.where(~late | (key == F.col("k0"))).withColumn("rest", F.when(late, F.col("__own") - F.col("k1")).otherwise(key - F.col("k0")))
-        d = d.withColumn("digit", F.expr("shiftright(rest, int(shift))")).where((F.col("digit") >= 0) & (F.col("digit") < 1 << DIGIT))
-        sums = d.groupBy("__node", "need", "digit").agg(F.sum("__size").alias("w"))
-        sums = sums.withColumn("upto", F.sum("w").over(Window.partitionBy("__node").orderBy("digit")))
-        met = {r["__node"]: r["m"] for r in sums.where("upto >= need").groupBy("__node").agg(F.min(F.struct("digit", "w", "upto")).alias("m")).collect()}
-        for k in list(busy):
-            s, m = state[k], met.get(k)
-            if m is None:  # no bytes left to cut
-                busy.discard(k)
-                continue
-            s["need"] -= m["upto"] - m["w"]
-            s["key"][s["stage"]] += m["digit"] << s["shift"]
-            if m["w"] <= MISS * target or (s["stage"] == 1 and s["shift"] == 0):
-                s["key"][s["stage"]] += (1 << s["shift"]) * (s["need"] > m["w"] / 2)
-                busy.discard(k)
-            elif s["shift"]:
-                s["shift"] = max(0, s["shift"] - DIGIT)
-            else:
-                s["stage"], s["shift"] = 1, BITS - DIGIT
-    return {k: tuple(s["key"]) for k, s in state.items()}
+def _begun(points: DataFrame, nodes: DataFrame, dims: int) -> DataFrame:
+    """The cuts to be found: for each of ``nodes`` (__node, n) that has points
+    its widest dimension, the bytes it needs left of the cut, and the digits of
+    its keys' own range, from which the search starts."""
+    coordinate = [F.shiftright(F.col("__x")[i], GROUP) for i in range(dims)]
+    ends = [F.array(*[f(F.col("__x")[i]) for i in range(dims)]).alias(n) for f, n in ((F.min, "least"), (F.max, "most"))]
+    wide = F.array(*[F.max(c) - F.min(c) for c in coordinate]).alias("wide")
+    g = points.join(nodes, "__node").groupBy("__node", "n").agg(F.sum("__size").alias("w"), wide, *ends)
+    g = g.withColumn("dim", F.array_position("wide", F.array_max("wide")).cast("int"))
+    low, high = F.element_at("least", F.col("dim")), F.element_at("most", F.col("dim"))
+    need = F.col("w") * F.expr("n div 2") / F.col("n")
+    shift = F.greatest(F.lit(0), F.length(F.bin(high - low)) - DIGIT).cast("int")
+    zero = F.lit(0).cast("long")
+    return g.select("__node", "n", "dim", need.alias("need"), F.lit(0).alias("stage"), shift.alias("shift"), low.alias("k0"), zero.alias("k1"), (F.col("w") == 0).alias("done"))
+
+
+def _narrowed(points: DataFrame, state: DataFrame, target: float) -> DataFrame:
+    """``state`` after one more digit of each open cut: the digit in which the
+    running sum of a node's bytes meets its need. A cut is found when its digit
+    is light, or in the last digit of the own hash, which only matters where
+    one group's bytes ask for a cut."""
+    d = points.join(state.where("NOT done").drop("n", "done"), "__node")
+    key, late = F.element_at("__x", F.col("dim")), F.col("stage") == 1
+    d = d.where(~late | (key == F.col("k0"))).withColumn("rest", F.when(late, F.col("__own") - F.col("k1")).otherwise(key - F.col("k0")))
+    d = d.withColumn("digit", F.expr("shiftright(rest, shift)")).where((F.col("digit") >= 0) & (F.col("digit") < 1 << DIGIT))
+    sums = d.groupBy("__node", "need", "digit").agg(F.sum("__size").alias("w"))
+    sums = sums.withColumn("upto", F.sum("w").over(Window.partitionBy("__node").orderBy("digit")))
+    met = sums.where("upto >= need").groupBy("__node").agg(F.min(F.struct("digit", "w", "upto")).alias("m"))
+    s = state.join(met, "__node", "left")
+    found, w, shift = F.col("m").isNotNull() & ~F.col("done"), F.col("m.w"), F.col("shift")
+    need = F.col("need") - (F.col("m.upto") - w)
+    light = (w <= MISS * target) | (late & (shift == 0))
+    step = F.expr("shiftleft(m.digit, shift)") + F.when(light & (need > w / 2), F.expr("shiftleft(1L, shift)")).otherwise(0)
+    turn = found & ~light & (shift == 0)  # all digits of the key are known: on to the own hash
+    return s.select(
+        "__node", "n", "dim", F.when(found, need).otherwise(F.col("need")).alias("need"), F.when(turn, 1).otherwise(F.col("stage")).alias("stage"),
+        F.when(turn, BITS - DIGIT).when(found & ~light, F.greatest(F.lit(0), shift - DIGIT)).otherwise(shift).cast("int").alias("shift"),
+        F.when(found & ~late, F.col("k0") + step).otherwise(F.col("k0")).alias("k0"), F.when(found & late, F.col("k1") + step).otherwise(F.col("k1")).alias("k1"),
+        (F.col("done") | F.col("m").isNull() | light).alias("done"),
+    )
 
 
 def kd_shards(rows: DataFrame, dims: list[Column], size: Column, group: Column, own: Column, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
@@ -99,7 +94,9 @@ def kd_shards(rows: DataFrame, dims: list[Column], size: Column, group: Column,
 
     Each level is a few aggregations over a slim table (no texts) in the
     shared folder, which holds the points' nodes and is replaced by the next
-    level's; what is broadcast is one row per node.
+    level's. A node is named by the first shard it stands for. Nodes and their
+    cuts are a table too, a row each; the driver only learns whether all cuts
+    are found.
     """
     name = free_names(rows.columns, ("shard", "slot"))
     kept = {f"__c{i}": c for i, c in enumerate(rows.columns)}
@@ -115,23 +112,22 @@ def kd_shards(rows: DataFrame, dims: list[Column], size: Column, group: Column,
         at = F.coalesce(F.floor((x - lo) / ((hi - lo) or 1.0) * ((1 << COORD) - 1)).cast("long"), F.lit(0).cast("long"))
         keys.append(F.shiftleft(at, GROUP).bitwiseOR(F.col("__g")))
     points = written(p.select(F.lit(0).cast("long").alias("__node"), *kept, F.array(*keys).alias("__x"), "__size", "__own"), "points")
-    count = {0: n}
-    while any(v > 1 for v in count.values()):
-        coordinate = [F.shiftright(F.col("__x")[i], GROUP) for i in range(len(dims))]
-        open_nodes = F.col("__node").isin([k for k, v in count.items() if v > 1])
-        got = points.where(open_nodes).groupBy("__node").agg(F.sum("__size").alias("w"), F.array(*[F.max(x) - F.min(x) for x in coordinate]).alias("wide")).collect()
-        nodes = {r["__node"]: {"dim": r["wide"].index(max(r["wide"])), "need": r["w"] * (count[r["__node"]] // 2) / count[r["__node"]]} for r in got}
-        cuts, after, table = _cuts(points, nodes, target), {}, {}
-        for k, v in count.items():
-            left = len(after)
-            after[left] = v // 2 if v > 1 else v
-            if v > 1:
-                after[left + 1] = v - v // 2
-            table[k] = (nodes.get(k, {"dim": 0})["dim"], *cuts.get(k, (1 << BITS, 0)), left, left + (v > 1))
-        d = _with_nodes(points, ["dim", "k0", "k1", "__l", "__r"], table)
-        beyond = F.struct(F.element_at("__x", (F.col("dim") + 1).cast("int")), F.col("__own")) >= F.struct("k0", "k1")
-        new = written(d.withColumn("__node", F.when(beyond, F.col("__r")).otherwise(F.col("__l"))).select(*points.columns), "points")
-        drop(points)
-        points, count = new, after
+    nodes = points.sparkSession.range(1).select(F.col("id").alias("__node"), F.lit(n).cast("long").alias("n"))
+    state = None
+    for _ in range((n - 1).bit_length()):
+        begun = written(_begun(points, nodes.where("n > 1"), len(dims)), "cuts")
+        while begun.where("NOT done").limit(1).count():
+            narrowed = written(_narrowed(points, begun, target), "cuts")
+            drop(begun)
+            begun = narrowed
+        cut = points.join(begun.select("__node", "n", "dim", "k0", "k1"), "__node", "left")
+        beyond = F.struct(F.element_at("__x", F.col("dim")), F.col("__own")) >= F.struct("k0", "k1")
+        right = F.when(F.col("n").isNotNull() & beyond, F.expr("n div 2")).otherwise(0)
+        new = written(cut.withColumn("__node", F.col("__node") + right).select(*points.columns), "points")
+        for old in (points, *([state] if state is not None else [])):
+            drop(old)
+        points, state = new, begun
+        halves = F.array(F.struct(F.col("__node"), F.expr("n div 2").alias("n")), F.struct((F.col("__node") + F.expr("n div 2")).alias("__node"), F.expr("n - n div 2").alias("n")))
+        nodes = state.select(F.explode(halves).alias("h")).select("h.*")
     out = gapless(points.select(*kept, F.col("__node").cast("int").alias("__shard"), "__own", "__x"), "__shard", ["__own", "__x", *kept], "__slot")
     return out.select(*[F.col(k).alias(c) for k, c in kept.items()], F.col("__shard").alias(name["shard"]), F.col("__slot").alias(name["slot"]))

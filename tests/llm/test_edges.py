@@ -287,3 +287,12 @@ def test_stages_on_odd_rows(spark, odd):
 def test_nothing_to_learn_from_keeps_documents(spark, odd):
     got = corpus_pipeline.identify_language(spark, odd.withColumn("lang", F.lit(None).cast("string")), SF)
     assert sorted(r.text for r in got.collect()) == sorted(t for _, t in ODD if t and t != "12 34") and got.where("lang IS NOT NULL").count() == 0
+
+
+def test_thousands_of_shards(spark):
+    """As many shards as bytes ask for, each about as large as any other."""
+    rows = spark.range(20_000).select("id", (F.xxhash64("id") % 1000).cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("y"), F.lit(10).alias("size"))
+    got = sharding.kd_shards(rows, [F.col("x"), F.col("y")], F.col("size"), F.xxhash64("id"), F.xxhash64("id", "x"), target_bytes=100)
+    n = got.groupBy("shard").agg(F.sum("size").alias("w"), F.min("slot").alias("a"), F.max("slot").alias("b"), F.count("*").alias("k"))
+    r = n.agg(F.count("*").alias("shards"), F.min("w").alias("low"), F.max("w").alias("high"), F.max("shard").alias("last"), F.sum("w").alias("all"), F.max(F.col("b") - F.col("k")).alias("gap")).first()
+    assert (r.shards, r.last, r["all"], r.gap) == (2000, 1999, 200_000, -1) and 80 <= r.low and r.high <= 120
