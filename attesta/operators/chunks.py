@@ -8,6 +8,9 @@ from bisect import bisect_right
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.scalars import clamp01
+from .extract import number
+
 #: Marks after which a chunk may end (fixed values).
 STOPS = "。；;."
 #: What a log depends on (fixed names of its manifest).
@@ -113,3 +116,13 @@ def assemble(records: DataFrame, key: str = "source_id") -> DataFrame:
     e = e.select(key, "chunk_index", "row", "o.*")
     w = Window.partitionBy(key, "feature", "feature_value", "evidence_text").orderBy("chunk_index", "row")
     return e.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def assemble_numbered(records: DataFrame, sources: DataFrame, key: str = "source_id", seq: str = "source_seq") -> DataFrame:
+    """The observations of ``assemble`` with observation_id (``OBS_000001`` on)
+    in order of ``seq`` of their source, chunk and row. ``sources``: (key, seq);
+    observations of other sources go. Confidence is clamped to [0, 1], 0.5
+    where it isn't a number. Numbers come from ranges, not from one task."""
+    e = assemble(records, key).join(sources.select(key, seq), key)
+    e = e.withColumn("extraction_confidence", clamp01(F.col("extraction_confidence"), 0.5))
+    return number(e, [seq, "chunk_index", "row"], "observation_id", "OBS")

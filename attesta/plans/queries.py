@@ -648,6 +648,20 @@ def log_state(spark, d):
     return last_logged(logs.current(spark, checkpoint))
 
 
+@query("""WITH latest AS (SELECT conv_id, chunk_index, turn FROM (SELECT conv_id, turn % 3 + 1 AS chunk_index, turn, role, row_number() OVER (PARTITION BY conv_id, turn % 3 ORDER BY role = 'user' DESC, turn DESC) AS n FROM conversations) WHERE n = 1 AND role = 'user'),
+found AS (SELECT conv_id, chunk_index, 0 AS row, 'v' || turn % 2 AS feature_value, 1.0 AS confidence FROM latest UNION ALL SELECT conv_id, chunk_index, 1, 'same', 0.5 FROM latest),
+kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, feature_value ORDER BY chunk_index, row) AS n FROM found) WHERE n = 1)
+SELECT 'OBS_' || lpad(row_number() OVER (ORDER BY conv_id DESC, chunk_index, row)::VARCHAR, 6, '0') AS observation_id, conv_id AS source_id, chunk_index::INT AS chunk_index, feature_value, confidence::DOUBLE AS confidence FROM kept""")
+def assembled_observations(spark, d):
+    """Observations of a log's successful chunks, numbered in order of the sources."""
+    c = t(spark, d, "conversations")
+    row = lambda value, confidence: F.struct(F.lit("f").alias("feature"), value.alias("feature_value"), F.lit("e").alias("evidence_text"), F.lit(confidence).alias("extraction_confidence"))
+    found = F.array(row(F.concat(F.lit("v"), F.col("turn") % 2), "7"), row(F.lit("same"), "much"))
+    log = c.select(F.col("conv_id").alias("source_id"), (F.col("turn") % 3 + 1).cast("int").alias("chunk_index"), F.col("turn").alias("seq"), F.lit("h").alias("chunk_sha256"), F.when(F.col("role") == "user", "success").otherwise("error").alias("status"), found.alias("observations"))
+    sources = c.select(F.col("conv_id").alias("source_id"), (-F.col("conv_id")).alias("source_seq")).distinct()
+    return chunks.assemble_numbered(log, sources).select("observation_id", "source_id", "chunk_index", "feature_value", F.col("extraction_confidence").alias("confidence"))
+
+
 def planned(spark, d):
     return chunk_log(spark, d).select("source_id", "chunk_index", "chunk_sha256").distinct()
 
