@@ -70,7 +70,9 @@ def observation_key(standard: Column, feature: Column, value: Column) -> Column:
 def trapezoid(x: Column, a: Column, b: Column, c: Column, d: Column) -> Column:
     """Membership of x in the trapezoid a <= b <= c <= d; vertical sides count
     as inside at their foot."""
-    return F.when((x < a) | (x > d), 0.0).when((x >= b) & (x <= c), 1.0).when(x < b, (x - a) / F.nullif(b - a, F.lit(0.0))).otherwise((d - x) / F.nullif(d - c, F.lit(0.0)))
+    return F.when((x < a) | (x > d), 0.0).when((x >= b) & (x <= c), 1.0).when(
+        x < b, (x - a) / F.nullif(b - a, F.lit(0.0))
+    ).otherwise((d - x) / F.nullif(d - c, F.lit(0.0)))
 
 
 @F.pandas_udf(StringType())

@@ -20,7 +20,9 @@ from pyspark.sql.types import StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 CHUNK = StructType().add("chunk_index", "integer").add("chunk_total", "integer").add("chunk", "string").add("chunk_sha256", "string")
-FOUND = StructType().add("pattern_idx", "integer").add("feature", "string").add("feature_value", "string").add("evidence_text", "string").add("extraction_confidence", "double")
+FOUND = StructType().add("pattern_idx", "integer").add("feature", "string").add("feature_value", "string").add("evidence_text", "string").add(
+    "extraction_confidence", "double"
+)
 
 
 def _constant(a: AnalyzeArgument, name: str) -> object:

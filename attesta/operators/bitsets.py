@@ -101,7 +101,13 @@ def meet(tids: DataFrame, size: int, items: int) -> DataFrame:
                     stored.append(pack(positions(both[j]), width))
                     counts.append(int(n[j]))
         k = len(found)
-        return pa.table([pa.array([bucket] * k, pa.int64()), pa.array([width] * k, pa.int32()), pa.array(found, _ITEMS), pa.array(stored, pa.binary()), pa.array(counts, pa.int64())], ["bucket", "width", "items", "bits", "n"])
+        return pa.table(
+            [
+                pa.array([bucket] * k, pa.int64()), pa.array([width] * k, pa.int32()), pa.array(found, _ITEMS),
+                pa.array(stored, pa.binary()), pa.array(counts, pa.int64())
+            ],
+            ["bucket", "width", "items", "bits", "n"]
+        )
 
     last = F.element_at("items", -1)
     d = tids.select("bucket", "width", "items", "bits", last.alias("last"), F.slice("items", 1, size - 2).alias("head"))

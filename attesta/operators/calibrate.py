@@ -38,10 +38,17 @@ def calibration(scores: DataFrame, keys: list[str], score: str = "score", expert
     are clamped to [0, 1] first (not a number: 0); null keys are keys. A task
     holds the different scores of a key, not its rows."""
     s = scores.withColumn("__s", clamp01(F.col(score)))
-    g = s.groupBy(*keys).agg(F.median("__s").alias("median"), F.avg("__s").alias("mean"), F.percentile("__s", F.lit(0.05)).alias("p5"), F.percentile("__s", F.lit(0.95)).alias("p95"), F.countDistinct(expert).alias("experts"), F.count("*").alias("n"), F.coalesce(F.stddev_samp("__s"), F.lit(0.0)).alias("sd"))
+    g = s.groupBy(*keys).agg(
+        F.median("__s").alias("median"), F.avg("__s").alias("mean"), F.percentile("__s", F.lit(0.05)).alias("p5"),
+        F.percentile("__s", F.lit(0.95)).alias("p95"), F.countDistinct(expert).alias("experts"), F.count("*").alias("n"),
+        F.coalesce(F.stddev_samp("__s"), F.lit(0.0)).alias("sd")
+    )
     icc = F.when(F.col("experts") >= 2, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("sd") / 0.5)))
     g = g.withColumn("icc", icc)
-    return g.select(*keys, *[F.round(c, 6).alias(c) for c in ("median", "mean", "p5", "p95", "icc")], "experts", "n", F.when(F.col("icc") < 0.75, "low_agreement").otherwise("calibrated").alias("review_status"))
+    return g.select(
+        *keys, *[F.round(c, 6).alias(c) for c in ("median", "mean", "p5", "p95", "icc")], "experts", "n",
+        F.when(F.col("icc") < 0.75, "low_agreement").otherwise("calibrated").alias("review_status")
+    )
 
 
 def merge_calibration(tasks: DataFrame, report: DataFrame, source: str = "expert") -> DataFrame:
@@ -55,10 +62,18 @@ def merge_calibration(tasks: DataFrame, report: DataFrame, source: str = "expert
     status = F.when(F.coalesce(F.col("r.icc") >= 0.75, F.lit(True)), "expert_calibrated").otherwise("expert_calibrated_low_icc")
     reviewed = {"expert": "expert_reviewed", "panel": "llm_roleplay_reviewed"}[source]
     return d.select(
-        "term", "variable", F.coalesce("feature", F.lit("expert_calibrated")).alias("feature"), F.coalesce("r.fuzzy_set", "fuzzy_set").alias("fuzzy_set"), F.coalesce("r.median", "prior_membership").alias("prior_membership"),
-        F.col("r.median").alias("calibrated_membership"), F.col("r.mean").alias("expert_mean"), F.col("r.p5").alias("expert_p5"), F.col("r.p95").alias("expert_p95"), F.col("r.icc").alias("icc"),
-        F.when(done, status).otherwise(F.col("current_status")).alias("status"), F.when(done, reviewed).otherwise(F.col("review_status")).alias("review_status"),
-        F.when(done & F.lit(source == "panel"), "llm_roleplay_panel").alias("calibration_source"), F.col("r.experts").alias("expert_count"), F.col("r.n").alias("score_count"),
+        "term", "variable", F.coalesce(
+            "feature", F.lit("expert_calibrated")
+        ).alias("feature"), F.coalesce("r.fuzzy_set", "fuzzy_set").alias("fuzzy_set"), F.coalesce("r.median", "prior_membership").alias("prior_membership"),
+        F.col("r.median").alias(
+            "calibrated_membership"
+        ), F.col("r.mean").alias("expert_mean"), F.col("r.p5").alias("expert_p5"), F.col("r.p95").alias("expert_p95"), F.col("r.icc").alias("icc"),
+        F.when(done, status).otherwise(
+            F.col("current_status")
+        ).alias("status"), F.when(done, reviewed).otherwise(F.col("review_status")).alias("review_status"),
+        F.when(
+            done & F.lit(source == "panel"), "llm_roleplay_panel"
+        ).alias("calibration_source"), F.col("r.experts").alias("expert_count"), F.col("r.n").alias("score_count"),
     )
 
 
@@ -67,7 +82,10 @@ def calibrated_config(config: dict[str, Any], merged: DataFrame) -> dict[str, An
     lexicon is configuration, so its rows come to the driver."""
     out = copy.deepcopy(config)
     terms = out.setdefault("linguistic_values", {})
-    names = ("fuzzy_set", "prior_membership", "calibrated_membership", "expert_mean", "expert_p5", "expert_p95", "status", "icc", "review_status", "calibration_source", "expert_count", "score_count")
+    names = (
+        "fuzzy_set", "prior_membership", "calibrated_membership", "expert_mean", "expert_p5", "expert_p95", "status", "icc",
+        "review_status", "calibration_source", "expert_count", "score_count"
+    )
     for r in merged.where("calibrated_membership IS NOT NULL").collect():
         entry = terms.setdefault(r["term"], {"feature": "expert_calibrated", "maps_to": {}})
         entry.setdefault("maps_to", {}).setdefault(r["variable"], {}).update({n: r[n] for n in names if n != "calibration_source" or r[n]})
@@ -81,8 +99,18 @@ def scoring_tasks(spark: SparkSession, config: dict[str, Any]) -> DataFrame:
         for variable, m in (entry.get("maps_to", {}) if isinstance(entry, dict) else {}).items():
             if isinstance(m, dict):
                 prior = m.get("calibrated_membership", m.get("prior_membership", 0.5))
-                rows.append((str(term), str(entry.get("feature", "")), str(variable), str(m.get("fuzzy_set", "high")), float(min(1.0, max(0.0, 0.5 if prior is None else prior))), str(m.get("status", entry.get("status", "bootstrap_prior"))), str(m.get("review_status", entry.get("review_status", "pending")))))
-    return spark.createDataFrame(rows, "term string, feature string, variable string, fuzzy_set string, prior_membership double, current_status string, review_status string")
+                rows.append(
+                    (
+                        str(term), str(entry.get("feature", "")), str(variable), str(m.get("fuzzy_set", "high")),
+                        float(min(1.0, max(0.0, 0.5 if prior is None else prior))),
+                        str(m.get("status", entry.get("status", "bootstrap_prior"))),
+                        str(m.get("review_status", entry.get("review_status", "pending")))
+                    )
+                )
+    return spark.createDataFrame(
+        rows,
+        "term string, feature string, variable string, fuzzy_set string, prior_membership double, current_status string, review_status string"
+    )
 
 
 def agreement(scores: DataFrame, keys: list[str], item: str, score: str = "score", expert: str = "expert_id") -> DataFrame:
@@ -99,7 +127,10 @@ def agreement(scores: DataFrame, keys: list[str], item: str, score: str = "score
     sums = [F.count("*").alias("n"), F.sum("__s").alias("t"), F.sum(F.col("__s") * F.col("__s")).alias("q")]
     each = s.groupBy(*keys, "__item").agg(*sums)
     of = F.sum(F.col("t") * F.col("t") / F.col("n"))
-    g = each.groupBy(*keys).agg(F.count("*").alias("items"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum("t").alias("t"), F.sum("q").alias("q"), of.alias("of"))
+    g = each.groupBy(*keys).agg(
+        F.count("*").alias("items"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum("t").alias("t"),
+        F.sum("q").alias("q"), of.alias("of")
+    )
     experts = s.groupBy(*keys).agg(F.countDistinct("__e").alias("experts"), F.coalesce(F.stddev_samp("__s"), F.lit(0.0)).alias("sd"))
     same = [g[k].eqNullSafe(experts[k]) for k in keys]
     d = g.join(experts, same).select(*[g[k] for k in keys], "items", "n", "nn", "t", "q", "of", "experts", "sd")
@@ -154,7 +185,10 @@ def panel_answers(panel: DataFrame, answers: DataFrame) -> DataFrame:
         F.substring(F.coalesce("rationale", F.lit("")), 1, 500).alias("rationale"), F.lit("panel").alias("score_source"),
     )
     open_ = panel.join(answers.select(*key), key, "left_anti")
-    filled = open_.select(*TASK, "expert_id", "expert_role", F.lit(0.0).alias("score"), F.lit(0.0).alias("confidence"), F.lit(UNANSWERED).alias("rationale"), F.lit("panel_without_answer").alias("score_source"))
+    filled = open_.select(
+        *TASK, "expert_id", "expert_role", F.lit(0.0).alias("score"), F.lit(0.0).alias("confidence"), F.lit(UNANSWERED).alias("rationale"),
+        F.lit("panel_without_answer").alias("score_source")
+    )
     return given.unionByName(filled)
 
 
@@ -166,15 +200,25 @@ def panel_calibration(tasks: DataFrame) -> DataFrame:
 
 def calibration_template(memberships: DataFrame, observations: DataFrame, order: list[str]) -> DataFrame:
     """A row per membership for experts to fill in, with its observation."""
-    o = observations.select("observation_id", F.col("feature").alias("o_feature"), F.col("feature_value").alias("o_value"), F.col("evidence_text").alias("o_text"))
+    o = observations.select(
+        "observation_id", F.col("feature").alias("o_feature"), F.col("feature_value").alias("o_value"),
+        F.col("evidence_text").alias("o_text")
+    )
     d = number(memberships, order, "calibration_id", "CAL").join(o, "observation_id", "left")
     blank = [F.lit("").alias(c) for c in ("expert_accept_observation", "expert_accept_mapping", "expert_membership", "expert_comment")]
     text = lambda c, n: F.coalesce(F.col(c), F.lit("")).alias(n)
-    return d.select("calibration_id", "source_id", "observation_id", text("o_feature", "feature"), text("o_value", "feature_value"), "standard_observation", text("o_text", "evidence_text"), "variable", "fuzzy_set", F.col("membership").alias("model_membership"), "p5", "p95", "uncertainty_width", "calculation_mode", "status", "icc", *blank)
+    return d.select(
+        "calibration_id", "source_id", "observation_id", text("o_feature", "feature"), text("o_value", "feature_value"),
+        "standard_observation", text("o_text", "evidence_text"), "variable", "fuzzy_set", F.col("membership").alias("model_membership"),
+        "p5", "p95", "uncertainty_width", "calculation_mode", "status", "icc", *blank
+    )
 
 
 def panel(lexicon: DataFrame, prior: str = "membership") -> DataFrame:
     """Scores of three roles for each row of the lexicon."""
     roles = F.array(*[F.struct(F.lit(k).alias("expert_id"), F.lit(v).alias("shift")) for k, v in ROLE_SHIFTS.items()])
     e = lexicon.withColumn("role", F.explode(roles))
-    return e.select(*lexicon.columns, F.col("role.expert_id").alias("expert_id"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(prior) + F.col("role.shift"))), 6).alias("score"))
+    return e.select(
+        *lexicon.columns, F.col("role.expert_id").alias("expert_id"),
+        F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(prior) + F.col("role.shift"))), 6).alias("score")
+    )

@@ -75,17 +75,28 @@ def pending_chunks(planned: DataFrame, records: DataFrame, key: str = "source_id
 def source_progress(planned: DataFrame, records: DataFrame, key: str = "source_id") -> DataFrame:
     """Per source: chunks, successes, errors, status and the errors' texts."""
     latest = latest_records(records, key)
-    g = latest.groupBy(key).agg(F.sum((F.col("status") == "success").cast("int")).alias("ok"), F.sum((F.col("status") != "success").cast("int")).alias("failed"), F.sort_array(F.collect_list(F.when(F.col("status") != "success", F.struct("chunk_index", F.substring("error", 1, 300).alias("e"))))).alias("errs"))
+    g = latest.groupBy(key).agg(
+        F.sum((F.col("status") == "success").cast("int")).alias("ok"), F.sum((F.col("status") != "success").cast("int")).alias("failed"),
+        F.sort_array(F.collect_list(F.when(F.col("status") != "success", F.struct("chunk_index", F.substring("error", 1, 300).alias("e"))))).alias("errs")
+    )
     total = planned.groupBy(key).agg(F.count("*").alias("chunks"))
     j = total.join(g, key, "left")
-    status = F.when(F.col("ok").isNull(), "no_chunks").when((F.col("ok") > 0) & (F.col("failed") > 0), "partial_success").when(F.col("failed") > 0, "error").otherwise("success")
-    return j.select(key, "chunks", F.coalesce("ok", F.lit(0)).alias("ok"), F.coalesce("failed", F.lit(0)).alias("failed"), status.alias("status"), F.substring(F.array_join(F.transform("errs", lambda s: s["e"]), " | "), 1, 1000).alias("errors"))
+    status = F.when(F.col("ok").isNull(), "no_chunks").when(
+        (F.col("ok") > 0) & (F.col("failed") > 0), "partial_success"
+    ).when(F.col("failed") > 0, "error").otherwise("success")
+    return j.select(
+        key, "chunks", F.coalesce("ok", F.lit(0)).alias("ok"), F.coalesce("failed", F.lit(0)).alias("failed"), status.alias("status"),
+        F.substring(F.array_join(F.transform("errs", lambda s: s["e"]), " | "), 1, 1000).alias("errors")
+    )
 
 
 def usage(records: DataFrame, key: str = "source_id") -> DataFrame:
     """One row per record with usage: its counts as columns."""
     names = ("prompt_tokens", "completion_tokens", "total_tokens")
-    return records.where("size(usage) > 0").select(key, "chunk_index", "status", "attempt", "elapsed_sec", "finish_reason", *[F.coalesce(F.col("usage")[n], F.lit(0).cast("long")).alias(n) for n in names])
+    return records.where("size(usage) > 0").select(
+        key, "chunk_index", "status", "attempt", "elapsed_sec", "finish_reason",
+        *[F.coalesce(F.col("usage")[n], F.lit(0).cast("long")).alias(n) for n in names]
+    )
 
 
 def errors(records: DataFrame, key: str = "source_id") -> DataFrame:
@@ -97,9 +108,15 @@ def extraction_report(planned: DataFrame, records: DataFrame, key: str = "source
     """One row: sources, chunks planned, done, failed and pending, and the
     observations of the chunks done."""
     latest = latest_records(records, key)
-    state = planned.select(key, "chunk_index").join(latest.select(key, "chunk_index", "status", F.size("observations").alias("found")), [key, "chunk_index"], "left")
+    state = planned.select(key, "chunk_index").join(
+        latest.select(key, "chunk_index", "status", F.size("observations").alias("found")), [key, "chunk_index"], "left"
+    )
     n = lambda c: F.count(F.when(c, 1))
-    return state.agg(F.countDistinct(key).alias("sources"), F.count("*").alias("chunks"), n(F.col("status") == "success").alias("done"), n(F.col("status") != "success").alias("failed"), n(F.col("status").isNull()).alias("pending"), F.coalesce(F.sum(F.when(F.col("status") == "success", F.greatest("found", F.lit(0)))), F.lit(0)).alias("observations"))
+    return state.agg(
+        F.countDistinct(key).alias("sources"), F.count("*").alias("chunks"), n(F.col("status") == "success").alias("done"),
+        n(F.col("status") != "success").alias("failed"), n(F.col("status").isNull()).alias("pending"),
+        F.coalesce(F.sum(F.when(F.col("status") == "success", F.greatest("found", F.lit(0)))), F.lit(0)).alias("observations")
+    )
 
 
 def check_manifest(old: dict | None, new: dict) -> None:

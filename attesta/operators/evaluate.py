@@ -24,7 +24,10 @@ def metric(df: DataFrame, name: str, value: Column, formula: str) -> DataFrame:
     """metric, value (in [0, 1], rounded), n, status."""
     v = df.agg(value.alias("v"), F.count("*").alias("n"))
     good = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("v"))), 6)
-    return v.select(F.lit(name).alias("metric"), good.alias("value"), "n", F.when(F.col("n") > 0, "computed").otherwise("needs_gold_standard").alias("status"), F.lit(formula).alias("formula"))
+    return v.select(
+        F.lit(name).alias("metric"), good.alias("value"), "n",
+        F.when(F.col("n") > 0, "computed").otherwise("needs_gold_standard").alias("status"), F.lit(formula).alias("formula")
+    )
 
 
 def agreement(model: DataFrame, gold: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -42,7 +45,9 @@ def overlap_with(predicted: DataFrame, gold: DataFrame, key: str, name: str) ->
 
 def needs_gold(spark: SparkSession, name: str, file: str, why: str) -> DataFrame:
     """The row of a metric whose gold table is absent."""
-    return spark.createDataFrame([(name, None, 0, "needs_gold_standard", why)], "metric string, value double, n long, status string, formula string").withColumn("required_gold_file", F.lit(file))
+    return spark.createDataFrame(
+        [(name, None, 0, "needs_gold_standard", why)], "metric string, value double, n long, status string, formula string"
+    ).withColumn("required_gold_file", F.lit(file))
 
 
 def mapping_overlap(entities: DataFrame, gold: DataFrame) -> DataFrame:
@@ -88,13 +93,44 @@ def evaluation(memberships: DataFrame, results: DataFrame, entities: DataFrame,
     keys = ["source_id", "standard_observation", "variable", "fuzzy_set"]
     expert = F.col("expert_membership").cast("double").alias("expert")
     parts = [
-        of("expert_memberships.csv", (*keys, "expert_membership"), "FCR", "needs expert memberships", lambda g: agreement(last_of(memberships.select(*keys, "seq", "membership"), keys, "seq"), g.select(*keys, expert), keys, "FCR")),
-        of("expert_inference.csv", ("source_id", "consequent_entity", "expert_membership"), "FIA-local", "needs expert inferences", lambda g: agreement(last_of(fired.select("source_id", "consequent_entity", "rule_id", F.col("activation").alias("membership")), ["source_id", "consequent_entity"], "rule_id"), g.select("source_id", "consequent_entity", expert), ["source_id", "consequent_entity"], "FIA-local")),
-        of("expected_interpretations.csv", ("source_id", "expected_consequents"), "MIC", "needs expected interpretations", lambda g: overlap_with(fired.groupBy("source_id").agg(F.collect_set("consequent_entity").alias("predicted")), g.select("source_id", split_set(F.col("expected_consequents")).alias("expected")), "source_id", "MIC")),
-        of("modern_mappings.csv", ("entity_name", "expected_modern_mapping"), "SMB", "", lambda g: mapping_overlap(entities, g)) if gold.get("modern_mappings.csv") is not None else mapping_coverage(entities).withColumn("required_gold_file", F.lit("")),
-        of("conditional_relations.csv", ("model_membership", "expert_membership"), "CRP", "needs expert strengths of relations under conditions", lambda g: metric(g, "CRP", 1 - F.avg(F.abs(F.col("model_membership").cast("double") - F.col("expert_membership").cast("double"))), "1 - mean|model - expert|")),
+        of(
+            "expert_memberships.csv", (*keys, "expert_membership"), "FCR", "needs expert memberships",
+            lambda g: agreement(last_of(memberships.select(*keys, "seq", "membership"), keys, "seq"), g.select(*keys, expert), keys, "FCR")
+        ),
+        of(
+            "expert_inference.csv", ("source_id", "consequent_entity", "expert_membership"), "FIA-local", "needs expert inferences",
+            lambda g: agreement(
+                last_of(
+                    fired.select("source_id", "consequent_entity", "rule_id", F.col("activation").alias("membership")),
+                    ["source_id", "consequent_entity"], "rule_id"
+                ),
+                g.select("source_id", "consequent_entity", expert), ["source_id", "consequent_entity"], "FIA-local"
+            )
+        ),
+        of(
+            "expected_interpretations.csv", ("source_id", "expected_consequents"), "MIC", "needs expected interpretations",
+            lambda g: overlap_with(
+                fired.groupBy("source_id").agg(F.collect_set("consequent_entity").alias("predicted")),
+                g.select("source_id", split_set(F.col("expected_consequents")).alias("expected")), "source_id", "MIC"
+            )
+        ),
+        of(
+            "modern_mappings.csv", ("entity_name", "expected_modern_mapping"), "SMB", "", lambda g: mapping_overlap(entities, g)
+        ) if gold.get("modern_mappings.csv") is not None else mapping_coverage(entities).withColumn("required_gold_file", F.lit("")),
+        of(
+            "conditional_relations.csv", ("model_membership", "expert_membership"), "CRP",
+            "needs expert strengths of relations under conditions",
+            lambda g: metric(
+                g, "CRP", 1 - F.avg(F.abs(F.col("model_membership").cast("double") - F.col("expert_membership").cast("double"))),
+                "1 - mean|model - expert|"
+            )
+        ),
         of("chain_paths.csv", ("path_overlap",), "FIA-chain", "needs paths of model and expert", chain_overlap),
-        interpretations(fired).select(F.lit("multi_interpretation_count_proxy").alias("metric"), F.coalesce("value", F.lit(0.0)).alias("value"), "n", F.lit("proxy").alias("status"), F.lit("mean fired consequents per source").alias("formula"), F.lit("").alias("required_gold_file")),
+        interpretations(fired).select(
+            F.lit("multi_interpretation_count_proxy").alias("metric"), F.coalesce("value", F.lit(0.0)).alias("value"), "n",
+            F.lit("proxy").alias("status"), F.lit("mean fired consequents per source").alias("formula"),
+            F.lit("").alias("required_gold_file")
+        ),
     ]
     return reduce(DataFrame.unionByName, parts)
 

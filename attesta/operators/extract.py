@@ -8,7 +8,10 @@ from ..functions.scalars import clamp01, recover_payload_udf
 from ..sources.shared import written
 
 #: Features that model answers may name; all others become ``other`` (fixed values).
-FEATURES = ["symptom", "sign", "tongue", "pulse", "body_part", "pathogen", "trigger", "relieving_factor", "aggravating_factor", "duration", "severity", "pain_location", "pain_quality", "disease_course", "formula", "herb", "acupoint", "method", "mechanism", "other"]
+FEATURES = [
+    "symptom", "sign", "tongue", "pulse", "body_part", "pathogen", "trigger", "relieving_factor", "aggravating_factor", "duration",
+    "severity", "pain_location", "pain_quality", "disease_course", "formula", "herb", "acupoint", "method", "mechanism", "other"
+]
 #: Needle, feature, value, evidence and confidence of the built-in extraction (fixed values).
 PATTERNS = [
     ("腰", "pain_location", "腰部", "腰", 0.94),
@@ -50,7 +53,10 @@ def _numbered(df: DataFrame, name: str) -> DataFrame:
     at = written(df.withColumn("__at", F.monotonically_increasing_id()), "numbered")
     part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = at.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))  # one row a partition
-    first = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__first"))
+    first = sizes.select(
+        "__part",
+        F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__first")
+    )
     return at.join(F.broadcast(first), part == F.col("__part")).withColumn(name, (F.col("__first") + place + 1).cast("long")).drop("__at", "__part", "__first")
 
 
@@ -64,11 +70,27 @@ def extract_by_patterns(sources: DataFrame, patterns: Patterns, text: str = "tex
     feature_value, evidence_text, extraction_confidence. Of patterns with one
     feature and value the first wins. The patterns are a literal array, so
     this is a filter and an explode: no shuffle."""
-    rows = F.array(*[F.struct(F.lit(i).alias("pattern_idx"), F.lit(n).alias("needle"), F.lit(f).alias("feature"), F.lit(v).alias("feature_value"), F.lit(e).alias("evidence_text"), F.lit(float(c)).alias("extraction_confidence")) for i, (n, f, v, e, c) in enumerate(patterns)])
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("pattern_idx"), F.lit(n).alias("needle"), F.lit(f).alias("feature"), F.lit(v).alias("feature_value"),
+                F.lit(e).alias("evidence_text"), F.lit(float(c)).alias("extraction_confidence")
+            ) for i,
+            (n, f, v, e, c) in enumerate(patterns)
+        ]
+    )
     found = F.filter(rows, lambda p: F.contains(F.col(text), p["needle"]))
-    first = F.filter(found, lambda p: ~F.exists(found, lambda q: (q["pattern_idx"] < p["pattern_idx"]) & (q["feature"] == p["feature"]) & (q["feature_value"] == p["feature_value"])))
+    first = F.filter(
+        found,
+        lambda p: ~F.exists(
+            found,
+            lambda q: (q["pattern_idx"] < p["pattern_idx"]) & (q["feature"] == p["feature"]) & (q["feature_value"] == p["feature_value"])
+        )
+    )
     p = F.col("p")
-    return sources.select(*keep, F.explode(first).alias("p")).select(*keep, *[p[c].alias(c) for c in ("pattern_idx", "feature", "feature_value", "evidence_text", "extraction_confidence")])
+    return sources.select(*keep, F.explode(first).alias("p")).select(
+        *keep, *[p[c].alias(c) for c in ("pattern_idx", "feature", "feature_value", "evidence_text", "extraction_confidence")]
+    )
 
 
 def standardize(observations: DataFrame, mapping: dict[str, str]) -> DataFrame:

@@ -28,7 +28,9 @@ def best_memberships(m: DataFrame, seq: str = "seq") -> DataFrame:
     equals, with its own interval. An aggregate, so it combines before the
     shuffle."""
     best = F.min(F.struct((-F.col("membership")).alias("neg"), F.col(seq).alias("at"), "p5", "p95"))
-    return m.groupBy("source_id", "variable_key").agg(best.alias("b")).select("source_id", "variable_key", (-F.col("b.neg")).alias("membership"), "b.p5", "b.p95")
+    return m.groupBy("source_id", "variable_key").agg(best.alias("b")).select(
+        "source_id", "variable_key", (-F.col("b.neg")).alias("membership"), "b.p5", "b.p95"
+    )
 
 
 #: Bytes (as JSON) of rules that are broadcast at once; more go in several parts.
@@ -51,7 +53,9 @@ def slim_rules(rules: DataFrame) -> tuple[DataFrame, int]:
         F.concat_ws(".", a["variable"].cast("string"), a["fuzzy_set"].cast("string")).alias("key"),
         F.coalesce(a["threshold"].cast("double"), F.lit(0.0)).alias("threshold"), F.coalesce(a["weight"].cast("double"), F.lit(1.0)).alias("weight")))
     text = [F.col(c).cast("string").alias(c) for c in ("rule_id", "consequent_entity", "consequent_type")]
-    active = active_rules(rules).select(F.monotonically_increasing_id().alias("uid"), *text, F.col("rule_weight").cast("double").alias("rule_weight"), ants.alias("ants"))
+    active = active_rules(rules).select(
+        F.monotonically_increasing_id().alias("uid"), *text, F.col("rule_weight").cast("double").alias("rule_weight"), ants.alias("ants")
+    )
     table = written(active, "active-rules")
     size = table.agg(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()["bytes"]
     return table, max(1, -(-(size or 0) // RULE_BYTES))
@@ -130,8 +134,13 @@ def fired(best: DataFrame, rules: DataFrame) -> DataFrame:
     needs = table.select("uid", F.explode("ants").alias("a")).select("uid", "a.key", "a.threshold").where("threshold > 0")
     least = F.min_by(F.struct("key", "threshold"), F.struct("often", "key"))
     filed = needs.join(often, "key", "left").groupBy("uid").agg(least.alias("at"), F.count(F.when(F.col("often").isNull(), 1)).alias("never"))
-    index = written(table.join(filed.where("never = 0"), "uid").select(table["*"], F.col("at.key").alias("key"), F.col("at.threshold").alias("least")), "rule-index")
-    own = sources.select("source_id", "m", F.explode(F.map_entries("m")).alias("e")).select("source_id", "m", F.col("e.key").alias("key"), F.col("e.value.membership").alias("mu"))
+    index = written(
+        table.join(filed.where("never = 0"), "uid").select(table["*"], F.col("at.key").alias("key"), F.col("at.threshold").alias("least")),
+        "rule-index"
+    )
+    own = sources.select("source_id", "m", F.explode(F.map_entries("m")).alias("e")).select(
+        "source_id", "m", F.col("e.key").alias("key"), F.col("e.value.membership").alias("mu")
+    )
     enough = F.forall("ants", lambda a: F.coalesce(F.col("m")[a["key"]]["membership"], F.lit(0.0)) >= a["threshold"])
     found = met(own, index, parts, ["key"]).where((F.col("mu") >= F.col("least")) & enough)
     free = table.join(needs.select("uid"), "uid", "left_anti")
@@ -159,7 +168,9 @@ def mamdani(fired: DataFrame, shapes: DataFrame, points: int = 200) -> DataFrame
     (rule_id, a, b, c, d), as small as the rules; rules without one are left
     out. The heights at even steps are one array of the row; rows of one
     source and consequent are all that meets."""
-    cuts = fired.join(small(shapes), "rule_id").groupBy("source_id", "consequent_entity").agg(F.sort_array(F.collect_list(F.struct("rule_id", "activation", "a", "b", "c", "d"))).alias("cuts"))
+    cuts = fired.join(small(shapes), "rule_id").groupBy("source_id", "consequent_entity").agg(
+        F.sort_array(F.collect_list(F.struct("rule_id", "activation", "a", "b", "c", "d"))).alias("cuts")
+    )
     step, last = 1.0 / (points - 1), points - 1
 
     def height(i):
@@ -167,10 +178,18 @@ def mamdani(fired: DataFrame, shapes: DataFrame, points: int = 200) -> DataFrame
         return F.array_max(F.transform("cuts", lambda s: F.least(s["activation"], trapezoid(x, s["a"], s["b"], s["c"], s["d"]))))
 
     g = cuts.withColumn("y", F.transform(F.sequence(F.lit(0), F.lit(last)), height))
-    sums = F.aggregate(F.transform("y", lambda y, i: F.struct(y.alias("y"), i.alias("i"))), F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("m")), lambda t, s: F.struct((t["a"] + s["y"]).alias("a"), (t["m"] + s["y"] * s["i"] / F.lit(float(last))).alias("m")))
+    sums = F.aggregate(
+        F.transform("y", lambda y, i: F.struct(y.alias("y"), i.alias("i"))), F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("m")),
+        lambda t, s: F.struct((t["a"] + s["y"]).alias("a"), (t["m"] + s["y"] * s["i"] / F.lit(float(last))).alias("m"))
+    )
     first, end = F.element_at("y", 1), F.element_at("y", -1)
     g = g.withColumn("sums", sums).withColumns({"area": (F.col("sums.a") - (first + end) / 2) * step, "moment": (F.col("sums.m") - end / 2) * step})
-    return g.select("source_id", "consequent_entity", F.round(F.when(F.col("area") > 0, F.col("moment") / F.col("area")).otherwise(0.0), 6).alias("centroid"), F.round("area", 6).alias("area"), F.round(F.array_max("y"), 6).alias("max_membership"), F.transform("cuts", lambda s: s["rule_id"]).alias("rules"), F.lit("mamdani_centroid_sensitivity").alias("mode"))
+    return g.select(
+        "source_id", "consequent_entity",
+        F.round(F.when(F.col("area") > 0, F.col("moment") / F.col("area")).otherwise(0.0), 6).alias("centroid"),
+        F.round("area", 6).alias("area"), F.round(F.array_max("y"), 6).alias("max_membership"),
+        F.transform("cuts", lambda s: s["rule_id"]).alias("rules"), F.lit("mamdani_centroid_sensitivity").alias("mode")
+    )
 
 
 def last_of(df: DataFrame, keys: list[str], seq: str) -> DataFrame:

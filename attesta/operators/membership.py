@@ -46,7 +46,9 @@ def lexicon(spark: SparkSession, config: dict[str, Any]) -> DataFrame:
         for i, (variable, m) in enumerate((entry or {}).get("maps_to", {}).items()):
             name, icc = str(m.get("fuzzy_set", "high")), m.get("icc")
             own, goal = m.get("linguistic_set"), sets.get(variable, {}).get(name)
-            mu, mode = (overlap(own["points"], goal["points"], points), "overlap_integral") if own and goal else (float(m.get("prior_membership", 0.5)), "prior_membership")
+            mu, mode = (
+                overlap(own["points"], goal["points"], points), "overlap_integral"
+            ) if own and goal else (float(m.get("prior_membership", 0.5)), "prior_membership")
             mu = min(1.0, max(0.0, mu))
             p5 = p95 = None
             if icc is not None and icc < spread.get("icc_threshold", 0.75):
@@ -54,7 +56,13 @@ def lexicon(spark: SparkSession, config: dict[str, Any]) -> DataFrame:
                 drawn = np.clip(np.random.default_rng(seed).normal(mu, max(0.03, (1 - icc) * 0.12), int(spread.get("n_samples", 200))), 0, 1)
                 p5, p95 = (float(p) for p in np.percentile(drawn, [5, 95]))
             width = None if p5 is None else round(p95 - p5, 6)
-            rows.append((term, variable, name, round(mu, 6), mode, str(m.get("status", entry.get("status", "bootstrap_prior"))), None if icc is None else float(icc), None if p5 is None else round(p5, 6), None if p95 is None else round(p95, 6), width, i))
+            rows.append(
+                (
+                    term, variable, name, round(mu, 6), mode, str(m.get("status", entry.get("status", "bootstrap_prior"))),
+                    None if icc is None else float(icc), None if p5 is None else round(p5, 6), None if p95 is None else round(p95, 6),
+                    width, i
+                )
+            )
     return spark.createDataFrame(rows, LEXICON)
 
 
@@ -74,7 +82,9 @@ def coverage(observations: DataFrame, with_membership: DataFrame, key: str = "ob
     """Share of observations with at least one membership; 1 without any."""
     have = with_membership.select(F.col(key).alias("__k")).distinct()
     both = observations.join(have, F.col(key) == F.col("__k"), "left")
-    return both.agg(F.count("__k").alias("mapped"), F.count("*").alias("observations")).withColumn("coverage", F.when(F.col("observations") == 0, 1.0).otherwise(F.round(F.col("mapped") / F.col("observations"), 6)))
+    return both.agg(F.count("__k").alias("mapped"), F.count("*").alias("observations")).withColumn(
+        "coverage", F.when(F.col("observations") == 0, 1.0).otherwise(F.round(F.col("mapped") / F.col("observations"), 6))
+    )
 
 
 def overlap_table(pairs: DataFrame, points: int = 200) -> DataFrame:

@@ -54,7 +54,9 @@ def itemset_levels(baskets: DataFrame, min_count: int, max_size: int = 12, pair_
         met = written(met, "bitmaps")
         counts = met.groupBy("items").agg(F.sum("n").alias("source_count")).where(F.col("source_count") >= min_count)
         if pair_cap and size == 2:
-            rarer = counts.select("*", F.col("items")[0].alias("x"), F.col("items")[1].alias("y")).join(singles.toDF("x", "nx"), "x").join(singles.toDF("y", "ny"), "y")
+            rarer = counts.select(
+                "*", F.col("items")[0].alias("x"), F.col("items")[1].alias("y")
+            ).join(singles.toDF("x", "nx"), "x").join(singles.toDF("y", "ny"), "y")
             counts = rarer.orderBy(F.desc(F.least("nx", "ny")), "items").limit(pair_cap).select("items", "source_count")
         counts = written(counts, "level")
         if not counts.limit(1).count():
@@ -90,7 +92,10 @@ def pattern_metrics(patterns: DataFrame, singles: DataFrame, n: int) -> DataFram
     c = F.col("source_count")
     g = g.withColumns({"support": c / F.lit(float(n)), "chance": chance, "least": least, "total": total})
     g = g.withColumn("lift", F.col("support") / F.col("chance"))
-    return g.select("items", "size", "source_count", "support", "lift", F.log2("lift").alias("pmi"), (c / F.greatest(F.lit(1), F.col("least"))).alias("confidence"), (c / F.greatest(F.lit(1), F.col("total") - c)).alias("jaccard"))
+    return g.select(
+        "items", "size", "source_count", "support", "lift", F.log2("lift").alias("pmi"),
+        (c / F.greatest(F.lit(1), F.col("least"))).alias("confidence"), (c / F.greatest(F.lit(1), F.col("total") - c)).alias("jaccard")
+    )
 
 
 def passes(min_lift: float, min_pmi: float, p_max: float | None = None, p: Column | None = None) -> Column:
@@ -127,7 +132,10 @@ def entropy(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     value: 0."""
     n = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
     t = n.groupBy(*keys).agg(F.sum("n").alias("t"), F.count("*").alias("k"), F.sum(F.col("n") * F.log("n")).alias("nl"))
-    return t.select(*keys, F.col("k").alias("distinct_values"), F.round(F.when(F.col("k") <= 1, 0.0).otherwise((F.log("t") - F.col("nl") / F.col("t")) / F.log("k")), 6).alias("entropy"))
+    return t.select(
+        *keys, F.col("k").alias("distinct_values"),
+        F.round(F.when(F.col("k") <= 1, 0.0).otherwise((F.log("t") - F.col("nl") / F.col("t")) / F.log("k")), 6).alias("entropy")
+    )
 
 
 def representative_evidence(occurrences: DataFrame, most: int = 5) -> DataFrame:
@@ -137,7 +145,12 @@ def representative_evidence(occurrences: DataFrame, most: int = 5) -> DataFrame:
     Sources are ranked before anything is collected: each task keeps its own
     first ones, so neither the shuffle nor a row grows with a pattern's sources."""
     first = occurrences.withColumn("place", F.dense_rank().over(Window.partitionBy("pattern").orderBy("source_id"))).where(F.col("place") <= most)
-    per = first.groupBy("pattern", "source_id").agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("seq", "evidence"))), lambda s: s["evidence"])).alias("e"))
-    per = per.select("pattern", F.struct("source_id", F.concat(F.col("source_id").cast("string"), F.lit(": "), F.array_join("e", "；")).alias("text")).alias("s"))
+    per = first.groupBy("pattern", "source_id").agg(
+        F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("seq", "evidence"))), lambda s: s["evidence"])).alias("e")
+    )
+    per = per.select(
+        "pattern",
+        F.struct("source_id", F.concat(F.col("source_id").cast("string"), F.lit(": "), F.array_join("e", "；")).alias("text")).alias("s")
+    )
     ranked = per.groupBy("pattern").agg(F.sort_array(F.collect_list("s")).alias("s"))
     return ranked.select("pattern", F.transform("s", lambda s: s["text"]).alias("evidence"))

@@ -21,7 +21,11 @@ HINTS = [
     (("tongue:yellow_greasy",), ("湿热下注",)),
 ]
 #: Settings a configuration leaves out (fixed values).
-DEFAULTS = {"max_size": 3, "min_support": 0.03, "min_lift": 1.5, "min_pmi": 0.5, "min_source_count": 3, "min_tradition_count": 1, "fisher_p_max": None, "fisher_test": True, "max_source_ids_per_pattern": 100, "max_pair_candidates": 200_000, "max_join_candidates": 100_000}
+DEFAULTS = {
+    "max_size": 3, "min_support": 0.03, "min_lift": 1.5, "min_pmi": 0.5, "min_source_count": 3, "min_tradition_count": 1,
+    "fisher_p_max": None, "fisher_test": True, "max_source_ids_per_pattern": 100, "max_pair_candidates": 200_000,
+    "max_join_candidates": 100_000
+}
 TOP_SMALL = 1000
 
 
@@ -36,7 +40,12 @@ def items_of(observations: DataFrame) -> DataFrame:
 def hints(items, rules=HINTS):
     """Suggestions for a list of items, in the order of the rules."""
     joined = F.array_join(items, " ")
-    found = [F.when(reduce(lambda a, b: a | b, [F.contains(joined, F.lit(n)) for n in needles]), F.array(*[F.lit(s) for s in said])).otherwise(F.array().cast("array<string>")) for needles, said in rules]
+    found = [
+        F.when(
+            reduce(lambda a, b: a | b, [F.contains(joined, F.lit(n)) for n in needles]), F.array(*[F.lit(s) for s in said])
+        ).otherwise(F.array().cast("array<string>")) for needles,
+        said in rules
+    ]
     return F.array_distinct(F.flatten(F.array(*found)))
 
 
@@ -54,12 +63,20 @@ def mine_patterns(observations: DataFrame, sources: DataFrame, config: dict[str,
     """
     c = {**DEFAULTS, **{k: v for k, v in config.items() if v is not None}}
     known = sources.select("source_id", "book_name", "tradition_id", F.monotonically_increasing_id().alias("seq"))
-    meta = known.groupBy("source_id").agg(F.max_by("book_name", "seq").alias("book_name"), F.max_by("tradition_id", "seq").alias("tradition_id"))  # of a repeated id the last
+    meta = known.groupBy("source_id").agg(  # of a repeated id the last
+        F.max_by("book_name", "seq").alias("book_name"), F.max_by("tradition_id", "seq").alias("tradition_id")
+    )
     n = meta.count()
     least, exploratory = mining.min_counts(n, float(c["min_support"]), int(c["min_source_count"]))
     production = max(int(c["min_source_count"]), mining.min_counts(n, float(c["min_support"]), 0)[0])
     top, cap = int(c.get("top_k_patterns", TOP_SMALL if exploratory else 0)), max(0, int(c["max_source_ids_per_pattern"]))
-    known = written(items_of(observations).join(meta.select("source_id"), "source_id", "left_semi").select("source_id", "item", F.coalesce(F.nullif("mapping_status", F.lit("")), F.lit("unknown")).alias("mapping_status"), "evidence_text", "seq"), "items")
+    known = written(
+        items_of(observations).join(meta.select("source_id"), "source_id", "left_semi").select(
+            "source_id", "item", F.coalesce(F.nullif("mapping_status", F.lit("")), F.lit("unknown")).alias("mapping_status"),
+            "evidence_text", "seq"
+        ),
+        "items"
+    )
     baskets = known.select("source_id", "item").distinct()
     singles = written(mining.item_counts(baskets), "singles")
     levels, tids, places = mining.itemset_levels(baskets, least, int(c["max_size"]), int(c["max_pair_candidates"]), int(c["max_join_candidates"]))
@@ -75,29 +92,55 @@ def mine_patterns(observations: DataFrame, sources: DataFrame, config: dict[str,
     m = written(m, "measured")
     of = bitsets.occurrences(tids.join(m.select("items"), "items", "left_semi"), places).join(meta, "source_id")
     traditions = of.groupBy("items", "tradition_id").agg(F.count("*").alias("n"))
-    spread = traditions.groupBy("items").agg(F.count("*").alias("tradition_count"), F.sort_array(F.collect_list("tradition_id")).alias("tradition_ids"), F.sum("n").alias("t"), F.sum(F.col("n") * F.log("n")).alias("nl"))
+    spread = traditions.groupBy("items").agg(
+        F.count("*").alias("tradition_count"), F.sort_array(F.collect_list("tradition_id")).alias("tradition_ids"), F.sum("n").alias("t"),
+        F.sum(F.col("n") * F.log("n")).alias("nl")
+    )
     entropy = F.round(F.when(F.col("tradition_count") <= 1, 0.0).otherwise((F.log("t") - F.col("nl") / F.col("t")) / F.log("tradition_count")), 6)
-    m = m.join(spread.withColumn("tradition_entropy", entropy).drop("t", "nl"), "items").where(F.col("tradition_count") >= (1 if exploratory else int(c["min_tradition_count"])))
+    m = m.join(spread.withColumn("tradition_entropy", entropy).drop("t", "nl"), "items").where(
+        F.col("tradition_count") >= (1 if exploratory else int(c["min_tradition_count"]))
+    )
     m = m.withColumn("rank_p", -F.coalesce("fisher_p", F.lit(0.0)))
     order = [F.desc("source_count"), F.desc("lift"), F.desc("pmi"), F.desc("rank_p"), F.asc("size"), F.asc("items")]
     m = m.orderBy(*order).limit(top) if top > 0 else m
     m = written(number(m, order, "pattern_id", "PATTERN").drop("rank_p"), "patterns")
     of = of.join(m.select("items", "pattern_id"), "items")
-    books = of.select("pattern_id", "book_name").distinct().groupBy("pattern_id").agg(F.count("*").alias("book_count"), F.sort_array(F.collect_list("book_name")).alias("book_names"))
+    books = of.select("pattern_id", "book_name").distinct().groupBy("pattern_id").agg(
+        F.count("*").alias("book_count"), F.sort_array(F.collect_list("book_name")).alias("book_names")
+    )
     ranked = of.withColumn("place", F.row_number().over(Window.partitionBy("pattern_id").orderBy("source_id"))).where(F.col("place") <= cap)
     ids = ranked.groupBy("pattern_id").agg(F.sort_array(F.collect_list("source_id")).alias("source_ids"))
     said = of.select("pattern_id", "source_id", F.posexplode("items").alias("at", "item")).join(known.where("evidence_text <> ''"), ["source_id", "item"])
-    evidence = mining.representative_evidence(said.select(F.col("pattern_id").alias("pattern"), "source_id", F.struct("at", "seq").alias("seq"), F.col("evidence_text").alias("evidence")))
-    status = known.groupBy("item", "mapping_status").agg(F.count("*").alias("n")).groupBy("item").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("mapping_status", "n")))).alias("counts"))
-    summary = m.select("pattern_id", F.explode("items").alias("item")).join(status, "item").groupBy("pattern_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("item", F.map_entries("counts").alias("c"))))).alias("s"))
+    evidence = mining.representative_evidence(
+        said.select(F.col("pattern_id").alias("pattern"), "source_id", F.struct("at", "seq").alias("seq"), F.col("evidence_text").alias("evidence"))
+    )
+    status = known.groupBy("item", "mapping_status").agg(F.count("*").alias("n")).groupBy("item").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("mapping_status", "n")))).alias("counts")
+    )
+    summary = m.select("pattern_id", F.explode("items").alias("item")).join(status, "item").groupBy("pattern_id").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("item", F.map_entries("counts").alias("c"))))).alias("s")
+    )
     summary = summary.select("pattern_id", F.transform_values("s", lambda _, v: F.map_from_entries(v)).alias("mapping_status_summary"))
-    out = m.join(books, "pattern_id").join(ids, "pattern_id", "left").join(evidence.select(F.col("pattern").alias("pattern_id"), F.col("evidence").alias("representative_evidence")), "pattern_id", "left").join(summary, "pattern_id")
+    out = m.join(books, "pattern_id").join(ids, "pattern_id", "left").join(
+        evidence.select(F.col("pattern").alias("pattern_id"), F.col("evidence").alias("representative_evidence")), "pattern_id", "left"
+    ).join(summary, "pattern_id")
     none = F.array().cast("array<string>")
     note = "exploratory_only; lift/PMI unreliable for N<30" if exploratory else "confirmatory_filtering"
     shown = F.coalesce(F.size("source_ids"), F.lit(0))
-    complete = F.when(F.col("source_count") > F.greatest(shown, F.lit(0)), F.concat(F.lit("source_ids_truncated_to="), F.greatest(shown, F.lit(0)).cast("string"))).otherwise("source_ids_complete")
-    text = F.concat(F.col("source_count").cast("string"), F.lit(f"/{n} sources; {note}; effective_min_source_count={least}; production_min_source_count={production}; {'fisher_available' if c['fisher_test'] else 'fisher_unavailable_optional_dependency'}; "), complete)
+    complete = F.when(
+        F.col("source_count") > F.greatest(shown, F.lit(0)),
+        F.concat(F.lit("source_ids_truncated_to="), F.greatest(shown, F.lit(0)).cast("string"))
+    ).otherwise("source_ids_complete")
+    text = F.concat(
+        F.col("source_count").cast("string"),
+        F.lit(f"/{n} sources; {note}; effective_min_source_count={least}; production_min_source_count={production}; {'fisher_available' if c['fisher_test'] else 'fisher_unavailable_optional_dependency'}; "),
+        complete
+    )
     return out.select(
-        "pattern_id", "items", "size", *[F.round(x, 6).alias(x) for x in ("support", "confidence", "lift", "pmi", "jaccard")], F.round("fisher_p", 12).alias("fisher_p"), "source_count", "book_count", "tradition_count", F.round(F.col("book_count") / F.greatest(F.lit(1), F.col("source_count")), 6).alias("source_diversity"), "tradition_entropy",
-        F.coalesce("source_ids", none).alias("source_ids"), "book_names", "tradition_ids", F.coalesce("representative_evidence", none).alias("representative_evidence"), hints(F.col("items")).alias("possible_interpretation"), text.alias("source_count_summary"), "mapping_status_summary", F.lit("candidate_pattern").alias("status"), F.lit("exploratory_only" if exploratory else "pending").alias("review_status"),
+        "pattern_id", "items", "size", *[
+            F.round(x, 6).alias(x) for x in ("support", "confidence", "lift", "pmi", "jaccard")
+        ], F.round("fisher_p", 12).alias("fisher_p"), "source_count", "book_count", "tradition_count", F.round(F.col("book_count") / F.greatest(F.lit(1), F.col("source_count")), 6).alias("source_diversity"), "tradition_entropy",
+        F.coalesce("source_ids", none).alias("source_ids"), "book_names", "tradition_ids", F.coalesce("representative_evidence", none).alias("representative_evidence"), hints(F.col("items")).alias("possible_interpretation"), text.alias("source_count_summary"), "mapping_status_summary", F.lit("candidate_pattern").alias("status"), F.lit(
+            "exploratory_only" if exploratory else "pending"
+        ).alias("review_status"),
     )

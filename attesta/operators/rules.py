@@ -10,7 +10,12 @@ from ..functions.scalars import clamp01, safe_float
 from .infer import accepted_rules
 
 ANTECEDENT = "struct<variable:string,fuzzy_set:string,threshold:double,weight:double>"
-TEXTS = ("rule_id", "rule_name", "rule_origin", "pattern_id", "consequent_entity", "suggested_consequent", "consequent_type", "rule_weight", "suggested_rule_weight", "support", "confidence", "lift", "pmi", "source_count", "book_count", "tradition_count", "source_diversity", "tradition_entropy", "applicable_context", "conflict_with", "expert_acceptance_rate", "expert_disagreement_note", "conflict_note", "review_status", "created_from", "last_updated", "expert_decision")
+TEXTS = (
+    "rule_id", "rule_name", "rule_origin", "pattern_id", "consequent_entity", "suggested_consequent", "consequent_type", "rule_weight",
+    "suggested_rule_weight", "support", "confidence", "lift", "pmi", "source_count", "book_count", "tradition_count", "source_diversity",
+    "tradition_entropy", "applicable_context", "conflict_with", "expert_acceptance_rate", "expert_disagreement_note", "conflict_note",
+    "review_status", "created_from", "last_updated", "expert_decision"
+)
 
 
 def _filled(c: Column) -> Column:
@@ -100,18 +105,32 @@ def build_rules(rows: DataFrame) -> DataFrame:
         struct = rows.schema["consequent"].dataType.typeName() == "struct"
         cell = F.to_json("consequent") if struct else F.trim(F.col("consequent").cast("string"))
         parsed = F.from_json(cell, "struct<entity:string,entity_type:string>", {"allowSingleQuotes": "true", "allowUnquotedFieldNames": "true"})
-        entity, kind = F.when(cell.startswith("{"), _filled(parsed["entity"])).otherwise(_filled(cell)), F.when(cell.startswith("{"), _filled(parsed["entity_type"]))
+        entity, kind = F.when(cell.startswith("{"), _filled(parsed["entity"])).otherwise(_filled(cell)), F.when(
+            cell.startswith("{"), _filled(parsed["entity_type"])
+        )
     consequent = F.coalesce(t["consequent_entity"], t["suggested_consequent"], entity)
     pattern = F.coalesce(t["pattern_id"], F.lit(""))
     number = lambda c: safe_float(F.col(c), 0.0).alias(c)
     count = lambda c: safe_float(F.col(c), 0.0).cast("long").alias(c)
     text = lambda c, *others: F.coalesce(t[c], *others, F.lit("")).alias(c)
-    listed = lambda c: (F.col(c).cast("array<string>") if c in has and rows.schema[c].dataType.typeName() == "array" else _listed(F.col(c)) if c in has else F.array().cast("array<string>")).alias(c)
+    listed = lambda c: (
+        F.col(c).cast(
+            "array<string>"
+        ) if c in has and rows.schema[c].dataType.typeName() == "array" else _listed(F.col(c)) if c in has else F.array().cast("array<string>")
+    ).alias(c)
     return accepted_rules(d).select(
-        F.coalesce(t["rule_id"], F.when(pattern != "", F.concat(F.lit("RULE_FROM_"), pattern)), F.lit("RULE_UNSPECIFIED")).alias("rule_id"), F.coalesce(t["rule_name"], t["pattern_id"], consequent).alias("rule_name"), F.coalesce(t["rule_origin"], F.lit("cooccurrence_induced")).alias("rule_origin"), pattern.alias("pattern_id"),
-        antecedents.alias("antecedents"), consequent.alias("consequent_entity"), F.coalesce(t["consequent_type"], kind, F.lit("syndrome")).alias("consequent_type"), clamp01(F.coalesce(t["rule_weight"], t["suggested_rule_weight"], F.lit("1")), 1.0).alias("rule_weight"),
-        number("support"), number("confidence"), number("lift"), number("pmi"), count("source_count"), listed("source_ids"), count("book_count"), count("tradition_count"), listed("tradition_ids"), number("source_diversity"), number("tradition_entropy"),
-        text("applicable_context"), text("conflict_with"), number("expert_acceptance_rate"), text("expert_disagreement_note", t["conflict_note"]), F.coalesce(t["review_status"], F.lit("active_rule")).alias("review_status"), text("created_from", t["pattern_id"]), text("last_updated"),
+        F.coalesce(
+            t["rule_id"], F.when(pattern != "", F.concat(F.lit("RULE_FROM_"), pattern)), F.lit("RULE_UNSPECIFIED")
+        ).alias("rule_id"), F.coalesce(t["rule_name"], t["pattern_id"], consequent).alias("rule_name"), F.coalesce(t["rule_origin"], F.lit("cooccurrence_induced")).alias("rule_origin"), pattern.alias("pattern_id"),
+        antecedents.alias("antecedents"), consequent.alias("consequent_entity"), F.coalesce(t["consequent_type"], kind, F.lit("syndrome")).alias("consequent_type"), clamp01(
+            F.coalesce(t["rule_weight"], t["suggested_rule_weight"], F.lit("1")), 1.0
+        ).alias("rule_weight"),
+        number("support"), number("confidence"), number("lift"), number("pmi"), count("source_count"), listed("source_ids"), count("book_count"), count("tradition_count"), listed("tradition_ids"), number("source_diversity"), number(
+            "tradition_entropy"
+        ),
+        text("applicable_context"), text("conflict_with"), number("expert_acceptance_rate"), text(
+            "expert_disagreement_note", t["conflict_note"]
+        ), F.coalesce(t["review_status"], F.lit("active_rule")).alias("review_status"), text("created_from", t["pattern_id"]), text("last_updated"),
     ).where((F.size("antecedents") > 0) & (F.coalesce("consequent_entity", F.lit("")) != ""))
 
 
@@ -135,14 +154,27 @@ def review_template(patterns: DataFrame) -> DataFrame:
     """Patterns as rows for an expert to decide on."""
     blank = lambda *names: [F.lit("").alias(n) for n in names]
     return patterns.select(
-        "pattern_id", F.col("items").alias("observations"), F.col("items").alias("itemset"), "size", "support", "confidence", "lift", "pmi", "fisher_p", "jaccard", "source_count", "book_count", "tradition_count", "source_diversity", "tradition_entropy", "possible_interpretation", "source_ids", "source_count_summary", "mapping_status_summary", "book_names", "tradition_ids", "representative_evidence",
-        F.lit("pending").alias("expert_decision"), F.lit("[]").alias("antecedents_json"), *blank("suggested_consequent", "suggested_rule_weight", "applicable_context", "conflict_note"), "review_status",
+        "pattern_id", F.col("items").alias(
+            "observations"
+        ), F.col("items").alias("itemset"), "size", "support", "confidence", "lift", "pmi", "fisher_p", "jaccard", "source_count", "book_count", "tradition_count", "source_diversity", "tradition_entropy", "possible_interpretation", "source_ids", "source_count_summary", "mapping_status_summary", "book_names", "tradition_ids", "representative_evidence",
+        F.lit("pending").alias("expert_decision"), F.lit("[]").alias("antecedents_json"), *blank(
+            "suggested_consequent", "suggested_rule_weight", "applicable_context", "conflict_note"
+        ), "review_status",
     )
 
 
 def lifecycle(patterns: DataFrame, rules: DataFrame) -> DataFrame:
     """Where each pattern and rule stands and what is expected next."""
-    p = patterns.select(F.col("pattern_id").alias("artifact_id"), F.lit("candidate_pattern").alias("artifact_type"), F.col("review_status").alias("lifecycle_state"), F.lit("observation_itemset").alias("created_from"), F.lit("expert_reviewed_pattern").alias("next_expected_state"), F.col("source_count").cast("long").alias("source_count"), "support")
+    p = patterns.select(
+        F.col("pattern_id").alias("artifact_id"), F.lit("candidate_pattern").alias("artifact_type"),
+        F.col("review_status").alias("lifecycle_state"), F.lit("observation_itemset").alias("created_from"),
+        F.lit("expert_reviewed_pattern").alias("next_expected_state"), F.col("source_count").cast("long").alias("source_count"), "support"
+    )
     verified = F.col("review_status").isin("expert_verified", "expert_verified_rule")
-    r = rules.select(F.col("rule_id").alias("artifact_id"), F.lit("rule").alias("artifact_type"), F.col("review_status").alias("lifecycle_state"), F.coalesce(_filled(F.col("created_from")), _filled(F.col("pattern_id")), F.col("rule_origin")).alias("created_from"), F.when(verified, "active_rule").otherwise("expert_review_or_monitoring").alias("next_expected_state"), F.col("source_count").cast("long").alias("source_count"), "support")
+    r = rules.select(
+        F.col("rule_id").alias("artifact_id"), F.lit("rule").alias("artifact_type"), F.col("review_status").alias("lifecycle_state"),
+        F.coalesce(_filled(F.col("created_from")), _filled(F.col("pattern_id")), F.col("rule_origin")).alias("created_from"),
+        F.when(verified, "active_rule").otherwise("expert_review_or_monitoring").alias("next_expected_state"),
+        F.col("source_count").cast("long").alias("source_count"), "support"
+    )
     return p.unionByName(r)

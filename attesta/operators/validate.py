@@ -12,7 +12,10 @@ from .membership import coverage
 
 
 #: Sections that a configuration must have, and metadata that sources should (fixed names).
-SECTIONS = ("membership_calculation", "mapping_policy", "uncertainty_propagation", "candidate_pattern_filter", "fuzzy_sets", "observation_mapping", "linguistic_values", "seed_rules", "entities")
+SECTIONS = (
+    "membership_calculation", "mapping_policy", "uncertainty_propagation", "candidate_pattern_filter", "fuzzy_sets", "observation_mapping",
+    "linguistic_values", "seed_rules", "entities"
+)
 METADATA = ["book_name", "chapter_title", "dynasty", "author", "text_type", "topic_hint", "tradition_id", "text_family", "citation_family"]
 
 
@@ -90,7 +93,10 @@ def config_findings(spark: SparkSession, config: dict) -> DataFrame:
 
 def ignored_priors(spark: SparkSession, config: dict) -> DataFrame:
     """Calibrated mappings whose shape keeps the prior from being read."""
-    rows = [(f"{t}.{v}", "info", "calibrated_prior_ignored") for t, e in config.get("linguistic_values", {}).items() for v, m in (e or {}).get("maps_to", {}).items() if m.get("linguistic_set") and m.get("calibrated_membership") is not None]
+    rows = [
+        (f"{t}.{v}", "info", "calibrated_prior_ignored") for t, e in config.get("linguistic_values", {}).items() for v,
+        m in (e or {}).get("maps_to", {}).items() if m.get("linguistic_set") and m.get("calibrated_membership") is not None
+    ]
     return spark.createDataFrame(rows, "item string, severity string, code string")
 
 
@@ -108,4 +114,6 @@ def gold_findings(evaluation: DataFrame) -> DataFrame:
 def readiness(findings: DataFrame) -> DataFrame:
     """Counts by severity and what they allow."""
     n = findings.agg(*[F.sum(F.when(F.col("severity") == s, 1).otherwise(0)).alias(s + "s") for s in ("error", "warning")])
-    return n.select(F.coalesce("errors", F.lit(0)).alias("errors"), F.coalesce("warnings", F.lit(0)).alias("warnings")).withColumn("overall", F.when(F.col("errors") > 0, "not_ready").when(F.col("warnings") > 0, "exploratory_ready").otherwise("formal_ready"))
+    return n.select(F.coalesce("errors", F.lit(0)).alias("errors"), F.coalesce("warnings", F.lit(0)).alias("warnings")).withColumn(
+        "overall", F.when(F.col("errors") > 0, "not_ready").when(F.col("warnings") > 0, "exploratory_ready").otherwise("formal_ready")
+    )

@@ -19,9 +19,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 #: needle, feature, value, evidence, confidence
-PATTERNS = [("the ", "lang_mark", "english", "the", 0.94), ("and", "lang_mark", "english", "and", 0.90), (" der ", "lang_mark", "german", "der", 0.93), ("que", "ending", "que", "que", 0.80), ("tion", "ending", "tion", "tion", 0.86), (" de ", "article", "de", "de", 0.70), ("License", "legal", "license", "License", 0.95)]
+PATTERNS = [
+    ("the ", "lang_mark", "english", "the", 0.94), ("and", "lang_mark", "english", "and", 0.90),
+    (" der ", "lang_mark", "german", "der", 0.93), ("que", "ending", "que", "que", 0.80), ("tion", "ending", "tion", "tion", 0.86),
+    (" de ", "article", "de", "de", 0.70), ("License", "legal", "license", "License", 0.95)
+]
 MAPPING = {"english": "lang:en", "der": "lang:de", "legal:license": "legal:line"}
-TERMS = [("click", "interest", "high", 0.62, 0.55, 0.70), ("purchase", "interest", "high", 0.9, None, None), ("purchase", "value", "high", 0.8, None, None), ("kind:view", "interest", "low", 0.3, 0.2, 0.41)]
+TERMS = [
+    ("click", "interest", "high", 0.62, 0.55, 0.70), ("purchase", "interest", "high", 0.9, None, None),
+    ("purchase", "value", "high", 0.8, None, None), ("kind:view", "interest", "low", 0.3, 0.2, 0.41)
+]
 RULES = [
     ("R1", "bulk", "deal", 0.84, 0.80, "active_rule", None, [("N", "O", 0.5, 0.6), ("A", "F", 0.2, 0.4)]),
     ("R2", "returned", "risk", 0.82, None, "active_rule", "accept", [("R", "F", 0.4, 1.0)]),
@@ -29,7 +36,10 @@ RULES = [
     ("R4", "none", "risk", 0.9, 0.9, "draft", "reject", [("A", "F", 0.0, 1.0)]),
 ]
 SHAPES = [("R1", 0.45, 0.70, 1.0, 1.0), ("R2", 0.2, 0.4, 0.6, 0.8), ("R3", 0.0, 0.3, 0.5, 0.9)]
-PAIRS = [("warm", 0.2, 0.4, 0.8, 1.0, 0.2, 0.4, 0.8, 1.0), ("cold", 0.7, 0.86, 1.0, 1.0, 0.6, 0.78, 1.0, 1.0), ("apart", 0.0, 0.1, 0.2, 0.3, 0.5, 0.6, 0.7, 0.8)]
+PAIRS = [
+    ("warm", 0.2, 0.4, 0.8, 1.0, 0.2, 0.4, 0.8, 1.0), ("cold", 0.7, 0.86, 1.0, 1.0, 0.6, 0.78, 1.0, 1.0),
+    ("apart", 0.0, 0.1, 0.2, 0.3, 0.5, 0.6, 0.7, 0.8)
+]
 
 
 def query(sql: str | None = None):
@@ -60,7 +70,10 @@ def values(rows, names: str) -> str:
 def observations(spark, d):
     """Events as observations."""
     e = t(spark, d, "events")
-    return e.select(F.col("event_id").alias("observation_id"), F.col("user_id").alias("source_id"), F.lit("kind").alias("feature"), F.col("event_type").alias("feature_value"), F.concat(F.lit("kind:"), "event_type").alias("standard_observation"))
+    return e.select(
+        F.col("event_id").alias("observation_id"), F.col("user_id").alias("source_id"), F.lit("kind").alias("feature"),
+        F.col("event_type").alias("feature_value"), F.concat(F.lit("kind:"), "event_type").alias("standard_observation")
+    )
 
 
 OBS = "SELECT event_id AS observation_id, user_id AS source_id, event_type AS feature_value, 'kind:' || event_type AS standard_observation FROM events"
@@ -70,7 +83,11 @@ def members(spark, d):
     """Line items as memberships of the variables of their flags."""
     mu = F.round(F.least(F.lit(1.0), F.col("l_discount") * 8 + 0.2), 6)
     low = (F.col("l_linenumber") % 2) == 0
-    return t(spark, d, "lineitem").select(F.col("l_orderkey").alias("source_id"), S.variable_key(F.col("l_returnflag"), F.col("l_linestatus")).alias("variable_key"), F.col("l_linenumber").alias("seq"), mu.alias("membership"), F.when(low, F.round(mu * 0.9, 6)).alias("p5"), F.when(low, F.round(F.least(F.lit(1.0), mu * 1.1), 6)).alias("p95"))
+    return t(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("source_id"), S.variable_key(F.col("l_returnflag"), F.col("l_linestatus")).alias("variable_key"),
+        F.col("l_linenumber").alias("seq"), mu.alias("membership"), F.when(low, F.round(mu * 0.9, 6)).alias("p5"),
+        F.when(low, F.round(F.least(F.lit(1.0), mu * 1.1), 6)).alias("p95")
+    )
 
 
 BEST = """best AS (
@@ -82,7 +99,10 @@ BEST = """best AS (
 
 
 def rules(spark):
-    return spark.createDataFrame([(i, e, c, w, a, s, x, [(v, f, th, wt) for v, f, th, wt in ants]) for i, e, c, w, a, s, x, ants in RULES], "rule_id string, consequent_entity string, consequent_type string, rule_weight double, expert_acceptance_rate double, review_status string, expert_decision string, antecedents array<struct<variable:string,fuzzy_set:string,threshold:double,weight:double>>")
+    return spark.createDataFrame(
+        [(i, e, c, w, a, s, x, [(v, f, th, wt) for v, f, th, wt in ants]) for i, e, c, w, a, s, x, ants in RULES],
+        "rule_id string, consequent_entity string, consequent_type string, rule_weight double, expert_acceptance_rate double, review_status string, expert_decision string, antecedents array<struct<variable:string,fuzzy_set:string,threshold:double,weight:double>>"
+    )
 
 
 RULE_ROWS = values([r[:7] for r in RULES], "rule_id, consequent_entity, consequent_type, rule_weight, expert_acceptance_rate, review_status, expert_decision")
@@ -110,7 +130,10 @@ def sources_meta(spark, d):
     """Orders with market segment as book and region as tradition."""
     geo = t(spark, d, "nation").join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
     c = t(spark, d, "customer").join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey"))
-    return t(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("source_id"), F.col("r_name").alias("tradition_id"), F.col("c_mktsegment").alias("book_name"), F.lit(0.8).alias("quality_weight"))
+    return t(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("o_orderkey").alias("source_id"), F.col("r_name").alias("tradition_id"), F.col("c_mktsegment").alias("book_name"),
+        F.lit(0.8).alias("quality_weight")
+    )
 
 
 META = "meta AS (SELECT o_orderkey AS source_id, r_name AS tradition_id, c_mktsegment AS book_name, 0.8::DOUBLE AS quality_weight FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
@@ -129,7 +152,10 @@ def source_level(spark, d):
 
 
 def global_level(spark, d):
-    return aggregate.noisy_or(aggregate.by_tradition(source_level(spark, d)), spark.createDataFrame([("ASIA", 0.5), ("EUROPE", 0.85)], "tradition_id string, delta double"))
+    return aggregate.noisy_or(
+        aggregate.by_tradition(source_level(spark, d)),
+        spark.createDataFrame([("ASIA", 0.5), ("EUROPE", 0.85)], "tradition_id string, delta double")
+    )
 
 
 def baskets(spark, d):
@@ -146,7 +172,10 @@ BASKETS = "baskets AS (SELECT DISTINCT l_orderkey AS source_id, p_type AS item F
 
 @query("SELECT l_orderkey, l_linenumber, round(CASE WHEN x < 0.1 OR x > 0.9 THEN 0 WHEN x >= 0.3 AND x <= 0.5 THEN 1 WHEN x < 0.3 THEN (x - 0.1) / (0.3 - 0.1) ELSE (0.9 - x) / (0.9 - 0.5) END, 6) AS membership FROM (SELECT *, l_discount * 10 AS x FROM lineitem)")
 def trapezoid_membership(spark, d):
-    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(S.trapezoid(F.col("l_discount") * 10, *[F.lit(p) for p in (0.1, 0.3, 0.5, 0.9)]), 6).alias("membership"))
+    return t(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber",
+        F.round(S.trapezoid(F.col("l_discount") * 10, *[F.lit(p) for p in (0.1, 0.3, 0.5, 0.9)]), 6).alias("membership")
+    )
 
 
 SHAPED = "SELECT p_partkey AS key, p_size / 100.0::DOUBLE AS l0, p_size / 100.0::DOUBLE + 0.1::DOUBLE AS l1, p_size / 100.0::DOUBLE + 0.2::DOUBLE AS l2, p_size / 100.0::DOUBLE + 0.3::DOUBLE AS l3, 0.2::DOUBLE AS r0, 0.4::DOUBLE AS r1, 0.5::DOUBLE AS r2, 0.9::DOUBLE AS r3 FROM part"
@@ -171,7 +200,9 @@ def lexicon(spark):
 
 @query(f"WITH o AS ({OBS}), lex AS (SELECT * FROM {LEX}), k AS (SELECT *, CASE WHEN feature_value IN (SELECT term FROM lex) THEN feature_value ELSE standard_observation END AS key FROM o) SELECT observation_id, source_id, variable, fuzzy_set, membership, p5, p95 FROM k JOIN lex ON key = term")
 def prior_lookup_fallback(spark, d):
-    return membership.memberships(observations(spark, d), lexicon(spark)).select("observation_id", "source_id", "variable", "fuzzy_set", "membership", "p5", "p95")
+    return membership.memberships(observations(spark, d), lexicon(spark)).select(
+        "observation_id", "source_id", "variable", "fuzzy_set", "membership", "p5", "p95"
+    )
 
 
 @query(f"SELECT count(*) FILTER (WHERE feature_value IN ('click', 'purchase', 'view')) AS mapped, count(*) AS observations, round(count(*) FILTER (WHERE feature_value IN ('click', 'purchase', 'view')) / count(*), 6) AS coverage FROM ({OBS})")
@@ -222,7 +253,10 @@ def best_membership(spark, d):
 
 @query(f"WITH {LARSEN} SELECT source_id, rule_id, consequent_entity, activation, status, missing, p5, p95 FROM larsen")
 def larsen_inference(spark, d):
-    return inferred(spark, d).select("source_id", "rule_id", "consequent_entity", "activation", "status", F.array_join("missing_variables", ",").alias("missing"), "p5", "p95")
+    return inferred(spark, d).select(
+        "source_id", "rule_id", "consequent_entity", "activation", "status", F.array_join("missing_variables", ",").alias("missing"), "p5",
+        "p95"
+    )
 
 
 @query(f"WITH {LARSEN} SELECT source_id, rule_id, activation FROM larsen WHERE status = 'fired'")
@@ -238,7 +272,10 @@ def kind_members(spark, d):
     line = t(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
     line = line.select("l_orderkey", "l_linenumber", "variable", mu.alias("mu"), (F.col("l_linenumber") == 1).alias("ranged"))
     cells = [F.when(F.col("ranged"), F.round(F.col("mu") * x, 6)).alias(c) for x, c in ((0.5, "p5"), (0.75, "p95"))]
-    return line.select(F.col("l_orderkey").alias("source_id"), S.variable_key(F.col("variable"), F.lit("high")).alias("variable_key"), F.col("l_linenumber").alias("seq"), F.col("mu").alias("membership"), *cells)
+    return line.select(
+        F.col("l_orderkey").alias("source_id"), S.variable_key(F.col("variable"), F.lit("high")).alias("variable_key"),
+        F.col("l_linenumber").alias("seq"), F.col("mu").alias("membership"), *cells
+    )
 
 
 def kind_rules(spark, d):
@@ -246,11 +283,15 @@ def kind_rules(spark, d):
     thousands; some need only one of the two, one in fifty neither."""
     kinds = t(spark, d, "part").groupBy("p_type", "p_brand").agg(F.min("p_size").alias("size"))
     size = F.col("size")
-    ant = lambda c, threshold, weight: F.struct(F.col(c).alias("variable"), F.lit("high").alias("fuzzy_set"), threshold.alias("threshold"), F.lit(weight).alias("weight"))
+    ant = lambda c, threshold, weight: F.struct(
+        F.col(c).alias("variable"), F.lit("high").alias("fuzzy_set"), threshold.alias("threshold"), F.lit(weight).alias("weight")
+    )
     a = ant("p_type", F.when(size == 50, 0.0).otherwise((size % 5) / 5.0), 1.0)
     b = ant("p_brand", F.when(size == 50, 0.0).otherwise((size % 3) / 4.0), 0.5)
     return kinds.select(
-        F.concat_ws("/", "p_type", "p_brand").alias("rule_id"), F.col("p_brand").alias("consequent_entity"), F.lit("kind").alias("consequent_type"), (0.5 + size / 200).alias("rule_weight"),
+        F.concat_ws(
+            "/", "p_type", "p_brand"
+        ).alias("rule_id"), F.col("p_brand").alias("consequent_entity"), F.lit("kind").alias("consequent_type"), (0.5 + size / 200).alias("rule_weight"),
         F.when(size % 11 == 0, "draft").otherwise("active_rule").alias("review_status"), F.array(a, b).alias("antecedents"),
     )
 
@@ -289,8 +330,12 @@ def reviewed_rows(spark, d):
     pick = lambda n, *words: F.element_at(F.array(*[F.lit(w) for w in words]), (F.col("s_suppkey") % n + 1).cast("int"))
     ant = F.format_string("{'variable': 'v%d', 'fuzzy_set': 'high', 'threshold': 0.5}, {'variable': ' '}, {variable: 'w', weight: '2'}", "s_nationkey")
     return t(spark, d, "supplier").select(
-        F.when(F.col("s_suppkey") % 3 == 0, F.col("s_name")).alias("rule_id"), F.format_string("P%d", "s_suppkey").alias("pattern_id"), pick(6, " Pending", "yes", None, "REJECT", "否", "accepted").alias("expert_decision"), pick(4, "active_rule", "draft", " ", "expert_verified").alias("review_status"),
-        F.when(F.col("s_suppkey") % 7 > 0, F.concat(F.lit("["), ant, F.lit("]"))).alias("antecedents_json"), F.when(F.col("s_suppkey") % 11 > 0, F.format_string("c%d", "s_nationkey")).alias("suggested_consequent"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_acctbal").cast("string")).alias("suggested_rule_weight"), pick(2, "a; b；", '["c"]').alias("source_ids"),
+        F.when(F.col("s_suppkey") % 3 == 0, F.col("s_name")).alias("rule_id"), F.format_string("P%d", "s_suppkey").alias("pattern_id"), pick(
+            6, " Pending", "yes", None, "REJECT", "否", "accepted"
+        ).alias("expert_decision"), pick(4, "active_rule", "draft", " ", "expert_verified").alias("review_status"),
+        F.when(F.col("s_suppkey") % 7 > 0, F.concat(F.lit("["), ant, F.lit("]"))).alias("antecedents_json"), F.when(
+            F.col("s_suppkey") % 11 > 0, F.format_string("c%d", "s_nationkey")
+        ).alias("suggested_consequent"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_acctbal").cast("string")).alias("suggested_rule_weight"), pick(2, "a; b；", '["c"]').alias("source_ids"),
     )
 
 
@@ -301,8 +346,17 @@ REVIEWED = """reviewed AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_
 @query(f"WITH {REVIEWED} SELECT rule_id, consequent_entity, round(rule_weight, 6) AS rule_weight, review_status, sources, antecedents FROM reviewed WHERE has_antecedents AND consequent_entity IS NOT NULL AND lower(trim(coalesce(expert_decision, 'accepted'))) NOT IN ('pending', 'reject', 'rejected', '否', '不通过')")
 def reviewed_rules(spark, d):
     r = rule_rows.build_rules(reviewed_rows(spark, d))
-    ants = F.array_join(F.transform("antecedents", lambda a: F.concat(a["variable"], F.lit("."), a["fuzzy_set"], F.lit(">="), a["threshold"].cast("string"), F.lit("^"), a["weight"].cast("string"))), ",")
-    return r.select("rule_id", "consequent_entity", F.round("rule_weight", 6).alias("rule_weight"), "review_status", F.array_join("source_ids", ",").alias("sources"), ants.alias("antecedents"))
+    ants = F.array_join(
+        F.transform(
+            "antecedents",
+            lambda a: F.concat(a["variable"], F.lit("."), a["fuzzy_set"], F.lit(">="), a["threshold"].cast("string"), F.lit("^"), a["weight"].cast("string"))
+        ),
+        ","
+    )
+    return r.select(
+        "rule_id", "consequent_entity", F.round("rule_weight", 6).alias("rule_weight"), "review_status",
+        F.array_join("source_ids", ",").alias("sources"), ants.alias("antecedents")
+    )
 
 
 @query(f"WITH {REVIEWED} SELECT rule_id, review_status FROM reviewed WHERE has_antecedents AND consequent_entity IS NOT NULL AND lower(trim(coalesce(expert_decision, 'accepted'))) NOT IN ('pending', 'reject', 'rejected', '否', '不通过') AND review_status IN ('active_rule', 'expert_verified', 'expert_verified_rule')")
@@ -329,7 +383,9 @@ def mamdani_centroid(spark, d):
 
 @query(f"WITH {SOURCE_LEVEL} SELECT source_id, consequent_entity, n_rules, membership, round(total_weight, 6) AS total_weight, tradition_id FROM source_level")
 def agg_source(spark, d):
-    return source_level(spark, d).select("source_id", "consequent_entity", "n_rules", "membership", F.round("total_weight", 6).alias("total_weight"), "tradition_id")
+    return source_level(spark, d).select(
+        "source_id", "consequent_entity", "n_rules", "membership", F.round("total_weight", 6).alias("total_weight"), "tradition_id"
+    )
 
 
 @query(f"WITH {SOURCE_LEVEL} SELECT tradition_id, consequent_entity, membership, evidence_count, source_count FROM tradition_level")
@@ -385,7 +441,10 @@ def measured(spark, d, size):
     b = baskets(spark, d)
     n = t(spark, d, "orders").count()
     m = mining.pattern_metrics(mining.frequent_itemsets(b, 5, size), mining.item_counts(b), n)
-    return m.select(F.array_join("items", "|").alias("items"), "size", "source_count", *[F.round(c, 6).alias(c) for c in ("support", "lift", "pmi", "confidence", "jaccard")])
+    return m.select(
+        F.array_join("items", "|").alias("items"), "size", "source_count",
+        *[F.round(c, 6).alias(c) for c in ("support", "lift", "pmi", "confidence", "jaccard")]
+    )
 
 
 @query(f"WITH {BASKETS} {_patterns(2)}")
@@ -415,7 +474,10 @@ def fisher_pairs(spark, d):
     s = mining.item_counts(b)
     p = mining.frequent_itemsets(b, 5, 2).select(F.col("items")[0].alias("a"), F.col("items")[1].alias("b"), "source_count")
     p = p.join(s.toDF("a", "na"), "a").join(s.toDF("b", "nb"), "b")
-    return p.select("a", "b", "source_count", F.round(mining.fisher_greater(*[F.col(c).cast("double") for c in ("source_count", "na", "nb")], F.lit(float(n))), 6).alias("fisher_p"))
+    return p.select(
+        "a", "b", "source_count",
+        F.round(mining.fisher_greater(*[F.col(c).cast("double") for c in ("source_count", "na", "nb")], F.lit(float(n))), 6).alias("fisher_p")
+    )
 
 
 ITEM_META = f"{BASKETS}, {META}, im AS (SELECT item, tradition_id, book_name FROM baskets JOIN meta USING (source_id))"
@@ -429,19 +491,30 @@ def tradition_entropy(spark, d):
 @query(f"WITH {ITEM_META} SELECT item, count(DISTINCT book_name) AS books, count(DISTINCT tradition_id) AS traditions, round(count(DISTINCT book_name) / count(*), 6) AS source_diversity FROM im GROUP BY 1")
 def source_diversity(spark, d):
     im = baskets(spark, d).join(sources_meta(spark, d), "source_id")
-    return im.groupBy("item").agg(F.countDistinct("book_name").alias("books"), F.countDistinct("tradition_id").alias("traditions"), F.round(F.countDistinct("book_name") / F.count("*"), 6).alias("source_diversity"))
+    return im.groupBy("item").agg(
+        F.countDistinct("book_name").alias("books"), F.countDistinct("tradition_id").alias("traditions"),
+        F.round(F.countDistinct("book_name") / F.count("*"), 6).alias("source_diversity")
+    )
 
 
 @query(f"WITH {STANDARD} SELECT standard_observation AS item, mapping_status AS status, count(*) AS n FROM std GROUP BY ALL")
 def mapping_status_counts(spark, d):
-    return extract.standardize(extracted(spark, d), MAPPING).groupBy(F.col("standard_observation").alias("item"), F.coalesce(F.nullif(F.trim("mapping_status"), F.lit("")), F.lit("unknown")).alias("status")).agg(F.count("*").alias("n"))
+    return extract.standardize(extracted(spark, d), MAPPING).groupBy(
+        F.col("standard_observation").alias("item"),
+        F.coalesce(F.nullif(F.trim("mapping_status"), F.lit("")), F.lit("unknown")).alias("status")
+    ).agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {STANDARD}, g AS (SELECT standard_observation AS pattern, doc_id, doc_id || ': ' || string_agg(evidence_text, '；' ORDER BY pattern_idx) AS txt FROM std GROUP BY standard_observation, doc_id), e AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY doc_id) AS n FROM g)
 SELECT pattern, string_agg(txt, ' / ' ORDER BY doc_id) AS evidence FROM e WHERE n <= 5 GROUP BY 1""")
 def representative_evidence(spark, d):
     o = extract.standardize(extracted(spark, d), MAPPING)
-    r = mining.representative_evidence(o.select(F.col("standard_observation").alias("pattern"), F.col("doc_id").alias("source_id"), F.col("pattern_idx").alias("seq"), F.col("evidence_text").alias("evidence")))
+    r = mining.representative_evidence(
+        o.select(
+            F.col("standard_observation").alias("pattern"), F.col("doc_id").alias("source_id"), F.col("pattern_idx").alias("seq"),
+            F.col("evidence_text").alias("evidence")
+        )
+    )
     return r.select("pattern", F.array_join("evidence", " / ").alias("evidence"))
 
 
@@ -462,8 +535,13 @@ ROLES = values([(k, v) for k, v in calibrate.ROLE_SHIFTS.items()], "expert_id, s
 
 def scoring_tasks(spark, d):
     """Names and kinds of parts as the lexicon's terms and variables."""
-    p = t(spark, d, "part").groupBy(F.col("p_name").alias("term"), F.col("p_type").alias("variable")).agg(F.min(F.least(F.lit(1.0), F.col("p_retailprice") / 2000)).alias("prior_membership"))
-    return p.select("term", F.lit("part").alias("feature"), "variable", F.lit("high").alias("fuzzy_set"), "prior_membership", F.lit("bootstrap_prior").alias("current_status"), F.lit("pending").alias("review_status"))
+    p = t(spark, d, "part").groupBy(F.col("p_name").alias("term"), F.col("p_type").alias("variable")).agg(
+        F.min(F.least(F.lit(1.0), F.col("p_retailprice") / 2000)).alias("prior_membership")
+    )
+    return p.select(
+        "term", F.lit("part").alias("feature"), "variable", F.lit("high").alias("fuzzy_set"), "prior_membership",
+        F.lit("bootstrap_prior").alias("current_status"), F.lit("pending").alias("review_status")
+    )
 
 
 @query(f"WITH {TASKS} SELECT term, variable, expert_id, round(greatest(0, least(1, prior + s)), 6) AS score FROM tasks, {ROLES}")
@@ -476,14 +554,18 @@ PANEL = f"{TASKS}, scores AS (SELECT term, variable, round(greatest(0, least(1,
 
 @query(f"WITH {PANEL} SELECT term, variable, prior_membership, icc, CASE WHEN icc >= 0.75 THEN 'expert_calibrated' ELSE 'expert_calibrated_low_icc' END AS status, 'llm_roleplay_reviewed' AS review_status, 'llm_roleplay_panel' AS calibration_source, score_count FROM done")
 def panel_calibration(spark, d):
-    return calibrate.panel_calibration(scoring_tasks(spark, d)).select("term", "variable", "prior_membership", "icc", "status", "review_status", "calibration_source", "score_count")
+    return calibrate.panel_calibration(scoring_tasks(spark, d)).select(
+        "term", "variable", "prior_membership", "icc", "status", "review_status", "calibration_source", "score_count"
+    )
 
 
 @query(f"""WITH {TASKS}, e AS (SELECT p_name AS term, p_type AS variable, greatest(0, least(1, l_tax * 20)) AS score, l_suppkey AS expert FROM lineitem JOIN part ON l_partkey = p_partkey), r AS (SELECT term, variable, round(median(score), 6) AS m, round(avg(score), 6) AS mean, count(*) AS n, round(CASE WHEN count(DISTINCT expert) >= 2 THEN greatest(0, least(1, 1 - coalesce(stddev_samp(score), 0) / 0.5)) END, 6) AS icc FROM e GROUP BY ALL)
 SELECT term, variable, round(coalesce(m, prior), 6) AS prior_membership, mean AS expert_mean, CASE WHEN m IS NULL THEN 'bootstrap_prior' WHEN coalesce(icc, 1) >= 0.75 THEN 'expert_calibrated' ELSE 'expert_calibrated_low_icc' END AS status, CASE WHEN m IS NULL THEN 'pending' ELSE 'expert_reviewed' END AS review_status, n AS score_count FROM tasks LEFT JOIN r USING (term, variable)""")
 def calibrated_lexicon(spark, d):
     p = t(spark, d, "part").select("p_partkey", F.col("p_name").alias("term"), F.col("p_type").alias("variable"))
-    scores = t(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).select("term", "variable", F.lit("high").alias("fuzzy_set"), F.col("l_suppkey").alias("expert_id"), (F.col("l_tax") * 20).alias("score"))
+    scores = t(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).select(
+        "term", "variable", F.lit("high").alias("fuzzy_set"), F.col("l_suppkey").alias("expert_id"), (F.col("l_tax") * 20).alias("score")
+    )
     r = calibrate.merge_calibration(scoring_tasks(spark, d), calibrate.calibration(calibrate.checked_scores(scores), ["term", "variable", "fuzzy_set"]))
     return r.select("term", "variable", F.round("prior_membership", 6).alias("prior_membership"), "expert_mean", "status", "review_status", "score_count")
 
@@ -491,7 +573,9 @@ def calibrated_lexicon(spark, d):
 @query(f"WITH o AS ({OBS}), lex AS (SELECT * FROM {LEX}), m AS (SELECT observation_id, feature_value, variable, fuzzy_set, membership, i FROM o JOIN lex ON term = CASE WHEN feature_value IN (SELECT term FROM lex) THEN feature_value ELSE standard_observation END) SELECT 'CAL_' || lpad(row_number() OVER (ORDER BY observation_id, variable)::VARCHAR, 6, '0') AS calibration_id, observation_id, feature_value, variable, membership AS model_membership FROM m")
 def calibration_template(spark, d):
     o = observations(spark, d)
-    m = membership.memberships(o, lexicon(spark)).withColumns({c: F.lit(None).cast(k) for c, k in (("uncertainty_width", "double"), ("calculation_mode", "string"), ("status", "string"), ("icc", "double"))})
+    m = membership.memberships(o, lexicon(spark)).withColumns(
+        {c: F.lit(None).cast(k) for c, k in (("uncertainty_width", "double"), ("calculation_mode", "string"), ("status", "string"), ("icc", "double"))}
+    )
     r = calibrate.calibration_template(m, o.withColumn("evidence_text", F.col("feature_value")), ["observation_id", "variable"])
     return r.select("calibration_id", "observation_id", "feature_value", "variable", "model_membership")
 
@@ -500,12 +584,16 @@ GOLD = f"gold AS (SELECT source_id, consequent_entity, expert FROM (SELECT l_ord
 
 
 def gold(spark, d):
-    return t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("source_id")).agg((F.avg("l_tax") * 10).alias("expert")).withColumn("consequent_entity", F.lit("bulk"))
+    return t(spark, d, "lineitem").groupBy(
+        F.col("l_orderkey").alias("source_id")
+    ).agg((F.avg("l_tax") * 10).alias("expert")).withColumn("consequent_entity", F.lit("bulk"))
 
 
 @query(f"WITH {SOURCE_LEVEL}, {GOLD} SELECT 'FCR' AS metric, round(greatest(0, least(1, 1 - avg(abs(membership - expert)))), 5) AS value, count(*) AS n FROM source_level JOIN gold USING (source_id, consequent_entity)")
 def fcr(spark, d):
-    return evaluate.agreement(source_level(spark, d), gold(spark, d), ["source_id", "consequent_entity"], "FCR").select("metric", F.round("value", 5).alias("value"), "n")
+    return evaluate.agreement(
+        source_level(spark, d), gold(spark, d), ["source_id", "consequent_entity"], "FCR"
+    ).select("metric", F.round("value", 5).alias("value"), "n")
 
 
 @query(f"WITH {LARSEN}, {GOLD}, m AS (SELECT source_id, consequent_entity, arg_max(activation, rule_id) AS membership FROM larsen WHERE status = 'fired' GROUP BY ALL) SELECT 'FIA-local' AS metric, round(greatest(0, least(1, 1 - avg(abs(membership - expert)))), 5) AS value, count(*) AS n FROM m JOIN gold USING (source_id, consequent_entity)")
@@ -523,7 +611,9 @@ def mic(spark, d):
 
 @query("SELECT 'CRP' AS metric, round(greatest(0, least(1, 1 - avg(abs(l_tax - l_discount)))), 6) AS value, count(*) AS n FROM lineitem")
 def crp(spark, d):
-    return evaluate.metric(t(spark, d, "lineitem"), "CRP", 1 - F.avg(F.abs(F.col("l_tax") - F.col("l_discount"))), "1 - mean|model - expert|").select("metric", "value", "n")
+    return evaluate.metric(
+        t(spark, d, "lineitem"), "CRP", 1 - F.avg(F.abs(F.col("l_tax") - F.col("l_discount"))), "1 - mean|model - expert|"
+    ).select("metric", "value", "n")
 
 
 @query(f"WITH {LARSEN} SELECT round(avg(k), 6) AS value, count(*) AS n FROM (SELECT count(DISTINCT consequent_entity) AS k FROM larsen WHERE status = 'fired' GROUP BY source_id)")
@@ -540,7 +630,9 @@ UNC = "SELECT doc_id AS id, unnest(list_filter([CASE WHEN coalesce(nullif(trim(n
 
 
 def uncertain(spark, d):
-    docs = t(spark, d, "documents").select("doc_id", F.nullif("lang", F.lit("de")).alias("lang"), F.when(F.col("source") != "src3", F.col("source")).alias("source"))
+    docs = t(spark, d, "documents").select(
+        "doc_id", F.nullif("lang", F.lit("de")).alias("lang"), F.when(F.col("source") != "src3", F.col("source")).alias("source")
+    )
     return validate.uncertain_metadata(docs, "doc_id", ["lang", "source"])
 
 
@@ -570,8 +662,12 @@ MEMBERS_OF = f"o AS ({OBS}), lex AS (SELECT * FROM {LEX}), m AS (SELECT observat
 
 def relations(spark, d):
     o = observations(spark, d).withColumns({"extraction_confidence": F.lit(1.0), "evidence_text": F.col("feature_value")})
-    m = membership.memberships(o, lexicon(spark)).withColumns({"variable_key": S.variable_key(F.col("variable"), F.col("fuzzy_set")), "membership_id": F.col("observation_id").cast("string")})
-    return network.relation_network(o, m, rules(spark).withColumn("rule_name", F.concat(F.lit("rule "), "rule_id")), fired_rows(spark, d), global_level(spark, d))
+    m = membership.memberships(o, lexicon(spark)).withColumns(
+        {"variable_key": S.variable_key(F.col("variable"), F.col("fuzzy_set")), "membership_id": F.col("observation_id").cast("string")}
+    )
+    return network.relation_network(
+        o, m, rules(spark).withColumn("rule_name", F.concat(F.lit("rule "), "rule_id")), fired_rows(spark, d), global_level(spark, d)
+    )
 
 
 @query(f"""WITH {SOURCE_LEVEL}, {MEMBERS_OF}
@@ -598,7 +694,11 @@ def network_edges(spark, d):
 def chunk_log(spark, d):
     """Turns of conversations as log records of three chunks a conversation."""
     c = t(spark, d, "conversations")
-    return c.select(F.col("conv_id").alias("source_id"), (F.col("turn") % 3).cast("int").alias("chunk_index"), F.col("turn").alias("seq"), F.md5(F.col("text").cast("binary")).alias("chunk_sha256"), F.when(F.col("role") == "user", "success").otherwise("error").alias("status"), F.col("text").alias("error"))
+    return c.select(
+        F.col("conv_id").alias("source_id"), (F.col("turn") % 3).cast("int").alias("chunk_index"), F.col("turn").alias("seq"),
+        F.md5(F.col("text").cast("binary")).alias("chunk_sha256"),
+        F.when(F.col("role") == "user", "success").otherwise("error").alias("status"), F.col("text").alias("error")
+    )
 
 
 LOG = "log AS (SELECT conv_id AS source_id, (turn % 3)::INT AS chunk_index, turn AS seq, md5(text) AS chunk_sha256, CASE WHEN role = 'user' THEN 'success' ELSE 'error' END AS status, text AS error FROM conversations), latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, chunk_index ORDER BY (status = 'success') DESC, seq DESC, chunk_sha256 DESC) AS n FROM log) WHERE n = 1)"
@@ -614,7 +714,10 @@ def log_files(spark, d) -> str:
     without a number; of each fifth conversation's lines there is also a torn one."""
     c = t(spark, d, "conversations").orderBy("turn", "conv_id")
     ok = F.col("role") == "user"
-    one = F.struct(F.lit("f").alias("feature"), F.col("role").alias("feature_value"), F.lit("e").alias("evidence_text"), F.lit(0.5).alias("extraction_confidence"))
+    one = F.struct(
+        F.lit("f").alias("feature"), F.col("role").alias("feature_value"), F.lit("e").alias("evidence_text"),
+        F.lit(0.5).alias("extraction_confidence")
+    )
     record = F.to_json(F.struct(
         F.col("conv_id").alias("source_id"), (F.col("turn") % 3 + 1).alias("chunk_index"), F.md5(F.col("text").cast("binary")).alias("chunk_sha256"),
         F.when(ok, "success").otherwise("error").alias("status"), F.when(ok, F.array(one)).otherwise(F.array()).alias("observations"),
@@ -655,11 +758,20 @@ SELECT 'OBS_' || lpad(row_number() OVER (ORDER BY conv_id DESC, chunk_index, row
 def assembled_observations(spark, d):
     """Observations of a log's successful chunks, numbered in order of the sources."""
     c = t(spark, d, "conversations")
-    row = lambda value, confidence: F.struct(F.lit("f").alias("feature"), value.alias("feature_value"), F.lit("e").alias("evidence_text"), F.lit(confidence).alias("extraction_confidence"))
+    row = lambda value, confidence: F.struct(
+        F.lit("f").alias("feature"), value.alias("feature_value"), F.lit("e").alias("evidence_text"),
+        F.lit(confidence).alias("extraction_confidence")
+    )
     found = F.array(row(F.concat(F.lit("v"), F.col("turn") % 2), "7"), row(F.lit("same"), "much"))
-    log = c.select(F.col("conv_id").alias("source_id"), (F.col("turn") % 3 + 1).cast("int").alias("chunk_index"), F.col("turn").alias("seq"), F.lit("h").alias("chunk_sha256"), F.when(F.col("role") == "user", "success").otherwise("error").alias("status"), found.alias("observations"))
+    log = c.select(
+        F.col("conv_id").alias("source_id"), (F.col("turn") % 3 + 1).cast("int").alias("chunk_index"), F.col("turn").alias("seq"),
+        F.lit("h").alias("chunk_sha256"), F.when(F.col("role") == "user", "success").otherwise("error").alias("status"),
+        found.alias("observations")
+    )
     sources = c.select(F.col("conv_id").alias("source_id"), (-F.col("conv_id")).alias("source_seq")).distinct()
-    return chunks.assemble_numbered(log, sources).select("observation_id", "source_id", "chunk_index", "feature_value", F.col("extraction_confidence").alias("confidence"))
+    return chunks.assemble_numbered(log, sources).select(
+        "observation_id", "source_id", "chunk_index", "feature_value", F.col("extraction_confidence").alias("confidence")
+    )
 
 
 def planned(spark, d):
@@ -707,7 +819,13 @@ def find_patterns_sql(spark, d):
 
 @query("SELECT event_id, 0 AS row, 'kind' AS feature, event_type AS feature_value, '' AS evidence_text, 1.0::DOUBLE AS extraction_confidence FROM events")
 def json_recovery(spark, d):
-    e = t(spark, d, "events").select("event_id", F.concat(F.lit("<think>no</think>```json\n{\"items\": [{\"feature\": \"kind\", \"feature_value\": \""), F.col("event_type"), F.lit("\", \"extraction_confidence\": 2},]}\n```")).alias("answer"))
+    e = t(spark, d, "events").select(
+        "event_id",
+        F.concat(
+            F.lit("<think>no</think>```json\n{\"items\": [{\"feature\": \"kind\", \"feature_value\": \""), F.col("event_type"),
+            F.lit("\", \"extraction_confidence\": 2},]}\n```")
+        ).alias("answer")
+    )
     return extract.answers_to_rows(e, ["kind"])
 
 
@@ -723,12 +841,16 @@ def nfkc_items(spark, d):
 
 @query("SELECT p_partkey, p_type || '+' || p_brand || ',x' AS tags FROM part")
 def split_tags(spark, d):
-    return t(spark, d, "part").select("p_partkey", F.array_join(S.split_tags(F.concat(F.lit(" "), "p_type", F.lit("; "), "p_brand", F.lit(",x ;"))), "+").alias("tags"))
+    return t(spark, d, "part").select(
+        "p_partkey", F.array_join(S.split_tags(F.concat(F.lit(" "), "p_type", F.lit("; "), "p_brand", F.lit(",x ;"))), "+").alias("tags")
+    )
 
 
 @query("SELECT p_partkey, p_type || '+' || p_brand AS tags FROM part WHERE p_type <> p_brand")
 def split_set(spark, d):
-    return t(spark, d, "part").where("p_type <> p_brand").select("p_partkey", F.array_join(S.split_set(F.concat("p_type", F.lit("，"), "p_brand", F.lit("|"), "p_type")), "+").alias("tags"))
+    return t(spark, d, "part").where("p_type <> p_brand").select(
+        "p_partkey", F.array_join(S.split_set(F.concat("p_type", F.lit("，"), "p_brand", F.lit("|"), "p_type")), "+").alias("tags")
+    )
 
 
 @query("SELECT page_id, replace(replace(replace(replace(url, ':', '_'), '/', '_'), chr(92), '_'), ' ', '_') AS file FROM pages")
@@ -738,7 +860,9 @@ def safe_filename(spark, d):
 
 @query("SELECT event_id, greatest(0.0, least(1.0, value / 50)) AS unit, 0.25::DOUBLE AS other FROM events")
 def clamp01(spark, d):
-    return t(spark, d, "events").select("event_id", S.clamp01((F.col("value") / 50).cast("string")).alias("unit"), S.clamp01(F.col("event_type"), 0.25).alias("other"))
+    return t(spark, d, "events").select(
+        "event_id", S.clamp01((F.col("value") / 50).cast("string")).alias("unit"), S.clamp01(F.col("event_type"), 0.25).alias("other")
+    )
 
 
 def entry(spark: SparkSession, d: str) -> DataFrame:
@@ -746,9 +870,21 @@ def entry(spark: SparkSession, d: str) -> DataFrame:
     sources, traditions, corpus."""
     docs = t(spark, d, "documents")
     o = extract.standardize(extract.extract_by_patterns(docs.select(F.col("doc_id").alias("source_id"), "text"), PATTERNS), MAPPING)
-    lex = spark.createDataFrame([("english", "language", "english", 0.9, None, None), ("que", "ending", "romance", 0.7, 0.6, 0.8), ("tion", "ending", "latin", 0.8, None, None)], lexicon(spark).schema)
-    m = membership.memberships(o, lex).select("source_id", S.variable_key(F.col("variable"), F.col("fuzzy_set")).alias("variable_key"), F.col("pattern_idx").alias("seq"), "membership", "p5", "p95")
-    r = spark.createDataFrame([("D1", "prose", "kind", 0.9, None, "active_rule", None, [("language", "english", 0.5, 0.6), ("ending", "latin", 0.5, 0.4)]), ("D2", "romance", "kind", 0.8, None, "active_rule", None, [("ending", "romance", 0.5, 1.0)])], rules(spark).schema)
+    lex = spark.createDataFrame(
+        [("english", "language", "english", 0.9, None, None), ("que", "ending", "romance", 0.7, 0.6, 0.8), ("tion", "ending", "latin", 0.8, None, None)],
+        lexicon(spark).schema
+    )
+    m = membership.memberships(o, lex).select(
+        "source_id", S.variable_key(F.col("variable"), F.col("fuzzy_set")).alias("variable_key"), F.col("pattern_idx").alias("seq"),
+        "membership", "p5", "p95"
+    )
+    r = spark.createDataFrame(
+        [
+            ("D1", "prose", "kind", 0.9, None, "active_rule", None, [("language", "english", 0.5, 0.6), ("ending", "latin", 0.5, 0.4)]),
+            ("D2", "romance", "kind", 0.8, None, "active_rule", None, [("ending", "romance", 0.5, 1.0)])
+        ],
+        rules(spark).schema
+    )
     fired = infer.larsen(infer.best_memberships(m), r).where("status = 'fired'")
     meta = docs.select(F.col("doc_id").alias("source_id"), F.col("lang").alias("tradition_id"), F.lit(0.8).alias("quality_weight"))
     traditions = aggregate.by_tradition(aggregate.by_source(fired, r, meta))
@@ -766,14 +902,20 @@ def documents_to_conclusions(spark, d):
 # --- rules, patterns and reports of a build ---
 
 
-PATTERN_CONFIG = {"max_size": 3, "min_support": 0.005, "min_lift": 0.9, "min_pmi": -1.0, "min_source_count": 5, "min_tradition_count": 2, "max_source_ids_per_pattern": 7}
+PATTERN_CONFIG = {
+    "max_size": 3, "min_support": 0.005, "min_lift": 0.9, "min_pmi": -1.0, "min_source_count": 5, "min_tradition_count": 2,
+    "max_source_ids_per_pattern": 7
+}
 
 
 def part_observations(spark, d):
     """Kinds of parts as observations of their orders."""
     p = t(spark, d, "part").select("p_partkey", "p_type", "p_brand")
     status = F.when(F.col("l_linenumber") % 2 == 1, "mapped").otherwise("")
-    return t(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("source_id"), F.concat(F.lit(" "), F.upper("p_type")).alias("observation_key"), status.alias("mapping_status"), F.col("p_brand").alias("evidence_text"), F.col("l_linenumber").alias("seq"))
+    return t(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("l_orderkey").alias("source_id"), F.concat(F.lit(" "), F.upper("p_type")).alias("observation_key"),
+        status.alias("mapping_status"), F.col("p_brand").alias("evidence_text"), F.col("l_linenumber").alias("seq")
+    )
 
 
 def mined(spark, d):
@@ -792,7 +934,11 @@ MINED = f"""{META}, total AS (SELECT count(*)::DOUBLE AS total FROM orders), bas
 SELECT pattern_id, array_to_string(items, '|') AS items, size::INT AS size, c AS source_count, round(support, 6) AS support, round(lift, 6) AS lift, round(log2(lift), 6) AS pmi, round(confidence, 6) AS confidence, round(jaccard, 6) AS jaccard, book_count, tradition_count, round(book_count / c, 6) AS source_diversity, round(entropy, 6) AS tradition_entropy, ids AS source_ids, 'pending' AS review_status FROM mined JOIN te USING (items) JOIN ids USING (items)""")
 def mined_patterns(spark, d):
     m = mined(spark, d)
-    return m.select("pattern_id", F.array_join("items", "|").alias("items"), "size", "source_count", "support", "lift", "pmi", "confidence", "jaccard", "book_count", "tradition_count", "source_diversity", "tradition_entropy", F.array_join(F.transform("source_ids", lambda x: x.cast("string")), ",").alias("source_ids"), "review_status")
+    return m.select(
+        "pattern_id", F.array_join("items", "|").alias("items"), "size", "source_count", "support", "lift", "pmi", "confidence", "jaccard",
+        "book_count", "tradition_count", "source_diversity", "tradition_entropy",
+        F.array_join(F.transform("source_ids", lambda x: x.cast("string")), ",").alias("source_ids"), "review_status"
+    )
 
 
 @query(f"""WITH {MINED}, ev AS (SELECT pattern_id, source_id, list_position(items, lower(p_type)) AS pos, l_linenumber AS seq, p_brand FROM mined JOIN occ USING (items) JOIN lineitem ON l_orderkey = source_id JOIN part ON l_partkey = p_partkey WHERE list_contains(items, lower(p_type))), firsts AS (SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY pattern_id ORDER BY source_id) AS k FROM ev) WHERE k <= 5), uniq AS (SELECT pattern_id, source_id, p_brand, min(pos * 1000 + seq) AS o FROM firsts GROUP BY ALL), txt AS (SELECT pattern_id, source_id, source_id || ': ' || string_agg(p_brand, '；' ORDER BY o, p_brand) AS txt FROM uniq GROUP BY pattern_id, source_id)
@@ -814,59 +960,89 @@ def patterns_of_items(spark, d):
 
 @query(f"WITH {MINED}, {REVIEWED} SELECT pattern_id AS artifact_id, 'candidate_pattern' AS artifact_type, 'pending' AS lifecycle_state, 'observation_itemset' AS created_from, 'expert_reviewed_pattern' AS next_expected_state FROM mined UNION ALL SELECT rule_id, 'rule', review_status, 'P' || s_suppkey, CASE WHEN review_status = 'expert_verified' THEN 'active_rule' ELSE 'expert_review_or_monitoring' END FROM reviewed WHERE has_antecedents AND consequent_entity IS NOT NULL AND lower(trim(coalesce(expert_decision, 'accepted'))) NOT IN ('pending', 'reject', 'rejected', '否', '不通过')")
 def rule_lifecycle(spark, d):
-    return rule_rows.lifecycle(mined(spark, d), rule_rows.build_rules(reviewed_rows(spark, d))).select("artifact_id", "artifact_type", "lifecycle_state", "created_from", "next_expected_state")
+    return rule_rows.lifecycle(mined(spark, d), rule_rows.build_rules(reviewed_rows(spark, d))).select(
+        "artifact_id", "artifact_type", "lifecycle_state", "created_from", "next_expected_state"
+    )
 
 
 @query(f"WITH {MINED} SELECT pattern_id, size::INT AS size, 'pending' AS expert_decision, '[]' AS antecedents_json, '' AS suggested_consequent, 'pending' AS review_status FROM mined")
 def review_template(spark, d):
-    return rule_rows.review_template(mined(spark, d)).select("pattern_id", "size", "expert_decision", "antecedents_json", "suggested_consequent", "review_status")
+    return rule_rows.review_template(mined(spark, d)).select(
+        "pattern_id", "size", "expert_decision", "antecedents_json", "suggested_consequent", "review_status"
+    )
 
 
 def chapter_rows(spark, d):
     """Documents under other names, as a table to be normalized."""
-    return t(spark, d, "documents").select(F.concat(F.lit("D"), "doc_id").alias("编号"), F.when(F.col("doc_id") % 3 > 0, F.col("source")).alias("Book"), (F.col("n_chars") + 0.5).cast("string").alias("序号"), F.when(F.col("doc_id") % 10 > 0, F.col("text")).otherwise(" ").alias("正文"), F.col("lang").alias("学术传统"), F.lit("x").alias("other"))
+    return t(spark, d, "documents").select(
+        F.concat(F.lit("D"), "doc_id").alias("编号"), F.when(F.col("doc_id") % 3 > 0, F.col("source")).alias("Book"),
+        (F.col("n_chars") + 0.5).cast("string").alias("序号"), F.when(F.col("doc_id") % 10 > 0, F.col("text")).otherwise(" ").alias("正文"),
+        F.col("lang").alias("学术传统"), F.lit("x").alias("other")
+    )
 
 
 @query("SELECT 'D' || doc_id AS source_id, CASE WHEN doc_id % 3 > 0 THEN source ELSE 'corpus' END AS book_name, n_chars::INT AS chapter_order, '古籍章节' AS text_type, lang AS tradition_id, 0.8::DOUBLE AS source_authority, md5(trim(text)) AS text FROM documents WHERE doc_id % 10 > 0 AND trim(text) <> ''")
 def normalized_chapters(spark, d):
     kept, _ = tables.normalize(chapter_rows(spark, d), "corpus")
-    return kept.select("source_id", "book_name", "chapter_order", "text_type", "tradition_id", "source_authority", F.md5(F.col("text_original").cast("binary")).alias("text"))
+    return kept.select(
+        "source_id", "book_name", "chapter_order", "text_type", "tradition_id", "source_authority",
+        F.md5(F.col("text_original").cast("binary")).alias("text")
+    )
 
 
 @query("SELECT 'D' || doc_id AS source_id, coalesce(CASE WHEN doc_id % 3 > 0 THEN source END, 'uncertain') AS book_name, n_chars::INT AS chapter_order, lang AS tradition_id, 0.5::DOUBLE AS quality, length(CASE WHEN doc_id % 10 > 0 THEN trim(text) ELSE '' END) AS chars FROM documents")
 def source_metadata(spark, d):
     c = tables.chapters(chapter_rows(spark, d).withColumnRenamed("Book", "book").withColumnRenamed("学术传统", "传统"))
-    return c.select("source_id", "book_name", "chapter_order", "tradition_id", F.round("quality", 6).alias("quality"), F.length(extract.chosen_text()).cast("long").alias("chars"))
+    return c.select(
+        "source_id", "book_name", "chapter_order", "tradition_id", F.round("quality", 6).alias("quality"),
+        F.length(extract.chosen_text()).cast("long").alias("chars")
+    )
 
 
 @query("SELECT tradition, line, count(*) AS n FROM (SELECT coalesce(lang, 'uncertain') AS tradition, '- ' || source || ' ' || n_chars AS line FROM documents) GROUP BY ALL")
 def tradition_pages(spark, d):
     """Lines of the traditions' pages; long lists take several pages."""
-    src = t(spark, d, "documents").select(F.coalesce("lang", F.lit("uncertain")).alias("tradition_id"), F.col("source").alias("book_name"), F.col("n_chars").cast("string").alias("chapter_title"), F.col("doc_id").alias("source_id"))
+    src = t(spark, d, "documents").select(
+        F.coalesce("lang", F.lit("uncertain")).alias("tradition_id"), F.col("source").alias("book_name"),
+        F.col("n_chars").cast("string").alias("chapter_title"), F.col("doc_id").alias("source_id")
+    )
     levels = spark.createDataFrame([], "level string, tradition_id string, consequent_entity string, membership double, evidence_count long")
-    lines = report.tradition_pages(src, levels).select(F.regexp_extract("path", "traditions/([a-z]+)", 1).alias("tradition"), F.explode(F.split("body", "\n")).alias("line"))
+    lines = report.tradition_pages(src, levels).select(
+        F.regexp_extract("path", "traditions/([a-z]+)", 1).alias("tradition"), F.explode(F.split("body", "\n")).alias("line")
+    )
     return lines.where("line LIKE '- %'").groupBy("tradition", "line").agg(F.count("*").alias("n"))
 
 
 @query("SELECT 'SMB' AS metric, round(avg(CASE WHEN known THEN 0.5 ELSE 0 END), 6) AS value, count(*) AS n FROM (SELECT p_partkey % 4 > 0 AS known FROM part)")
 def smb(spark, d):
     p = t(spark, d, "part")
-    entities = p.where("p_partkey % 4 > 0").select(F.col("p_partkey").cast("string").alias("entity_name"), F.concat("p_type", F.lit("；"), "p_brand").alias("modern_mapping"))
-    return evaluate.mapping_overlap(entities, p.select(F.col("p_partkey").cast("string").alias("entity_name"), F.concat("p_type", F.lit(" | none")).alias("expected_modern_mapping"))).select("metric", "value", "n")
+    entities = p.where("p_partkey % 4 > 0").select(
+        F.col("p_partkey").cast("string").alias("entity_name"), F.concat("p_type", F.lit("；"), "p_brand").alias("modern_mapping")
+    )
+    return evaluate.mapping_overlap(
+        entities,
+        p.select(F.col("p_partkey").cast("string").alias("entity_name"), F.concat("p_type", F.lit(" | none")).alias("expected_modern_mapping"))
+    ).select("metric", "value", "n")
 
 
 @query("SELECT 'SMB-coverage-proxy' AS metric, round(count(*) FILTER (WHERE p_partkey % 4 > 0) / count(*), 6) AS value, count(*) AS n, 'proxy' AS status FROM part")
 def smb_coverage(spark, d):
-    return evaluate.mapping_coverage(t(spark, d, "part").select(F.when(F.col("p_partkey") % 4 > 0, F.col("p_type")).otherwise(" ").alias("modern_mapping"))).select("metric", "value", "n", "status")
+    return evaluate.mapping_coverage(
+        t(spark, d, "part").select(F.when(F.col("p_partkey") % 4 > 0, F.col("p_type")).otherwise(" ").alias("modern_mapping"))
+    ).select("metric", "value", "n", "status")
 
 
 @query("SELECT 'FIA-chain' AS metric, round(avg(l_discount * 5), 6) AS value, count(*) AS n FROM lineitem WHERE l_linenumber < 7")
 def fia_chain(spark, d):
-    return evaluate.chain_overlap(t(spark, d, "lineitem").select(F.when(F.col("l_linenumber") < 7, F.col("l_discount") * 5).alias("path_overlap"))).select("metric", "value", "n")
+    return evaluate.chain_overlap(
+        t(spark, d, "lineitem").select(F.when(F.col("l_linenumber") < 7, F.col("l_discount") * 5).alias("path_overlap"))
+    ).select("metric", "value", "n")
 
 
 def logged(spark, d):
-    return chunk_log(spark, d).withColumns({"attempt": F.lit(1), "observations": F.array_repeat(F.struct(F.lit("f").alias("feature")), (F.col("seq") % 4).cast("int"))})
+    return chunk_log(spark, d).withColumns(
+        {"attempt": F.lit(1), "observations": F.array_repeat(F.struct(F.lit("f").alias("feature")), (F.col("seq") % 4).cast("int"))}
+    )
 
 
 @query(f"WITH {LOG} SELECT source_id, chunk_index, error FROM latest WHERE status <> 'success'")
@@ -887,7 +1063,10 @@ def coverage_findings(spark, d):
 
 @query(f"SELECT o_custkey::VARCHAR AS item, 'error' AS severity, 'duplicate_source_id' AS code FROM orders GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT o_custkey::VARCHAR, 'error', 'missing_text' FROM orders WHERE o_orderkey % 50 = 0 UNION ALL SELECT o_custkey::VARCHAR, 'warning', 'uncertain_metadata' FROM orders WHERE o_orderstatus = 'P'".replace("GROUP BY 1", "GROUP BY o_custkey"))
 def source_findings(spark, d):
-    src = t(spark, d, "orders").select("o_custkey", F.when(F.col("o_orderkey") % 50 > 0, F.col("o_orderpriority")).alias("text"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("status"))
+    src = t(spark, d, "orders").select(
+        "o_custkey", F.when(F.col("o_orderkey") % 50 > 0, F.col("o_orderpriority")).alias("text"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("status")
+    )
     return validate.source_findings(src, "o_custkey", ["text"], validate.uncertain_metadata(src, "o_custkey", ["status"]))
 
 
@@ -900,7 +1079,10 @@ def agreement(spark, d):
     """Agreement of suppliers' scores of parts, for each brand and flag."""
     p = t(spark, d, "part").where("p_size < 40").select("p_partkey", F.col("p_brand").alias("brand"))
     s = t(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey"))
-    s = s.select(F.col("l_returnflag").alias("flag"), "brand", F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("expert_id"), (F.col("l_tax") * 14 - 0.1).alias("score"))
+    s = s.select(
+        F.col("l_returnflag").alias("flag"), "brand", F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("expert_id"),
+        (F.col("l_tax") * 14 - 0.1).alias("score")
+    )
     return calibrate.agreement(s, ["flag", "brand"], "item")
 
 
@@ -919,8 +1101,12 @@ def panel_answers(spark, d):
     panel = calibrate.panel_tasks(tasks, ROLES)
     key = F.col("o_orderkey")
     said = t(spark, d, "orders").select(
-        F.concat(F.lit("E"), key % 4 + 1).alias("expert_id"), F.concat(F.lit("P"), "o_custkey").alias("term"), F.concat(F.lit("v"), F.col("o_custkey") % 8).alias("variable"), high,
-        F.when(key % 13 == 0, "high").otherwise((F.col("o_totalprice") / 200000).cast("string")).alias("score"), F.when(key % 5 > 0, ((key % 10) / 8.0).cast("string")).alias("confidence"),
+        F.concat(F.lit("E"), key % 4 + 1).alias("expert_id"), F.concat(F.lit("P"), "o_custkey").alias("term"), F.concat(
+            F.lit("v"), F.col("o_custkey") % 8
+        ).alias("variable"), high,
+        F.when(key % 13 == 0, "high").otherwise(
+            (F.col("o_totalprice") / 200000).cast("string")
+        ).alias("score"), F.when(key % 5 > 0, ((key % 10) / 8.0).cast("string")).alias("confidence"),
         F.concat(F.lit("because "), key).alias("rationale"), (key % 11 == 0).alias("astray"),
     )
     batches = panel.select("term", "batch").distinct()
@@ -945,7 +1131,13 @@ def antecedent_cells(spark, d):
     )
     rows = p.select(F.col("p_partkey").cast("string").alias("rule_id"), "p_partkey", cell.alias("antecedents"))
     unread = rule_rows.unread_antecedents(rows).select(F.col("item").alias("rule_id"), F.lit(True).alias("unread"))
-    shown = F.array_join(F.transform(rule_rows.parse_antecedents(F.col("antecedents")), lambda a: F.concat(a["variable"], F.lit("."), a["fuzzy_set"], F.lit(">="), a["threshold"].cast("string"), F.lit("^"), a["weight"].cast("string"))), ",")
+    shown = F.array_join(
+        F.transform(
+            rule_rows.parse_antecedents(F.col("antecedents")),
+            lambda a: F.concat(a["variable"], F.lit("."), a["fuzzy_set"], F.lit(">="), a["threshold"].cast("string"), F.lit("^"), a["weight"].cast("string"))
+        ),
+        ","
+    )
     return rows.join(unread, "rule_id", "left").select("p_partkey", shown.alias("antecedents"), F.coalesce("unread", F.lit(False)).alias("unread"))
 
 

@@ -83,7 +83,10 @@ def bad_paths(pages: DataFrame) -> DataFrame:
     same = p.groupBy(F.lower("path").alias("key")).agg(F.min("path").alias("path"), F.count("*").alias("n"))
     above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.lower(F.array_join(F.slice(parts, F.lit(1), i), "/")))
     folders = p.where(F.size(parts) > 1).select(F.explode(above).alias("key")).distinct()
-    codes = [(p.where(odd).select("path").distinct(), "unfit_path"), (same.where("n > 1").select("path"), "clashing_path"), (same.join(folders, "key", "left_semi").select("path"), "path_is_a_folder")]
+    codes = [
+        (p.where(odd).select("path").distinct(), "unfit_path"), (same.where("n > 1").select("path"), "clashing_path"),
+        (same.join(folders, "key", "left_semi").select("path"), "path_is_a_folder")
+    ]
     out = [d.withColumn("code", F.lit(c)) for d, c in codes]
     return out[0].unionByName(out[1]).unionByName(out[2])
 

@@ -34,7 +34,11 @@ QUALITY = ("source_authority", "text_integrity", "semantic_clarity")
 #: What the normalizer puts where a text is missing (fixed values); elsewhere ``uncertain``.
 DEFAULTS = {"text_type": "古籍章节", "topic_hint": "中医古籍", "notes": "", "text_family": "古籍章节", "text_punctuated": "", "text_modern": "", "chapter_summary": ""}
 #: Columns of a normalized table, in order (fixed values).
-COLUMNS = ["source_id", "book_name", "volume_name", "chapter_title", "chapter_order", "dynasty", "author", "text_original", "text_punctuated", "text_modern", "chapter_summary", "text_type", "topic_hint", "notes", "school_tag", "region_tag", "tradition_id", "text_family", "citation_family", *QUALITY]
+COLUMNS = [
+    "source_id", "book_name", "volume_name", "chapter_title", "chapter_order", "dynasty", "author", "text_original", "text_punctuated",
+    "text_modern", "chapter_summary", "text_type", "topic_hint", "notes", "school_tag", "region_tag", "tradition_id", "text_family",
+    "citation_family", *QUALITY
+]
 
 
 def read_chapters(spark: SparkSession, path: str) -> DataFrame:
@@ -62,7 +66,13 @@ def chapters(raw: DataFrame) -> DataFrame:
     for t, c in have.items():
         cols[t] = first_filled(c, "" if t in EMPTY_BY_DEFAULT or t.startswith("text_o") else "uncertain")
     if not have["text_original"] and rest:
-        cells = [F.struct(F.length(F.coalesce(filled(F.col(f"`{c}`")), F.lit(""))).alias("n"), F.lit(-i).alias("i"), F.coalesce(filled(F.col(f"`{c}`")), F.lit("")).alias("t")) for i, c in enumerate(rest)]
+        cells = [
+            F.struct(
+                F.length(F.coalesce(filled(F.col(f"`{c}`")), F.lit(""))).alias("n"), F.lit(-i).alias("i"),
+                F.coalesce(filled(F.col(f"`{c}`")), F.lit("")).alias("t")
+            ) for i,
+            c in enumerate(rest)
+        ]
         cols["text_original"] = (F.greatest(*cells) if len(cells) > 1 else cells[0])["t"]
     cols["source_id"] = F.coalesce(*[filled(c) for c in have["source_id"]], F.format_string("SRC_%04d", F.col("source_seq") + 1))
     cols["chapter_order"] = F.coalesce(*[c.try_cast("double").try_cast("int") for c in have["chapter_order"]], F.lit(None).cast("int"))
@@ -94,7 +104,15 @@ def normalize(raw: DataFrame, book: str, preserve_quality: bool = False, default
         free = [c for c in raw.columns if c not in picked.values()]
         if not free:
             raise ValueError("no column holds the text")
-        size = d.agg(*[F.struct(F.coalesce(F.avg(F.length(F.col(f"`{c}`").cast("string"))), F.lit(0.0)).alias("m"), F.coalesce(F.max(F.length(F.col(f"`{c}`").cast("string"))), F.lit(0)).alias("x"), F.lit(c).alias("c")).alias(f"s{i}") for i, c in enumerate(free)]).first()
+        size = d.agg(
+            *[
+                F.struct(
+                    F.coalesce(F.avg(F.length(F.col(f"`{c}`").cast("string"))), F.lit(0.0)).alias("m"),
+                    F.coalesce(F.max(F.length(F.col(f"`{c}`").cast("string"))), F.lit(0)).alias("x"), F.lit(c).alias("c")
+                ).alias(f"s{i}") for i,
+                c in enumerate(free)
+            ]
+        ).first()
         picked["text_original"] = max(size)["c"]
     col = lambda t: filled(F.col(f"`{picked[t]}`")) if picked[t] else F.lit(None).cast("string")
     out = {t: F.coalesce(col(t), F.lit(defaults.get(t, "uncertain"))) for t in ALIASES}
@@ -103,9 +121,15 @@ def normalize(raw: DataFrame, book: str, preserve_quality: bool = False, default
     out["chapter_title"] = F.coalesce(col("chapter_title"), F.format_string("chapter_%06d", F.col("__seq")))
     out["text_original"] = F.coalesce(col("text_original"), F.lit(""))
     order = col("chapter_order").try_cast("double").try_cast("int")
-    d = d.select("__seq", order.alias("__order"), *[c.alias(t) for t, c in out.items() if t != "chapter_order"], *[(F.col(q) if preserve_quality and q in raw.columns else F.lit(0.8)).alias(q) for q in QUALITY])
+    d = d.select(
+        "__seq", order.alias("__order"), *[c.alias(t) for t, c in out.items() if t != "chapter_order"],
+        *[(F.col(q) if preserve_quality and q in raw.columns else F.lit(0.8)).alias(q) for q in QUALITY]
+    )
     fill = number(d.where("__order IS NULL").select("__seq"), ["__seq"], "__fill")
     d = d.join(fill, "__seq", "left").withColumn("chapter_order", F.coalesce("__order", F.col("__fill").cast("int")))
     by_id = d.groupBy("source_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("text_original") != "", 1)).alias("kept"))
-    n = by_id.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows_in"), F.coalesce(F.sum("kept"), F.lit(0)).alias("rows_out"), F.count(F.when(F.col("kept") > 1, 1)).alias("duplicate_ids")).first()
+    n = by_id.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows_in"), F.coalesce(F.sum("kept"), F.lit(0)).alias("rows_out"),
+        F.count(F.when(F.col("kept") > 1, 1)).alias("duplicate_ids")
+    ).first()
     return d.where("text_original <> ''").select(*COLUMNS), {**n.asDict(), "columns": picked}

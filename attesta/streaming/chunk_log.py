@@ -89,7 +89,9 @@ def keep_latest(log: DataFrame, checkpoint: str) -> StreamingQuery:
     of each chunk in the state of ``checkpoint``."""
     spark = log.sparkSession
     keyed = log.select("source_id", "chunk_index", F.coalesce(F.col("status") == "success", F.lit(False)).alias("ok"), "seq.*", "value")
-    kept = keyed.groupBy("source_id", "chunk_index").transformWithStateInPandas(Latest(), "source_id string, chunk_index int, ok boolean, value string", "Update", "None")
+    kept = keyed.groupBy("source_id", "chunk_index").transformWithStateInPandas(
+        Latest(), "source_id string, chunk_index int, ok boolean, value string", "Update", "None"
+    )
     before = spark.conf.get(_PROVIDER, None)
     spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
