@@ -39,7 +39,9 @@ def valid_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
     kind = "float" if element is not None and element.typeName() == "float" else "double"
     v = F.col("vec")
     ok = df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vec_col}`").cast(f"array<{kind}>").alias("vec")).where(
-        F.col("vec_id").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)) & F.exists(v, lambda x: x != 0)
+        F.col("vec_id").isNotNull() & v.isNotNull() & F.forall(
+            v, lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)
+        ) & F.exists(v, lambda x: x != 0)
     )
     return written(ok.select(F.monotonically_increasing_id().alias("row"), "vec_id", "vec"), "vectors")
 
@@ -125,7 +127,9 @@ class Block:
         self.cols = [np.ascontiguousarray(self.x[:, a:b].T) for a, b in zip([0, *self.cuts], self.cuts)]
         self.head = np.cumsum([(c * c).sum(0) for c in self.cols], axis=0)
 
-    def scan(self, qrows: np.ndarray, vecs: np.ndarray, bound: np.ndarray, k: int, strict: float = 1.2, stats: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def scan(
+        self, qrows: np.ndarray, vecs: np.ndarray, bound: np.ndarray, k: int, strict: float = 1.2, stats: dict | None = None
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, vector, score) of the k best for each query, its own row
         left out. ``bound``: scores below it aren't wanted (-inf: none known).
 
@@ -213,7 +217,11 @@ def _search(vectors: DataFrame, queries: DataFrame, index: Index, n: int, k: int
                     near = ix.nearest(ix.lifted(vec.astype(float), query), last)[:, first:]
                     times = near.shape[1]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(near.ravel().astype(np.int32)), *(pa.array(np.repeat(part.column(c).to_numpy(zero_copy_only=False), times)) for c in ("row", "vec_id", "bound")), pa.array([v.tobytes() for v in vec for _ in range(times)], pa.binary())], ["list", "row", "id", "bound", "raw"]
+                        [
+                            pa.array(near.ravel().astype(np.int32)),
+                            *(pa.array(np.repeat(part.column(c).to_numpy(zero_copy_only=False), times)) for c in ("row", "vec_id", "bound")),
+                            pa.array([v.tobytes() for v in vec for _ in range(times)], pa.binary())
+                        ], ["list", "row", "id", "bound", "raw"]
                     )
 
         return run
@@ -248,11 +256,17 @@ def _search(vectors: DataFrame, queries: DataFrame, index: Index, n: int, k: int
                     part = run.slice(a, step)
                     rows, ids = part.column("row").to_numpy(), part.column("id").to_numpy()
                     qi, xi, score = block.scan(rows, _vectors(part.column("raw"), dim, kind).astype(float), part.column("bound").to_numpy(), k)
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[qi]), pa.array(ids[qi]), pa.array(block.rows[xi]), pa.array(block.ids[xi]), pa.array(score)], ["query_row", "query_id", "row", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(rows[qi]), pa.array(ids[qi]), pa.array(block.rows[xi]), pa.array(block.ids[xi]), pa.array(score)],
+                        ["query_row", "query_id", "row", "vec_id", "score"]
+                    )
 
     def scanned(asked: DataFrame) -> DataFrame:
         left = base.select("list", F.pmod(F.xxhash64("row"), parts).cast("int").alias("part"), F.lit(0).alias("kind"), "row", "id", "bound", "raw")
-        right = asked.select("list", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))).alias("part"), F.lit(1).alias("kind"), "row", "id", "bound", "raw")
+        right = asked.select(
+            "list", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))).alias("part"), F.lit(1).alias("kind"), "row", "id", "bound",
+            "raw"
+        )
         return left.union(right).repartition("list", "part").sortWithinPartitions("list", "part", "kind").mapInArrow(both, HITS)
 
     asked = queries.where(own)
@@ -260,7 +274,9 @@ def _search(vectors: DataFrame, queries: DataFrame, index: Index, n: int, k: int
     if index.probes == 1:
         return hits
     best = _best(hits, k).groupBy("query_row").agg(F.count("*").alias("n"), F.min("score").alias("bound")).where(F.col("n") == k)
-    known = asked.join(best, F.col("row") == F.col("query_row"), "left").select("row", "vec_id", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"), "vec")
+    known = asked.join(best, F.col("row") == F.col("query_row"), "left").select(
+        "row", "vec_id", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"), "vec"
+    )
     return hits.union(scanned(known.mapInArrow(place(1, index.probes, True), placed)))
 
 
@@ -279,7 +295,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     no rows. A query whose id repeats gets its ranks for each of its rows.
     """
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + (x / F.col("peak")) * (x / F.col("peak")))) * F.col("peak")
-    facts = vectors.select(F.size("vec").alias("dim"), F.array_max(F.transform("vec", F.abs)).cast("double").alias("peak"), "vec").groupBy("dim").agg(F.count("*").alias("n"), F.max(norm).alias("longest"))
+    facts = vectors.select(
+        F.size("vec").alias("dim"), F.array_max(F.transform("vec", F.abs)).cast("double").alias("peak"), "vec"
+    ).groupBy("dim").agg(F.count("*").alias("n"), F.max(norm).alias("longest"))
     hits = vectors.sparkSession.createDataFrame([], HITS)
     for f in facts.orderBy("dim").collect():
         hits = hits.union(_search(vectors, queries, fit(vectors, f["dim"], f["n"], f["longest"], k, recall, fit_rows), f["n"], k))

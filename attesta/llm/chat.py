@@ -171,7 +171,9 @@ def format_conversations(
             nonlocal segment, first, turns, size
             text, spans, attached = writer.take()
             out.append({
-                "conv_id": conv_id, "segment": segment, "first_char": first, "n_turns": turns, "formatted": text, "loss": [{"start": a, "stop": b} for a, b in spans],
+                "conv_id": conv_id, "segment": segment, "first_char": first, "n_turns": turns, "formatted": text, "loss": [
+                    {"start": a, "stop": b} for a, b in spans
+                ],
                 "attachments": attached, "expanded_tokens": sum(a["tokens"] for a in attached), "text_tokens": text_tokens(text, first, attached, counts),
             })
             size += len(text)
@@ -199,7 +201,10 @@ def format_conversations(
         if out:
             yield flush()
 
-    own = rows.select(F.col(f"`{conv}`").cast("long").alias("conv_id"), F.col(f"`{turn}`").alias("turn"), F.col(f"`{role}`").cast("string").alias("role"), parts.cast(f"array<{PART}>").alias("parts"))
+    own = rows.select(
+        F.col(f"`{conv}`").cast("long").alias("conv_id"), F.col(f"`{turn}`").alias("turn"), F.col(f"`{role}`").cast("string").alias("role"),
+        parts.cast(f"array<{PART}>").alias("parts")
+    )
     return own.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "parts").mapInArrow(run, SEGMENT)
 
 
@@ -234,10 +239,15 @@ def read_turns(segments: DataFrame) -> DataFrame:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string())]))
         schema = pa.schema([("conv_id", pa.int64()), ("segment", pa.int64()), ("place", pa.int64()), ("role", pa.string()), ("parts", kind)])
         for r in _rows(batches):
-            found = [{"conv_id": r["conv_id"], "segment": r["segment"], "place": i, "role": role, "parts": [{"kind": k, "text": t} for k, t in parts]} for i, (role, parts) in enumerate(parse(r["formatted"]))]
+            found = [
+                {"conv_id": r["conv_id"], "segment": r["segment"], "place": i, "role": role, "parts": [{"kind": k, "text": t} for k, t in parts]} for i,
+                (role, parts) in enumerate(parse(r["formatted"]))
+            ]
             yield pa.RecordBatch.from_pylist(found, schema=schema)
 
-    return segments.select("conv_id", "segment", "formatted").mapInArrow(run, "conv_id long, segment long, place long, role string, parts array<struct<kind:string,text:string>>")
+    return segments.select("conv_id", "segment", "formatted").mapInArrow(
+        run, "conv_id long, segment long, place long, role string, parts array<struct<kind:string,text:string>>"
+    )
 
 
 def digests(segments: DataFrame) -> DataFrame:
@@ -276,7 +286,9 @@ def digests(segments: DataFrame) -> DataFrame:
         if out:
             yield _digest_batch(out)
 
-    return segments.select("conv_id", "segment", "first_char", "formatted", "loss").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return segments.select("conv_id", "segment", "first_char", "formatted", "loss").mapInArrow(
+        run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    )
 
 
 def _digest_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -288,4 +300,9 @@ def _digest_batch(rows: list[tuple]) -> pa.RecordBatch:
 def text_part(text: Column) -> Column:
     """A text as the only part of a turn."""
     none = lambda t: F.lit(None).cast(t)
-    return F.array(F.struct(F.lit("text").alias("kind"), F.coalesce(text.cast("string"), F.lit("")).alias("text"), none("string").alias("ref"), none("int").alias("width"), none("int").alias("height"), none("double").alias("seconds"), none("int").alias("pages")))
+    return F.array(
+        F.struct(
+            F.lit("text").alias("kind"), F.coalesce(text.cast("string"), F.lit("")).alias("text"), none("string").alias("ref"),
+            none("int").alias("width"), none("int").alias("height"), none("double").alias("seconds"), none("int").alias("pages")
+        )
+    )

@@ -27,7 +27,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         step = labels.join(near.withColumnRenamed("src", "id"), "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("label"))
         hook = step.groupBy("old").agg(F.min("label").alias("hook")).withColumnRenamed("old", "id")
         up = labels.join(hook, "id", "left").select(F.col("id").alias("label"), F.least("component", "hook").alias("above"))
-        new = written(step.join(up, "label", "left").select("id", F.least("label", "above").alias("component"), (F.least("label", "above") != F.col("old")).alias("moved")), "labels")
+        new = written(
+            step.join(up, "label", "left").select(
+                "id", F.least("label", "above").alias("component"), (F.least("label", "above") != F.col("old")).alias("moved")
+            ),
+            "labels"
+        )
         drop(labels)
         labels = new.select("id", "component")
         moved = new.where("moved").limit(1).count() > 0

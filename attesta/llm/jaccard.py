@@ -105,7 +105,12 @@ class Tree:
             lo, hi, m, least, most, sp = self.levels[-1]
             at = np.arange(0, len(lo), FANOUT)
             ends = np.minimum(at + FANOUT, len(lo)) - 1
-            self.levels.append((lo[at], hi[ends], np.bitwise_or.reduceat(m, at, axis=0), np.minimum.reduceat(least, at), np.maximum.reduceat(most, at), np.maximum.reduceat(sp, at)))
+            self.levels.append(
+                (
+                    lo[at], hi[ends], np.bitwise_or.reduceat(m, at, axis=0), np.minimum.reduceat(least, at), np.maximum.reduceat(most, at),
+                    np.maximum.reduceat(sp, at)
+                )
+            )
 
 
 def may_link(a: tuple, i: np.ndarray, b: tuple, j: np.ndarray, percent: int) -> np.ndarray:
@@ -188,11 +193,16 @@ def shingle_table(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFr
                 sets = shingle_sets(texts, n)
                 hashes = [set_hash(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([h[0] for h in hashes], pa.int64()), pa.array([h[1] for h in hashes], pa.int64())],
+                    [
+                        ids.slice(first, len(texts)), pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([h[0] for h in hashes], pa.int64()), pa.array([h[1] for h in hashes], pa.int64())
+                    ],
                     ["doc_id", "n_shingles", "h1", "h2"],
                 )
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
+    return docs.select(
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")
+    ).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
 
 
 def range_table(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
@@ -227,14 +237,23 @@ def candidate_edges(ranges: DataFrame, percent: int) -> tuple[DataFrame, DataFra
     met = counted.where("least != most").select("sig", "h1", "often").distinct()
     agree = F.array(*[F.lit(plan(c, percent)[2]) for c in range(64)])
     place = F.row_number().over(Window.partitionBy("h1", "class").orderBy(F.desc("often"), "sig"))
-    left = written(met.withColumn("class", F.col("sig").bitwiseAND(255).cast("int")).withColumn("place", place).where(F.col("place") >= agree[F.col("class")]).select("sig", "h1"), "ranges")
+    left = written(
+        met.withColumn(
+            "class", F.col("sig").bitwiseAND(255).cast("int")
+        ).withColumn("place", place).where(F.col("place") >= agree[F.col("class")]).select("sig", "h1"),
+        "ranges"
+    )
     meet = left.groupBy("sig").agg(F.min("h1").alias("dst"), F.max("h1").alias("most")).where("dst != most").select("sig", "dst")
     found = left.join(meet, "sig").where("h1 != dst").select(F.col("h1").alias("src"), "dst").distinct()
     least = found.withColumn("least", F.min("dst").over(Window.partitionBy("src")))
-    return least.select("src", F.col("least").alias("dst")).union(least.where("dst != least").select(F.col("dst").alias("src"), F.col("least").alias("dst"))).distinct(), left
+    return least.select("src", F.col("least").alias("dst")).union(
+        least.where("dst != least").select(F.col("dst").alias("src"), F.col("least").alias("dst"))
+    ).distinct(), left
 
 
-def star_links(members: DataFrame, shared: DataFrame, verify: Callable[[DataFrame, list[str]], DataFrame], block_docs: int, block_shingles: int) -> tuple[DataFrame | None, DataFrame]:
+def star_links(
+    members: DataFrame, shared: DataFrame, verify: Callable[[DataFrame, list[str]], DataFrame], block_docs: int, block_shingles: int
+) -> tuple[DataFrame | None, DataFrame]:
     """Links of clusters beyond a block that are found by comparing each set
     with one other: of the ranges it is in (``shared``: sig, h1), each names a
     centre, and the set meets one that isn't linked with it yet. So a round
@@ -272,7 +291,9 @@ def unlinked_units(members: DataFrame, shared: DataFrame, labels: DataFrame, blo
     all of the cluster part by part."""
     own = shared.join(labels, "h1")
     same = own.groupBy("sig").agg(
-        F.count("*").alias("k"), F.bit_xor(F.xxhash64("h1")).alias("x"), F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.min("label").alias("first"), F.max("label").alias("last"),
+        F.count("*").alias("k"), F.bit_xor(
+            F.xxhash64("h1")
+        ).alias("x"), F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.min("label").alias("first"), F.max("label").alias("last"),
     ).where("first <> last")
     units = same.groupBy("k", "x", "lo", "hi").agg(F.min("sig").alias("sig")).select("sig")
     each = written(own.join(units, "sig").select("h1", F.col("sig").alias("range")), "open")
@@ -285,7 +306,10 @@ def unlinked_units(members: DataFrame, shared: DataFrame, labels: DataFrame, blo
     return whole.unionByName(ranged)
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def similar_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, block_docs: int = BLOCK_DOCS,
+    block_shingles: int = BLOCK_SHINGLES
+) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links
     reach, its own included) of every row.
 
@@ -364,14 +388,23 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     m = m.withColumn("block", F.when(F.col("big"), F.col("unit")).otherwise(F.pmod(F.xxhash64("unit"), F.lit(blocks))))
     m = m.select("rep", "h1", "h2", "n", "big", "block", "band")
     m = m.distinct() if chained else m  # a set may come by several ranges
-    size = m.where("big").groupBy("block", "band").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("parts"))
+    size = m.where("big").groupBy("block", "band").agg(
+        F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("parts")
+    )
     m = m.join(size.withColumn("big", F.lit(True)), ["big", "block", "band"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     part = F.pmod(F.xxhash64("h2", "rep"), F.col("parts")).cast("int")
     m = m.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    m = m.select("rep", "h1", "h2", "big", "block", "band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"))
+    m = m.select(
+        "rep", "h1", "h2", "big", "block", "band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
+        (F.col("part") > F.col("other")).cast("int").alias("side")
+    )
     linked = verify(m, ["big", "block", "band", "i", "j"])
-    repeated = filled.join(sets, ["h1", "h2"]).select("doc_id", F.col("rep").alias("src")).where("doc_id != src").select(F.col("doc_id").alias("src"), F.col("src").alias("dst"))
+    repeated = filled.join(sets, ["h1", "h2"]).select("doc_id", F.col("rep").alias("src")).where("doc_id != src").select(
+        F.col("doc_id").alias("src"), F.col("src").alias("dst")
+    )
     comp = connected_components(reduce(DataFrame.union, [linked, repeated, *([early] if early is not None else [])]))
     drop(members)
     drop(ranges)
-    return table.select("doc_id", "n_shingles").join(comp, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return table.select("doc_id", "n_shingles").join(comp, F.col("doc_id") == F.col("id"), "left").select(
+        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
+    )

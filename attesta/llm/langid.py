@@ -95,7 +95,9 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
     share = F.create_map(*[x for k, v in count.items() for x in (F.lit(k), F.lit(min(1.0, fit_rows / v)))])
     draw = F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(1 << 20)) / float(1 << 20)
     kept_back = F.pmod(F.xxhash64(F.lit("trust"), id_col), F.lit(TRUST)) == 0
-    sample = known.where(draw < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text"), F.coalesce(kept_back, F.lit(False)).alias("back"))
+    sample = known.where(draw < share[F.col(lang_col)]).select(
+        F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text"), F.coalesce(kept_back, F.lit(False)).alias("back")
+    )
 
     def counts(it):
         sums: dict[str, np.ndarray] = {}
@@ -119,7 +121,9 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
     freq = table / np.maximum(table.sum(1, keepdims=True), 1)
     code = codewords(len(langs))
     floor = 0.5 / max(1.0, table.sum() / len(langs))
-    weights = np.stack([np.log((freq[col > 0].mean(0) if (col > 0).any() else 0) + floor) - np.log((freq[col < 0].mean(0) if (col < 0).any() else np.zeros(1 << BITS)) + floor) for col in code.T])
+    weights = np.stack(
+        [np.log((freq[col > 0].mean(0) if (col > 0).any() else 0) + floor) - np.log((freq[col < 0].mean(0) if (col < 0).any() else np.zeros(1 << BITS)) + floor) for col in code.T]
+    )
     model = Model(langs, code, weights, np.ones(code.shape[1]))
     if len(langs) > 1:
         model.trust = _trust(sample.where("back"), model, spark)
@@ -182,7 +186,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             share = np.concatenate(share) if share else np.zeros(b.num_rows)
             known = letters & bool(m.langs)
             pred, score = np.where(known, names[best], "und"), np.where(known, share, 0.0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(pred.tolist(), pa.string()), pa.array(score), pa.array(~known | (score < sure))], [*kept, *added])
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:at], pa.array(pred.tolist(), pa.string()), pa.array(score), pa.array(~known | (score < sure))], [*kept, *added]
+            )
 
     letter = F.coalesce(F.col(f"`{text_col}`").rlike("\\p{L}"), F.lit(False))
     more = [] if text_col in kept else [F.col(f"`{text_col}`").alias("__text")]

@@ -33,9 +33,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     name = free_names(docs.columns, ("n_lines", "lines_removed"))
     text = F.col(f"`{text_col}`")
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{id_col}`")).alias("ih"), F.xxhash64(text).alias("th"), text.alias("text"))
+    row = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"),
+        F.xxhash64(F.col(f"`{id_col}`")).alias("ih"), F.xxhash64(text).alias("th"), text.alias("text")
+    )
     full = F.transform(_lines(F.col("text")), lambda x, i: F.struct(i.alias("p"), F.btrim(x, F.lit(" \t\r")).alias("x")))
-    full = F.transform(F.filter(full, lambda s: s["x"] != ""), lambda s: F.struct(s["p"].alias("p"), F.xxhash64(s["x"]).alias("a"), F.xxhash64(F.lit(window), s["x"]).alias("b")))
+    full = F.transform(
+        F.filter(full, lambda s: s["x"] != ""),
+        lambda s: F.struct(s["p"].alias("p"), F.xxhash64(s["x"]).alias("a"), F.xxhash64(F.lit(window), s["x"]).alias("b"))
+    )
     listed = row.where(F.col("text").contains("\n")).select("id", "ih", "th", full.alias("h")).withColumn("n", F.size("h") - (window - 1)).where("n > 0")
     zipped = F.arrays_zip(*[F.slice("h", k + 1, F.col("n")).alias(f"h{k}") for k in range(window)])
     each = listed.select("id", "ih", "th", F.explode(zipped).alias("w"))
@@ -55,6 +61,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     filled = F.filter(F.transform(line, lambda x, i: F.when(F.btrim(x, F.lit(" \t\r")) != "", i)), lambda i: i.isNotNull())
     joined = joined.withColumn("drop", F.when(~F.col("again"), F.col("drop")).otherwise(F.when(F.size(filled) >= window, filled)))
     kept = F.array_except(F.sequence(F.lit(0), F.size(line) - 1), F.col("drop"))
-    left = joined.select("row", "text", F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(line, i)), "\n")).alias("new"), F.coalesce(F.size("drop"), F.lit(0)).alias("gone"))
+    left = joined.select(
+        "row", "text",
+        F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(line, i)), "\n")).alias("new"),
+        F.coalesce(F.size("drop"), F.lit(0)).alias("gone")
+    )
     out = [F.col("new").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
-    return left.select(*out, F.when(F.col("text").isNull(), 0).otherwise(F.size(line)).cast("long").alias(name["n_lines"]), F.greatest(F.col("gone"), F.lit(0)).cast("long").alias(name["lines_removed"]))
+    return left.select(
+        *out, F.when(F.col("text").isNull(), 0).otherwise(F.size(line)).cast("long").alias(name["n_lines"]),
+        F.greatest(F.col("gone"), F.lit(0)).cast("long").alias(name["lines_removed"])
+    )

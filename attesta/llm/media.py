@@ -36,7 +36,9 @@ def to_image(payload: bytes, level: int = 6) -> bytes:
     rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
     plain = np.zeros((len(rows), WIDTH + 1), np.uint8)
     plain[:, 1:] = rows
-    return SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(plain.tobytes(), level)) + _chunk(b"IEND", b"")
+    return SIGNATURE + _chunk(
+        b"IHDR", struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)
+    ) + _chunk(b"IDAT", zlib.compress(plain.tobytes(), level)) + _chunk(b"IEND", b"")
 
 
 def image_size(header: bytes) -> tuple[int, int]:
@@ -93,7 +95,10 @@ def store(payloads: DataFrame, folder: str | None = None, shard_bytes: int = SHA
             sink.close()
             files.move(f"{base}/_{name}", f"{base}/{name}.tar")
             digest, at, length, sha = zip(*out)
-            return pa.RecordBatch.from_arrays([pa.array(digest), pa.array([f"{folder}/{name}.tar"] * len(out)), pa.array(at, pa.int64()), pa.array(length, pa.int64()), pa.array(sha)], ["digest", "shard", "offset", "length", "media_sha256"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(digest), pa.array([f"{folder}/{name}.tar"] * len(out)), pa.array(at, pa.int64()), pa.array(length, pa.int64()), pa.array(sha)],
+                ["digest", "shard", "offset", "length", "media_sha256"]
+            )
 
         for b in it:
             for payload in b.column(0):
@@ -149,7 +154,10 @@ def headers(index: DataFrame) -> DataFrame:
 
     def read(get, rows):
         sizes = [image_size(get(r["offset"], HEADER)) for r in rows]
-        return pa.RecordBatch.from_arrays([pa.array([r["digest"] for r in rows]), pa.array([s[0] for s in sizes], pa.int64()), pa.array([s[1] for s in sizes], pa.int64())], ["digest", "width", "height"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r["digest"] for r in rows]), pa.array([s[0] for s in sizes], pa.int64()), pa.array([s[1] for s in sizes], pa.int64())],
+            ["digest", "width", "height"]
+        )
 
     return ranges(index, read, "digest string, width long, height long")
 
@@ -161,7 +169,10 @@ def contents(index: DataFrame) -> DataFrame:
     samples and their histogram over eight equal ranges; shard, offset and
     length as in the index. An object whose bytes
     aren't those that were stored raises."""
-    names = ["digest", "width", "height", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset", "length"]
+    names = [
+        "digest", "width", "height", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard",
+        "offset", "length"
+    ]
 
     def read(get, rows):
         out = []
@@ -177,7 +188,10 @@ def contents(index: DataFrame) -> DataFrame:
             out.append((r["digest"], width, height, len(payload), sha, zlib.crc32(payload[-WIDTH:]), len(image), r["media_sha256"], f"{width}x{height} mean={x.mean():.3f} std={x.std():.3f} hist={','.join(map(str, hist))}", r["shard"], r["offset"], r["length"]))
         return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names)
 
-    return ranges(index, read, "digest string, width long, height long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, shard string, offset long, length long")
+    return ranges(
+        index, read,
+        "digest string, width long, height long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, shard string, offset long, length long"
+    )
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
@@ -186,6 +200,10 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     repeated ids are rows like others; equal texts share one object; other
     columns of any name go. A payload of any length is one object, held as a
     whole by one task. Empty table: no rows."""
-    paid = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)).cast("long").alias("n_bytes"), payload_column(text_col).alias("payload"))
+    paid = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)).cast("long").alias("n_bytes"),
+        payload_column(text_col).alias("payload")
+    )
     stored = contents(store(paid.select("payload"), folder))
     return paid.select("doc_id", "n_bytes", F.sha2("payload", 256).alias("digest")).join(stored, "digest")

@@ -198,7 +198,9 @@ def proof_digest(proof: Column) -> Column:
     return F.sha2(F.array_join(F.transform(proof, lambda s: F.concat(s["before"], s["after"])), ""), 256)
 
 
-def manifest(docs: DataFrame, leaf: Column, group: Column, order: Column, keep: dict[str, Column] | None = None, fanout: int = 2, block: int = BLOCK) -> DataFrame:
+def manifest(
+    docs: DataFrame, leaf: Column, group: Column, order: Column, keep: dict[str, Column] | None = None, fanout: int = 2, block: int = BLOCK
+) -> DataFrame:
     """``keep``, leaf, subroot, root and proof of every row of ``docs``; names
     that are taken get underscores.
 

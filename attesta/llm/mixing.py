@@ -37,7 +37,12 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: floa
     everything = Window.partitionBy()
     before = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     w = w.withColumn("all", F.sum("source_size").over(everything).cast("double"))
-    w = w.withColumn("level", (F.col("all") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
+    w = w.withColumn(
+        "level",
+        (F.col("all") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (
+            F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
+        )
+    )
     # the first source that its cap doesn't fill sets the level of all after it
     w = w.withColumn("open", F.col("cap") > F.col("weight") * F.col("level"))
     w = w.withColumn("rest", F.max(F.when(F.col("open"), F.col("level"))).over(everything))
@@ -45,7 +50,10 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: floa
     return w.select("source", "source_size", F.when(F.col("cap") == 0, 0.0).otherwise(F.least("cap", share)).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", ratings: DataFrame | None = None, unrated: float = 1.0, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: str = "mix", ranges: int | None = None) -> DataFrame:
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", ratings: DataFrame | None = None,
+    unrated: float = 1.0, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: str = "mix", ranges: int | None = None
+) -> DataFrame:
     """``docs`` with size (words), source_size, target, times (how often the
     mix takes the document) and taken (words), or, where ``docs`` has such
     names, with what ``free_names`` makes of them; its own columns stay.
@@ -70,7 +78,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ranges = ranges or max(RANGES, docs.count() // 100_000)
     name = free_names(docs.columns, ("size", "source_size", "target", "times", "taken"))
     kept = {f"__c{i}": c for i, c in enumerate(docs.columns)}  # flat, so that columns nobody asks for don't travel
-    d = docs.select(*[F.col(f"`{c}`").alias(k) for k, c in kept.items()], F.col(f"`{id_col}`").alias("__id"), F.col(f"`{source_col}`").alias("__source"), n_words(F.col(f"`{text_col}`")).alias("__size"), uniform(F.col(f"`{id_col}`"), seed).alias("__u"))
+    d = docs.select(
+        *[F.col(f"`{c}`").alias(k) for k, c in kept.items()], F.col(f"`{id_col}`").alias("__id"),
+        F.col(f"`{source_col}`").alias("__source"), n_words(F.col(f"`{text_col}`")).alias("__size"),
+        uniform(F.col(f"`{id_col}`"), seed).alias("__u")
+    )
     quality = F.lit(float(unrated))
     if ratings is not None:  # after the count, so that texts nobody asks for don't travel
         best = ratings.where("id IS NOT NULL AND quality > 0").groupBy(F.col("id").alias("__r_id")).agg(F.max("quality").cast("double").alias("__quality"))
@@ -83,7 +95,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     goal = targets(sums, weights, most)
     ahead = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     plan = parts.withColumn("ahead", F.coalesce(F.sum("part").over(ahead), F.lit(0)))
-    plan = plan.join(goal, plan["source"].eqNullSafe(goal["source"])).select(plan["source"].alias("__p_source"), F.col("range").alias("__p_range"), F.col("ahead").alias("__ahead"), F.col("source_size").alias("__total"), F.col("target").alias("__target"))
+    plan = plan.join(goal, plan["source"].eqNullSafe(goal["source"])).select(
+        plan["source"].alias("__p_source"), F.col("range").alias("__p_range"), F.col("ahead").alias("__ahead"),
+        F.col("source_size").alias("__total"), F.col("target").alias("__target")
+    )
     inside = Window.partitionBy("__source", "__range").orderBy("__key", "__id", "__size").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("__within", F.coalesce(F.sum("__size").over(inside), F.lit(0)))
     d = d.join(plan, F.col("__source").eqNullSafe(F.col("__p_source")) & (F.col("__range") == F.col("__p_range")))

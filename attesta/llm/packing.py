@@ -57,7 +57,9 @@ def decompose(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     def pack(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long")
+    return docs.selectExpr(
+        f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text"
+    ).mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long")
 
 
 def number_sequences(pieces: DataFrame, parts: int = PARTS) -> DataFrame:
@@ -75,4 +77,6 @@ def number_sequences(pieces: DataFrame, parts: int = PARTS) -> DataFrame:
     bucket = F.log2(F.col("length").cast("double")).cast("int")
     p = pieces.withColumn("__part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts)).cast("int")).withColumn("__bucket", bucket)
     rank = F.row_number().over(Window.partitionBy("__bucket", "__part").orderBy(*keys, *rest)).cast("long") - 1
-    return p.withColumn("sequence_id", (rank * parts + F.col("__part")) * 64 + F.col("__bucket")).withColumn("offset", F.lit(0).cast("long")).drop("__part", "__bucket")
+    return p.withColumn(
+        "sequence_id", (rank * parts + F.col("__part")) * 64 + F.col("__bucket")
+    ).withColumn("offset", F.lit(0).cast("long")).drop("__part", "__bucket")

@@ -35,7 +35,10 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What line deduplication leaves of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "lines_removed", F.length("text").cast("long").alias("kept_chars"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+    return line_dedup.dedup_lines(docs).select(
+        "doc_id", "n_lines", "lines_removed", F.length("text").cast("long").alias("kept_chars"),
+        F.md5(F.col("text").cast("binary")).alias("kept_md5")
+    )
 
 
 def quality_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +69,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts have equal places."""
     text = F.coalesce("text", F.lit(""))
     lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64("text").alias("th"), "lang", lines.alias("lines"))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.xxhash64("text").alias("th"), "lang", lines.alias("lines")
+    )
     dims = [F.log2("size"), sharding.text_number(F.col("lang")), F.log2(F.col("lines") + 1)]
     cut = sharding.kd_shards(docs, dims=dims, size=F.col("size"), group=F.col("th"), own=F.xxhash64("doc_id", "th"), shards=24)
     return cut.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -82,7 +88,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as an image, read back and described."""
     m = media.media_columns(table(spark, sf_dir, "documents"))
-    return m.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard", "offset", "length", "width", "height")
+    return m.select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard",
+        "offset", "length", "width", "height"
+    )
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +99,10 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, remainder(5) != 0)
     found = langid.identify(docs, model, keep=["doc_id"])
-    return found.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_ambiguous").alias("ambiguous"))
+    return found.select(
+        "doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"),
+        F.col("lang_ambiguous").alias("ambiguous")
+    )
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +129,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = merkle.digest(*[F.col(c) + 1 if c == "n_chars" else F.col(c) for c in fields])
     found = F.when(remainder(7) == 0, changed).otherwise(leaf)
     m = merkle.manifest(table(spark, sf_dir, "documents"), leaf, F.col("lang"), F.col("doc_id"), {"doc_id": F.col("doc_id"), "found": found})
-    m = m.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), merkle.fold(F.col("found"), F.col("proof")).alias("folded_root"))
+    m = m.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+        merkle.fold(F.col("found"), F.col("proof")).alias("folded_root")
+    )
     return m.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 

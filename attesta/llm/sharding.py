@@ -28,7 +28,9 @@ def gapless(df: DataFrame, group: str, order: list[str], name: str, parts: int =
     n = n.withColumn("__first", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     rank = F.row_number().over(Window.partitionBy(group, "__part").orderBy(*order)) - 1
     d = d.withColumn("__rank", rank)
-    return d.join(n, (F.col(group) == F.col("__of")) & (F.col("__part") == F.col("__p"))).withColumn(name, (F.col("__first") + F.col("__rank")).cast("long")).drop("__of", "__p", "__part", "__first", "__rank")
+    return d.join(
+        n, (F.col(group) == F.col("__of")) & (F.col("__part") == F.col("__p"))
+    ).withColumn(name, (F.col("__first") + F.col("__rank")).cast("long")).drop("__of", "__p", "__part", "__first", "__rank")
 
 
 def _begun(points: DataFrame, nodes: DataFrame, dims: int) -> DataFrame:
@@ -44,7 +46,10 @@ def _begun(points: DataFrame, nodes: DataFrame, dims: int) -> DataFrame:
     need = F.col("w") * F.expr("n div 2") / F.col("n")
     shift = F.greatest(F.lit(0), F.length(F.bin(high - low)) - DIGIT).cast("int")
     zero = F.lit(0).cast("long")
-    return g.select("__node", "n", "dim", need.alias("need"), F.lit(0).alias("stage"), shift.alias("shift"), low.alias("k0"), zero.alias("k1"), (F.col("w") == 0).alias("done"))
+    return g.select(
+        "__node", "n", "dim", need.alias("need"), F.lit(0).alias("stage"), shift.alias("shift"), low.alias("k0"), zero.alias("k1"),
+        (F.col("w") == 0).alias("done")
+    )
 
 
 def _narrowed(points: DataFrame, state: DataFrame, target: float) -> DataFrame:
@@ -68,12 +73,17 @@ def _narrowed(points: DataFrame, state: DataFrame, target: float) -> DataFrame:
     return s.select(
         "__node", "n", "dim", F.when(found, need).otherwise(F.col("need")).alias("need"), F.when(turn, 1).otherwise(F.col("stage")).alias("stage"),
         F.when(turn, BITS - DIGIT).when(found & ~light, F.greatest(F.lit(0), shift - DIGIT)).otherwise(shift).cast("int").alias("shift"),
-        F.when(found & ~late, F.col("k0") + step).otherwise(F.col("k0")).alias("k0"), F.when(found & late, F.col("k1") + step).otherwise(F.col("k1")).alias("k1"),
+        F.when(
+            found & ~late, F.col("k0") + step
+        ).otherwise(F.col("k0")).alias("k0"), F.when(found & late, F.col("k1") + step).otherwise(F.col("k1")).alias("k1"),
         (F.col("done") | F.col("m").isNull() | light).alias("done"),
     )
 
 
-def kd_shards(rows: DataFrame, dims: list[Column], size: Column, group: Column, own: Column, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
+def kd_shards(
+    rows: DataFrame, dims: list[Column], size: Column, group: Column, own: Column, shards: int | None = None,
+    target_bytes: int | None = None
+) -> DataFrame:
     """``rows`` with ``shard`` (from 0) and ``slot`` (gapless from 0 in it), or,
     where ``rows`` has such names, with what ``free_names`` makes of them; its
     own columns stay.
@@ -101,9 +111,16 @@ def kd_shards(rows: DataFrame, dims: list[Column], size: Column, group: Column,
     name = free_names(rows.columns, ("shard", "slot"))
     kept = {f"__c{i}": c for i, c in enumerate(rows.columns)}
     raw = {f"__d{i}": F.coalesce(d.cast("double"), F.lit(float("-inf"))) for i, d in enumerate(dims)}
-    p = rows.select(*[F.col(f"`{c}`").alias(k) for k, c in kept.items()], *[d.alias(k) for k, d in raw.items()], F.coalesce(size, F.lit(0)).cast("long").alias("__size"), F.shiftrightunsigned(group, 64 - GROUP).alias("__g"), F.shiftrightunsigned(own, 64 - BITS).alias("__own"))
+    p = rows.select(
+        *[F.col(f"`{c}`").alias(k) for k, c in kept.items()], *[d.alias(k) for k, d in raw.items()],
+        F.coalesce(size, F.lit(0)).cast("long").alias("__size"), F.shiftrightunsigned(group, 64 - GROUP).alias("__g"),
+        F.shiftrightunsigned(own, 64 - BITS).alias("__own")
+    )
     finite = [F.when(F.abs(F.col(k)) < float("inf"), F.col(k)) for k in raw]
-    facts = p.agg(F.sum("__size").alias("all"), *[F.min(x).alias(f"l{i}") for i, x in enumerate(finite)], *[F.max(x).alias(f"h{i}") for i, x in enumerate(finite)]).first()
+    facts = p.agg(
+        F.sum("__size").alias("all"), *[F.min(x).alias(f"l{i}") for i, x in enumerate(finite)],
+        *[F.max(x).alias(f"h{i}") for i, x in enumerate(finite)]
+    ).first()
     n = shards or max(1, -(-(facts["all"] or 0) // (target_bytes or 1 << 30)))
     target = (facts["all"] or 0) / n
     keys = []
@@ -127,7 +144,10 @@ def kd_shards(rows: DataFrame, dims: list[Column], size: Column, group: Column,
         for old in (points, *([state] if state is not None else [])):
             drop(old)
         points, state = new, begun
-        halves = F.array(F.struct(F.col("__node"), F.expr("n div 2").alias("n")), F.struct((F.col("__node") + F.expr("n div 2")).alias("__node"), F.expr("n - n div 2").alias("n")))
+        halves = F.array(
+            F.struct(F.col("__node"), F.expr("n div 2").alias("n")),
+            F.struct((F.col("__node") + F.expr("n div 2")).alias("__node"), F.expr("n - n div 2").alias("n"))
+        )
         nodes = state.select(F.explode(halves).alias("h")).select("h.*")
     out = gapless(points.select(*kept, F.col("__node").cast("int").alias("__shard"), "__own", "__x"), "__shard", ["__own", "__x", *kept], "__slot")
     return out.select(*[F.col(k).alias(c) for k, c in kept.items()], F.col("__shard").alias(name["shard"]), F.col("__slot").alias(name["slot"]))

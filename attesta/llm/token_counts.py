@@ -79,6 +79,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                 yield pack(out)
 
     def pack(out):
-        return pa.RecordBatch.from_arrays([pa.array([i for x in out[0] for i in x], pa.int64()), *[pa.array(np.concatenate(x), pa.int64()) for x in out[1:]]], names)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([i for x in out[0] for i in x], pa.int64()), *[pa.array(np.concatenate(x), pa.int64()) for x in out[1:]]], names
+        )
 
     return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, ", ".join(f"{n} long" for n in names))

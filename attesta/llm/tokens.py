@@ -69,7 +69,9 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
-        self.plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
+        self.plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and not any(
+            t["lstrip"] or t["rstrip"] or t["single_word"] for t in added
+        )
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()

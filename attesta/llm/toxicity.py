@@ -96,10 +96,17 @@ def train(t: pa.Table, epochs: int, alpha: float, beta: float, l1: float, l2: fl
         often[r] += 1
     rows = [np.append(r[often[r] * epochs > l1], 1 << BITS) for r in rows]
     index, weight, bias = ftrl(rows, y, epochs, alpha, beta, l1, l2)
-    return pa.table([pa.array([index.tobytes()]), pa.array([weight.tobytes()]), pa.array([bias]), pa.array([int(y.sum())]), pa.array([len(y)])], ["index", "weight", "bias", "ones", "n"])
+    return pa.table(
+        [pa.array([index.tobytes()]), pa.array([weight.tobytes()]), pa.array([bias]), pa.array([int(y.sum())]), pa.array([len(y)])],
+        ["index", "weight", "bias", "ones", "n"]
+    )
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS, fit_features: int = FIT_FEATURES, epochs: int = 4, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1) -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    fit_rows: int = FIT_ROWS, fit_features: int = FIT_FEATURES, epochs: int = 4, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0,
+    l2: float = 0.1
+) -> Model:
     """A model from at most ``fit_rows`` labelled rows of each class for which
     ``usable`` (a condition on the id) holds, and of these as many as have
     about ``fit_features`` features together, both picked by hash of the id.
@@ -120,7 +127,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     order = (F.xxhash64(F.lit("sample"), "id"), "id")
     picked = [known.where(F.col("y") == y).orderBy(*order).limit(fit_rows) for y in (0, 1)]
     sample = F.broadcast(picked[0].union(picked[1]))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("binary").alias("text")).join(sample, F.col("doc") == F.col("id")).where("text IS NOT NULL").select("id", F.col("y").cast("double").alias("y"), "text")
+    rows = docs.select(
+        F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("binary").alias("text")
+    ).join(sample, F.col("doc") == F.col("id")).where("text IS NOT NULL").select("id", F.col("y").cast("double").alias("y"), "text")
 
     def found(it):
         for b in it:
@@ -128,12 +137,21 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
                 d, f = features(texts)
                 cuts = np.searchsorted(d, np.arange(len(texts) + 1))
                 own = b.slice(first, len(texts))
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(np.diff(cuts), pa.int64()), pa.array([f[p:q].astype("<i4").tobytes() for p, q in zip(cuts[:-1], cuts[1:])], pa.binary())], ["id", "y", "n", "found"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        own.column(0), own.column(1), pa.array(np.diff(cuts), pa.int64()),
+                        pa.array([f[p:q].astype("<i4").tobytes() for p, q in zip(cuts[:-1], cuts[1:])], pa.binary())
+                    ],
+                    ["id", "y", "n", "found"]
+                )
 
     feats = written(rows.mapInArrow(found, "id long, y double, n long, found binary"), "features")
     share = min(1.0, fit_features / (feats.agg(F.sum("n")).first()[0] or 1))
     kept = feats.where(F.pmod(F.xxhash64(F.lit("features"), "id"), F.lit(1 << 20)) < share * (1 << 20))
-    got = kept.groupBy(F.lit(0).alias("one")).applyInArrow(lambda t: train(t.select(["id", "y", "found"]), epochs, alpha, beta, l1, l2), "index binary, weight binary, bias double, ones long, n long").first()
+    got = kept.groupBy(F.lit(0).alias("one")).applyInArrow(
+        lambda t: train(t.select(["id", "y", "found"]), epochs, alpha, beta, l1, l2),
+        "index binary, weight binary, bias double, ones long, n long"
+    ).first()
     drop(feats)
     if got is None or not 0 < got["ones"] < got["n"]:
         return flat
@@ -155,4 +173,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 s = np.concatenate(done)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
+    ).mapInArrow(run, "doc_id long, score double, predicted int")
