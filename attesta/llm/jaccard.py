@@ -29,8 +29,9 @@ from .storage import drop, written
 #: Documents and shingles that a block aims at.
 BLOCK_DOCS, BLOCK_SHINGLES = 4096, 4 << 20
 FANOUT = 16
-#: Rounds in which the sets of a cluster beyond a block each meet one other.
-ROUNDS = 2
+#: Clusters beyond a block whose sets would be sent more than FEW times each are
+#: gone through by stars first, in at most so many ROUNDS.
+FEW, ROUNDS = 8, 1
 _classes = [1, 2, 3, 5]
 
 
@@ -283,24 +284,32 @@ def star_links(
     return links, labels
 
 
-def unlinked_units(members: DataFrame, shared: DataFrame, labels: DataFrame, block_docs: int, block_shingles: int) -> DataFrame:
-    """``members`` (of clusters beyond a block) that may still link with a set
-    of another label, by ``unit``. Linked sets share a range, so those of a
-    range that holds several labels must meet: range by range (of ranges that
-    hold the same sets one is enough), or, where that would take more rows,
-    all of the cluster part by part."""
-    own = shared.join(labels, "h1")
+def open_ranges(shared: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """(h1, range): by which of the ranges that they share (``shared``: sig,
+    h1) sets may still link with one of another label; without ``labels`` each
+    set has its own. Of ranges that hold the same sets one is enough."""
+    own = shared.withColumn("label", F.col("h1")) if labels is None else shared.join(labels, "h1")
     same = own.groupBy("sig").agg(
-        F.count("*").alias("k"), F.bit_xor(
-            F.xxhash64("h1")
-        ).alias("x"), F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.min("label").alias("first"), F.max("label").alias("last"),
+        F.count("*").alias("k"), F.bit_xor(F.xxhash64("h1")).alias("x"), F.min("h1").alias("lo"), F.max("h1").alias("hi"),
+        F.min("label").alias("first"), F.max("label").alias("last"),
     ).where("first <> last")
     units = same.groupBy("k", "x", "lo", "hi").agg(F.min("sig").alias("sig")).select("sig")
-    each = written(own.join(units, "sig").select("h1", F.col("sig").alias("range")), "open")
-    weight = members.groupBy("unit").agg((2 * F.count("*") * F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles))).alias("whole"))
+    return written(own.join(units, "sig").select("h1", F.col("sig").alias("range")), "open")
+
+
+def rows_of(members: DataFrame, each: DataFrame, block_docs: int, block_shingles: int) -> DataFrame:
+    """(unit, docs, rows, whole): how many rows each cluster takes range by
+    range, and how many part by part."""
+    parts = F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles))
+    weight = members.groupBy("unit").agg(F.count("*").alias("docs"), (2 * F.count("*") * parts).alias("whole"))
     rows = members.join(each.groupBy("h1").agg(F.count("*").alias("k")), "h1").groupBy("unit").agg(F.sum("k").alias("rows"))
-    chosen = written(weight.join(rows, "unit").select("unit", (F.col("rows") > F.col("whole")).alias("by_parts")), "chosen")
-    m = members.join(chosen, "unit")
+    return written(weight.join(rows, "unit"), "weight")
+
+
+def units_of(members: DataFrame, each: DataFrame, weight: DataFrame) -> DataFrame:
+    """``members`` (of clusters beyond a block) that must still meet, by
+    ``unit``: a range, or all of a cluster where that takes fewer rows."""
+    m = members.join(weight.select("unit", (F.col("rows") > F.col("whole")).alias("by_parts")), "unit")
     ranged = m.where("NOT by_parts").drop("unit", "by_parts").join(each, "h1").withColumnRenamed("range", "unit")
     whole = m.where("by_parts").drop("by_parts").join(each.select("h1"), "h1", "left_semi")
     return whole.unionByName(ranged)
@@ -323,12 +332,13 @@ def similar_components(
     two parts of a block.
 
     Every link is found (shingles are compared by 64 bits of hash); equal sets
-    are one node. Candidates are verified cluster by cluster; in a cluster
-    beyond a block each set first meets one other (``star_links``), and then
-    only sets that are still apart meet (``unlinked_units``). A unit beyond a
-    block is cut into bands of sizes that may link, and a band beyond a block
-    into parts by hash, each pair of which is a block, so no task holds more
-    than two parts. Candidate clusters and components are tables in the shared
+    are one node. Candidates are verified cluster by cluster; a cluster beyond
+    a block by the ranges that its sets share or part by part, whichever sends
+    fewer rows. Where that would still be FEW times its sets or more, as of
+    near copies, each set first meets one other (``star_links``), and then only
+    sets that are still apart meet. A unit beyond a block is cut into bands of
+    sizes that may link, and a band beyond a block into parts by hash, each
+    pair of which is a block, so no task holds more than two parts. Candidate clusters and components are tables in the shared
     folder.
     """
     if not 70 <= percent <= 100:
@@ -372,8 +382,17 @@ def similar_components(
     if chained:
         big = written(members.join(grown, "unit", "left_semi"), "big")
         shared = written(ranges.join(big.select("h1"), "h1", "left_semi"), "shared")
-        early, labels = star_links(big, shared, verify, block_docs, block_shingles)
-        apart = unlinked_units(big, shared, labels, block_docs, block_shingles)
+        each = open_ranges(shared)
+        weight = rows_of(big, each, block_docs, block_shingles)
+        often = F.least("rows", "whole") > FEW * F.col("docs")
+        apart = units_of(big, each, weight.where(~often))
+        costly = weight.where(often).select("unit")
+        if costly.limit(1).count():
+            stars = written(big.join(costly, "unit", "left_semi"), "costly")
+            own = written(shared.join(stars.select("h1"), "h1", "left_semi"), "shared")
+            early, labels = star_links(stars, own, verify, block_docs, block_shingles)
+            still = open_ranges(own, labels)
+            apart = apart.unionByName(units_of(stars, still, rows_of(stars, still, block_docs, block_shingles)))
         units = written(members.join(grown, "unit", "left_anti").unionByName(apart), "units")
         for done in (members, big, shared):
             drop(done)

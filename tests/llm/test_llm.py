@@ -226,13 +226,13 @@ def near_copies(sets, words, seed):
 @pytest.mark.parametrize(("sets", "words", "block"), [(100, 300, 10), (60, 10_000, 8)])
 def test_clusters_beyond_a_block_send_texts_a_few_times(spark, monkeypatch, sets, words, block):
     sent = []
-    star, rest = jaccard.star_links, jaccard.unlinked_units
+    star, rest = jaccard.star_links, jaccard.units_of
 
     def counted(members, shared, verify, *more):
         return star(members, shared, lambda rows, keys: sent.append(rows.count()) or verify(rows, keys), *more)
 
     monkeypatch.setattr(jaccard, "star_links", counted)
-    monkeypatch.setattr(jaccard, "unlinked_units", lambda *a: sent.append((u := rest(*a)).count()) or u)
+    monkeypatch.setattr(jaccard, "units_of", lambda *a: sent.append((u := rest(*a)).count()) or u)
     rows = near_copies(sets, words, sets + words)
     got = jaccard.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), block_docs=block).collect()
     assert {r.doc_id: r.component_id for r in got} == components(rows, 5, 80)[0]
