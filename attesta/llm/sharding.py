@@ -55,19 +55,19 @@ def _begun(points: DataFrame, nodes: DataFrame, dims: int) -> DataFrame:
 def _narrowed(points: DataFrame, state: DataFrame, target: float) -> DataFrame:
     """``state`` after one more digit of each open cut: the digit in which the
     running sum of a node's bytes meets its need. A cut is found when its digit
-    is light, or in the last digit of the own hash, which only matters where
-    one group's bytes ask for a cut."""
+    is light or a single row's, or in the last digit of the own hash, which
+    only matters where one group's bytes ask for a cut."""
     d = points.join(state.where("NOT done").drop("n", "done"), "__node")
     key, late = F.element_at("__x", F.col("dim")), F.col("stage") == 1
     d = d.where(~late | (key == F.col("k0"))).withColumn("rest", F.when(late, F.col("__own") - F.col("k1")).otherwise(key - F.col("k0")))
     d = d.withColumn("digit", F.expr("shiftright(rest, shift)")).where((F.col("digit") >= 0) & (F.col("digit") < 1 << DIGIT))
-    sums = d.groupBy("__node", "need", "digit").agg(F.sum("__size").alias("w"))
+    sums = d.groupBy("__node", "need", "digit").agg(F.sum("__size").alias("w"), F.count("*").alias("c"))
     sums = sums.withColumn("upto", F.sum("w").over(Window.partitionBy("__node").orderBy("digit")))
-    met = sums.where("upto >= need").groupBy("__node").agg(F.min(F.struct("digit", "w", "upto")).alias("m"))
+    met = sums.where("upto >= need").groupBy("__node").agg(F.min(F.struct("digit", "w", "upto", "c")).alias("m"))
     s = state.join(met, "__node", "left")
     found, w, shift = F.col("m").isNotNull() & ~F.col("done"), F.col("m.w"), F.col("shift")
     need = F.col("need") - (F.col("m.upto") - w)
-    light = (w <= MISS * target) | (late & (shift == 0))
+    light = (w <= MISS * target) | (F.col("m.c") == 1) | (late & (shift == 0))
     step = F.expr("shiftleft(m.digit, shift)") + F.when(light & (need > w / 2), F.expr("shiftleft(1L, shift)")).otherwise(0)
     turn = found & ~light & (shift == 0)  # all digits of the key are known: on to the own hash
     return s.select(
