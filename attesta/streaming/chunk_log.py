@@ -11,9 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 #: The log's format. Fields that may come as numbers or text are read as text.
@@ -69,16 +68,15 @@ class Latest(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.kept = handle.getValueState("kept", KEPT)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        old = tuple(self.kept.get()) if self.kept.exists() else None
-        best = old
-        for batch in rows:
-            for r in batch[["ok", "file", "block", "line", "value"]].itertuples(index=False):
-                found = (bool(r.ok), r.file, int(r.block), int(r.line), r.value)
-                best = found if best is None or found[:4] > best[:4] else best
-        if best != old:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        old = self.kept.get()
+        best = None if old is None else tuple(old)
+        for r in rows:
+            found = (r["ok"], r["file"], r["block"], r["line"], r["value"])
+            best = found if best is None or found[:4] > best[:4] else best
+        if old is None or best != tuple(old):
             self.kept.update(best)
-            yield pd.DataFrame({"source_id": [key[0]], "chunk_index": [key[1]], "ok": [best[0]], "value": [best[4]]})
+            yield Row(source_id=key[0], chunk_index=key[1], ok=best[0], value=best[4])
 
     def close(self) -> None:
         pass
@@ -89,7 +87,7 @@ def keep_latest(log: DataFrame, checkpoint: str) -> StreamingQuery:
     of each chunk in the state of ``checkpoint``."""
     spark = log.sparkSession
     keyed = log.select("source_id", "chunk_index", F.coalesce(F.col("status") == "success", F.lit(False)).alias("ok"), "seq.*", "value")
-    kept = keyed.groupBy("source_id", "chunk_index").transformWithStateInPandas(
+    kept = keyed.groupBy("source_id", "chunk_index").transformWithState(
         Latest(), "source_id string, chunk_index int, ok boolean, value string", "Update", "None"
     )
     before = spark.conf.get(_PROVIDER, None)
