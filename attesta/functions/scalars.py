@@ -20,6 +20,14 @@ def clamp01(x: Column, default: float = 0.0) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(v, F.lit(float(default)))))
 
 
+def rounded(x: Column, digits: int = 6) -> Column:
+    """x, shifted by its digits, to the nearest whole number and back; so a
+    quotient that lies a last bit under a half, as 137058.3 / 200000 does under
+    0.6852915, is rounded up as the half is."""
+    by = F.lit(float(10**digits))
+    return F.round(x * by) / by
+
+
 def safe_float(x: Column, default: float) -> Column:
     v = F.trim(x.cast("string")).try_cast("double")
     return F.coalesce(F.when(~F.isnan(v), v), F.lit(float(default)))

@@ -9,7 +9,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.scalars import clamp01
+from ..functions.scalars import clamp01, rounded
 from .extract import number
 
 #: What makes a task of a panel.
@@ -181,7 +181,7 @@ def panel_answers(panel: DataFrame, answers: DataFrame) -> DataFrame:
     kept = panel.join(answers.select(*key, "score", "confidence", "rationale"), key)
     confidence = F.when(F.col("confidence").isNull(), 0.5).otherwise(clamp01(F.col("confidence"), 0.5))
     given = kept.select(
-        *TASK, "expert_id", "expert_role", F.round(clamp01(F.col("score")), 6).alias("score"), F.round(confidence, 6).alias("confidence"),
+        *TASK, "expert_id", "expert_role", rounded(clamp01(F.col("score"))).alias("score"), rounded(confidence).alias("confidence"),
         F.substring(F.coalesce("rationale", F.lit("")), 1, 500).alias("rationale"), F.lit("panel").alias("score_source"),
     )
     open_ = panel.join(answers.select(*key), key, "left_anti")

@@ -77,6 +77,13 @@ def test_panel(spark):
     assert len(by["E1", "t44"]) == 2  # answered twice in its own batch, and not by others
 
 
+def test_scores_a_bit_under_a_half_are_rounded_up(spark):
+    panel = calibrate.panel_tasks(spark.createDataFrame([("t", "v", "high")], "term string, variable string, fuzzy_set string"), [("E1", "careful")])
+    answers = panel.select("expert_id", "batch", *calibrate.TASK, (F.lit(137058.3) / 200000).cast("string").alias("score"), F.lit("0.1234565").alias("confidence"), F.lit("r").alias("rationale"))
+    got = calibrate.panel_answers(panel, answers).first()
+    assert (got.score, got.confidence) == (0.685292, 0.123457)
+
+
 def test_only_broken_answers_go_through_python(spark):
     rows = [(1, '{"observations": [{"feature_value": "a"}]}'), (2, "<think>x</think>{\"items\": [{\"feature_value\": \"b\"}]}"), (3, None), (4, '{"observations": "none"}'), (5, "[{\"feature_value\": \"c\"}]"), (6, '{"observations": [{"feature_value": "d"}]} and {more}')]
     df = spark.createDataFrame(rows, "id int, answer string")
