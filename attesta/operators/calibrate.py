@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import clamp01, rounded
+from ..sources.shared import parts_for
 from .extract import number
 
 #: What makes a task of a panel.
@@ -176,20 +177,19 @@ def panel_answers(panel: DataFrame, answers: DataFrame) -> DataFrame:
     """Scores of a panel: answers to tasks of their own batch, clamped (not a
     number: score 0, confidence 0.5), with 500 characters of reason; answers to
     anything else go; tasks without any get score 0 and confidence 0.
-    ``answers``: as ``ask`` gives them, or a table of them."""
+    ``answers``: as ``ask`` gives them, or a table of them; they are read once.
+    Tasks of the panel and their answers meet in as many parts as the panel's
+    rows ask for."""
     key = ["expert_id", "batch", *TASK]
-    kept = panel.join(answers.select(*key, "score", "confidence", "rationale"), key)
+    said = answers.select(*key, "score", "confidence", F.substring(F.coalesce("rationale", F.lit("")), 1, 500).alias("rationale"), F.lit(True).alias("met"))
+    n = parts_for(panel)
+    both = panel.repartition(n, *key).join(said.repartition(n, *key), key, "left")
     confidence = F.when(F.col("confidence").isNull(), 0.5).otherwise(clamp01(F.col("confidence"), 0.5))
-    given = kept.select(
-        *TASK, "expert_id", "expert_role", rounded(clamp01(F.col("score"))).alias("score"), rounded(confidence).alias("confidence"),
-        F.substring(F.coalesce("rationale", F.lit("")), 1, 500).alias("rationale"), F.lit("panel").alias("score_source"),
+    given = lambda c, otherwise: F.when(F.col("met"), c).otherwise(otherwise)
+    return both.select(
+        *TASK, "expert_id", "expert_role", given(rounded(clamp01(F.col("score"))), 0.0).alias("score"), given(rounded(confidence), 0.0).alias("confidence"),
+        given(F.col("rationale"), UNANSWERED).alias("rationale"), given(F.lit("panel"), "panel_without_answer").alias("score_source"),
     )
-    open_ = panel.join(answers.select(*key), key, "left_anti")
-    filled = open_.select(
-        *TASK, "expert_id", "expert_role", F.lit(0.0).alias("score"), F.lit(0.0).alias("confidence"), F.lit(UNANSWERED).alias("rationale"),
-        F.lit("panel_without_answer").alias("score_source")
-    )
-    return given.unionByName(filled)
 
 
 def panel_calibration(tasks: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import scalars as S, table_functions
 from ..operators import aggregate, assess, calibrate, chunks, evaluate, extract, infer, membership, mining, network, patterns, report, rules as rule_rows, validate
 from ..sources import tables
-from ..sources.shared import new_path
+from ..sources.shared import new_path, parts_for
 from ..streaming import chunk_log as logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1110,7 +1110,8 @@ def panel_answers(spark, d):
         F.concat(F.lit("because "), key).alias("rationale"), (key % 11 == 0).alias("astray"),
     )
     batches = panel.select("term", "batch").distinct()
-    said = said.join(batches, "term", "left").withColumn("batch", F.when(F.col("astray"), F.col("batch") + 1).otherwise(F.col("batch")))
+    n = parts_for(batches)
+    said = said.repartition(n, "term").join(batches.repartition(n, "term"), "term", "left").withColumn("batch", F.when(F.col("astray"), F.col("batch") + 1).otherwise(F.col("batch")))
     return calibrate.panel_answers(panel, said).drop("fuzzy_set")
 
 

@@ -61,3 +61,12 @@ def small(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> Dat
     t = written(df, "small")
     seen = t.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()
     return F.broadcast(t) if seen["n"] <= rows and (seen["bytes"] or 0) <= size else t
+
+
+#: Rows of a part of what is sorted to be joined.
+PART_ROWS = 1 << 17
+
+
+def parts_for(df: DataFrame) -> int:
+    """Parts of so many rows that ``df`` fills, no fewer than tasks run at once."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // PART_ROWS))

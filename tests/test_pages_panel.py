@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attesta.operators import calibrate, extract, rules
-from attesta.sources import pages
+from attesta.sources import pages, shared
 
 PAGES = [("index.md", "# All\n"), ("sources/SRC 1+2%.md", "body\r\nwith lines\n"), ("syndromes/肾虚证.md", "漢字"), ("empty.md", ""), ("none.md", None), ("a/b/c/deep.md", "x" * 100_000)]
 
@@ -84,6 +84,23 @@ def test_scores_a_bit_under_a_half_are_rounded_up(spark):
     assert (got.score, got.confidence) == (0.685292, 0.123457)
 
 
+def test_a_panel_reads_its_answers_once_and_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(shared, "PART_ROWS", 4)
+    tasks = spark.createDataFrame([(f"t{i:02d}", "v", "high") for i in range(45)], "term string, variable string, fuzzy_set string")
+    panel = calibrate.panel_tasks(tasks, [("E1", "careful"), ("E2", "bold")], 20)
+    calls = spark.sparkContext.accumulator(0)
+
+    def scorer(role, rows):
+        calls.add(1)
+        return [{"term": r["term"], "variable": r["variable"], "fuzzy_set": r["fuzzy_set"], "score": 1} for r in rows[1:]]
+
+    got = calibrate.panel_answers(panel, calibrate.ask(panel, scorer))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert shared.parts_for(panel) == 23 and plan.count(", 23), REPARTITION_BY_NUM") == 2
+    assert sorted(r.score_source for r in got.collect()) == ["panel"] * 84 + ["panel_without_answer"] * 6
+    assert calls.value == 6
+
+
 def test_only_broken_answers_go_through_python(spark):
     rows = [(1, '{"observations": [{"feature_value": "a"}]}'), (2, "<think>x</think>{\"items\": [{\"feature_value\": \"b\"}]}"), (3, None), (4, '{"observations": "none"}'), (5, "[{\"feature_value\": \"c\"}]"), (6, '{"observations": [{"feature_value": "d"}]} and {more}')]
     df = spark.createDataFrame(rows, "id int, answer string")
