@@ -9,8 +9,11 @@ each, so it weighs no more than others. Sparse bitmaps are stored as positions.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
@@ -18,6 +21,8 @@ from pyspark.sql.types import StructType
 BUCKET, BYTES = 1 << 15, 64 << 20
 #: Pairs of items that a task tries at most about.
 PAIRS = 4 << 20
+#: Rows that are handed on at once, at most about so many.
+ROWS = 1 << 16
 TIDS = "bucket long, width int, items array<string>, bits binary"
 _ITEMS = pa.list_(pa.string())
 
@@ -49,33 +54,39 @@ def positions(row: np.ndarray) -> np.ndarray:
 
 
 def place(baskets: DataFrame, items: int) -> DataFrame:
-    """Rows of two kinds from ``baskets`` (source_id, item; distinct): those
-    with bits hold what an item covers in a bucket, the others (source_id, at)
-    tell which source a bit stands for. ``items``: how many different ones
-    there are, which sets the buckets' size."""
+    """Rows of two kinds from ``baskets`` (source_id, item and told; the first
+    two distinct): those with bits hold what an item covers in a bucket, and
+    for which of these sources it is told, the others (source_id, at) tell
+    which source a bit stands for; a bucket's bits are in order of the sources.
+    ``items``: how many different ones there are, which sets the buckets' size."""
     kind = baskets.schema["source_id"].dataType
     sources = baskets.agg(F.approx_count_distinct("source_id").alias("n")).first()["n"]
     per = max(64, min(BUCKET, 8 * BYTES // max(1, items)) * 3 // 4)  # hashing fills some buckets more
     buckets = max(1, -(-sources // per))
-    schema = StructType.fromDDL(f"{TIDS}, at int").add("source_id", kind)
+    schema = StructType.fromDDL(f"{TIDS}, told binary, at int").add("source_id", kind)
 
     def run(t: pa.Table) -> pa.Table:
         who = t.column("source_id").combine_chunks().dictionary_encode()
-        at = np.asarray(who.indices)
-        n, bucket = len(who.dictionary), t.column("bucket")[0].as_py()
+        sources = np.asarray(pc.sort_indices(who.dictionary))
+        n, bucket = len(sources), t.column("bucket")[0].as_py()
+        rank = np.empty(n, np.int64)
+        rank[sources] = np.arange(n)
+        at, told = rank[np.asarray(who.indices)], np.asarray(t.column("told").to_numpy(), bool)
         width = -(-n // 64) * 8
         what = t.column("item").combine_chunks().dictionary_encode()
         code = np.asarray(what.indices)
         order = np.lexsort((at, code))
-        runs = np.split(at[order], np.flatnonzero(np.diff(code[order])) + 1)
+        cuts = np.flatnonzero(np.diff(code[order])) + 1
+        runs, marks = np.split(at[order], cuts), np.split(told[order], cuts)
         k, names = len(runs), what.dictionary.to_pylist()
         return pa.table({
             "bucket": pa.array([bucket] * (k + n), pa.int64()), "width": pa.array([width] * (k + n), pa.int32()),
             "items": pa.array([[x] for x in names] + [None] * n, _ITEMS), "bits": pa.array([pack(r, width) for r in runs] + [None] * n, pa.binary()),
-            "at": pa.array([None] * k + list(range(n)), pa.int32()), "source_id": pa.concat_arrays([pa.nulls(k, who.dictionary.type), who.dictionary]),
+            "told": pa.array([pack(r[m], width) for r, m in zip(runs, marks)] + [None] * n, pa.binary()), "at": pa.array([None] * k + list(range(n)), pa.int32()),
+            "source_id": pa.concat_arrays([pa.nulls(k, who.dictionary.type), who.dictionary.take(pa.array(sources))]),
         })
 
-    dealt = baskets.where(F.col("source_id").isNotNull()).select("source_id", "item", F.pmod(F.xxhash64("source_id"), F.lit(buckets)).alias("bucket"))
+    dealt = baskets.where(F.col("source_id").isNotNull()).select("source_id", "item", "told", F.pmod(F.xxhash64("source_id"), F.lit(buckets)).alias("bucket"))
     return dealt.groupBy("bucket").applyInArrow(run, schema)
 
 
@@ -116,15 +127,78 @@ def meet(tids: DataFrame, size: int, items: int) -> DataFrame:
     return d.groupBy("bucket", "head", "slice").applyInArrow(run, f"{TIDS}, n long")
 
 
-def occurrences(tids: DataFrame, places: DataFrame) -> DataFrame:
-    """(source_id, items): the sources that the bits of ``tids`` stand for."""
+def named(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
+    """(bucket, at, items) of each bit, or of each bitmap's first ``most``;
+    ROWS of them, or those of one bitmap, at once."""
+    for b in batches:
+        sizes, at, start, waiting = [], [], 0, 0
+        for i, (x, w) in enumerate(zip(b.column("bits").to_pylist(), b.column("width").to_pylist()), 1):
+            at.append(positions(unpack([x], w)[0])[:most])
+            sizes.append(len(at[-1]))
+            waiting += sizes[-1]
+            if waiting >= ROWS or i == b.num_rows:
+                rows = pa.array(start + np.repeat(np.arange(len(at)), sizes), pa.int64())
+                where = pa.array(np.concatenate(at), pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column("bucket").take(rows), where, b.column("items").take(rows)], ["bucket", "at", "items"])
+                sizes, at, start, waiting = [], [], i, 0
+
+
+def occurrences(tids: DataFrame, places: DataFrame, most: int | None = None) -> DataFrame:
+    """(source_id, items): the sources that the bits of ``tids`` stand for; of
+    each row's the first ``most`` by id, if given."""
+    found = tids.select("bucket", "width", "items", "bits").mapInArrow(lambda b: named(b, most), "bucket long, at int, items array<string>")
+    return found.join(places.where("bits IS NULL").select("bucket", "at", "source_id"), ["bucket", "at"]).select("source_id", "items")
+
+
+def told(tids: DataFrame, places: DataFrame) -> DataFrame:
+    """``TIDS`` whose bits are those sources for which one of the items is told."""
 
     def run(batches):
         for b in batches:
-            at = [positions(unpack([x], w)[0]) for x, w in zip(b.column("bits").to_pylist(), b.column("width").to_pylist())]
-            rows = pa.array(np.repeat(np.arange(len(at)), [len(a) for a in at]), pa.int64())
-            where = pa.array(np.concatenate(at) if at else [], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("bucket").take(rows), where, b.column("items").take(rows)], ["bucket", "at", "items"])
-
-    found = tids.select("bucket", "width", "items", "bits").mapInArrow(run, "bucket long, at int, items array<string>")
-    return found.join(places.where("bits IS NULL").select("bucket", "at", "source_id"), ["bucket", "at"]).select("source_id", "items")
+            stored = []
+            for x, w, marks in zip(b.column("bits").to_pylist(), b.column("width").to_pylist(), b.column("told").to_pylist()):
+                stored.append(pack(positions(unpack([x], w)[0] & np.bitwise_or.reduce(unpack(marks, w))), w))
+            yield pa.RecordBatch.from_arrays([b.column("bucket"), b.column("width"), b.column("items"), pa.array(stored, pa.binary())], ["bucket", "width", "items", "bits"])
+
+    own = places.where("bits IS NOT NULL").select("bucket", F.col("items")[0].alias("item"), "told")
+    each = tids.select("bucket", "width", "items", "bits", F.explode("items").alias("item")).join(own, ["bucket", "item"])
+    each = each.groupBy("bucket", "width", "items").agg(F.first("bits").alias("bits"), F.collect_list("told").alias("told"))
+    return each.mapInArrow(run, TIDS)
+
+
+def spread(tids: DataFrame, places: DataFrame, kinds: DataFrame, sets: int) -> DataFrame:
+    """(items, the columns of ``kinds``, n): sources of each set by what
+    ``kinds`` (source_id and two columns) says of them. Bits are counted bucket
+    by bucket, so no row is made for a source of a set; ``sets``, their number,
+    and the number of kinds say in how many slices a bucket's sets come."""
+    names = [c for c in kinds.columns if c != "source_id"]
+    schema = StructType([f for f in tids.select("items").schema] + [kinds.schema[c] for c in names]).add("n", "long")
+    different = min(BUCKET, kinds.agg(F.approx_count_distinct(F.struct(*names)).alias("n")).first()["n"])
+    slices = max(1, -(-sets * different // PAIRS), -(-sets * BUCKET // (8 * BYTES)))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        codes = [right.column(c).combine_chunks().dictionary_encode() for c in names]
+        first, second = [np.asarray(c.indices.fill_null(-1), np.int64) + 1 for c in codes]
+        used, code = np.unique(first * (len(codes[1].dictionary) + 1) + second, return_inverse=True)
+        width = max(left.column("width").to_pylist(), default=0)
+        of = np.full(8 * width, -1)
+        if left.num_rows:
+            of[np.asarray(right.column("at"))] = code
+        rows, kind, n = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for i, x in enumerate(left.column("bits").to_pylist()):
+            found = of[positions(unpack([x], width)[0])]
+            counts = np.bincount(found[found >= 0], minlength=len(used))
+            kind.append(np.flatnonzero(counts))
+            n.append(counts[kind[-1]])
+            rows.append(np.full(len(kind[-1]), i))
+        value = used[np.concatenate(kind)] if len(used) else np.empty(0, np.int64)
+        parts = np.divmod(value, len(codes[1].dictionary) + 1)
+        cells = [c.dictionary.take(pa.array(p - 1, pa.int64(), mask=p == 0)) for c, p in zip(codes, parts)]
+        items = left.column("items").combine_chunks().take(pa.array(np.concatenate(rows)))
+        return pa.table([items, *cells, pa.array(np.concatenate(n), pa.int64())], ["items", *names, "n"])
+
+    marks = places.where("bits IS NULL").select("bucket", "at", "source_id").join(kinds, "source_id").select("bucket", "at", *names)
+    marks = marks.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    dealt = tids.select(F.col("bucket").alias("own_bucket"), "width", "items", "bits", F.pmod(F.xxhash64("items"), F.lit(slices)).cast("int").alias("slice"))
+    each = dealt.groupBy("own_bucket", "slice").cogroup(marks.groupBy("bucket", "slice")).applyInArrow(run, schema)
+    return each.groupBy("items", *names).agg(F.sum("n").alias("n"))

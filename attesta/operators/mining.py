@@ -28,7 +28,8 @@ def itemset_levels(baskets: DataFrame, min_count: int, max_size: int = 12, pair_
     """(items, size, source_count) of all itemsets of 2 to ``max_size`` items
     (12 at most; 0: 12) in at least ``min_count`` sources; the bitmaps of their
     sources, and the places that ``bitsets.occurrences`` needs to name these.
-    Support alone prunes.
+    Support alone prunes. ``baskets`` may say by ``told`` which of its rows
+    ``bitsets.told`` keeps; without it, it keeps all.
 
     Infrequent items leave the baskets first. A level meets the bitmaps of
     frequent sets that share all but their last item, bucket by bucket; counts
@@ -42,7 +43,9 @@ def itemset_levels(baskets: DataFrame, min_count: int, max_size: int = 12, pair_
     singles = item_counts(baskets).where((F.col("n") >= min_count) & F.col("item").isNotNull())
     singles = written(singles, "frequent-items")
     different = singles.count()
-    places = written(bitsets.place(baskets.join(singles.select("item"), "item").select("source_id", "item"), different), "places")
+    told = F.col("told") if "told" in baskets.columns else F.lit(True)
+    dealt = baskets.join(singles.select("item"), "item").select("source_id", "item", told.alias("told"))
+    places = written(bitsets.place(dealt, different), "places")
     own = places.where("bits IS NOT NULL").select("bucket", "width", "items", "bits")
     levels, found = [own.limit(0).select("items", F.lit(2).alias("size"), F.lit(0).cast("long").alias("source_count"))], [own.limit(0)]
     counts = None

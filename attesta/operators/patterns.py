@@ -27,6 +27,8 @@ DEFAULTS = {
     "max_join_candidates": 100_000
 }
 TOP_SMALL = 1000
+#: Sources whose evidence a pattern shows.
+EVIDENCE = 5
 
 
 def items_of(observations: DataFrame) -> DataFrame:
@@ -77,7 +79,8 @@ def mine_patterns(observations: DataFrame, sources: DataFrame, config: dict[str,
         ),
         "items"
     )
-    baskets = known.select("source_id", "item").distinct()
+    told = F.max(F.coalesce(F.col("evidence_text") != "", F.lit(False)))
+    baskets = written(known.groupBy("source_id", "item").agg(told.alias("told")), "baskets")
     singles = written(mining.item_counts(baskets), "singles")
     levels, tids, places = mining.itemset_levels(baskets, least, int(c["max_size"]), int(c["max_pair_candidates"]), int(c["max_join_candidates"]))
     m = mining.pattern_metrics(levels, singles, n)
@@ -90,8 +93,9 @@ def mine_patterns(observations: DataFrame, sources: DataFrame, config: dict[str,
     m = m.withColumn("fisher_p", F.when(two, p) if c["fisher_test"] else F.lit(None).cast("double"))
     m = m.where(mining.passes(float(c["min_lift"]), float(c["min_pmi"]), c["fisher_p_max"], F.col("fisher_p"))).drop("i1", "i2", "n1", "n2")
     m = written(m, "measured")
-    of = bitsets.occurrences(tids.join(m.select("items"), "items", "left_semi"), places).join(meta, "source_id")
-    traditions = of.groupBy("items", "tradition_id").agg(F.count("*").alias("n"))
+    own = written(tids.join(m.select("items"), "items", "left_semi"), "measured-bitmaps")
+    of = written(bitsets.spread(own, places, meta, m.count()), "spread")
+    traditions = of.groupBy("items", "tradition_id").agg(F.sum("n").alias("n"))
     spread = traditions.groupBy("items").agg(
         F.count("*").alias("tradition_count"), F.sort_array(F.collect_list("tradition_id")).alias("tradition_ids"), F.sum("n").alias("t"),
         F.sum(F.col("n") * F.log("n")).alias("nl")
@@ -104,15 +108,21 @@ def mine_patterns(observations: DataFrame, sources: DataFrame, config: dict[str,
     order = [F.desc("source_count"), F.desc("lift"), F.desc("pmi"), F.desc("rank_p"), F.asc("size"), F.asc("items")]
     m = m.orderBy(*order).limit(top) if top > 0 else m
     m = written(number(m, order, "pattern_id", "PATTERN").drop("rank_p"), "patterns")
-    of = of.join(m.select("items", "pattern_id"), "items")
-    books = of.select("pattern_id", "book_name").distinct().groupBy("pattern_id").agg(
+    named = m.select("items", "pattern_id")
+    books = of.join(named, "items").select("pattern_id", "book_name").distinct().groupBy("pattern_id").agg(
         F.count("*").alias("book_count"), F.sort_array(F.collect_list("book_name")).alias("book_names")
     )
-    ranked = of.withColumn("place", F.row_number().over(Window.partitionBy("pattern_id").orderBy("source_id"))).where(F.col("place") <= cap)
-    ids = ranked.groupBy("pattern_id").agg(F.sort_array(F.collect_list("source_id")).alias("source_ids"))
-    said = of.select("pattern_id", "source_id", F.posexplode("items").alias("at", "item")).join(known.where("evidence_text <> ''"), ["source_id", "item"])
+    own = own.join(named.select("items"), "items", "left_semi")
+
+    def first(bits: DataFrame, most: int) -> DataFrame:  # each bucket's first ones hold the first of all
+        found = bitsets.occurrences(bits, places, most).join(named, "items")
+        return found.withColumn("place", F.row_number().over(Window.partitionBy("pattern_id").orderBy("source_id"))).where(F.col("place") <= most)
+
+    ids = first(own, cap).groupBy("pattern_id").agg(F.sort_array(F.collect_list("source_id")).alias("source_ids"))
+    shown = first(bitsets.told(own, places), EVIDENCE).select("pattern_id", "source_id", F.posexplode("items").alias("at", "item"))
+    said = shown.join(known.where("evidence_text <> ''"), ["source_id", "item"])
     evidence = mining.representative_evidence(
-        said.select(F.col("pattern_id").alias("pattern"), "source_id", F.struct("at", "seq").alias("seq"), F.col("evidence_text").alias("evidence"))
+        said.select(F.col("pattern_id").alias("pattern"), "source_id", F.struct("at", "seq").alias("seq"), F.col("evidence_text").alias("evidence")), EVIDENCE
     )
     status = known.groupBy("item", "mapping_status").agg(F.count("*").alias("n")).groupBy("item").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("mapping_status", "n")))).alias("counts")

@@ -1,9 +1,11 @@
 """Bitmaps of sources against plain itemset counting."""
 
 import random
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,3 +52,28 @@ def test_no_frequent_items(spark):
     for d, least in ((df, 5), (df.where("false"), 1), (df, 1)):
         levels, tids, places = mining.itemset_levels(d, least)
         assert levels.count() == 0 == bitsets.occurrences(tids, places).count()
+
+
+def test_bits_are_named_in_bounded_batches():
+    full = bitsets.pack(np.arange(8192), 1024)
+    b = pa.RecordBatch.from_arrays([pa.array([7] * 64), pa.array([1024] * 64, pa.int32()), pa.array([["a", str(i)] for i in range(64)]), pa.array([full] * 64)], ["bucket", "width", "items", "bits"])
+    out = list(bitsets.named(iter([b]), None))
+    assert sum(x.num_rows for x in out) == 64 * 8192 and max(x.num_rows for x in out) <= bitsets.ROWS + 8192
+    assert [(r["at"], r["items"][1]) for x in bitsets.named(iter([b]), 2) for r in x.to_pylist()] == [(k, str(i)) for i in range(64) for k in range(2)]
+
+
+def test_kinds_and_first_sources_without_a_row_for_each(spark):
+    rng = random.Random(5)
+    sets = {f"s{i:03d}": [x for x in "abcd" if rng.random() < 0.7] for i in range(300)}
+    kinds = {s: (rng.choice(["x", "y", None]), rng.choice(["p", "q"])) for s in sets}
+    rows = [(s, x, rng.random() < 0.1) for s, xs in sets.items() for x in xs]
+    levels, tids, places = mining.itemset_levels(spark.createDataFrame(rows, "source_id string, item string, told boolean").repartition(3), 5, 3)
+    k = spark.createDataFrame([(s, *v) for s, v in kinds.items()], "source_id string, tradition_id string, book_name string")
+    got = {(tuple(r["items"]), r["tradition_id"], r["book_name"]): r["n"] for r in bitsets.spread(tids, places, k, 10).collect()}
+    each = [t for n in (2, 3) for t in combinations("abcd", n)]
+    assert got == Counter((t, *kinds[s]) for t in each for s, xs in sets.items() if set(t) <= set(xs))
+    said = {(s, x) for s, x, told in rows if told}
+    found = bitsets.occurrences(bitsets.told(tids, places), places).groupBy("items").agg(F.sort_array(F.collect_list("source_id")).alias("s")).collect()
+    assert {tuple(r["items"]): r["s"] for r in found} == {t: sorted(s for s, xs in sets.items() if set(t) <= set(xs) and any((s, x) in said for x in t)) for t in each}
+    few = bitsets.occurrences(tids, places, 3).groupBy("items").agg(F.sort_array(F.collect_list("source_id")).alias("s")).collect()
+    assert {tuple(r["items"]): r["s"][:3] for r in few} == {t: sorted(s for s, xs in sets.items() if set(t) <= set(xs))[:3] for t in each}
