@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, StructType
 
-from ..functions.scalars import trapezoid
+from ..functions.scalars import rounded
 from ..sources.shared import small, written
 
 ACTIVE = ["active_rule", "expert_verified", "expert_verified_rule"]
@@ -166,32 +169,44 @@ def mamdani(fired: DataFrame, shapes: DataFrame, points: int = 200) -> DataFrame
     """Centroid, area and greatest height of the union of the rules' shapes,
     each cut at its activation, for every source and consequent. ``shapes``:
     (rule_id, a, b, c, d), as small as the rules; rules without one are left
-    out. The heights at even steps are one array of the row; rows of one
-    source and consequent are all that meets."""
+    out. Rows of one source and consequent are all that meets; a task takes
+    the heights of a batch of them step by step."""
     cuts = fired.join(small(shapes), "rule_id").groupBy("source_id", "consequent_entity").agg(
         F.sort_array(F.collect_list(F.struct("rule_id", "activation", "a", "b", "c", "d"))).alias("cuts")
     )
-    step, last = 1.0 / (points - 1), points - 1
-
-    def height(i):
-        x = i / F.lit(float(last))
-        return F.array_max(F.transform("cuts", lambda s: F.least(s["activation"], trapezoid(x, s["a"], s["b"], s["c"], s["d"]))))
-
-    g = cuts.withColumn("y", F.transform(F.sequence(F.lit(0), F.lit(last)), height))
-    sums = F.aggregate(
-        F.transform("y", lambda y, i: F.struct(y.alias("y"), i.alias("i"))), F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("m")),
-        lambda t, s: F.struct((t["a"] + s["y"]).alias("a"), (t["m"] + s["y"] * s["i"] / F.lit(float(last))).alias("m"))
-    )
-    first, end = F.element_at("y", 1), F.element_at("y", -1)
-    g = g.withColumn("sums", sums).withColumns({"area": (F.col("sums.a") - (first + end) / 2) * step, "moment": (F.col("sums.m") - end / 2) * step})
+    out = StructType([cuts.schema["source_id"], cuts.schema["consequent_entity"]]).add("centroid", "double").add("area", "double")
+    out = out.add("max_membership", "double").add("rules", ArrayType(shapes.schema["rule_id"].dataType))
+    g = cuts.mapInArrow(lambda batches: (_union(b, points) for b in batches), out)
     return g.select(
-        "source_id", "consequent_entity",
-        F.round(F.when(F.col("area") > 0, F.col("moment") / F.col("area")).otherwise(0.0), 6).alias("centroid"),
-        F.round("area", 6).alias("area"), F.round(F.array_max("y"), 6).alias("max_membership"),
-        F.transform("cuts", lambda s: s["rule_id"]).alias("rules"), F.lit("mamdani_centroid_sensitivity").alias("mode")
+        "source_id", "consequent_entity", *[rounded(F.col(c)).alias(c) for c in ("centroid", "area", "max_membership")], "rules",
+        F.lit("mamdani_centroid_sensitivity").alias("mode")
     )
 
 
+def _union(b: pa.RecordBatch, points: int) -> pa.RecordBatch:
+    """Centroid, area and greatest height of each row's cuts: all rows' heights
+    at one step after the other, so memory is that of the cuts."""
+    cells = b.column("cuts").flatten()
+    first = np.cumsum([0, *b.column("cuts").value_lengths().to_pylist()])[:-1]
+    activation, p, q, r, s = [np.asarray(cells.field(c).cast(pa.float64())) for c in ("activation", "a", "b", "c", "d")]
+    total, moment, most = np.zeros(b.num_rows), np.zeros(b.num_rows), np.zeros(b.num_rows)
+    before = None
+    for i in range(points if b.num_rows else 0):
+        x = i / (points - 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            y = np.where(x < q, (x - p) / (q - p), (s - x) / (s - r))
+        y = np.where((x < p) | (x > s), 0.0, np.where((x >= q) & (x <= r), 1.0, y))
+        y = np.maximum.reduceat(np.minimum(activation, y), first)
+        if before is not None:
+            x0, y0 = before
+            total, moment = total + (y0 + y) / 2 * (x - x0), moment + (x0 * y0 + x * y) / 2 * (x - x0)
+        most, before = np.maximum(most, y), (x, y)
+    centroid = np.divide(moment, total, out=np.zeros(b.num_rows), where=total > 0)
+    cells = [pa.array(v, pa.float64()) for v in (centroid, total, most)]
+    rules = pa.ListArray.from_arrays(b.column("cuts").offsets, b.column("cuts").values.field("rule_id"))
+    return pa.RecordBatch.from_arrays([b.column("source_id"), b.column("consequent_entity"), *cells, rules], ["source_id", "consequent_entity", "centroid", "area", "max_membership", "rules"])
+
+
 def last_of(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """The last row of each key."""
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(seq)))).where("__n = 1").drop("__n")

@@ -85,3 +85,23 @@ def test_a_rare_variable_files_the_rule(spark):
     got = infer.fired(spark.createDataFrame(best, BEST), spark.createDataFrame(rules, RULES))
     assert {(r.source_id, r.activation) for r in got.collect()} == {(7, 0.81)} and got.count() == 50
     assert got.agg(F.countDistinct("rule_id").alias("n")).first()["n"] == 50
+
+
+def test_centroids_by_plain_loops_without_an_expression_a_point(spark):
+    shapes = {"R1": (0.45, 0.70, 1.0, 1.0), "R2": (0.2, 0.4, 0.6, 0.8), "R3": (0.3, 0.3, 0.3, 0.9)}
+    rows = [(i, "c", k, (i * 7 + j * 3) % 11 / 10) for i in range(40) for j, k in enumerate(shapes) if (i + j) % 3]
+    fired = spark.createDataFrame(rows, "source_id long, consequent_entity string, rule_id string, activation double")
+    got = infer.mamdani(fired, spark.createDataFrame([(k, *v) for k, v in shapes.items()], "rule_id string, a double, b double, c double, d double"), 50)
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+
+    def height(x, a, b, c, d):
+        return 0.0 if x < a or x > d else 1.0 if b <= x <= c else (x - a) / (b - a) if x < b else (d - x) / (d - c)
+
+    for r in got.collect():
+        cuts = sorted((k, m) for i, _, k, m in rows if i == r.source_id)
+        xs = [i / 49 for i in range(50)]
+        ys = [max(min(m, height(x, *shapes[k])) for k, m in cuts) for x in xs]
+        area = sum((ys[i] + ys[i + 1]) / 2 * (xs[i + 1] - xs[i]) for i in range(49))
+        moment = sum((xs[i] * ys[i] + xs[i + 1] * ys[i + 1]) / 2 * (xs[i + 1] - xs[i]) for i in range(49))
+        assert r.rules == [k for k, _ in cuts]
+        assert (r.centroid, r.area, r.max_membership) == pytest.approx((moment / area if area > 0 else 0.0, area, max(ys)), abs=1e-6)
