@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalars import clamp01
@@ -44,16 +43,13 @@ def plan_chunks(sources: DataFrame, key: str = "source_id", text: str = "text",
     """key, chunk_index (from 1), chunk_total, chunk and its SHA-256. Texts are
     trimmed; blank ones have no chunk."""
 
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        def one(t):
-            t = (t or "").strip()
-            if not t or size <= 0 or len(t) <= size:
-                return [t] if t else []
-            return [c for c in (t[a:b].strip() for a, b in cut_points(t, size, overlap)) if c]
-
-        return texts.map(one)
+    def split(t: str | None) -> list[str]:
+        t = (t or "").strip()
+        if not t or size <= 0 or len(t) <= size:
+            return [t] if t else []
+        return [c for c in (t[a:b].strip() for a, b in cut_points(t, size, overlap)) if c]
 
+    split = F.udf(split, "array<string>", useArrow=False)  # a hundred texts at once, not ten thousand
     c = sources.select(F.col(key).alias(key), split(text).alias("chunks"))
     e = c.select(key, F.size("chunks").alias("chunk_total"), F.posexplode("chunks").alias("at", "chunk"))
     return e.select(key, (F.col("at") + 1).alias("chunk_index"), "chunk_total", "chunk", F.sha2("chunk", 256).alias("chunk_sha256"))

@@ -118,3 +118,17 @@ def test_chapters_of_other_names(spark):
     assert [x.chapter_order for x in r] == [1, 2] and r[0].text_original == "long body text" and r[0].text_integrity == 1.0 and r[0].source_authority == 0.5
     kept, report = tables.normalize(raw.drop("text_integrity"), "book")  # whose name would match "text" in part
     assert report["rows_out"] == 2 and kept.first().source_authority == 0.8
+
+
+def test_texts_are_cut_a_few_at_once(spark):
+    from attesta.operators import chunks
+
+    texts = ["a. " * 900, " ", None, "line\n" * 800, "漢。" * 2000, "short"]
+    got = chunks.plan_chunks(spark.createDataFrame(list(enumerate(texts)), "source_id int, text string"), size=1800, overlap=80)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    by = {}
+    for r in sorted(got.collect()):
+        by.setdefault(r.source_id, []).append(r.chunk)
+    plain = {i: [t.strip()[a:b].strip() for a, b in chunks.cut_points(t.strip(), 1800, 80)] for i, t in enumerate(texts) if t and t.strip()}
+    assert by == plain
