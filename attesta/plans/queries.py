@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import scalars as S, table_functions
 from ..operators import aggregate, assess, calibrate, chunks, evaluate, extract, infer, membership, mining, network, patterns, report, rules as rule_rows, validate
 from ..sources import tables
-from ..sources.shared import new_path, parts_for
+from ..sources.shared import new_path, parts_for, written
 from ..streaming import chunk_log as logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,13 +147,13 @@ SOURCE_LEVEL = f"""{LARSEN}, {META}, src AS (
   FROM tradition_level LEFT JOIN {values([("ASIA", 0.5), ("EUROPE", 0.85)], "tradition_id, delta")} USING (tradition_id) GROUP BY ALL)"""
 
 
-def source_level(spark, d):
-    return aggregate.by_source(fired_rows(spark, d), rules(spark), sources_meta(spark, d))
+def source_level(spark, d, fired=None):
+    return aggregate.by_source(fired_rows(spark, d) if fired is None else fired, rules(spark), sources_meta(spark, d))
 
 
-def global_level(spark, d):
+def global_level(spark, d, fired=None):
     return aggregate.noisy_or(
-        aggregate.by_tradition(source_level(spark, d)),
+        aggregate.by_tradition(source_level(spark, d, fired)),
         spark.createDataFrame([("ASIA", 0.5), ("EUROPE", 0.85)], "tradition_id string, delta double")
     )
 
@@ -665,8 +665,9 @@ def relations(spark, d):
     m = membership.memberships(o, lexicon(spark)).withColumns(
         {"variable_key": S.variable_key(F.col("variable"), F.col("fuzzy_set")), "membership_id": F.col("observation_id").cast("string")}
     )
+    fired = written(fired_rows(spark, d), "fired")
     return network.relation_network(
-        o, m, rules(spark).withColumn("rule_name", F.concat(F.lit("rule "), "rule_id")), fired_rows(spark, d), global_level(spark, d)
+        o, m, rules(spark).withColumn("rule_name", F.concat(F.lit("rule "), "rule_id")), fired, global_level(spark, d, fired)
     )
 
 

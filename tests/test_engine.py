@@ -132,3 +132,12 @@ def test_texts_are_cut_a_few_at_once(spark):
         by.setdefault(r.source_id, []).append(r.chunk)
     plain = {i: [t.strip()[a:b].strip() for a, b in chunks.cut_points(t.strip(), 1800, 80)] for i, t in enumerate(texts) if t and t.strip()}
     assert by == plain
+
+
+def test_the_network_infers_once(spark, monkeypatch):
+    from attesta.plans import queries as q
+
+    calls, fired_rows = [], q.fired_rows
+    monkeypatch.setattr(q, "fired_rows", lambda *a: calls.append(a) or fired_rows(*a))
+    q.relations(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
