@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -40,6 +41,9 @@ def best_memberships(m: DataFrame, seq: str = "seq") -> DataFrame:
 RULE_BYTES = 32 << 20
 #: Blocks that a source meets one by one where it meets every rule.
 BLOCKS = 8
+#: Antecedents up to which a rule is worked out step by step in plain columns,
+#: which the engine compiles; longer rules go by lambdas, which it interprets.
+STEPS = 8
 
 
 def by_source(best: DataFrame) -> DataFrame:
@@ -49,9 +53,11 @@ def by_source(best: DataFrame) -> DataFrame:
     return best.groupBy("source_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("variable_key").isNotNull(), cell))).alias("m"))
 
 
-def slim_rules(rules: DataFrame) -> tuple[DataFrame, int]:
-    """The active rules as a table (uid, rule_id, consequent, weight, ants) and
-    the number of parts in which they are broadcast, all that the driver sees."""
+def slim_rules(rules: DataFrame) -> tuple[DataFrame, int, int | None, bool]:
+    """The active rules as a table (uid, rule_id, consequent, weight, ants), the
+    number of parts in which they are broadcast, the most antecedents of one of
+    up to STEPS (None: there is none) and if there are longer ones, all that
+    the driver sees."""
     ants = F.transform("antecedents", lambda a: F.struct(
         F.concat_ws(".", a["variable"].cast("string"), a["fuzzy_set"].cast("string")).alias("key"),
         F.coalesce(a["threshold"].cast("double"), F.lit(0.0)).alias("threshold"), F.coalesce(a["weight"].cast("double"), F.lit(1.0)).alias("weight")))
@@ -60,8 +66,23 @@ def slim_rules(rules: DataFrame) -> tuple[DataFrame, int]:
         F.monotonically_increasing_id().alias("uid"), *text, F.col("rule_weight").cast("double").alias("rule_weight"), ants.alias("ants")
     )
     table = written(active, "active-rules")
-    size = table.agg(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()["bytes"]
-    return table, max(1, -(-(size or 0) // RULE_BYTES))
+    size, steps, longer = table.agg(
+        F.sum(F.octet_length(F.to_json(F.struct("*")))), F.max(F.when(_short(), F.size("ants"))), F.count(F.when(~_short(), 1))
+    ).first()
+    return table, max(1, -(-(size or 0) // RULE_BYTES)), steps, longer > 0
+
+
+def _short() -> Column:
+    return F.coalesce(F.size("ants"), F.lit(-1)).between(0, STEPS)
+
+
+def by_length(table: DataFrame, steps: int | None, longer: bool, rows: Callable[[DataFrame, int | None], DataFrame]) -> DataFrame:
+    """``rows`` of the rules of up to ``steps`` antecedents and of the longer
+    ones (None), where there are any."""
+    found = [] if steps is None else [rows(table.where(_short()) if longer else table, steps)]
+    if longer or not found:
+        found.append(rows(table.where(~_short()), None))
+    return reduce(DataFrame.unionByName, found)
 
 
 def met(sources: DataFrame, rules: DataFrame, parts: int, on: list[str]) -> DataFrame:
@@ -71,29 +92,67 @@ def met(sources: DataFrame, rules: DataFrame, parts: int, on: list[str]) -> Data
     return reduce(DataFrame.union, [sources.join(F.broadcast(rules.where(part == i)), on) for i in range(parts)])
 
 
-def activated(rows: DataFrame) -> DataFrame:
+class Antecedents:
+    """What is asked of a row's antecedents ``ants``, each with what the source's
+    memberships ``m`` say of it, in order: column by column for rules of up to
+    ``steps`` (those after a rule's last are null and change nothing), by
+    lambdas if that is None."""
+
+    def __init__(self, steps: int | None):
+        self.cells = None if steps is None else [self.cell(F.get("ants", F.lit(i))) for i in range(steps)]
+
+    @staticmethod
+    def cell(a: Column) -> dict[str, Column]:
+        own = F.col("m")[a["key"]]
+        mu = F.coalesce(own["membership"], F.lit(0.0))
+        return {"key": a["key"], "threshold": a["threshold"], "weight": a["weight"], "mu": mu, "p5": own["p5"], "p95": own["p95"]}
+
+    def seen(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with what lambdas look at, so that they look up once."""
+        if self.cells is not None:
+            return rows
+        return rows.withColumn("seen", F.transform("ants", lambda a: F.struct(*[c.alias(n) for n, c in self.cell(a).items()])))
+
+    def enough(self) -> Column:
+        test = lambda s: s["mu"] >= s["threshold"]
+        if self.cells is None:
+            return F.forall("ants", lambda a: test(self.cell(a)))
+        return reduce(Column.__and__, [F.coalesce(test(s), F.lit(True)) for s in self.cells], F.lit(True))
+
+    def some(self, test) -> Column:
+        if self.cells is None:
+            return F.exists("seen", test)
+        return reduce(Column.__or__, [F.coalesce(test(s), F.lit(False)) for s in self.cells], F.lit(False))
+
+    def product(self, of) -> Column:
+        """The rule's weight times ``of`` each."""
+        if self.cells is None:
+            return F.aggregate("seen", F.col("rule_weight"), lambda x, s: x * of(s))
+        return reduce(lambda x, s: x * F.coalesce(of(s), F.lit(1.0)), self.cells, F.col("rule_weight"))
+
+    def keys(self, test) -> Column:
+        if self.cells is None:
+            return F.transform(F.filter("seen", test), lambda s: s["key"])
+        none = F.array().cast("array<string>")
+        return F.concat(none, *[F.when(test(s), F.array(s["key"])).otherwise(none) for s in self.cells])
+
+
+def activated(rows: DataFrame, steps: int | None) -> DataFrame:
     """What the rule of each row (rule_weight, ants, ...) gives with the
     memberships ``m``."""
-    value = lambda a, c: F.col("m")[a["key"]][c]
+    each = Antecedents(steps)
     zero, one = F.lit(0.0), F.lit(1.0)
-    seen = F.transform("ants", lambda a: F.struct(
-        a["key"].alias("key"), a["threshold"].alias("threshold"), a["weight"].alias("weight"),
-        F.coalesce(value(a, "membership"), zero).alias("mu"), value(a, "p5").alias("p5"), value(a, "p95").alias("p95")))
-    rows = rows.withColumn("seen", seen)
 
     def fold(of) -> Column:
-        total = F.aggregate("seen", F.col("rule_weight"), lambda x, s: x * F.pow(F.greatest(of(s), F.lit(1e-12)), s["weight"]))
+        total = each.product(lambda s: F.pow(F.greatest(of(s), F.lit(1e-12)), s["weight"]))
         return F.round(F.greatest(zero, F.least(one, total)), 6)
 
-    def keys(test) -> Column:
-        return F.transform(F.filter("seen", test), lambda s: s["key"])
-
-    ranged = F.exists("seen", lambda s: s["p5"].isNotNull() | s["p95"].isNotNull())
-    missing = keys(lambda s: s["mu"] < s["threshold"])
-    return rows.select(
+    below = lambda s: s["mu"] < s["threshold"]
+    ranged = each.some(lambda s: s["p5"].isNotNull() | s["p95"].isNotNull())
+    return each.seen(rows).select(
         "source_id", "rule_id", "consequent_entity", "consequent_type", fold(lambda s: s["mu"]).alias("activation"),
-        keys(lambda s: s["mu"] >= s["threshold"]).alias("supporting_variables"), missing.alias("missing_variables"),
-        F.when(F.size(missing) == 0, "fired").otherwise("below_threshold").alias("status"),
+        each.keys(lambda s: s["mu"] >= s["threshold"]).alias("supporting_variables"), each.keys(below).alias("missing_variables"),
+        F.when(~each.some(below), "fired").otherwise("below_threshold").alias("status"),
         *[F.when(ranged, fold(lambda s, c=c: F.coalesce(s[c], s["mu"]))).alias(c) for c in ("p5", "p95")],
     )
 
@@ -116,9 +175,10 @@ def larsen(best: DataFrame, rules: DataFrame) -> DataFrame:
     Rules are rows, any number of them: the plan is the same for one as for a
     million, and none passes through the driver.
     """
-    table, parts = slim_rules(rules)
+    table, parts, steps, longer = slim_rules(rules)
     tasks = int(best.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes of sources make many rows
-    return activated(_all_with(by_source(best.repartition(tasks, "source_id")), table, parts))
+    sources = by_source(best.repartition(tasks, "source_id"))
+    return by_length(table, steps, longer, lambda some, n: activated(_all_with(sources, some, parts), n))
 
 
 def fired(best: DataFrame, rules: DataFrame) -> DataFrame:
@@ -131,7 +191,7 @@ def fired(best: DataFrame, rules: DataFrame) -> DataFrame:
     those that need none; only then are all antecedents looked at. Rules that
     need a variable no source has can't fire and go first.
     """
-    table, parts = slim_rules(rules)
+    table, parts, steps, longer = slim_rules(rules)
     sources = written(by_source(best), "by-source")
     often = sources.select(F.explode(F.map_keys("m")).alias("key")).groupBy("key").agg(F.count("*").alias("often"))
     needs = table.select("uid", F.explode("ants").alias("a")).select("uid", "a.key", "a.threshold").where("threshold > 0")
@@ -141,15 +201,18 @@ def fired(best: DataFrame, rules: DataFrame) -> DataFrame:
         table.join(filed.where("never = 0"), "uid").select(table["*"], F.col("at.key").alias("key"), F.col("at.threshold").alias("least")),
         "rule-index"
     )
-    own = sources.select("source_id", "m", F.explode(F.map_entries("m")).alias("e")).select(
-        "source_id", "m", F.col("e.key").alias("key"), F.col("e.value.membership").alias("mu")
-    )
-    enough = F.forall("ants", lambda a: F.coalesce(F.col("m")[a["key"]]["membership"], F.lit(0.0)) >= a["threshold"])
-    found = met(own, index, parts, ["key"]).where((F.col("mu") >= F.col("least")) & enough)
+    own = sources.select("source_id", "m", F.explode("m").alias("key", "e")).select("source_id", "m", "key", F.col("e.membership").alias("mu"))
     free = table.join(needs.select("uid"), "uid", "left_anti")
     columns = ["source_id", "m", "rule_id", "consequent_entity", "consequent_type", "rule_weight", "ants"]
-    rest = _all_with(sources, free, parts).where(enough)
-    return activated(found.select(*columns).unionByName(rest.select(*columns)))
+
+    def filed_rows(some: DataFrame, n: int | None) -> DataFrame:
+        found = met(own, some, parts, ["key"]).where((F.col("mu") >= F.col("least")) & Antecedents(n).enough())
+        return activated(found.select(*columns), n)
+
+    def free_rows(some: DataFrame, n: int | None) -> DataFrame:
+        return activated(_all_with(sources, some, parts).where(Antecedents(n).enough()).select(*columns), n)
+
+    return by_length(index, steps, longer, filed_rows).unionByName(by_length(free, steps, longer, free_rows))
 
 
 def shapes_of(rules: DataFrame, shapes: dict[str, list[float]], default: tuple[float, ...] = (0.45, 0.70, 1.0, 1.0)) -> DataFrame:

@@ -62,6 +62,28 @@ def test_index_and_every_rule(spark, monkeypatch, limit):
     assert close(fired, sorted((x for x in want if x[7] == "fired"), key=key)) and len(fired) > 100
 
 
+@pytest.mark.parametrize("steps", [0, 2, 8])
+def test_rules_longer_than_the_steps_written_out(spark, monkeypatch, steps):
+    monkeypatch.setattr(infer, "STEPS", steps)
+    best, rules = made(5)
+    rules += [(f"L{n}", "c", "k", 0.75, "active_rule", [(f"v{i % 4}", "h", 0.0625 if i == 0 else None, 0.5) for i in range(n)]) for n in (8, 9, 12)]
+    b, r = spark.createDataFrame(best, BEST), spark.createDataFrame(rules, RULES)
+    key = lambda x: (x[0], x[1], str(x[5:8]), round(x[4], 5))
+    want = sorted(plain(best, rules), key=key)
+    for f, rows in ((infer.larsen, want), (infer.fired, [x for x in want if x[7] == "fired"])):
+        got = sorted((tuple(x) for x in f(b, r).collect()), key=key)
+        assert [x[:4] + x[5:8] for x in got] == [x[:4] + x[5:8] for x in rows] and {"L8", "L9", "L12"} <= {x[1] for x in got}
+        for g, w in zip(got, rows):
+            assert all((x is None) == (y is None) and abs((x or 0) - (y or 0)) < 2e-6 for x, y in zip((g[4], *g[8:]), (w[4], *w[8:])))
+
+
+def test_steps_of_short_rules_are_compiled(spark):
+    best, rules = made(6)
+    b, r = spark.createDataFrame(best, BEST), spark.createDataFrame(rules, RULES)
+    for f in (infer.larsen, infer.fired):
+        assert "lambda" not in f(b, r).drop("status")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_no_rules_no_memberships(spark):
     best, rules = made(3)
     b, r = spark.createDataFrame(best, BEST), spark.createDataFrame(rules, RULES)
