@@ -147,7 +147,8 @@ def occurrences(tids: DataFrame, places: DataFrame, most: int | None = None) ->
     """(source_id, items): the sources that the bits of ``tids`` stand for; of
     each row's the first ``most`` by id, if given."""
     found = tids.select("bucket", "width", "items", "bits").mapInArrow(lambda b: named(b, most), "bucket long, at int, items array<string>")
-    return found.join(places.where("bits IS NULL").select("bucket", "at", "source_id"), ["bucket", "at"]).select("source_id", "items")
+    who = places.where("bits IS NULL").select("bucket", "at", "source_id").hint("merge")  # a row for each source
+    return found.join(who, ["bucket", "at"]).select("source_id", "items")
 
 
 def told(tids: DataFrame, places: DataFrame) -> DataFrame:
@@ -160,7 +161,7 @@ def told(tids: DataFrame, places: DataFrame) -> DataFrame:
                 stored.append(pack(positions(unpack([x], w)[0] & np.bitwise_or.reduce(unpack(marks, w))), w))
             yield pa.RecordBatch.from_arrays([b.column("bucket"), b.column("width"), b.column("items"), pa.array(stored, pa.binary())], ["bucket", "width", "items", "bits"])
 
-    own = places.where("bits IS NOT NULL").select("bucket", F.col("items")[0].alias("item"), "told")
+    own = places.where("bits IS NOT NULL").select("bucket", F.col("items")[0].alias("item"), "told").hint("merge")
     each = tids.select("bucket", "width", "items", "bits", F.explode("items").alias("item")).join(own, ["bucket", "item"])
     each = each.groupBy("bucket", "width", "items").agg(F.first("bits").alias("bits"), F.collect_list("told").alias("told"))
     return each.mapInArrow(run, TIDS)
@@ -197,7 +198,8 @@ def spread(tids: DataFrame, places: DataFrame, kinds: DataFrame, sets: int) -> D
         items = left.column("items").combine_chunks().take(pa.array(np.concatenate(rows)))
         return pa.table([items, *cells, pa.array(np.concatenate(n), pa.int64())], ["items", *names, "n"])
 
-    marks = places.where("bits IS NULL").select("bucket", "at", "source_id").join(kinds, "source_id").select("bucket", "at", *names)
+    who = places.where("bits IS NULL").select("bucket", "at", "source_id").hint("merge")  # a row for each source
+    marks = who.join(kinds, "source_id").select("bucket", "at", *names)
     marks = marks.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     dealt = tids.select(F.col("bucket").alias("own_bucket"), "width", "items", "bits", F.pmod(F.xxhash64("items"), F.lit(slices)).cast("int").alias("slice"))
     each = dealt.groupBy("own_bucket", "slice").cogroup(marks.groupBy("bucket", "slice")).applyInArrow(run, schema)

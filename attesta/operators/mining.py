@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
-from ..sources.shared import drop, written
+from ..sources.shared import beside, drop, written
 from . import bitsets
 
 
@@ -44,7 +44,7 @@ def itemset_levels(baskets: DataFrame, min_count: int, max_size: int = 12, pair_
     singles = written(singles, "frequent-items")
     different = singles.count()
     told = F.col("told") if "told" in baskets.columns else F.lit(True)
-    dealt = baskets.join(singles.select("item"), "item").select("source_id", "item", told.alias("told"))
+    dealt = baskets.join(beside(singles.select("item"), different), "item").select("source_id", "item", told.alias("told"))
     places = written(bitsets.place(dealt, different), "places")
     own = places.where("bits IS NOT NULL").select("bucket", "width", "items", "bits")
     levels, found = [own.limit(0).select("items", F.lit(2).alias("size"), F.lit(0).cast("long").alias("source_count"))], [own.limit(0)]
@@ -62,9 +62,10 @@ def itemset_levels(baskets: DataFrame, min_count: int, max_size: int = 12, pair_
             ).join(singles.toDF("x", "nx"), "x").join(singles.toDF("y", "ny"), "y")
             counts = rarer.orderBy(F.desc(F.least("nx", "ny")), "items").limit(pair_cap).select("items", "source_count")
         counts = written(counts, "level")
-        if not counts.limit(1).count():
+        many = counts.count()
+        if not many:
             break
-        own = written(met.drop("n").join(counts.select("items"), "items", "left_semi").select(*own.columns), "bitmaps")
+        own = written(met.drop("n").join(beside(counts.select("items"), many), "items", "left_semi").select(*own.columns), "bitmaps")
         drop(met)
         levels.append(counts.select("items", F.lit(size).alias("size"), "source_count"))
         found.append(own)

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalars import normal_item
-from ..sources.shared import written
+from ..sources.shared import beside, written
 from . import bitsets, mining
 from .extract import number
 
@@ -36,7 +36,7 @@ def items_of(observations: DataFrame) -> DataFrame:
     different keys pass through Python; they are written, so that the engine
     knows how many there are."""
     keys = written(observations.select("observation_key").distinct().select("observation_key", normal_item(F.col("observation_key")).alias("item")), "keys")
-    return observations.join(keys, "observation_key").where("item <> ''")
+    return observations.join(beside(keys), "observation_key").where("item <> ''")
 
 
 def hints(items, rules=HINTS):
@@ -68,20 +68,19 @@ def mine_patterns(observations: DataFrame, sources: DataFrame, config: dict[str,
     meta = known.groupBy("source_id").agg(  # of a repeated id the last
         F.max_by("book_name", "seq").alias("book_name"), F.max_by("tradition_id", "seq").alias("tradition_id")
     )
+    meta = written(meta, "sources")
     n = meta.count()
     least, exploratory = mining.min_counts(n, float(c["min_support"]), int(c["min_source_count"]))
     production = max(int(c["min_source_count"]), mining.min_counts(n, float(c["min_support"]), 0)[0])
     top, cap = int(c.get("top_k_patterns", TOP_SMALL if exploratory else 0)), max(0, int(c["max_source_ids_per_pattern"]))
-    known = written(
-        items_of(observations).join(meta.select("source_id"), "source_id", "left_semi").select(
-            "source_id", "item", F.coalesce(F.nullif("mapping_status", F.lit("")), F.lit("unknown")).alias("mapping_status"),
-            "evidence_text", "seq"
-        ),
-        "items"
+    held = observations.join(meta.select("source_id").hint("merge"), "source_id", "left_semi").select(
+        "source_id", "observation_key", F.coalesce(F.nullif("mapping_status", F.lit("")), F.lit("unknown")).alias("mapping_status"),
+        "evidence_text", "seq"
     )
+    known = written(items_of(written(held, "observations")).drop("observation_key"), "items")
     told = F.max(F.coalesce(F.col("evidence_text") != "", F.lit(False)))
     baskets = written(known.groupBy("source_id", "item").agg(told.alias("told")), "baskets")
-    singles = written(mining.item_counts(baskets), "singles")
+    singles = beside(written(mining.item_counts(baskets), "singles"))
     levels, tids, places = mining.itemset_levels(baskets, least, int(c["max_size"]), int(c["max_pair_candidates"]), int(c["max_join_candidates"]))
     m = mining.pattern_metrics(levels, singles, n)
     two = F.col("size") == 2
@@ -93,8 +92,9 @@ def mine_patterns(observations: DataFrame, sources: DataFrame, config: dict[str,
     m = m.withColumn("fisher_p", F.when(two, p) if c["fisher_test"] else F.lit(None).cast("double"))
     m = m.where(mining.passes(float(c["min_lift"]), float(c["min_pmi"]), c["fisher_p_max"], F.col("fisher_p"))).drop("i1", "i2", "n1", "n2")
     m = written(m, "measured")
-    own = written(tids.join(m.select("items"), "items", "left_semi"), "measured-bitmaps")
-    of = written(bitsets.spread(own, places, meta, m.count()), "spread")
+    many = m.count()
+    own = written(tids.join(beside(m.select("items"), many), "items", "left_semi"), "measured-bitmaps")
+    of = written(bitsets.spread(own, places, meta, many), "spread")
     traditions = of.groupBy("items", "tradition_id").agg(F.sum("n").alias("n"))
     spread = traditions.groupBy("items").agg(
         F.count("*").alias("tradition_count"), F.sort_array(F.collect_list("tradition_id")).alias("tradition_ids"), F.sum("n").alias("t"),
@@ -108,7 +108,7 @@ def mine_patterns(observations: DataFrame, sources: DataFrame, config: dict[str,
     order = [F.desc("source_count"), F.desc("lift"), F.desc("pmi"), F.desc("rank_p"), F.asc("size"), F.asc("items")]
     m = m.orderBy(*order).limit(top) if top > 0 else m
     m = written(number(m, order, "pattern_id", "PATTERN").drop("rank_p"), "patterns")
-    named = m.select("items", "pattern_id")
+    named = beside(m.select("items", "pattern_id"), many)
     books = of.join(named, "items").select("pattern_id", "book_name").distinct().groupBy("pattern_id").agg(
         F.count("*").alias("book_count"), F.sort_array(F.collect_list("book_name")).alias("book_names")
     )

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import scalars as S, table_functions
 from ..operators import aggregate, assess, calibrate, chunks, evaluate, extract, infer, membership, mining, network, patterns, report, rules as rule_rows, validate
 from ..sources import tables
-from ..sources.shared import new_path, parts_for, written
+from ..sources.shared import beside, new_path, parts_for, written
 from ..streaming import chunk_log as logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -911,7 +911,7 @@ PATTERN_CONFIG = {
 
 def part_observations(spark, d):
     """Kinds of parts as observations of their orders."""
-    p = t(spark, d, "part").select("p_partkey", "p_type", "p_brand")
+    p = beside(t(spark, d, "part").select("p_partkey", "p_type", "p_brand"))
     status = F.when(F.col("l_linenumber") % 2 == 1, "mapped").otherwise("")
     return t(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_orderkey").alias("source_id"), F.concat(F.lit(" "), F.upper("p_type")).alias("observation_key"),

@@ -63,6 +63,14 @@ def small(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> Dat
     return F.broadcast(t) if seen["n"] <= rows and (seen["bytes"] or 0) <= size else t
 
 
+def beside(t: DataFrame, n: int | None = None) -> DataFrame:
+    """``t`` (of ``n`` rows, else they are counted) as a side of a join:
+    broadcast up to SMALL_ROWS, else sorted and merged. Left to itself the
+    engine goes by the bytes of files, which Parquet packs so well that the
+    driver would get many times as much."""
+    return F.broadcast(t) if (t.count() if n is None else n) <= SMALL_ROWS else t.hint("merge")
+
+
 #: Rows of a part of what is sorted to be joined.
 PART_ROWS = 1 << 17
 

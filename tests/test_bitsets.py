@@ -10,6 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from attesta.operators import bitsets, mining
+from attesta.plans import queries
+from attesta.sources import shared
 
 
 def plain(baskets, least, most):
@@ -77,3 +79,18 @@ def test_kinds_and_first_sources_without_a_row_for_each(spark):
     assert {tuple(r["items"]): r["s"] for r in found} == {t: sorted(s for s, xs in sets.items() if set(t) <= set(xs) and any((s, x) in said for x in t)) for t in each}
     few = bitsets.occurrences(tids, places, 3).groupBy("items").agg(F.sort_array(F.collect_list("source_id")).alias("s")).collect()
     assert {tuple(r["items"]): r["s"][:3] for r in few} == {t: sorted(s for s, xs in sets.items() if set(t) <= set(xs))[:3] for t in each}
+
+
+def test_what_grows_with_the_sources_is_never_broadcast(spark, monkeypatch):
+    """Tables of sources and large tables of parts pack into small files, by
+    which the engine would send them to the driver and broadcast them."""
+    rows = [(s, x) for s in range(200) for x in "abc"]
+    levels, tids, places = mining.itemset_levels(spark.createDataFrame(rows, "source_id long, item string"), 5, 3)
+    kinds = spark.range(200).select(F.col("id").alias("source_id"), F.lit("t").alias("tradition_id"), F.lit("b").alias("book_name"))
+    monkeypatch.setattr(shared, "SMALL_ROWS", 100)
+    parts = queries.part_observations(spark, "/root/testdata/sf0.001")
+    for found in (bitsets.occurrences(tids, places, 3), bitsets.told(tids, places), bitsets.spread(tids, places, kinds, 4), parts):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    monkeypatch.setattr(shared, "SMALL_ROWS", 1000)
+    assert "Broadcast" in queries.part_observations(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
