@@ -24,20 +24,17 @@ def item_counts(baskets: DataFrame) -> DataFrame:
     return baskets.groupBy("item").agg(F.count("*").alias("n"))
 
 
-def itemset_levels(baskets: DataFrame, min_count: int, max_size: int = 12, pair_cap: int = 0, join_cap: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+def itemset_levels(baskets: DataFrame, min_count: int, max_size: int = 12) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(items, size, source_count) of all itemsets of 2 to ``max_size`` items
     (12 at most; 0: 12) in at least ``min_count`` sources; the bitmaps of their
     sources, and the places that ``bitsets.occurrences`` needs to name these.
-    Support alone prunes. ``baskets`` may say by ``told`` which of its rows
+    Support alone prunes, and no set that has it is left out. ``baskets`` may say by ``told`` which of its rows
     ``bitsets.told`` keeps; without it, it keeps all.
 
     Infrequent items leave the baskets first. A level meets the bitmaps of
     frequent sets that share all but their last item, bucket by bucket; counts
     are sums over the buckets. Its bitmaps are written once to the shared
-    folder, so plans don't grow. ``pair_cap`` (0: none) keeps so many pairs,
-    those whose rarer item is most frequent, ties by items; ``join_cap`` so
-    many candidates of each later level, the first by items, before their
-    support is known, as the configuration may ask.
+    folder, so plans don't grow.
     """
     size, most = 1, 12 if max_size <= 0 else min(max(2, max_size), 12)
     singles = item_counts(baskets).where((F.col("n") >= min_count) & F.col("item").isNotNull())
@@ -48,19 +45,10 @@ def itemset_levels(baskets: DataFrame, min_count: int, max_size: int = 12, pair_
     places = written(bitsets.place(dealt, different), "places")
     own = places.where("bits IS NOT NULL").select("bucket", "width", "items", "bits")
     levels, found = [own.limit(0).select("items", F.lit(2).alias("size"), F.lit(0).cast("long").alias("source_count"))], [own.limit(0)]
-    counts = None
     while size < most:
         size += 1
-        met = bitsets.meet(own, size, different)
-        if join_cap and counts is not None:
-            met = met.join(_candidates(counts, size).orderBy("items").limit(join_cap), "items", "left_semi")
-        met = written(met, "bitmaps")
+        met = written(bitsets.meet(own, size, different), "bitmaps")
         counts = met.groupBy("items").agg(F.sum("n").alias("source_count")).where(F.col("source_count") >= min_count)
-        if pair_cap and size == 2:
-            rarer = counts.select(
-                "*", F.col("items")[0].alias("x"), F.col("items")[1].alias("y")
-            ).join(singles.toDF("x", "nx"), "x").join(singles.toDF("y", "ny"), "y")
-            counts = rarer.orderBy(F.desc(F.least("nx", "ny")), "items").limit(pair_cap).select("items", "source_count")
         counts = written(counts, "level")
         many = counts.count()
         if not many:
@@ -83,8 +71,30 @@ def _candidates(counts: DataFrame, size: int) -> DataFrame:
 
 
 def frequent_itemsets(baskets: DataFrame, min_count: int, max_size: int = 12, pair_cap: int = 0, join_cap: int = 0) -> DataFrame:
-    """The itemsets of ``itemset_levels`` alone."""
-    return itemset_levels(baskets, min_count, max_size, pair_cap, join_cap)[0]
+    """The itemsets of ``itemset_levels`` alone, all of them unless the caller
+    asks for the ``foremost``."""
+    levels = itemset_levels(baskets, min_count, max_size)[0]
+    return foremost(levels, item_counts(baskets), pair_cap, join_cap) if pair_cap or join_cap else levels
+
+
+def foremost(levels: DataFrame, singles: DataFrame, pair_cap: int = 0, join_cap: int = 0) -> DataFrame:
+    """Of all itemsets in ``levels``, for a first look at them, ``pair_cap``
+    pairs (0: all), those whose rarer item is most frequent, ties by items, and
+    of each later size those among the first ``join_cap`` (0: all) sets by
+    items whose parts all stay."""
+    pairs = levels.where("size = 2")
+    if pair_cap:
+        rarer = pairs.select(
+            "*", F.col("items")[0].alias("x"), F.col("items")[1].alias("y")
+        ).join(singles.toDF("x", "nx"), "x").join(singles.toDF("y", "ny"), "y")
+        pairs = rarer.orderBy(F.desc(F.least("nx", "ny")), "items").limit(pair_cap).select(*levels.columns)
+    found, size = [written(pairs, "level")], 2
+    while found[-1].limit(1).count():
+        size += 1
+        sets = _candidates(found[-1], size)
+        sets = sets.orderBy("items").limit(join_cap) if join_cap else sets
+        found.append(written(levels.where(F.col("size") == size).join(sets, "items", "left_semi"), "level"))
+    return reduce(DataFrame.union, found)
 
 
 def pattern_metrics(patterns: DataFrame, singles: DataFrame, n: int) -> DataFrame:

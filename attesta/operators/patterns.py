@@ -23,10 +23,8 @@ HINTS = [
 #: Settings a configuration leaves out (fixed values).
 DEFAULTS = {
     "max_size": 3, "min_support": 0.03, "min_lift": 1.5, "min_pmi": 0.5, "min_source_count": 3, "min_tradition_count": 1,
-    "fisher_p_max": None, "fisher_test": True, "max_source_ids_per_pattern": 100, "max_pair_candidates": 200_000,
-    "max_join_candidates": 100_000
+    "fisher_p_max": None, "fisher_test": True, "max_source_ids_per_pattern": 100, "top_k_patterns": 0
 }
-TOP_SMALL = 1000
 #: Sources whose evidence a pattern shows.
 EVIDENCE = 5
 
@@ -52,16 +50,25 @@ def hints(items, rules=HINTS):
 
 
 def mine_patterns(observations: DataFrame, sources: DataFrame, config: dict[str, Any]) -> DataFrame:
-    """Patterns in order, with ids.
+    """The patterns of ``patterns_and_sources`` alone."""
+    return patterns_and_sources(observations, sources, config)[0]
+
+
+def patterns_and_sources(observations: DataFrame, sources: DataFrame, config: dict[str, Any]) -> tuple[DataFrame, DataFrame]:
+    """Patterns in order, with ids; and (pattern_id, source_id) of all their
+    sources, of which a pattern's own row names the first
+    max_source_ids_per_pattern and counts all.
 
     ``observations``: source_id, observation_key, mapping_status,
     evidence_text, seq; those of unknown sources are left out. ``sources``:
     source_id, book_name, tradition_id. ``config``: as DEFAULTS; max_size 0 is
     the greatest there is; without ``fisher_test`` pairs have no exact p. N counts all sources, also those without
     observations; below 30 the support alone decides on a pattern's sources,
-    traditions aren't asked for, TOP_SMALL patterns stay unless top_k_patterns
-    is set, and patterns are exploratory. Lift and pmi filter the result, not
-    the levels. Order: source_count, lift, pmi, p, then size and items.
+    traditions aren't asked for, and patterns are exploratory. Every set with the
+    support is measured: max_pair_candidates and max_join_candidates, which
+    older configurations hold, drop none, and all patterns stay unless
+    top_k_patterns asks for the first ones. Lift and pmi filter the result,
+    not the levels. Order: source_count, lift, pmi, p, then size and items.
     """
     c = {**DEFAULTS, **{k: v for k, v in config.items() if v is not None}}
     known = sources.select("source_id", "book_name", "tradition_id", F.monotonically_increasing_id().alias("seq"))
@@ -72,7 +79,7 @@ def mine_patterns(observations: DataFrame, sources: DataFrame, config: dict[str,
     n = meta.count()
     least, exploratory = mining.min_counts(n, float(c["min_support"]), int(c["min_source_count"]))
     production = max(int(c["min_source_count"]), mining.min_counts(n, float(c["min_support"]), 0)[0])
-    top, cap = int(c.get("top_k_patterns", TOP_SMALL if exploratory else 0)), max(0, int(c["max_source_ids_per_pattern"]))
+    top, cap = int(c["top_k_patterns"]), max(0, int(c["max_source_ids_per_pattern"]))
     held = observations.join(meta.select("source_id").hint("merge"), "source_id", "left_semi").select(
         "source_id", "observation_key", F.coalesce(F.nullif("mapping_status", F.lit("")), F.lit("unknown")).alias("mapping_status"),
         "evidence_text", "seq"
@@ -81,7 +88,7 @@ def mine_patterns(observations: DataFrame, sources: DataFrame, config: dict[str,
     told = F.max(F.coalesce(F.col("evidence_text") != "", F.lit(False)))
     baskets = written(known.groupBy("source_id", "item").agg(told.alias("told")), "baskets")
     singles = beside(written(mining.item_counts(baskets), "singles"))
-    levels, tids, places = mining.itemset_levels(baskets, least, int(c["max_size"]), int(c["max_pair_candidates"]), int(c["max_join_candidates"]))
+    levels, tids, places = mining.itemset_levels(baskets, least, int(c["max_size"]))
     m = mining.pattern_metrics(levels, singles, n)
     two = F.col("size") == 2
     pair = [F.when(two, F.element_at("items", k)).alias(f"i{k}") for k in (1, 2)]
@@ -146,7 +153,7 @@ def mine_patterns(observations: DataFrame, sources: DataFrame, config: dict[str,
         F.lit(f"/{n} sources; {note}; effective_min_source_count={least}; production_min_source_count={production}; {'fisher_available' if c['fisher_test'] else 'fisher_unavailable_optional_dependency'}; "),
         complete
     )
-    return out.select(
+    out = out.select(
         "pattern_id", "items", "size", *[
             F.round(x, 6).alias(x) for x in ("support", "confidence", "lift", "pmi", "jaccard")
         ], F.round("fisher_p", 12).alias("fisher_p"), "source_count", "book_count", "tradition_count", F.round(F.col("book_count") / F.greatest(F.lit(1), F.col("source_count")), 6).alias("source_diversity"), "tradition_entropy",
@@ -154,3 +161,4 @@ def mine_patterns(observations: DataFrame, sources: DataFrame, config: dict[str,
             "exploratory_only" if exploratory else "pending"
         ).alias("review_status"),
     )
+    return out, bitsets.occurrences(own, places).join(named, "items").select("pattern_id", "source_id")

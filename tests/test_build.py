@@ -172,6 +172,25 @@ def test_sizes_and_caps(spark):
     assert [r["items"] for r in capped] == [["v", "w", "x"], ["v", "w", "y"]]
 
 
+def test_no_set_with_the_support_is_left_out(spark):
+    rows = [(f"S{i:03d}", f"k{k:02d}") for i in range(12) for k in range(20)]
+    capped = {**LOOSE, "max_size": 3, "max_pair_candidates": 30, "max_join_candidates": 20}
+    for n in (12, 40):  # exploratory or not
+        got = patterns.mine_patterns(observations(spark, rows), sources(spark, n), capped).select("items").collect()
+        assert len({tuple(r["items"]) for r in got}) == 190 + 1140 == len(got)
+
+
+def test_all_sources_of_a_pattern_are_rows_of_their_own(spark):
+    rows = [(f"S{i:03d}", k) for i in range(40) for k in "ab"] + [(f"S{i:03d}", "c") for i in range(9)]
+    found, whole = patterns.patterns_and_sources(observations(spark, rows), sources(spark, 80), {**LOOSE, "max_source_ids_per_pattern": 5})
+    found = {tuple(r["items"]): r for r in found.collect()}
+    got = {r["pattern_id"]: r["s"] for r in whole.groupBy("pattern_id").agg(F.sort_array(F.collect_list("source_id")).alias("s")).collect()}
+    for items, n in ((("a", "b"), 40), (("a", "c"), 9), (("b", "c"), 9), (("a", "b", "c"), 9)):
+        r = found.pop(items)
+        assert got[r["pattern_id"]] == [f"S{i:03d}" for i in range(n)] and r["source_count"] == n and r["source_ids"] == got[r["pattern_id"]][:5]
+    assert not found
+
+
 # --- calibration, evaluation, shapes ---
 
 
